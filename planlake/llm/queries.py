@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from planlake.llm import exact_dedup, line_dedup
+from planlake.llm import exact_dedup, language_id, line_dedup, nearest, packing
 
 
 def queries() -> dict:
     return {
+        "op4_language_id": language_id.op4_language_id,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op8_nearest_neighbours": nearest.op8_nearest_neighbours,
+        "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
@@ -15,5 +18,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_exact_dedup": exact_dedup.ORACLE,
+        "op8_nearest_neighbours": nearest.ORACLE,
         "op10_line_dedup": line_dedup.ORACLE,
     }
