@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from planlake.llm import exact_dedup, language_id, line_dedup, near_dedup, nearest, packing
+from planlake.llm import exact_dedup, language_id, line_dedup, near_dedup, nearest, packing, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
+        "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_language_id": language_id.op4_language_id,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op8_nearest_neighbours": nearest.op8_nearest_neighbours,
@@ -19,6 +20,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_minhash_near_dedup": near_dedup.ORACLE,
+        "op3_substring_dedup": substring_dedup.ORACLE,
         "op5_exact_dedup": exact_dedup.ORACLE,
         "op8_nearest_neighbours": nearest.ORACLE,
         "op10_line_dedup": line_dedup.ORACLE,
