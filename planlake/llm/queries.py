@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from planlake.llm import exact_dedup, language_id, line_dedup, near_dedup, nearest, packing, substring_dedup
+from planlake.llm import chat_format, exact_dedup, language_id, line_dedup, near_dedup, nearest, packing, quality, sentencepiece_codec, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
+        "op2_quality_cotraining": quality.op2_quality_cotraining,
         "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_language_id": language_id.op4_language_id,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op6_chat_format": chat_format.op6_chat_format,
+        "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece,
         "op8_nearest_neighbours": nearest.op8_nearest_neighbours,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_line_dedup": line_dedup.op10_line_dedup,
@@ -22,6 +25,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_minhash_near_dedup": near_dedup.ORACLE,
         "op3_substring_dedup": substring_dedup.ORACLE,
         "op5_exact_dedup": exact_dedup.ORACLE,
+        "op6_chat_format": chat_format.ORACLE,
         "op8_nearest_neighbours": nearest.ORACLE,
         "op10_line_dedup": line_dedup.ORACLE,
     }
