@@ -10,7 +10,8 @@ The model is fitted on a bounded sample: `per_lang` documents of each language (
 
 Null text and text without a letter is `und` with score 0; so is every text if nothing can be learned (an empty
 table, no languages). Score: the winner's share of the clipped one-versus-rest outputs. Equal outputs go to the
-language that sorts first. Repeated rows stay; extra columns are ignored.
+language that sorts first. Repeated rows stay; extra columns are ignored or, named in `keep`, passed on; kept columns named
+lang_pred or score are not allowed.
 """
 
 from __future__ import annotations
@@ -113,9 +114,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", per_lang: int = PER_LANG, max_
 
 def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The columns `keep`, lang_pred and score."""
-    schema = docs.select(*keep).schema.simpleString()[7:-1]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    del schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = model["langs"]
@@ -142,7 +141,7 @@ def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), t
             cols = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.record_batch([*cols, pa.array(names[best], pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, text_col).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select(*keep, F.col(text_col).alias("__scored")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
 def fold(id_col):

@@ -9,7 +9,8 @@ of the next: counts add up and the holder is the largest.
 A line's key is the line stripped of white space at both ends, with A-Z lower-cased. Keys of at least
 `min_chars` code points found in at least `min_docs` documents lose their lines everywhere but in the largest
 doc_id that holds them. Null and empty text is one empty line. A null doc_id sorts before all others. Rows
-that repeat a doc_id count as one document and are treated alike. Extra columns stay as they are.
+that repeat a doc_id count as one document and are treated alike. Extra columns stay as they are, but for n_lines and n_dropped, which the
+result's own columns replace.
 """
 
 from __future__ import annotations
@@ -113,6 +114,7 @@ def line_digests(docs: DataFrame, min_chars: int) -> DataFrame:
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = BATCHES) -> DataFrame:
     """docs with `text` cut and the columns n_lines, n_dropped. Rows and other columns stay."""
     spark = docs.sparkSession
+    docs = docs.drop("n_lines", "n_dropped")
     digests = cut(line_digests(docs, min_chars))
     cuts = digests.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     edges = [None, *sorted(set(cuts)), None]
@@ -128,23 +130,23 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
     drops = (
         digests.join(frequent, DIGEST)
         .where("doc_id <> holder")
-        .groupBy(F.col("doc_id").alias("drop_doc"))
-        .agg(F.collect_list(F.struct(*DIGEST)).alias("drop_list"))
+        .groupBy(F.col("doc_id").alias("__drop_doc"))
+        .agg(F.collect_list(F.struct(*DIGEST)).alias("__drop_list"))
     )
 
     def goes(line):
         key = line_key(line)
         a, b = hash_pair(key)
-        return (F.char_length(key) >= min_chars) & F.array_contains(F.col("drop_list"), F.struct(a.alias("h1"), b.alias("h2")))
+        return (F.char_length(key) >= min_chars) & F.array_contains(F.col("__drop_list"), F.struct(a.alias("h1"), b.alias("h2")))
 
     lines = lines_of(F.col("text"))
-    kept = F.when(F.col("drop_list").isNotNull(), F.filter(lines, lambda x: ~goes(x)))
+    kept = F.when(F.col("__drop_list").isNotNull(), F.filter(lines, lambda x: ~goes(x)))
     return (
-        docs.join(drops, F.coalesce(docs["doc_id"], F.lit(NO_ID)) == drops["drop_doc"], "left")
-        .withColumn("kept_lines", kept)
+        docs.join(drops, F.coalesce(docs["doc_id"], F.lit(NO_ID)) == drops["__drop_doc"], "left")
+        .withColumn("__kept_lines", kept)
         .withColumn("n_lines", F.size(lines).cast("bigint"))
-        .withColumn("n_dropped", F.coalesce(F.col("n_lines") - F.size("kept_lines"), F.lit(0)).cast("bigint"))
-        .withColumn("text", F.when(F.col("n_dropped") > 0, F.array_join("kept_lines", "\n")).otherwise(F.col("text")))
+        .withColumn("n_dropped", F.coalesce(F.col("n_lines") - F.size("__kept_lines"), F.lit(0)).cast("bigint"))
+        .withColumn("text", F.when(F.col("n_dropped") > 0, F.array_join("__kept_lines", "\n")).otherwise(F.col("text")))
         .select(*docs.columns, "n_lines", "n_dropped")
     )
 
