@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
+import importlib
+
+MODULES = ("met", "evt", "txt", "bel", "streams")
+_queries: dict = {}
+_sql: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        _queries[name] = f
+        if sql:
+            _sql[name] = sql
+        return f
+
+    return keep
+
+
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"planlake.plans.{m}")
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_sql)
