@@ -48,13 +48,13 @@ from notes where doc_id % 50 = 0""",
     "initiative_events": f"""
 select 'i' || o_custkey as initiative_id, sequence, type,
   case type when 'InitiativeCreated' then '{{"slug":"s' || o_custkey || '","title":"Title ' || o_custkey || '","description":"About ' || o_custkey || '","status":"draft"}}'
-    when 'FieldUpdated' then '{{"field":"' || (['title', 'priority', 'scope'])[o_orderkey % 3 + 1] || '","oldValue":null,"newValue":' || case when o_orderkey % 13 = 0 then 'null' else '"' || o_orderpriority || '"' end || '}}'
-    when 'StatusChanged' then '{{"newStatus":"' || ({_list(STATUSES)})[o_orderkey % 9 + 1] || '"}}'
+    when 'InitiativeFieldUpdated' then '{{"field":"' || (['title', 'priority', 'scope'])[o_orderkey % 3 + 1] || '","oldValue":null,"newValue":' || case when o_orderkey % 13 = 0 then 'null' else '"' || o_orderpriority || '"' end || '}}'
+    when 'InitiativeStatusChanged' then '{{"newStatus":"' || ({_list(STATUSES)})[o_orderkey % 9 + 1] || '"}}'
     when 'ReleaseDateChanged' then '{{"dateType":"' || (['target', 'windowStart', 'windowEnd'])[o_orderkey % 3 + 1] || '","newDate":' || case when o_orderkey % 5 = 0 then 'null' else epoch_ms(o_orderdate::timestamp)::varchar end || '}}'
     else '{{}}' end as payload,
   o_orderdate::timestamp as occurred_at, case when o_orderkey % 7 <> 0 then o_orderpriority end as actor_user_id, 'ui' as origin, 'c' || o_orderkey as command_id, 'w' || o_custkey as correlation_id,
   case when type = 'SuggestionApplied' then 'is' || o_orderkey end as suggestion_id, o_orderkey as order_key
-from (select *, case when sequence = 1 then 'InitiativeCreated' when o_orderkey % 6 < 2 then 'FieldUpdated' when o_orderkey % 6 = 2 then 'StatusChanged'
+from (select *, case when sequence = 1 then 'InitiativeCreated' when o_orderkey % 6 < 2 then 'InitiativeFieldUpdated' when o_orderkey % 6 = 2 then 'InitiativeStatusChanged'
     when o_orderkey % 6 = 3 then 'ReleaseDateChanged' when o_orderkey % 6 = 4 then 'SuggestionApplied' else 'InitiativeCommentAdded' end as type
   from (select *, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as sequence from orders))""",
     "decisions": r"""

@@ -153,15 +153,15 @@ def initiative_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).cast("bigint")
     s = lambda c: c.cast("string")
     kind = (
-        F.when(F.col("sequence") == 1, "InitiativeCreated").when(key % 6 < 2, "FieldUpdated").when(key % 6 == 2, "StatusChanged")
+        F.when(F.col("sequence") == 1, "InitiativeCreated").when(key % 6 < 2, "InitiativeFieldUpdated").when(key % 6 == 2, "InitiativeStatusChanged")
         .when(key % 6 == 3, "ReleaseDateChanged").when(key % 6 == 4, "SuggestionApplied").otherwise("InitiativeCommentAdded")
     )
     ms = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
     payload = (
         F.when(F.col("type") == "InitiativeCreated", F.concat(F.lit('{"slug":"s'), s(cust), F.lit('","title":"Title '), s(cust), F.lit('","description":"About '), s(cust), F.lit('","status":"draft"}')))
-        .when(F.col("type") == "FieldUpdated", F.concat(F.lit('{"field":"'), pick(["title", "priority", "scope"], key % 3), F.lit('","oldValue":null,"newValue":'),
+        .when(F.col("type") == "InitiativeFieldUpdated", F.concat(F.lit('{"field":"'), pick(["title", "priority", "scope"], key % 3), F.lit('","oldValue":null,"newValue":'),
               F.when(key % 13 == 0, F.lit("null")).otherwise(F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit('"'))), F.lit("}")))
-        .when(F.col("type") == "StatusChanged", F.concat(F.lit('{"newStatus":"'), pick(STATUSES, key % 9), F.lit('"}')))
+        .when(F.col("type") == "InitiativeStatusChanged", F.concat(F.lit('{"newStatus":"'), pick(STATUSES, key % 9), F.lit('"}')))
         .when(F.col("type") == "ReleaseDateChanged", F.concat(F.lit('{"dateType":"'), pick(["target", "windowStart", "windowEnd"], key % 3), F.lit('","newDate":'), F.when(key % 5 == 0, F.lit("null")).otherwise(s(ms)), F.lit("}")))
         .otherwise(F.lit("{}"))
     )
