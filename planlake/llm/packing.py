@@ -13,9 +13,11 @@ empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,8 @@ from planlake.llm.common import cut, table
 
 SIZE = 4096
 END_ID = 1
-#: Chunks whose ids a task remembers; beyond that it forgets all and starts again.
-REMEMBERED = 400_000
+#: Units whose ids a task remembers; beyond that it forgets all and starts again.
+REMEMBERED = 800_000
 RANK_BUCKETS = 64
 CHUNK = 65_536
 
@@ -42,47 +44,93 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class ChunkEncoder:
-    """Encodes texts by their chunks between ASCII white space, each distinct chunk once.
-
-    The tokenizer drops white space and no token spans it, so a text's ids are its chunks' ids in order. Latin-1
-    texts are lower-cased first, as the tokenizer does itself, unless they may hold a special token's string.
+#: The tokenizer's own split of lower-cased text, with its classes spelt out for Latin-1.
+_L, _N, _S = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_UNIT = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+_SPACE = re.compile("[\t-\r ]+")
+#: Bytes of texts that replace() and split() can split: letters, white space, and stops and commas that stand alone.
+_SIMPLE = bytes(i for i in range(256) if re.match(f"[{_L}A-Z\xc0-\xd6\xd8-\xde.,\t-\r ]", chr(i)))
+_RUNS = re.compile("[.,]{2}")
+
+
+def units(text: str) -> list[str] | None:
+    """The tokenizer's words of a text, lower-cased; None for texts that it may treat otherwise."""
+    if "<|" in text:
+        return None
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    text = text.lower()
+    if raw.translate(None, _SIMPLE) or _RUNS.search(text):
+        return _UNIT.findall(text)
+    return text.replace(",", " , ").replace(".", " . ").split()
+
+
+class UnitEncoder:
+    """Encodes texts by units, each distinct unit once.
+
+    Units are words as the tokenizer splits them. They are encoded joined by spaces, by its model without the
+    steps that made the units; each ends with the only id of its own that closes a word. Texts that units() leaves are split between
+    ASCII white space, which the tokenizer drops and no token spans. A worker keeps what it has learnt for its next tasks: REMEMBERED
+    units at most, of which the older half goes when the younger is full.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        if "<|" not in text:
-            try:
-                text.encode("latin-1")
-                text = text.lower()
-            except UnicodeEncodeError:
-                pass
-        for c in "\t\n\x0b\x0c\r":
-            if c in text:
-                text = text.replace(c, " ")
-        return text.split(" ")
-
-    def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-        known = self.known
-        for text in texts:
-            parts = self.chunks(text or "")
-            fresh = list({c for c in parts if c not in known})
-            if fresh:
-                if len(known) + len(fresh) > REMEMBERED:
-                    known.clear()
-                    fresh = list(set(parts))
-                for a in range(0, len(fresh), 1024):
-                    part = fresh[a : a + 1024]
-                    for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                        known[c] = np.array(e.ids, "<u4").tobytes()
-            yield np.frombuffer(b"".join([known[c] for c in parts]), "<u4")
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.full = Tokenizer.from_file(path)
+        self.bare = Tokenizer(self.full.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.full.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        for token, i in vocab.items():
+            self.closes[i] = token.endswith("</w>")
+        self.caches: dict[bool, list[dict[str, bytes]]] = {True: [{}, {}], False: [{}, {}]}
+
+    def _encoded(self, texts: list[str], whole: bool) -> list[np.ndarray]:
+        tokenizer = self.full if whole else self.bare
+        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learnt(self, parts: set[str], simple: bool) -> dict[str, bytes]:
+        """A cache that has all parts."""
+        young, old = self.caches[simple]
+        fresh = parts.difference(young)
+        if len(young) + len(fresh) > REMEMBERED // 2:
+            young, old = {}, young
+            self.caches[simple] = [young, old]
+            fresh = parts
+        again = [p for p in fresh if p in old]
+        young.update(zip(again, map(old.__getitem__, again), strict=True))
+        new = list(fresh.difference(again))
+        for a in range(0, len(new), 512):
+            part = new[a : a + 512]
+            if simple:
+                ids = self._encoded([" ".join(part)], False)[0]
+                ends = np.flatnonzero(self.closes[ids]) + 1
+                if len(ends) == len(part):
+                    raw, at = ids.tobytes(), (ends * 4).tolist()
+                    young.update(zip(part, [raw[x:y] for x, y in zip([0, *at], at, strict=False)], strict=True))
+                    continue
+            young.update(zip(part, [x.tobytes() for x in self._encoded(part, True)], strict=True))
+        return young
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        split = [units(t or "") for t in texts]
+        simple = [p is not None for p in split]
+        split = [_SPACE.split(t) if p is None else p for p, t in zip(split, texts, strict=True)]
+        known = {kind: self._learnt(set(chain.from_iterable(p for p, s in zip(split, simple, strict=True) if s is kind)), kind) for kind in (True, False)}
+        return [np.frombuffer(b"".join(map(known[s].__getitem__, p)), "<u4") for p, s in zip(split, simple, strict=True)]
+
+
+_encoders: dict[str, UnitEncoder] = {}
+
+
+def encoder_of(path: str) -> UnitEncoder:
+    if path not in _encoders:
+        _encoders[path] = UnitEncoder(path)
+    return _encoders[path]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, with_ids: bool = False) -> DataFrame:
@@ -91,7 +139,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE
     schema = PIECES if with_ids else pa.schema([f for f in PIECES if f.name != "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path)
+        encoder = encoder_of(path)
         end = np.array([END_ID], "<u4")
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
