@@ -62,8 +62,7 @@ def _writes(field: str) -> tuple[Column, Column]:
     return when, value
 
 
-KNOWN = F.col("type").isin(NEW, FIELD, STATUS, DATE, *SILENT)
-CHANGES = F.col("type").isin(NEW, FIELD, STATUS, DATE)
+CHANGES = [NEW, FIELD, STATUS, DATE]
 
 
 def fold(events: DataFrame, by: tuple[str, ...] = ("initiative_id",), fields: list[str] | None = None) -> DataFrame:
@@ -83,8 +82,8 @@ def fold(events: DataFrame, by: tuple[str, ...] = ("initiative_id",), fields: li
         *aggs,
         F.max(created).alias("created_seq"),
         F.max_by("at_ms", created).alias("createdAt"),
-        F.max_by("at_ms", F.when(CHANGES, F.col("sequence"))).alias("updatedAt"),
-        F.max(F.when(KNOWN, F.col("sequence"))).alias("currentVersion"),
+        F.max_by("at_ms", F.when(F.col("type").isin(CHANGES), F.col("sequence"))).alias("updatedAt"),
+        F.max(F.when(F.col("type").isin(CHANGES + SILENT), F.col("sequence"))).alias("currentVersion"),
     )
     g = g.where("created_seq is not null")
     return g.select(*by, *(F.when(F.col(f)["s"] >= F.col("created_seq"), F.col(f)["v"]).alias(f) for f in fields), "createdAt", "updatedAt", "currentVersion")

@@ -1 +1,115 @@
-"""Queries."""
+"""Queries over meetings, beliefs and feedback."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from planlake.functions import lexicon as lx
+from planlake.operators import beliefs as bl
+from planlake.plans.fixture_sql import over
+from planlake.plans.registry import query
+from planlake.sources import fixtures as fx
+
+UTT = r"select meeting_id, trim(unnest(string_split(regexp_replace(line, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))) as text from (select meeting_id, unnest(string_split(raw_markdown, chr(10))) as line from meetings)"
+
+
+def _has(words: str) -> str:
+    return rf"regexp_matches(t, '\b({words})\b')"
+
+
+DIM = "case " + " ".join(f"when {_has(w)} then '{n}'" for n, w, _, _, _ in lx.DIMENSIONS[::-1]) + f" when {_has(lx.OTHER_CHANGE)} then 'other' end"
+LAB = "case " + " ".join(f"when {_has(w)} then '{lab}'" for _, w, _, lab, _ in lx.DIMENSIONS[::-1]) + f" when {_has(lx.OTHER_CHANGE)} then 'plan_change' else 'noise' end"
+CONF = "case " + " ".join(f"when {_has(w)} then {c}" for _, w, _, _, c in lx.DIMENSIONS[::-1]) + f" when {_has(lx.OTHER_CHANGE)} then 0.5 else 0.3 end"
+ROLE = f"case when label = 'plan_change' and dimension <> 'other' and {_has(lx.BEFORE)} then 'before' when label = 'plan_change' and dimension <> 'other' and {_has(lx.AFTER)} then 'after' else 'none' end"
+CLASS = f"select meeting_id, text, t, label, dimension, {ROLE} as change_role, c from (select *, lower(text) as t, {DIM.replace('(t,', '(lower(text),')} as dimension, {LAB.replace('(t,', '(lower(text),')} as label, ({CONF.replace('(t,', '(lower(text),')})::double as c from u where not regexp_matches(text, '^[a-z]') and text <> '')"
+
+
+def _classes(spark, d):
+    return bl.classified(bl.utterances(fx.meetings(spark, d)))
+
+
+@query("b01_utterance_classes", over("meetings", f"select label, dimension, change_role, round(least(c + case when change_role <> 'none' then 0.1 else 0 end, 1.0), 6) as local_confidence, count(*) as n from ({CLASS}) where not regexp_matches(text, '[.!?]\\s+[a-z]') group by all", u=UTT))
+def _(spark, d):
+    c = _classes(spark, d).where(~F.col("text").rlike("^[a-z]") & ~F.col("text").rlike(r"[.!?]\s+[a-z]"))
+    return c.groupBy("label", "dimension", "change_role", "local_confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("t09_utterances")
+def _(spark, d):
+    return bl.utterances(fx.meetings(spark, d))
+
+
+@query("b02_threads")
+def _(spark, d):
+    return bl.threads(_classes(spark, d))
+
+
+def _beliefs(spark, d):
+    return bl.with_confidence(bl.beliefs(bl.threads(_classes(spark, d))))
+
+
+@query("b03_b04_b05_beliefs")
+def _(spark, d):
+    return _beliefs(spark, d)
+
+
+@query("b09_decisions")
+def _(spark, d):
+    return bl.decisions(_beliefs(spark, d))
+
+
+@query("b10_clusters")
+def _(spark, d):
+    return bl.clusters(_beliefs(spark, d))
+
+
+@query("b11_invariants")
+def _(spark, d):
+    b = _beliefs(spark, d)
+    return bl.invariants(b, bl.decisions(b))
+
+
+@query("w06_rate_caps")
+def _(spark, d):
+    return bl.capped_suggestions(bl.decisions(_beliefs(spark, d)), {"comment": 3, "change_date": 1})
+
+
+@query("j12_initiative_mapping", "select vec_id, case when a >= 0.7 and a - b >= 0.2 then 'x' when b >= 0.7 and b - a >= 0.2 then 'y' end as initiative_id from (select vec_id, (vec_id % 10) / 10 as a, (vec_id % 7) / 10 as b from embeddings)")
+def _(spark, d):
+    v = fx.table(spark, d, "embeddings").select("vec_id")
+    scores = F.create_map(F.lit("x"), F.col("vec_id") % 10 / 10, F.lit("y"), F.col("vec_id") % 7 / 10)
+    return v.select("vec_id", bl.mapped_initiative(scores).alias("initiative_id"))
+
+
+@query("m14_feedback_stats", over("feedback_events", "select count(*) as total, round(count(*) filter (where action = 'accepted') / count(*), 6) as accept_rate, round(count(*) filter (where action = 'dismissed') / count(*), 6) as dismiss_rate, round(count(*) filter (where action = 'edited') / count(*), 6) as edit_rate, round(avg(time_to_action_seconds), 6) as mean_seconds from feedback_events"))
+def _(spark, d):
+    return bl.feedback_stats(fx.feedback_events(spark, d))
+
+
+@query("j15_feedback_by_status", over("feedback_events suggestions", "select clarification_state, count(*) as n, round(count(*) filter (where action = 'accepted') / count(*), 6) as accept_rate from feedback_events join suggestions using (suggestion_id) group by 1"))
+def _(spark, d):
+    return bl.feedback_by_status(fx.feedback_events(spark, d), fx.suggestions(spark, d))
+
+
+SPAM_TEXT = "select suggestion_id, 'the ' || suggestion_family || ' proposal of ' || rule_or_prompt_id as text from suggestions where suggestion_family is not null and rule_or_prompt_id is not null"
+
+
+@query(
+    "m23_spam_tokens",
+    over("feedback_events suggestions", "select token, n, round(least(0.9, n / docs), 6) as confidence from (select token, count(*) as n from (select suggestion_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: length(w) >= 4))) as token from s) group by 1), (select count(*) as docs from s) where docs >= 3 and n >= 2",
+         s=f"select * from ({SPAM_TEXT}) where suggestion_id in (select suggestion_id from feedback_events where action = 'dismissed' and dismiss_reason = 'spam')"),
+)
+def _(spark, d):
+    s = fx.suggestions(spark, d).where("suggestion_family is not null and rule_or_prompt_id is not null")
+    texts = s.select("suggestion_id", F.concat(F.lit("the "), "suggestion_family", F.lit(" proposal of "), "rule_or_prompt_id").alias("text"))
+    return bl.spam_tokens(fx.feedback_events(spark, d), texts)
+
+
+@query("m24_quick_accepts", over("feedback_events", "select count(*) as quick, count(*) >= 3 as signal from feedback_events where action = 'accepted' and time_to_action_seconds <= 60"))
+def _(spark, d):
+    return bl.quick_accepts(fx.feedback_events(spark, d))
+
+
+@query("m25_recommendations")
+def _(spark, d):
+    return bl.recommendations(bl.feedback_stats(fx.feedback_events(spark, d)))

@@ -231,7 +231,7 @@ def _(spark, d):
     return ev.duplicates(links, ["system", "resource_id", "initiative_id"])
 
 
-@query("m16_who_changed_what", over("initiative_events", f"select coalesce(actor_user_id, 'system') as actor, count(*) as total_changes, (select string_agg(f || ':' || n, ',' order by f || ':' || n) from (select {P} ->> '$.field' as f, count(*) as n from initiative_events y where {_F} and coalesce(y.actor_user_id, 'system') = coalesce(x.actor_user_id, 'system') group by 1)) as field_changes, max(occurred_at) as last_change_at from initiative_events x group by coalesce(actor_user_id, 'system')"))
+@query("m16_who_changed_what", over("initiative_events", "select a.actor, a.n as total_changes, coalesce(f.s, '') as field_changes, a.last_change_at from (select actor, count(*) as n, max(occurred_at) as last_change_at from x group by 1) a left join (select actor, string_agg(f || ':' || n, ',' order by f || ':' || n) as s from (select actor, " + P + " ->> '$.field' as f, count(*) as n from x where " + _F + " group by 1, 2) group by 1) f using (actor)", x="select *, coalesce(actor_user_id, 'system') as actor from initiative_events"))
 def _(spark, d):
     return ev.who_changed_what(_log(spark, d))
 
