@@ -8,10 +8,15 @@ A document's set holds its distinct 5-word shingles; two documents are linked if
 3. Pigeonhole: the symbols are split into CHUNKS chunks; a pair within ERRORS differs in at most ERRORS // CHUNKS = 1
    symbol of some chunk. The allowed error is enumerated: a chunk gives one key for each symbol left out, so every
    pair under the threshold shares a key.
-4. Within a key's bucket all members are first compared with its smallest one. Links are confirmed on full sets.
-5. What is still apart: members of a bucket that lie in different components are compared block by block, those
-   outside the bucket's largest component against all members. No pair is left out and no bucket is expanded into
-   rows for its pairs; blocks bound what a task holds.
+4. Within a key's bucket all members are first compared with its most central one: the member of most buckets, which in
+   a family of copies is the text they were made from. Links are confirmed on full sets.
+5. What is still apart: members of a bucket that lie in different components are compared by signature, block by block, those
+   outside the bucket's largest component against all members. A block gives a spanning forest of its pairs under the
+   threshold, not the pairs. These forests and the links make families: both ends of every untested pair under the threshold
+   are in one family.
+6. Families that hold several components are compared on full sets, block by block: products of 0/1 matrices over the
+   blocks' common shingles give all intersection sizes, and a block gives a spanning forest of its links. So no link
+   between components is left out, no pairs of a group become rows, and blocks bound what a task holds.
 
 Words are maximal runs of bytes other than white space, A-Z read as a-z. With fewer than five words the whole sequence is one shingle; without words the set is
 empty and the document is linked with nothing. Rows without
@@ -151,61 +156,130 @@ def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
 
 
-def _apart(members: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs under the distance threshold that share a bucket and lie in different components."""
+def _forest(apart: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (row, column) of the boolean matrix that join what is still apart. root has labels of rows, then of columns."""
+    rows, out = len(apart), []
+    for i in np.flatnonzero(apart.any(1)):
+        while True:
+            open_ = np.flatnonzero(apart[i] & (root[rows:] != root[i]))
+            if not len(open_):
+                break
+            j = open_[0]
+            out.append((i, j))
+            root[root == root[rows + j]] = root[i]
+    return out
+
+
+def _by_tile(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Runs of rows with equal key, of a partition sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy() for k in key]
+        change = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            own = tuple(c[x] for c in cols)
+            if held and own != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(x, y - x))
+            last = own
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _forests(tiles: DataFrame, key: tuple[str, ...], near) -> DataFrame:
+    """a, b: spanning forests of the tiles. A tile's rows have rep, comp and side (0 or 1); near(x, y) tests side 1 against side 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[int, int]] = set()
+        for tile in _by_tile(batches, key):
+            side = tile.column("side").to_numpy() == 1
+            rep, comp = tile.column("rep").to_numpy(), tile.column("comp").to_numpy()
+            if len(rep) < 2 or (comp == comp[0]).all() or side.all() or not side.any():
+                continue
+            x, y = tile.filter(pa.array(side)), tile.filter(pa.array(~side))
+            for i, j in _forest(near(x, y), np.concatenate([comp[side], comp[~side]])):
+                a, b = int(rep[side][i]), int(rep[~side][j])
+                found.add((min(a, b), max(a, b)))
+            if len(found) > 10_000:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+                found.clear()
+        if found:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    dealt = tiles.repartition(*key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(run, "a bigint, b bigint").where("a < b").distinct()
+
+
+def _near_signatures(x: pa.Table, y: pa.Table) -> np.ndarray:
+    x, y = (np.frombuffer(b"".join(t.column("sig").to_pylist()), ">u2").reshape(-1, SYMBOLS) for t in (x, y))
+    return np.array([(y != row).sum(1) <= ERRORS for row in x])
+
+
+def _linked_sets(x: pa.Table, y: pa.Table) -> np.ndarray:
+    sets = [[v.values.to_numpy() for v in t.column("shingles")] for t in (x, y)]
+    size = [np.array([len(v) for v in s]) for s in sets]
+    flat = [np.concatenate(s) for s in sets]
+    row = [np.repeat(np.arange(len(s)), n) for s, n in zip(sets, size, strict=True)]
+    common = np.intersect1d(*map(np.unique, flat), assume_unique=True)
+    shared = np.zeros((len(sets[0]), len(sets[1])), np.float32)
+    at = []
+    for f, r in zip(flat, row, strict=True):
+        k = np.minimum(np.searchsorted(common, f), max(len(common) - 1, 0))
+        hit = common[k] == f if len(common) else np.zeros(len(f), bool)
+        at.append((r[hit], k[hit]))
+    for low in range(0, len(common), 4096):
+        part = []
+        for s, (r, k) in zip(sets, at, strict=True):
+            m = np.zeros((len(s), 4096), np.float32)
+            own = (k >= low) & (k < low + 4096)
+            m[r[own], k[own] - low] = 1
+            part.append(m)
+        shared += part[0] @ part[1].T
+    both = shared.astype(np.int64)
+    return 100 * both >= PERCENT * (size[0][:, None] + size[1][None, :] - both)
+
+
+def _slots(n: str, seed: int):
+    return F.pmod(F.xxhash64(F.lit(seed), "rep"), F.col(n)).cast("int")
+
+
+def _each(n: str):
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def _candidates(members: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
+    """Forests of the pairs under the distance threshold that share a bucket and lie in different components."""
     m = cut(_labelled(members, comps))
     per = m.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     per = per.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
-    per = per.where("comps > 1").select("key", F.col("top.comp").alias("top"), F.col("n"), (F.col("n") - F.col("top.n")).alias("odd"))
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    m = m.join(per.select("key", "top", blocks("odd").alias("n_odd"), blocks("n").alias("n_all")), "key")
-    slot = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "rep"), F.col(n)).cast("int")
-    sides = m.select("key", "rep", "comp", slot(2, "n_all").alias("j"), F.explode(F.sequence(F.lit(0), F.col("n_odd") - 1)).alias("i"), F.lit(0).alias("odd"))
-    odd = m.where("comp <> top")
-    odd = odd.select("key", "rep", "comp", F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"), slot(1, "n_odd").alias("i"), F.lit(1).alias("odd"))
-    tiles = sides.unionByName(odd).join(reps.select("rep", "sig"), "rep")
-    tiles = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "odd").select("key", "i", "j", "odd", "rep", "comp", "sig")
-
-    def pairs_of(rep, comp, sig, odd):
-        out = []
-        left, right = np.flatnonzero(odd), np.flatnonzero(~odd)
-        for k in left:
-            near = right[(comp[right] != comp[k]) & ((sig[right] != sig[k]).sum(1) <= ERRORS)]
-            out += [(min(rep[k], rep[x]), max(rep[k], rep[x])) for x in near]
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # rows of a tile that the next batch may go on with
-        for last in (False, True):
-            for batch in batches if not last else [None]:
-                if last:
-                    rows, held = held, None
-                else:
-                    if not batch.num_rows:
-                        continue
-                    new = pa.Table.from_batches([batch])
-                    rows = pa.concat_tables([held, new]) if held is not None else new
-                if rows is None or not rows.num_rows:
-                    continue
-                tile = [rows.column(c).to_numpy() for c in ("key", "i", "j")]
-                change = np.zeros(rows.num_rows, bool)
-                for c in tile:
-                    change[1:] |= c[1:] != c[:-1]
-                cuts = [0, *np.flatnonzero(change), rows.num_rows]
-                if not last:
-                    held = rows.slice(cuts[-2])
-                    cuts = cuts[:-1]
-                if len(cuts) < 2:
-                    continue
-                rep, comp, odd = (rows.column(c).to_numpy() for c in ("rep", "comp", "odd"))
-                sig = np.frombuffer(b"".join(rows.column("sig").slice(0, cuts[-1]).to_pylist()), ">u2").reshape(-1, SYMBOLS)
-                found = set()
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    found.update(pairs_of(rep[a:b], comp[a:b], sig[a:b], odd[a:b] == 1))
-                x, y = zip(*found, strict=True) if found else ((), ())
-                yield pa.record_batch([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
-
-    return tiles.mapInArrow(run, "a bigint, b bigint").distinct()
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    per = per.where("comps > 1").select("key", F.col("top.comp").alias("top"), blocks(F.col("n") - F.col("top.n")).alias("n_odd"), blocks(F.col("n")).alias("n_all"))
+    m = m.join(per, "key")
+    every = m.select("key", "rep", "comp", _slots("n_all", 2).alias("j"), _each("n_odd").alias("i"), F.lit(0).alias("side"))
+    odd = m.where("comp <> top").select("key", "rep", "comp", _each("n_all").alias("j"), _slots("n_odd", 1).alias("i"), F.lit(1).alias("side"))
+    tiles = every.unionByName(odd).join(reps.select("rep", "sig"), "rep").select("key", "i", "j", "side", "rep", "comp", "sig")
+    return _forests(tiles, ("key", "i", "j"), _near_signatures)
+
+
+def _within_families(links: DataFrame, forests: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Forests of the links on full sets between different components of a family."""
+    family = components(links.unionByName(forests)).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    m = cut(_labelled(family, comps))
+    per = m.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    per = per.where("x < y").select("family", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    m = m.join(per, "family").withColumn("own", _slots("blocks", 3))
+    sets = texts.join(m.select("rep"), "rep", "left_semi").select("rep", "text").mapInArrow(_sets, "rep bigint, shingles array<bigint>")
+    m = m.join(cut(sets), "rep")
+    a = m.select("family", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"), F.lit(1).alias("side"), "rep", "comp", "shingles")
+    b = m.select("family", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.lit(0).alias("side"), "rep", "comp", "shingles")
+    return _forests(a.unionByName(b), ("family", "i", "j"), _linked_sets)
 
 
 def clusters(docs: DataFrame) -> DataFrame:
@@ -217,18 +291,22 @@ def clusters(docs: DataFrame) -> DataFrame:
     reps = heads.select("rep", "sig")
     k = keys(reps)
     buckets = cut(k.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi"))
-    members = cut(k.join(buckets.where("n > 2").select("key", "lo"), "key"))
-    star = buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    star = star.unionByName(members.where("lo < rep").select(F.col("lo").alias("a"), F.col("rep").alias("b"))).distinct()
+    members = k.join(buckets.where("n > 2").select("key"), "key")
+    degree = members.groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
+    members = cut(members.join(degree, "rep"))
+    centre = members.groupBy("key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("centre"))
+    near = members.join(centre, "key").where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
+    star = near.unionByName(buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))).distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text")
     links = cut(confirmed(_distance_ok(star, reps), texts))
-    more = cut(_apart(members.select("key", "rep"), reps, components(links)))
-    if more.take(1):
-        links = cut(links.unionByName(confirmed(more, texts)))
+    comps = cut(components(links))
+    forests = cut(_candidates(members.select("key", "rep"), reps, comps))
+    if forests.take(1):
+        links = cut(links.unionByName(_within_families(links, forests, comps, texts)))
     comps = components(links)
     final = _labelled(heads.select("n_shingles", "digest", "rep"), comps).select("n_shingles", "digest", "comp")
     out = signed.select("doc_id", "n_shingles", "digest").join(final, ["n_shingles", "digest"], "left")
-    comp = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
+    comp = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
