@@ -70,3 +70,36 @@ DIMENSIONS = [
 BEFORE = "was|were|previously|before|originally|old|current"
 AFTER = "will be|now|new|updated|changed to|moving to|going to"
 OTHER_CHANGE = "change|update|modify|adjust|revise"
+
+# Section intent.
+REQUEST_STEMS = ["please", "can you", "could you", "would you", "i want you to", "i'd like you to", "i would like you to", "i would really like you to", "we should", "we probably should", "should", "let's", "lets", "need to", "we need to", "maybe we need", "we may need to", "it would be good to", "asking for", "requested", "want to", "would like", "requirement"]
+ACTION_VERBS = "add implement build create enable disable remove delete fix update change refactor improve support integrate adjust modify revise".split()
+CHANGE_OPERATORS = ["move", "moving", "moved", "push", "pushing", "pushed", "delay", "delaying", "delayed", "slip", "slipping", "slipped", "bring forward", "bringing forward", "brought forward", "postpone", "postponing", "postponed", "deprioritize", "deprioritizing", "deprioritized", "prioritize", "prioritizing", "prioritized", "shift", "shifting", "shifted", "pivot", "pivoting", "pivoted", "reframe", "reframing", "reframed", "reprioritize", "reprioritizing", "reprioritized", "defer", "deferring", "deferred", "accelerate", "accelerating", "accelerated", "narrow", "narrowing", "narrowed", "expand", "expanding", "expanded", "refocus", "refocusing", "refocused", "adjust", "adjusting", "adjusted", "modify", "modifying", "modified", "revise", "revising", "revised", "take over", "taking over", "took over", "instead of", "now p0", "now p1", "now p2"]
+STATUS_MARKERS = ["done", "shipped", "deployed", "released", "implemented", "merged", "blocked", "waiting on", "in progress"]
+TASK_MARKERS = ["- [ ]", "todo:", "action:", "owner:"]
+PRODUCT_NOUNS = "onboarding signup flow ui api integration pricing dashboard tracking analytics".split()
+ACTIONABILITY_VERBS = ["add", "verify", "update", "share", "remove", "fix", "create", "build", "implement", "test", "review", "check", "ensure", "set up", "deploy", "migrate", "refactor", "integrate", "move", "send", "confirm", "finalize"]
+HEDGED = ["we should", "we probably should", "maybe we need", "we may need to", "it would be good to", "let's", "lets"]
+NEGATIONS = ["don't", "do not", "no need to", "not necessary to"]
+CALENDAR = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "next week", "this week", "next month"]
+COMMUNICATION = ["email", "send", "slack", "follow up", "reach out", "ping"]
+MICRO_TASKS = ["rename file", "update doc link", "fix typo"]
+ROLES = ["pm to", "cs to", "eng to", "design to", "designer to", "project manager to", "product manager to", "engineering to", "customer success to"]
+DECISIONS = ["will be logged", "will be", "no near-term", "near-term", "revisit", "decided", "agreed", "approved"]
+PM_REQUESTS = ["users need", "users struggle", "requires us to", "we should consider", "maybe we could", "suggestion:", "this will require", "friction around"]
+
+# Ideas, modality, ranking.
+STRATEGY = "strategy approach system framework prioritization scoring automation".split()
+MECHANISMS = "introduce use extend calculate integrate automate parse upload layer".split()
+CONSTRUCTS = ["photo upload", "ai parsing", "scoring model", "prioritization system"]
+ASSERTIVE = [r"\b(we will|let's|agreed to|we decided to|we are going to)\b", r"\b(we're (going to|doing|building|shipping|creating))\b", r"\b(committed to|committing to)\b", r"\b(definitely|absolutely|certainly)\s+(will|going to|need)\b"]
+SPECULATIVE = [r"\b(maybe|might|could|possibly|perhaps)\b", r"\b(we should (explore|consider|think about|look into))\b", r"\b(what if|how about|worth considering)\b", r"\b(if we decide|if we go with|depending on)\b", r"\b(would be nice|could be interesting)\b"]
+ARTIFACTS = r"\b(cache|command|conversion|integration|connector|schema|metadata|rollback|precision|migration)\b"
+BUILD_VERBS = r"\b(force|add|build|create|implement|cache|convert)\b"
+MARKETING = r"\b(marketing blast|announcement|campaign|press)\b"
+TOPIC_ANCHORS = ["new feature", "feature request", "project timeline", "internal operation", "cultural shift", "bug:", "risk:"]
+
+# Implications of timeline beliefs.
+TIMELINE_RISK = [r"\b(won't|can't|cannot|unlikely|impossible)\s+(make|hit|meet)\b", r"\b(will\s+)?(slip|delay|push|postpone)\b", r"\b(not\s+going\s+to|won't\s+be\s+ready)\b", r"\b(at\s+risk|in\s+jeopardy|behind\s+schedule)\b", r"\b(probably|likely)\s+\d+\s*(weeks?|months?|days?)\s+(late|behind)"]
+TIMELINE_PULL_IN = [r"\b(ahead\s+of\s+schedule|early|sooner)\b", r"\b(can\s+ship|ready\s+to\s+ship)\s+(earlier|sooner|before)", r"\b(pull\s+in|move\s+up|accelerate)\b"]
+TIMELINE_UNCERTAIN = [r"\b(might|may|could|possibly)\s+(slip|delay)\b", r"\b(not\s+sure|unclear|uncertain)\s+(about|if|whether).*\b(date|timeline|schedule)\b", r"\b(depends\s+on|contingent\s+on)\b"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("met", "evt", "txt", "bel", "streams")
+MODULES = ("met", "evt", "txt", "bel", "more", "streams")
 _queries: dict = {}
 _sql: dict[str, str] = {}
 
