@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planlake.llm import language_id, line_dedup, near_dedup, packing, substring_dedup
-from planlake.llm.common import cut, table
+from planlake.llm.common import cut, shielded, table, unshielded
 
 
 def _with_text(rows: DataFrame, text, changed, columns: list[str]) -> DataFrame:
@@ -24,9 +24,10 @@ def _with_text(rows: DataFrame, text, changed, columns: list[str]) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a language (null, or not one letter) go; a missing lang is filled in."""
     model = language_id.fit(language_id.training_rows(docs))
-    known = language_id.predict(docs, model, keep=tuple(docs.columns))
+    safe, names = shielded(docs, ("doc_id", "text", "lang"))
+    known = language_id.predict(safe, model, keep=tuple(safe.columns))
     kept = known.where((F.col("lang_pred") != "und") | F.lit(not model["langs"]) & F.col("text").rlike(r"\p{L}"))
-    return kept.withColumn("lang", F.coalesce("lang", F.nullif("lang_pred", F.lit("und")))).select(*docs.columns)
+    return unshielded(kept.withColumn("lang", F.coalesce("lang", F.nullif("lang_pred", F.lit("und")))), names, [], docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

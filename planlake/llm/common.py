@@ -125,3 +125,15 @@ def as_int64(h: np.ndarray) -> np.ndarray:
 def hash_pair(c) -> list:
     """Two independent 64-bit hashes of a string column."""
     return [F.xxhash64(c), F.xxhash64(F.lit(7), F.reverse(c))]
+
+
+def shielded(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, dict[str, str]]:
+    """docs with every column but `keep` under a name that no job uses, and the way back."""
+    names = {f"__c{i}": c for i, c in enumerate(docs.columns) if c not in keep}
+    return docs.withColumnsRenamed({c: n for n, c in names.items()}), names
+
+
+def unshielded(df: DataFrame, names: dict[str, str], own: list[str], columns: list[str]) -> DataFrame:
+    """The input's columns in their order, then the job's own; these replace input columns of their name."""
+    back = {c: n for n, c in names.items()}
+    return df.select(*(F.col(back.get(c, c)).alias(c) for c in columns if c not in own), *own)

@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planlake.llm.common import WS_CHARS, cut, hash_pair, scratch_dir, table
+from planlake.llm.common import WS_CHARS, cut, hash_pair, scratch_dir, shielded, table, unshielded
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FANOUT = 3
@@ -114,7 +114,8 @@ def line_digests(docs: DataFrame, min_chars: int) -> DataFrame:
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = BATCHES) -> DataFrame:
     """docs with `text` cut and the columns n_lines, n_dropped. Rows and other columns stay."""
     spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_dropped")
+    columns = docs.columns
+    docs, names = shielded(docs)
     digests = cut(line_digests(docs, min_chars))
     cuts = digests.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     edges = [None, *sorted(set(cuts)), None]
@@ -141,14 +142,14 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
 
     lines = lines_of(F.col("text"))
     kept = F.when(F.col("__drop_list").isNotNull(), F.filter(lines, lambda x: ~goes(x)))
-    return (
+    out = (
         docs.join(drops, F.coalesce(docs["doc_id"], F.lit(NO_ID)) == drops["__drop_doc"], "left")
         .withColumn("__kept_lines", kept)
         .withColumn("n_lines", F.size(lines).cast("bigint"))
         .withColumn("n_dropped", F.coalesce(F.col("n_lines") - F.size("__kept_lines"), F.lit(0)).cast("bigint"))
         .withColumn("text", F.when(F.col("n_dropped") > 0, F.array_join("__kept_lines", "\n")).otherwise(F.col("text")))
-        .select(*docs.columns, "n_lines", "n_dropped")
     )
+    return unshielded(out, names, ["n_lines", "n_dropped"], columns)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,7 @@ def blocks(rows: DataFrame, at_most: int) -> DataFrame:
 def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """int8 codes, each row's step, and the sum of the absolute codes."""
     step = np.abs(v).max(1) / 127.0
+    step[step == 0] = 1.0  # too small to divide by: all codes are 0, which the bounds allow for
     codes = np.rint(v / step[:, None]).astype(np.int8)
     return codes, step, np.abs(codes.astype(np.int32)).sum(1)
 
@@ -81,9 +82,11 @@ def tile(q_ids: np.ndarray, qv: np.ndarray, c_ids: np.ndarray, cv: np.ndarray, k
         # products of int8 codes are whole numbers below 2**24 for up to 1,040 components: exact in float32
         kind = np.float32 if dim <= 1000 else np.float64
         near = (qc.astype(kind) @ cc.astype(kind).T).astype(np.float64)
-        unit = qs[:, None] * cs[None, :]
+        with np.errstate(over="ignore"):
+            unit = qs[:, None] * cs[None, :]
         slack = unit * (0.5 * (q1[:, None] + c1[None, :]) + 0.25 * dim) * (1 + 1e-9) + 1e-12 * unit
-        low, high = near * unit - slack, near * unit + slack
+        with np.errstate(invalid="ignore", over="ignore"):
+            low, high = np.nan_to_num(near * unit - slack, nan=-np.inf, neginf=-np.inf), np.nan_to_num(near * unit + slack, nan=np.inf, posinf=np.inf)
         low[q_ids[:, None] == ids[None, :]] = -np.inf
         high[q_ids[:, None] == ids[None, :]] = -np.inf
         floor = np.full(len(q_ids), -np.inf)

@@ -17,8 +17,8 @@ starts anywhere else, in the same document or another, is removed; windows are j
    shard; its windows are counted by their 128-bit hashes instead, with partial aggregation. That path is exact too.
 
 Null and empty text has no words. Repeated rows repeat each other's windows and both lose them. Rows are told apart by
-doc_id and a hash of the text; a null doc_id is allowed. Extra columns stay, but for those named as the
-result's own (n_words, n_removed, kept, kept_sha256) or the job's (did, th, i0s, masks), which go. An empty table gives an empty result.
+doc_id and a hash of the text; a null doc_id is allowed. Extra columns stay, but for those
+named as the result's own (n_words, n_removed, kept, kept_sha256). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planlake.llm.common import as_int64, cut, mix, table, text_slices, window_hashes, word_hashes, word_spans
+from planlake.llm.common import as_int64, cut, mix, shielded, table, text_slices, unshielded, window_hashes, word_hashes, word_spans
 
 WINDOW = 35
 GRAM = 8
@@ -318,7 +318,8 @@ def _removal(window: int, with_text: bool):
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_pieces: int = HOT_PIECES, shard_words: int = SHARD_WORDS, with_text: bool = True) -> DataFrame:
     """docs with n_words, n_removed, kept_sha256 and kept: the words that stay, joined by one space; null where none went."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.drop("n_words", "n_removed", "kept", "kept_sha256", "i0s", "masks", *ROW)
+    columns = docs.columns
+    docs, names = shielded(docs)
     keyed = docs.withColumns({"did": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "th": F.xxhash64(text)})
     lean = keyed.select(*ROW, "text")
     counted = cut(lean.mapInArrow(_anchor_counts(window, gram), "did bigint, th bigint, mhash bigint, n int"))
@@ -336,7 +337,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
         out = out.unionByName(other.withColumns(none).select(*out.columns))
     added = [T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.StringType()), ("kept_sha256", T.StringType()))]
     out = out.select(*docs.columns, *ROW, "i0s", "masks")
-    return out.mapInArrow(_removal(window, with_text), T.StructType([*docs.schema.fields, *added]))
+    out = out.mapInArrow(_removal(window, with_text), T.StructType([*docs.schema.fields, *added]))
+    return unshielded(out, names, [f.name for f in added], columns)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
