@@ -254,17 +254,17 @@ def _each(n: str):
     return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
 
-def _candidates(members: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
-    """Forests of the pairs under the distance threshold that share a bucket and lie in different components."""
+def _candidates(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Forests of the pairs under the distance threshold that share a bucket and lie in different components. members: key, rep, sig."""
     m = cut(_labelled(members, comps))
     per = m.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     per = per.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
     blocks = lambda c: F.ceil(c / BLOCK).cast("int")
     per = per.where("comps > 1").select("key", F.col("top.comp").alias("top"), blocks(F.col("n") - F.col("top.n")).alias("n_odd"), blocks(F.col("n")).alias("n_all"))
     m = m.join(per, "key")
-    every = m.select("key", "rep", "comp", _slots("n_all", 2).alias("j"), _each("n_odd").alias("i"), F.lit(0).alias("side"))
-    odd = m.where("comp <> top").select("key", "rep", "comp", _each("n_all").alias("j"), _slots("n_odd", 1).alias("i"), F.lit(1).alias("side"))
-    tiles = every.unionByName(odd).join(reps.select("rep", "sig"), "rep").select("key", "i", "j", "side", "rep", "comp", "sig")
+    every = m.select("key", "rep", "comp", "sig", _slots("n_all", 2).alias("j"), _each("n_odd").alias("i"), F.lit(0).alias("side"))
+    odd = m.where("comp <> top").select("key", "rep", "comp", "sig", _each("n_all").alias("j"), _slots("n_odd", 1).alias("i"), F.lit(1).alias("side"))
+    tiles = every.unionByName(odd).select("key", "i", "j", "side", "rep", "comp", "sig")
     return _forests(tiles, ("key", "i", "j"), _near_signatures)
 
 
@@ -293,14 +293,14 @@ def clusters(docs: DataFrame) -> DataFrame:
     buckets = cut(k.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi"))
     members = k.join(buckets.where("n > 2").select("key"), "key")
     degree = members.groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
-    members = cut(members.join(degree, "rep"))
+    members = cut(members.join(reps.join(degree, "rep"), "rep"))
     centre = members.groupBy("key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("centre"))
     near = members.join(centre, "key").where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
     star = near.unionByName(buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))).distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text")
     links = cut(confirmed(_distance_ok(star, reps), texts))
     comps = cut(components(links))
-    forests = cut(_candidates(members.select("key", "rep"), reps, comps))
+    forests = cut(_candidates(members.select("key", "rep", "sig"), comps))
     if forests.take(1):
         links = cut(links.unionByName(_within_families(links, forests, comps, texts)))
     comps = components(links)
