@@ -120,18 +120,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([*(batch.column(c).slice(a, b - a) for c in ("quality", "h", "m_source", "m_lang", "m_size")), pa.array(rows, pa.binary())], names=["quality", "h", "m_source", "m_lang", "m_size", "x"])
 
 
-def _sample(rows: DataFrame, n: int) -> list:
-    """The n rows with the smallest hash. A top-n of ids first; only those rows' texts are read on."""
-    ids = rows.select("h", "doc_id").orderBy("h", "doc_id").limit(n)
-    got = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
+def _sample(docs: DataFrame, ids: DataFrame, n: int) -> list:
+    """The n ids with the smallest hash (doc_id, h, quality), then those documents' features: their texts alone are read on, and none moves."""
+    chosen = ids.orderBy("h", "doc_id").limit(n).dropDuplicates(["doc_id"])
+    got = docs.select("doc_id", "text", *metadata_columns()).join(F.broadcast(chosen), "doc_id")  # n short rows
     return got.mapInArrow(_features, "quality int, h bigint, m_source int, m_lang int, m_size double, x binary").orderBy("h", "x").limit(n).collect()
 
 
 def cotrain(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED, rounds: int = ROUNDS) -> dict | None:
     tags = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    rows = docs.select("doc_id", "text", *metadata_columns()).withColumn("h", F.xxhash64("doc_id")).where("doc_id is not null")
-    rows = rows.join(tags, "doc_id", "left")
-    got = _sample(rows.where("quality is not null"), labelled), _sample(rows.where("quality is null"), unlabelled)
+    ids = docs.select("doc_id").where("doc_id is not null").withColumn("h", F.xxhash64("doc_id")).join(tags, "doc_id", "left")
+    got = _sample(docs, ids.where("quality is not null"), labelled), _sample(docs, ids.where("quality is null"), unlabelled)
 
     def matrices(part: list) -> tuple[np.ndarray, np.ndarray]:
         x = np.array([np.frombuffer(r["x"], np.float32) for r in part]).reshape(len(part), N_STATS + WORD_BUCKETS)
