@@ -67,11 +67,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep_id is null where only rows without doc_id hold the longest text.
     """
     null_id = F.lit(NULL_ID_VALUE).cast("bigint")
-    best = cut(winners(docs, id_col, text_col, salts))
+    best = winners(docs, id_col, text_col, salts)
     # winners() compared full contents: a digest with one winner stands for one content. Only digests
-    # with several (a collision) need the content again.
-    light = best.groupBy("digest").agg(
-        F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"), F.count(F.lit(1)).alias("contents")
+    # with several (a collision) need the content again, so contents are not kept.
+    light = cut(
+        best.groupBy("digest").agg(
+            F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"), F.count(F.lit(1)).alias("contents")
+        )
     )
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
@@ -81,7 +83,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.xxhash64(text).alias("text_hash"),
     ).withColumn("digest", F.sha2("norm", 256))
     cols = ["doc_id", "digest", "n", "text_hash"]
-    light = cut(light)
     out = rows.select(*cols).join(light.where("contents = 1"), "digest").select(*cols, "keep_id", "group_size")
     clash = light.where("contents > 1").select("digest")
     if clash.take(1):
@@ -89,9 +90,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         out = out.unionByName(several.select(*out.columns))
     # the winning doc_id more than once in a group: the longest text's row stays, one of equal rows
     w = Window.partitionBy("doc_id", "digest").orderBy(F.desc("n"), "text_hash")
-    own = out.where("doc_id = keep_id").withColumn("kept", F.row_number().over(w) == 1)
-    rest = out.where("doc_id <> keep_id").withColumn("kept", F.lit(False))
-    return own.unionByName(rest).select(
+    return out.withColumn("kept", (F.col("doc_id") == F.col("keep_id")) & (F.row_number().over(w) == 1)).select(
         F.nullif("doc_id", null_id).alias("doc_id"),
         F.nullif("keep_id", null_id).alias("keep_id"),
         F.col("group_size").cast("bigint").alias("group_size"),
