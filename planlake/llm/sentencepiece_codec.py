@@ -2,7 +2,7 @@
 
 Each task takes the distinct marked words of an Arrow batch that it does not know yet, sorts them, and walks their
 trie depth-first: going from one sorted word to the next keeps the forward states of the common prefix and adds
-the new letters only. Nothing is shuffled, and a task remembers a bounded number of words.
+the new letters only. Nothing is shuffled, and a worker remembers a bounded number of words.
 
 The model at hand is a BPE model, for which the highest sum of piece scores would not be the library's
 segmentation. The forward pass therefore scores transitions: a piece may follow another if BPE leaves the two apart
@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from planlake.llm.common import table
 
 MARK = "▁"
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 
@@ -52,7 +54,12 @@ class Codec:
         self.byte_id = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.id_of):
             raise ValueError("the model has pieces that go on over a word's end")
-        self.longest = max(map(len, self.id_of), default=1)
+        # lengths of the pieces of three letters and more by their last three letters, longest first
+        ends: dict[str, set[int]] = {}
+        for p in self.id_of:
+            if len(p) >= 3:
+                ends.setdefault(p[-3:], set()).add(len(p))
+        self.lengths = {k: (*sorted(v, reverse=True), 2, 1) for k, v in ends.items()}
         self.bytes_of = [b""] * n
         for p, i in self.id_of.items():
             self.bytes_of[i] = p.replace(MARK, " ").encode()
@@ -61,6 +68,7 @@ class Codec:
         self.apart: dict[tuple[str, str], bool] = {}
         self.makes: dict[str, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
         """BPE on a short list of symbols: the best-scored neighbours first, the leftmost of equals."""
@@ -91,7 +99,8 @@ class Codec:
 
     def learn(self, words: list[str]) -> None:
         """Forward states along the sorted words, prefix by prefix."""
-        id_of, longest = self.id_of, self.longest
+        id_of, lengths, known = self.id_of, self.lengths, self.known
+        stands, apart = self.makes, self.apart
         last: list[tuple[str, int]] = [("", -1)]  # at each length: the last piece (empty: an unknown character) and where it starts
         before = ""
         for word in sorted(words):
@@ -103,11 +112,16 @@ class Codec:
             del last[same + 1 :]
             for end in range(same + 1, len(word) + 1):
                 state = None
-                for start in range(max(0, end - longest), end):
+                for n in lengths.get(word[end - 3 : end], (2, 1)) if end > 2 else (2, 1):
+                    if n > end:
+                        continue
+                    start = end - n
                     piece = word[start:end]
-                    if piece in id_of and (len(piece) == 1 or self.may_stand(piece)) and (not last[start][0] or self.may_follow(last[start][0], piece)):
-                        state = (piece, start)
-                        break
+                    if piece in id_of:
+                        left = last[start][0]
+                        if (n == 1 or (stands[piece] if piece in stands else self.may_stand(piece))) and (not left or (apart[left, piece] if (left, piece) in apart else self.may_follow(left, piece))):
+                            state = (piece, start)
+                            break
                 last.append(state or ("", end - 1))
             ids: list[int] = []
             end = len(word)
@@ -118,33 +132,46 @@ class Codec:
                 else:
                     ids += [self.byte_id[b] for b in reversed(word[start:end].encode())]
                 end = start
-            self.known[word] = np.array(ids[::-1], "<u4").tobytes()
+            known[word] = array("I", ids[::-1]).tobytes()
             before = word
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         split = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        fresh = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = list({w for words in split for w in words})
-        self.learn(fresh)
-        known = self.known
-        return [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
+        words = set(chain.from_iterable(split))
+        fresh = words.difference(self.known)
+        if len(self.known) + len(fresh) > REMEMBERED // 2:
+            self.known, self.old = {}, self.known
+            fresh = words
+        again = [w for w in fresh if w in self.old]
+        self.known.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        self.learn(list(fresh.difference(again)))
+        known = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(known, w)), "<u4") for w in split]
 
     def decode(self, ids: Iterable[int]) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
+_codecs: dict[str, Codec] = {}
+
+
+def codec_of(path: str) -> Codec:
+    """A worker keeps its codec, and what that has learnt, for its next tasks."""
+    if path not in _codecs:
+        _codecs[path] = Codec(path)
+    return _codecs[path]
+
+
 def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids."""
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
                 ids = codec.encode(part.column(1).to_pylist())
                 yield pa.record_batch([part.column(0), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -156,10 +183,10 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
                 ids = [x.values.to_numpy() for x in part.column(1)]
                 cols = [pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([codec.decode(x.tolist()) for x in ids], pa.string())]
                 yield pa.record_batch([part.column(0), *cols], names=["doc_id", "n_tokens", "ids_crc32", "text"])
