@@ -36,7 +36,7 @@ from planlake.llm.common import as_int64, cut, mix, shielded, table, text_slices
 
 WINDOW = 35
 GRAM = 8
-HOT_PIECES = 500
+HOT_PIECES = 2000
 SHARD_WORDS = 40_000
 #: Row ids that are broadcast to keep other texts out of a shuffle; beyond that the texts are shuffled.
 BROADCAST_IDS = 2_000_000
