@@ -67,3 +67,41 @@ def test_quality(spark):
     assert quality.score(docs.limit(0), model).count() == 0
     assert quality.cotrain(docs, tags.limit(0)) is None
     assert {r["score"] for r in quality.score(docs, None).collect()} == {0.5}
+
+
+def _pages(spark, rows):
+    docs = spark.createDataFrame([(i, text, "en", source, len(text)) for i, text, source in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return docs
+
+
+def test_all_unlabelled_documents_can_teach(spark, monkeypatch):
+    """Each row of a large pool counts: the documents that bring in a new source are found wherever their hashes fall."""
+    rng = random.Random(9)
+    good, bad = ["plan", "result", "useful", "idea"], ["spam", "win", "cash", "click"]
+    rows = [(i, " ".join(rng.choice(good if i % 2 else bad) for _ in range(12)), "s1" if i % 2 else "s2") for i in range(7600)]
+    tags = spark.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    sizes = []
+    bound = quality._bound
+    monkeypatch.setattr(quality, "_bound", lambda counts, n: sizes.append((int(counts.sum()), n)) or bound(counts, n))
+    assert quality.cotrain(_pages(spark, rows), tags, rounds=1) is not None
+    assert sizes[0][0] + sizes[1][0] == 7500  # view 0 is sure of every unlabelled document
+    assert sizes[0][1] + sizes[1][1] in (374, 375)
+
+
+def test_one_id_of_many_rows_does_not_fill_the_sample(spark):
+    first = min(range(60), key=lambda i: spark.range(i, i + 1).select(F.xxhash64("id")).first()[0])
+    rows = [(i, "plan result" if i % 2 else "spam cash", "s1") for i in range(60)] + [(first, f"copy {k}", "s1") for k in range(300)]
+    tags = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert quality.cotrain(_pages(spark, rows), tags, labelled=40, rounds=1) is not None
+
+
+def test_pseudo_labels_follow_bounds():
+    views = np.linspace(-3, 3, 601)[:, None], np.zeros((601, 1))
+    one = quality._scaled(np.zeros(1), np.ones(1), np.array([1.0, 0.0]))
+    none = quality._scaled(np.zeros(1), np.ones(1))
+    h = np.arange(601, dtype=np.uint64)
+    s = one.logit(views[0])
+    low = quality._bound(np.bincount(quality._bins(s[s < -1]), minlength=quality.BINS), 50)
+    to_0, to_1 = quality.pseudo_labels(views, h, [([one, none], [(low, (quality.BINS, 0.0)), ((0, 0.0), (0, 0.0))])])
+    assert (to_0 == -1).all() and set(np.flatnonzero(to_1 == 1)) == set(np.flatnonzero(s > 1))
+    assert abs((to_1 == 0).sum() - 50) <= 4 and (to_1[:40] == 0).all() and (to_1[60:] != 0).all()
