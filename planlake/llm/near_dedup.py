@@ -1,6 +1,7 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
-A document's set holds its distinct 5-word shingles; two documents are linked if 100 * |A & B| >= 85 * |A | B|.
+A document's set holds its distinct 5-word shingles; two documents are linked if 100 * |A & B| >= PERCENT * |A | B|.
+clusters() takes another percentage, with a signature-distance threshold and chunks to match.
 
 1. Documents with the same set collapse into one representative (a 128-bit digest of the sorted set).
 2. A signature has SYMBOLS minhashes of 16 bits. Of a pair at similarity 0.85 each symbol differs with probability
@@ -27,6 +28,7 @@ differ, each row follows the set of its own text. Extra columns are ignored; an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from hashlib import blake2b
 
 import numpy as np
@@ -49,9 +51,9 @@ _A = _rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint6
 _B = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
 
 
-def chunk_bounds() -> list[tuple[int, int]]:
+def chunk_bounds(chunks: int = CHUNKS) -> list[tuple[int, int]]:
     """First symbol and number of symbols of each chunk."""
-    cuts = [SYMBOLS * i // CHUNKS for i in range(CHUNKS + 1)]
+    cuts = [SYMBOLS * i // chunks for i in range(chunks + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
@@ -104,10 +106,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column(0).slice(a, b - a), rows], names=["rep", "shingles"])
 
 
-def keys(reps: DataFrame) -> DataFrame:
+def keys(reps: DataFrame, chunks: int = CHUNKS) -> DataFrame:
     """key, rep: one row for each chunk and each of its symbols left out."""
     parts = []
-    for c, (at, n) in enumerate(chunk_bounds()):
+    for c, (at, n) in enumerate(chunk_bounds(chunks)):
         for out in range(n):
             a = F.substring("sig", 2 * at + 1, 2 * out)
             b = F.substring("sig", 2 * (at + out + 1) + 1, 2 * (n - out - 1))
@@ -115,8 +117,8 @@ def keys(reps: DataFrame) -> DataFrame:
     return reps.select(F.explode(F.array(*parts)).alias("key"), "rep")
 
 
-def _distance_ok(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs whose signatures differ in at most ERRORS symbols."""
+def _distance_ok(pairs: DataFrame, reps: DataFrame, errors: int) -> DataFrame:
+    """The pairs whose signatures differ in at most `errors` symbols."""
     s = reps.select("rep", "sig")
     both = pairs.join(s.withColumnsRenamed({"rep": "a", "sig": "sa"}), "a").join(s.withColumnsRenamed({"rep": "b", "sig": "sb"}), "b")
 
@@ -125,14 +127,14 @@ def _distance_ok(pairs: DataFrame, reps: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), ">u2").reshape(-1, SYMBOLS) for k in (2, 3))
-            near = (x != y).sum(1) <= ERRORS
+            near = (x != y).sum(1) <= errors
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs that reach PERCENT on full sets. texts: rep, text. Only texts that occur in a pair are read in full."""
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs that reach `percent` on full sets. texts: rep, text. Only texts that occur in a pair are read in full."""
     pairs = cut(pairs)
     named = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     sets = cut(texts.join(named, "rep", "left_semi").select("rep", "text").mapInArrow(_sets, "rep bigint, shingles array<bigint>"))
@@ -143,10 +145,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             ok = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 x, y = x.values.to_numpy(), y.values.to_numpy()
-                if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     continue
                 both_n = len(np.intersect1d(x, y, assume_unique=True))
-                ok[i] = 100 * both_n >= PERCENT * (len(x) + len(y) - both_n)
+                ok[i] = 100 * both_n >= percent * (len(x) + len(y) - both_n)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
@@ -217,12 +219,12 @@ def _forests(tiles: DataFrame, key: tuple[str, ...], near) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint").where("a < b").distinct()
 
 
-def _near_signatures(x: pa.Table, y: pa.Table) -> np.ndarray:
+def _near_signatures(x: pa.Table, y: pa.Table, errors: int) -> np.ndarray:
     x, y = (np.frombuffer(b"".join(t.column("sig").to_pylist()), ">u2").reshape(-1, SYMBOLS) for t in (x, y))
-    return np.array([(y != row).sum(1) <= ERRORS for row in x])
+    return np.array([(y != row).sum(1) <= errors for row in x])
 
 
-def _linked_sets(x: pa.Table, y: pa.Table) -> np.ndarray:
+def _linked_sets(x: pa.Table, y: pa.Table, percent: int) -> np.ndarray:
     sets = [[v.values.to_numpy() for v in t.column("shingles")] for t in (x, y)]
     size = [np.array([len(v) for v in s]) for s in sets]
     flat = [np.concatenate(s) for s in sets]
@@ -243,7 +245,7 @@ def _linked_sets(x: pa.Table, y: pa.Table) -> np.ndarray:
             part.append(m)
         shared += part[0] @ part[1].T
     both = shared.astype(np.int64)
-    return 100 * both >= PERCENT * (size[0][:, None] + size[1][None, :] - both)
+    return 100 * both >= percent * (size[0][:, None] + size[1][None, :] - both)
 
 
 def _slots(n: str, seed: int):
@@ -254,7 +256,7 @@ def _each(n: str):
     return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
 
-def _candidates(members: DataFrame, comps: DataFrame) -> DataFrame:
+def _candidates(members: DataFrame, comps: DataFrame, errors: int) -> DataFrame:
     """Forests of the pairs under the distance threshold that share a bucket and lie in different components. members: key, rep, sig."""
     m = cut(_labelled(members, comps))
     per = m.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
@@ -265,10 +267,10 @@ def _candidates(members: DataFrame, comps: DataFrame) -> DataFrame:
     every = m.select("key", "rep", "comp", "sig", _slots("n_all", 2).alias("j"), _each("n_odd").alias("i"), F.lit(0).alias("side"))
     odd = m.where("comp <> top").select("key", "rep", "comp", "sig", _each("n_all").alias("j"), _slots("n_odd", 1).alias("i"), F.lit(1).alias("side"))
     tiles = every.unionByName(odd).select("key", "i", "j", "side", "rep", "comp", "sig")
-    return _forests(tiles, ("key", "i", "j"), _near_signatures)
+    return _forests(tiles, ("key", "i", "j"), partial(_near_signatures, errors=errors))
 
 
-def _within_families(links: DataFrame, forests: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
+def _within_families(links: DataFrame, forests: DataFrame, comps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Forests of the links on full sets between different components of a family."""
     family = components(links.unionByName(forests)).select(F.col("node").alias("rep"), F.col("component").alias("family"))
     m = cut(_labelled(family, comps))
@@ -279,17 +281,23 @@ def _within_families(links: DataFrame, forests: DataFrame, comps: DataFrame, tex
     m = m.join(cut(sets), "rep")
     a = m.select("family", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"), F.lit(1).alias("side"), "rep", "comp", "shingles")
     b = m.select("family", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.lit(0).alias("side"), "rep", "comp", "shingles")
-    return _forests(a.unionByName(b), ("family", "i", "j"), _linked_sets)
+    return _forests(a.unionByName(b), ("family", "i", "j"), partial(_linked_sets, percent=percent))
 
 
-def clusters(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, n_shingles, component_id, kept; one row for each input row."""
+def clusters(docs: DataFrame, percent: int = PERCENT, errors: int = ERRORS, chunks: int = CHUNKS) -> DataFrame:
+    """docs: doc_id, text. Returns doc_id, n_shingles, component_id, kept; one row for each input row.
+
+    Documents are linked from `percent` on. More than `errors` differing symbols must be improbable at that similarity, and
+    errors // chunks may be 1 at most, or keys miss pairs under the threshold.
+    """
+    if errors >= 2 * chunks:
+        raise ValueError(f"{chunks} chunks do not cover {errors} errors")
     signed = cut(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_signatures, "doc_id bigint, n_shingles bigint, digest binary, sig binary"))
     full = signed.where("n_shingles > 0 and doc_id is not null")
     # equal sets: every row is linked with the smallest doc_id of its digest; only that one goes on
     heads = cut(full.groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
     reps = heads.select("rep", "sig")
-    k = keys(reps)
+    k = keys(reps, chunks)
     buckets = cut(k.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi"))
     members = k.join(buckets.where("n > 2").select("key"), "key")
     degree = members.groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
@@ -298,11 +306,11 @@ def clusters(docs: DataFrame) -> DataFrame:
     near = members.join(centre, "key").where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
     star = near.unionByName(buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))).distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text")
-    links = cut(confirmed(_distance_ok(star, reps), texts))
+    links = cut(confirmed(_distance_ok(star, reps, errors), texts, percent))
     comps = cut(components(links))
-    forests = cut(_candidates(members.select("key", "rep", "sig"), comps))
+    forests = cut(_candidates(members.select("key", "rep", "sig"), comps, errors))
     if forests.take(1):
-        links = cut(links.unionByName(_within_families(links, forests, comps, texts)))
+        links = cut(links.unionByName(_within_families(links, forests, comps, texts, percent)))
     comps = components(links)
     final = _labelled(heads.select("n_shingles", "digest", "rep"), comps).select("n_shingles", "digest", "comp")
     out = signed.select("doc_id", "n_shingles", "digest").join(final, ["n_shingles", "digest"], "left")

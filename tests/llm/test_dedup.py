@@ -135,3 +135,16 @@ def test_exact_edges(spark):
         [("5", "-3", 5, False), ("5", "-3", 5, False), ("4", "-3", 5, False), ("None", "-3", 5, False), ("-3", "-3", 5, True)]
         + [("6", "6", 2, True), ("7", "6", 2, False), ("None", "None", 1, True), ("8", "8", 2, True), ("8", "8", 2, False)]
     )
+
+
+def test_near_copies_from_80_percent_on(spark):
+    """Texts of 196 shingles with 46 or 52 more: similarities of 0.810 and 0.790. At 0.80, 29 errors are exceeded with probability 1.2e-6."""
+    w, rows = [f"w{i}" for i in range(200)], []
+    for n in range(40):
+        rows += [(4 * n, " ".join(f"{n}_{x}" for x in w)), (4 * n + 1, " ".join([*(f"{n}_{x}" for x in w), *(f"x{n}_{i}" for i in range(46))]))]
+        rows += [(4 * n + 2, " ".join(f"u{n}_{i}" for i in range(200))), (4 * n + 3, " ".join(f"u{n}_{i}" for i in range(252)))]
+    got = near_dedup.clusters(frame(spark, rows), percent=80, errors=29, chunks=15).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.near(rows, percent=80)
+    assert {r["doc_id"] for r in got if r["kept"]} == {i for i, _ in rows if i % 4 != 1}
+    with pytest.raises(ValueError):
+        near_dedup.clusters(frame(spark, rows), percent=80, errors=29)
