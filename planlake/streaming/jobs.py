@@ -77,7 +77,20 @@ def run_limiter(runs: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a stream over what is there now and gives its result table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs a stream over what is there now and gives its result table, which executors write to the shared folder.
+
+    Each batch has a folder of its own: in append mode all of them make up the result, in complete mode the last one is it.
+    """
+    spark = stream.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/planlake-checkpoints"
+    path, done = f"{base.rstrip('/')}/{name}", []
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch-{epoch}")
+        done.append(epoch)
+
+    q = stream.writeStream.foreachBatch(keep).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", path + "-log").start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/batch-{'*' if mode == 'append' else max(done)}")

@@ -10,6 +10,7 @@ from planlake.operators import corpus as cp
 from planlake.operators import eventlog as ev
 from planlake.operators import merge as mg
 from planlake.operators import metrics as m
+from planlake.streaming import jobs
 
 
 def one(spark, column, **values):
@@ -199,3 +200,15 @@ def test_near_duplicates_match_brute_force(spark):
     words = {i: (b, set(t.split())) for i, b, t in rows}
     want = {(i, j) for i, (a, x) in words.items() for j, (b, y) in words.items() if i != j and a == b and len(x & y) / len(x | y) >= 0.8}
     assert got == want
+
+
+@pytest.mark.parametrize("mode", ["append", "complete"])
+def test_streams_leave_results_in_the_shared_folder(spark, tmp_path, mode):
+    """Files of executors, not a table that the driver holds; a complete result is that of the last batch."""
+    for k in range(2):
+        spark.createDataFrame([(i, k) for i in range(10)], "n long, k long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rows = spark.readStream.schema("n long, k long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = jobs.drained(rows if mode == "append" else rows.groupBy("n").count(), f"t_{mode}_{tmp_path.name}", mode)
+    assert out.inputFiles() and all(spark.conf.get("spark.checkpoint.dir").removeprefix("file://") in f for f in out.inputFiles())
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == sorted([(i, k) for i in range(10) for k in range(2)] if mode == "append" else [(i, 2) for i in range(10)])
