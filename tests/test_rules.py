@@ -10,6 +10,7 @@ from planlake.operators import corpus as cp
 from planlake.operators import eventlog as ev
 from planlake.operators import merge as mg
 from planlake.operators import metrics as m
+from planlake.plans import registry
 from planlake.streaming import jobs
 
 
@@ -212,3 +213,13 @@ def test_streams_leave_results_in_the_shared_folder(spark, tmp_path, mode):
     assert out.inputFiles() and all(spark.conf.get("spark.checkpoint.dir").removeprefix("file://") in f for f in out.inputFiles())
     got = sorted(tuple(r) for r in out.collect())
     assert got == sorted([(i, k) for i in range(10) for k in range(2)] if mode == "append" else [(i, 2) for i in range(10)])
+
+
+def test_whole_bodies_are_read(spark, tmp_path):
+    """A sentence in the middle of a note is redacted, gives its signal and is counted."""
+    text = "Intro\nThe sync job is failing with a crash error.\n- Write to bo@example.org\nEnd"
+    spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    assert ("The sync job is failing with a crash error.", "BUG") in {(r["sentence"], r["signal"]) for r in run("c03_signals_whole")}
+    assert len(run("t06_redaction_whole")) == 8 and len(run("t06_redaction")) == 3
+    assert not any("bo@example.org" in r["redacted"] for r in run("t06_redaction_whole"))
