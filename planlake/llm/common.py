@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -21,22 +24,79 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders made since the innermost scratch() began; None outside of any.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that executors and driver share. Its own setting only where the session has none (tests)."""
+    """A new folder that executors and driver share. A local one only where the session has no setting and no cluster (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "planlake-checkpoints")
     return f"{base.rstrip('/')}/planlake-{uuid.uuid4().hex}"
 
 
+def removed(spark: SparkSession, paths: Iterable[str]) -> None:
+    for p in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there, and lost executors cost no rework."""
     spark = df.sparkSession
     path = scratch_dir(spark)
+    made = _made.get()
+    if made is not None:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is cut within is removed at the end, so nothing that reads it may be used afterwards."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        made = _made.get()
+        _made.reset(token)
+        removed(spark, made)
+
+
+def settled(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A query whose result is written to the shared folder, and whose scratch tables are gone when it returns."""
+
+    @wraps(build)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        with scratch(spark):
+            out = build(spark, *args)
+            path = scratch_dir(spark)
+            out.write.parquet(path)
+        return spark.read.schema(out.schema).parquet(path)
+
+    return run
+
+
+#: A key with at least 1 / HOT_SHARE of all rows is hot; there can be no more than HOT_SHARE of them.
+HOT_SHARE = 1000
+
+
+def join_on_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row for each key and in n how many rows of left hold it; total rows in all.
+
+    Rows of hot keys stay where they are: the right rows of hot keys, HOT_SHARE at most, are sent to all tasks. The others
+    shuffle by key. left is read twice and should be a table.
+    """
+    hot = F.col(n) * HOT_SHARE >= total
+    top = F.broadcast(right.where(hot))  # at most HOT_SHARE rows
+    rest = left.join(F.broadcast(right.where(hot).select(*keys)), keys, "left_anti")
+    return left.join(top, keys, how).unionByName(rest.join(right.where(~hot), keys, how))
+
+
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = _BYTE.copy()

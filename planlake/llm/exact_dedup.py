@@ -5,6 +5,8 @@ never taken as equal because of a digest alone: within each input partition (the
 aggregation), per salted digest group, and over the salt winners. Hot groups shrink to one row per
 partition before the first shuffle and to one row per salt before the second.
 
+The winners then go back to their rows: those of hot digests to all tasks, the others by digest.
+
 Null text counts as empty. Equal texts: identical once white space is deleted. Of a group stays the row
 with the most code points, then the smallest doc_id (a null one last). Repeated rows stay rows of their own,
 one of which is kept. Extra columns are ignored; an empty table gives an empty result.
@@ -15,14 +17,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from planlake.llm.common import WS_CHARS, cut, table
+from planlake.llm.common import WS_CHARS, cut, join_on_counted, settled, table
 
 SALTS = 8
-#: Stands for a null doc_id inside the job: it sorts last.
-NULL_ID_VALUE = 2**63 - 1
-#: Longest text first, then smallest id, as one number: fixed width keeps the aggregation in hash maps.
+#: Longest text first, then smallest id, a null id last, as one number: fixed width keeps the aggregation in hash maps.
 _ORDER = "decimal(38,0)"
-_ID_SPAN = "18446744073709551616"
+_ID_SPAN = "36893488147419103232"  # 2**65: one room for each id, and 0 for none
+_TOP_ID = "9223372036854775807"
 
 
 def normalised(text):
@@ -30,14 +31,13 @@ def normalised(text):
 
 
 def _order_key(n_chars, doc_id):
-    room = F.lit("9223372036854775807").cast("decimal(20,0)") - F.coalesce(doc_id.cast("bigint"), F.lit(NULL_ID_VALUE))
-    return (n_chars.cast("decimal(10,0)") * F.lit(_ID_SPAN).cast("decimal(20,0)") + room).cast(_ORDER)
+    room = F.lit(_TOP_ID).cast("decimal(20,0)") - doc_id.cast("bigint").cast("decimal(20,0)") + F.lit(1)
+    return (n_chars.cast("decimal(10,0)") * F.lit(_ID_SPAN).cast("decimal(20,0)") + F.coalesce(room, F.lit(0))).cast(_ORDER)
 
 
 def _id_of(key):
-    span = F.lit(_ID_SPAN).cast("decimal(20,0)")
-    # room lies in [0, 2**64): the remainder gives it back
-    return (F.lit("9223372036854775807").cast("decimal(20,0)") - (key % span)).cast("bigint")
+    room = key % F.lit(_ID_SPAN).cast("decimal(20,0)")
+    return F.when(room > 0, (F.lit(_TOP_ID).cast("decimal(20,0)") - room + F.lit(1)).cast("bigint"))
 
 
 def winners(docs: DataFrame, id_col: str, text_col: str, salts: int = SALTS) -> DataFrame:
@@ -66,7 +66,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     keep_id is null where only rows without doc_id hold the longest text.
     """
-    null_id = F.lit(NULL_ID_VALUE).cast("bigint")
     best = winners(docs, id_col, text_col, salts)
     # winners() compared full contents: a digest with one winner stands for one content. Only digests
     # with several (a collision) need the content again, so contents are not kept.
@@ -77,28 +76,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.coalesce(F.col(id_col).cast("bigint"), null_id).alias("doc_id"),
+        F.col(id_col).cast("bigint").alias("doc_id"),
         normalised(F.col(text_col)).alias("norm"),
         F.char_length(text).alias("n"),
         F.xxhash64(text).alias("text_hash"),
     ).withColumn("digest", F.sha2("norm", 256))
     cols = ["doc_id", "digest", "n", "text_hash"]
-    out = rows.select(*cols).join(light.where("contents = 1"), "digest").select(*cols, "keep_id", "group_size")
+    small = cut(rows.select(*cols))
+    single = light.where("contents = 1").drop("contents")
+    out = join_on_counted(small, single, ["digest"], "group_size", small.count()).select(*cols, "keep_id", "group_size")
     clash = light.where("contents > 1").select("digest")
     if clash.take(1):
         several = rows.join(clash, "digest", "left_semi").join(best, ["digest", "norm"])
         out = out.unionByName(several.select(*out.columns))
     # the winning doc_id more than once in a group: the longest text's row stays, one of equal rows
+    is_best = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     w = Window.partitionBy("doc_id", "digest").orderBy(F.desc("n"), "text_hash")
-    return out.withColumn("kept", (F.col("doc_id") == F.col("keep_id")) & (F.row_number().over(w) == 1)).select(
-        F.nullif("doc_id", null_id).alias("doc_id"),
-        F.nullif("keep_id", null_id).alias("keep_id"),
-        F.col("group_size").cast("bigint").alias("group_size"),
-        "kept",
-        F.col("digest").alias("text_sha256"),
-    )
+    first = out.where(is_best).withColumn("kept", F.row_number().over(w) == 1)
+    rest = out.where(~is_best).withColumn("kept", F.lit(False))
+    return first.unionByName(rest).select("doc_id", "keep_id", F.col("group_size").cast("bigint").alias("group_size"), "kept", F.col("digest").alias("text_sha256"))
 
 
+@settled
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
