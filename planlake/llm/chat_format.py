@@ -75,7 +75,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2k (chosen) and 2k + 1 (rejected) make pair k."""
     conv = table(spark, sf_dir, "conversations")
     side = F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected")
-    return preference_pairs(conv.select(F.floor(F.col("conv_id") / 2).alias("pair_id"), side.alias("side"), "turn", "role", "text"))
+    return preference_pairs(conv.select(F.shiftright("conv_id", 1).alias("pair_id"), side.alias("side"), "turn", "role", "text"))
 
 
 ORACLE = r"""

@@ -5,8 +5,8 @@ whole text, with A-Z read as a-z and the set kept as bits of a hashed table. Lan
 K_mm = U S U', features are K_nm U S^-1/2, and ridge regression of +1 / -1 targets gives one column of weights
 for each language. Scoring is X Z' A for batches of presence rows X.
 
-The model is fitted on a bounded sample: `per_lang` documents of each language (fewer if there are many languages:
-`max_rows` in all), taken by hash of doc_id. Everything else reads all rows and whole texts.
+The model is fitted on a bounded sample: `per_lang` rows of each language (fewer if there are many languages:
+`max_rows` in all), taken by a hash of doc_id and text; of equal rows each counts. Everything else reads all rows and whole texts.
 
 Null text and text without a letter is `und` with score 0; so is every text if nothing can be learned (an empty
 table, no languages). Score: the winner's share of the clipped one-versus-rest outputs. Equal outputs go to the
@@ -16,7 +16,6 @@ lang_pred or score are not allowed.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +32,8 @@ PER_LANG = 300
 MAX_ROWS = 6000
 RIDGE = 1e-3
 ROWS_AT_ONCE = 64
+SLICE_BITS = 10
 
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
@@ -63,7 +62,8 @@ def presence(buf: np.ndarray, offs: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a character is of a letter category, which str.isalpha() says and \\p{L} does."""
+    return any(map(str.isalpha, text or ""))
 
 
 def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,17 +74,29 @@ def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([langs.slice(a, b - a), pa.array([r.tobytes() for r in rows], pa.binary())], names=["lang", "grams"])
 
 
+def _chosen(train: DataFrame, id_col: str, each: int) -> DataFrame:
+    """lang, text of the `each` rows of a language whose id and text have the smallest hashes.
+
+    A histogram of the hashes gives each language a bound that at least `each` rows stay below, so that the window sorts little
+    more than these and no language is gathered in a task.
+    """
+    h = F.xxhash64(id_col, "text")
+    rows = train.where(F.col(id_col).isNotNull()).select("lang", "text", h.alias("h"), F.shiftrightunsigned(h, 64 - SLICE_BITS).alias("slice"))
+    before = Window.partitionBy("lang").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # of 2**SLICE_BITS counts at most
+    bounds = rows.groupBy("lang", "slice").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    bounds = bounds.where(F.col("before") < each).groupBy("lang").agg(F.max("slice").alias("last")).select(F.col("lang").alias("of"), "last")
+    few = rows.join(bounds, (F.col("lang") == F.col("of")) & (F.col("slice") <= F.col("last")))
+    w = Window.partitionBy("lang").orderBy("h", "text")
+    return few.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= each).select("lang", "text")
+
+
 def fit(train: DataFrame, id_col: str = "doc_id", per_lang: int = PER_LANG, max_rows: int = MAX_ROWS, landmarks: int = LANDMARKS) -> dict:
-    """train: id, text and non-null lang. The fit is small: per_lang rows of 2**BITS bits for each language."""
+    """train: id, text and non-null lang. The fit is small: at most per_lang rows of each language and max_rows in all, of 2**BITS bits."""
     n_langs = train.select(F.count_distinct("lang")).first()[0]
     if not n_langs:
         return {"langs": []}
     each = max(1, min(per_lang, max_rows // n_langs))
-    w = Window.partitionBy("lang").orderBy(F.xxhash64(id_col), id_col)
-    chosen = train.select(id_col, "lang").where(F.col(id_col).isNotNull()).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= each)
-    chosen = chosen.select(F.col(id_col).alias("chosen_id"), F.col("lang").alias("chosen_lang"), "nth")
-    rows = train.join(F.broadcast(chosen), (F.col(id_col) == F.col("chosen_id")) & (F.col("lang") == F.col("chosen_lang")))  # at most max_rows ids
-    got = rows.select("lang", "text").mapInArrow(_grams_of, "lang string, grams binary").collect()
+    got = _chosen(train, id_col, each).mapInArrow(_grams_of, "lang string, grams binary").collect()
     got = sorted(got, key=lambda r: (r["lang"], bytes(r["grams"])))
     langs = sorted({r["lang"] for r in got})
     if not langs:

@@ -15,14 +15,16 @@ clusters() takes another percentage, with a signature-distance threshold and chu
    outside the bucket's largest component against all members. A block gives a spanning forest of its pairs under the
    threshold, not the pairs. These forests and the links make families: both ends of every untested pair under the threshold
    are in one family.
-6. Families that hold several components are compared on full sets, block by block: products of 0/1 matrices over the
-   blocks' common shingles give all intersection sizes, and a block gives a spanning forest of its links. So no link
+6. Families that hold several components are compared on full sets, block by block, again those outside the family's largest
+   component against all members: products of 0/1 matrices over the blocks' common shingles give all intersection sizes,
+   and a block gives a spanning forest of its links. So no link
    between components is left out, no pairs of a group become rows, and blocks bound what a task holds.
 
 Words are maximal runs of bytes other than white space, A-Z read as a-z. With fewer than five words the whole sequence is one shingle; without words the set is
 empty and the document is linked with nothing. Rows without
 doc_id take part in nothing and get no component. Repeated rows of one doc_id are one document; if their texts
-differ, each row follows the set of its own text. Extra columns are ignored; an empty table gives an empty result.
+differ, the document is linked by each of them, so that its rows share one component and n_shingles is of the row's own text. A set
+is held as 64-bit hashes of its shingles, equal sets are known by a 128-bit digest of these. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planlake.llm.common import as_int64, cut, mix, table, text_slices, window_hashes, word_hashes, word_spans
+from planlake.llm.common import as_int64, cut, mix, settled, table, text_slices, window_hashes, word_hashes, word_spans
 from planlake.llm.components import components
 
 SHINGLE = 5
@@ -45,6 +47,8 @@ SYMBOLS = 64
 ERRORS = 23
 CHUNKS = 12
 BLOCK = 256
+#: A block of full sets holds so many shingles on average, and fewer rows where sets are large.
+BLOCK_SHINGLES = 500_000
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -256,17 +260,26 @@ def _each(n: str):
     return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
 
+def _tiles(m: DataFrame, group: str, size: int) -> DataFrame:
+    """Blocks of the groups of m that hold several components. m: `group`, rep, comp and what is compared.
+
+    A link between two components has an end outside the group's largest one, so members outside it (side 1) are set against
+    all members (side 0): what a group adds to its own rows grows with its members outside the largest component.
+    """
+    per = m.groupBy(group, "comp").agg(F.count(F.lit(1)).alias("n"))
+    per = per.groupBy(group).agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
+    blocks = lambda c: F.ceil(c / size).cast("int")
+    per = per.where("comps > 1").select(group, F.col("top.comp").alias("top"), blocks(F.col("n") - F.col("top.n")).alias("n_odd"), blocks(F.col("n")).alias("n_all"))
+    cols = m.columns
+    m = m.join(per, group)
+    every = m.select(*cols, _slots("n_all", 2).alias("j"), _each("n_odd").alias("i"), F.lit(0).alias("side"))
+    odd = m.where("comp <> top").select(*cols, _each("n_all").alias("j"), _slots("n_odd", 1).alias("i"), F.lit(1).alias("side"))
+    return every.unionByName(odd)
+
+
 def _candidates(members: DataFrame, comps: DataFrame, errors: int) -> DataFrame:
     """Forests of the pairs under the distance threshold that share a bucket and lie in different components. members: key, rep, sig."""
-    m = cut(_labelled(members, comps))
-    per = m.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    per = per.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
-    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-    per = per.where("comps > 1").select("key", F.col("top.comp").alias("top"), blocks(F.col("n") - F.col("top.n")).alias("n_odd"), blocks(F.col("n")).alias("n_all"))
-    m = m.join(per, "key")
-    every = m.select("key", "rep", "comp", "sig", _slots("n_all", 2).alias("j"), _each("n_odd").alias("i"), F.lit(0).alias("side"))
-    odd = m.where("comp <> top").select("key", "rep", "comp", "sig", _each("n_all").alias("j"), _slots("n_odd", 1).alias("i"), F.lit(1).alias("side"))
-    tiles = every.unionByName(odd).select("key", "i", "j", "side", "rep", "comp", "sig")
+    tiles = _tiles(cut(_labelled(members, comps).select("key", "rep", "comp", "sig")), "key", BLOCK)
     return _forests(tiles, ("key", "i", "j"), partial(_near_signatures, errors=errors))
 
 
@@ -274,14 +287,13 @@ def _within_families(links: DataFrame, forests: DataFrame, comps: DataFrame, tex
     """Forests of the links on full sets between different components of a family."""
     family = components(links.unionByName(forests)).select(F.col("node").alias("rep"), F.col("component").alias("family"))
     m = cut(_labelled(family, comps))
-    per = m.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-    per = per.where("x < y").select("family", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    m = m.join(per, "family").withColumn("own", _slots("blocks", 3))
+    several = m.groupBy("family").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("family")
+    m = m.join(several, "family", "left_semi")
     sets = texts.join(m.select("rep"), "rep", "left_semi").select("rep", "text").mapInArrow(_sets, "rep bigint, shingles array<bigint>")
-    m = m.join(cut(sets), "rep")
-    a = m.select("family", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"), F.lit(1).alias("side"), "rep", "comp", "shingles")
-    b = m.select("family", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.lit(0).alias("side"), "rep", "comp", "shingles")
-    return _forests(a.unionByName(b), ("family", "i", "j"), partial(_linked_sets, percent=percent))
+    m = cut(m.join(sets, "rep").select("family", "rep", "comp", "shingles"))
+    width = m.agg(F.coalesce(F.avg(F.size("shingles")), F.lit(1.0))).first()[0]
+    size = int(max(8, min(BLOCK, BLOCK_SHINGLES // max(width, 1))))
+    return _forests(_tiles(m, "family", size), ("family", "i", "j"), partial(_linked_sets, percent=percent))
 
 
 def clusters(docs: DataFrame, percent: int = PERCENT, errors: int = ERRORS, chunks: int = CHUNKS) -> DataFrame:
@@ -318,6 +330,7 @@ def clusters(docs: DataFrame, percent: int = PERCENT, errors: int = ERRORS, chun
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
+@settled
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(table(spark, sf_dir, "documents"))
 

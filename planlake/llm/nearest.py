@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from planlake.llm.common import cut, table
+from planlake.llm.common import cut, settled, table
 
 CANDIDATES = 8192
 QUERIES = 1024
+#: A block's vectors take so many bytes on average; long vectors have fewer to a block.
+BLOCK_BYTES = 1 << 25
 STEP = 2048
 
 
@@ -41,8 +43,9 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
 
 
 def blocks(rows: DataFrame, at_most: int) -> DataFrame:
-    """One row for each block: dim, block, ids and vectors as bytes. `at_most` is the mean size."""
-    n = max(1, -(-rows.count() // at_most))
+    """One row for each block: dim, block, ids and vectors as bytes, `at_most` rows and BLOCK_BYTES on average."""
+    count, width = rows.agg(F.count(F.lit(1)), F.coalesce(F.max("dim"), F.lit(1))).first()
+    n = max(1, -(-count // max(1, min(at_most, BLOCK_BYTES // (8 * width)))))
 
     def build(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -111,9 +114,10 @@ def tile(q_ids: np.ndarray, qv: np.ndarray, c_ids: np.ndarray, cv: np.ndarray, k
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score. One row of each query id is searched for."""
+    """query_id, rank, vec_id, score. Of several vectors with one query id the smallest, component by component, is searched for."""
     cand = cut(blocks(usable(vectors, id_col, vec_col), CANDIDATES))
-    ask = cut(blocks(usable(queries, id_col, vec_col).dropDuplicates(["vec_id"]), QUERIES))
+    one = usable(queries, id_col, vec_col).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    ask = cut(blocks(one, QUERIES))
     spread = cand.select("dim", F.col("block").alias("c_block")).join(ask.select("dim", F.col("block").alias("q_block")), "dim")
     # the table of tiles has no vectors: (candidates / 8192) * (queries / 1024) short rows
     pairs = (
@@ -135,6 +139,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+@settled
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))

@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from planlake.llm.common import cut, table
+from planlake.llm.common import cut, settled, table
 
 SIZE = 4096
 END_ID = 1
-#: Units whose ids a task remembers; beyond that it forgets all and starts again.
+#: Units whose ids a worker remembers, and how long they may be: longer ones are encoded each time.
 REMEMBERED = 800_000
-RANK_BUCKETS = 64
+LONGEST = 64
+#: Pieces of one length that a task ranks, on average.
+RANK_ROWS = 100_000
 CHUNK = 65_536
 
 PIECES = pa.schema(
@@ -120,8 +122,14 @@ class UnitEncoder:
         split = [units(t or "") for t in texts]
         simple = [p is not None for p in split]
         split = [_SPACE.split(t) if p is None else p for p, t in zip(split, texts, strict=True)]
-        known = {kind: self._learnt(set(chain.from_iterable(p for p, s in zip(split, simple, strict=True) if s is kind)), kind) for kind in (True, False)}
-        return [np.frombuffer(b"".join(map(known[s].__getitem__, p)), "<u4") for p, s in zip(split, simple, strict=True)]
+        parts = {kind: set(chain.from_iterable(p for p, s in zip(split, simple, strict=True) if s is kind)) for kind in (True, False)}
+        known = {kind: self._learnt(own, kind) for kind, own in parts.items()}
+        out = [np.frombuffer(b"".join(map(known[s].__getitem__, p)), "<u4") for p, s in zip(split, simple, strict=True)]
+        for kind, own in parts.items():
+            for p in own:
+                if len(p) > LONGEST:
+                    del known[kind][p]
+        return out
 
 
 _encoders: dict[str, UnitEncoder] = {}
@@ -201,16 +209,18 @@ def best_fit_plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int
     return out
 
 
-def ranked(pieces: DataFrame, buckets: int = RANK_BUCKETS) -> DataFrame:
-    """rank: a number from 0 within each length, without a gap."""
-    p = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(buckets)).cast("int"))
+def ranked(pieces: DataFrame, counts: dict[int, int], per_task: int = RANK_ROWS) -> DataFrame:
+    """rank: a number from 0 within each length, without a gap. Lengths are dealt into as many buckets as their counts ask for."""
+    spark = pieces.sparkSession
+    dealt = spark.createDataFrame([(k, -(-n // per_task)) for k, n in counts.items()], "length bigint, buckets bigint")  # a row for each length
+    p = pieces.join(F.broadcast(dealt), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("buckets"))).drop("buckets")
     per = p.groupBy("length", "bucket").count()
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows
+    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for per_task pieces
     per = per.select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     return (
         p.withColumn("nth", F.row_number().over(within))
-        .join(F.broadcast(per), ["length", "bucket"])  # at most size * buckets rows, whatever the input
+        .join(per, ["length", "bucket"])
         .withColumn("rank", F.col("before") + F.col("nth") - 1)
         .drop("bucket", "nth", "before")
     )
@@ -228,7 +238,7 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
         (F.col("seq0") + F.floor(F.col("i") / F.col("each"))).alias("sequence_id"),
         (F.col("place") + F.expr("mod(i, each)") * F.col("length")).alias("offset"),
     )
-    return ranked(pieces).join(slots, ["length", "rank"]).drop("rank")
+    return ranked(pieces, counts).join(slots, ["length", "rank"]).drop("rank")
 
 
 def packed_documents(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, with_ids: bool = False) -> DataFrame:
@@ -237,5 +247,6 @@ def packed_documents(docs: DataFrame, tokenizer: str | None = None, size: int =
     return out.select(*cols, *["ids"] * with_ids)
 
 
+@settled
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))

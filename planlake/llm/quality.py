@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planlake.llm.common import cut, mix, table, text_slices, word_hashes, word_spans
+from planlake.llm.common import cut, mix, settled, table, text_slices, word_hashes, word_spans
 
 LABELLED = 6000
 ROUNDS = 4
@@ -305,6 +305,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, p_content double, p_metadata double, score double")
 
 
+@settled
 def op2_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, cotrain(docs, table(spark, sf_dir, "labels")))

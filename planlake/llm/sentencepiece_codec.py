@@ -33,6 +33,10 @@ from planlake.llm.common import table
 
 MARK = "▁"
 REMEMBERED = 200_000
+#: Longer words are encoded each time instead of being remembered.
+LONGEST = 64
+#: Rows of a batch that are encoded at once.
+ROWS_AT_ONCE = 512
 _WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 
@@ -146,7 +150,11 @@ class Codec:
         self.known.update(zip(again, map(self.old.__getitem__, again), strict=True))
         self.learn(list(fresh.difference(again)))
         known = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(known, w)), "<u4") for w in split]
+        out = [np.frombuffer(b"".join(map(known, w)), "<u4") for w in split]
+        for w in words:
+            if len(w) > LONGEST:
+                del self.known[w]
+        return out
 
     def decode(self, ids: Iterable[int]) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -170,8 +178,8 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path)
         for batch in batches:
-            for a in range(0, batch.num_rows, 2048):
-                part = batch.slice(a, 2048)
+            for a in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(a, ROWS_AT_ONCE)
                 ids = codec.encode(part.column(1).to_pylist())
                 yield pa.record_batch([part.column(0), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -185,8 +193,8 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path)
         for batch in batches:
-            for a in range(0, batch.num_rows, 2048):
-                part = batch.slice(a, 2048)
+            for a in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(a, ROWS_AT_ONCE)
                 ids = [x.values.to_numpy() for x in part.column(1)]
                 cols = [pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([codec.decode(x.tolist()) for x in ids], pa.string())]
                 yield pa.record_batch([part.column(0), *cols], names=["doc_id", "n_tokens", "ids_crc32", "text"])
