@@ -44,14 +44,14 @@ def removed(spark: SparkSession, paths: Iterable[str]) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends there, and lost executors cost no rework."""
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it again: lineage ends there, and lost executors cost no rework. Column `by` makes subfolders."""
     spark = df.sparkSession
     path = scratch_dir(spark)
     made = _made.get()
     if made is not None:
         made.append(path)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,20 +1,26 @@
-"""Substring dedup with suffix automata of reference shards.
+"""Substring dedup with broadcast suffix automata of reference shards.
 
 A window is `window` (35) consecutive words of one document. Every word covered by a window whose word sequence also
 starts anywhere else, in the same document or another, is removed; windows are judged on the input.
 
-1. Sieve. Each window has an anchor: its smallest 8-word hash, the leftmost of equal ones. Equal windows have equal
-   anchors at equal places, so a window can only be repeated if its anchor's hash is. Only anchor hashes are counted
-   over the corpus, about one for twelve words.
-2. Pieces. The consecutive windows of a document that share one repeated anchor form a piece (at most 62 words). Pieces
-   that are equal throughout are counted and go on as one weighted piece.
-3. Reference shards. Pieces are sharded by anchor hash, so all pieces with a common window meet in one shard of
-   bounded size. A shard's pieces build one suffix automaton with the weighted number of occurrences of each
-   state, and are then streamed through it for matching statistics: where the last 35 words are a state
-   that occurs twice or more, the window is repeated. An automaton meets the shard's pieces only: broadcasting all automata to all documents
-   would grow with the square of the corpus.
-4. An anchor with more than HOT_PIECES different pieces (a very common passage in ever new surroundings) would not fit a
-   shard; its windows are counted by their 128-bit hashes instead, with partial aggregation. That path is exact too.
+1. Sieve: what is streamed. Each window has an anchor: its smallest 8-word hash, the leftmost of equal ones. Equal windows
+   have equal anchors at equal places, so a window can only be repeated if its anchor's hash is. Only anchor hashes are
+   counted over the corpus, about one for twelve words. The consecutive windows of a document that share one repeated anchor
+   form a piece (at most 62 words), and equal pieces go on as one weighted piece.
+2. Reference shards. Pieces are dealt by anchor, so all pieces with a common window meet in one shard of bounded size. A
+   group of pieces too large for a shard is split by longer cores: windows that begin 0 to 13 words before the anchor all hold the
+   same 22 words around it if they are equal, those that begin 14 to 27 words before it 22 others; each half is dealt by
+   these words, a half still too large is split again, and after five splits a core is a whole window, which is one piece
+   however often it occurs. Cores that occur once cannot be repeated and go. So a passage in ever new surroundings adds to no shard
+   without bound, and every window is decided in the same way.
+3. A shard's pieces build one suffix automaton with the weighted number of occurrences of each state.
+4. Automata are broadcast in rounds of BROADCAST_BYTES at most, and a round's pieces are streamed through them for matching
+   statistics: where the last 35 words are a state that occurs twice or more, the window is repeated. If that took more than
+   ROUNDS rounds, the same join of pieces with automata is shuffled by shard instead.
+5. The repeated windows of each document make its maximal repeated spans, and their words go.
+
+An automaton meets the pieces of its shard only: sending all automata to all documents would grow with the square of the corpus.
+Pieces are taken as equal by 128-bit hashes, windows by their words.
 
 Null and empty text has no words. Repeated rows repeat each other's windows and both lose them. Rows are told apart by
 doc_id and a hash of the text; a null doc_id is allowed. Extra columns stay, but for those
@@ -25,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +39,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planlake.llm.common import as_int64, cut, mix, shielded, table, text_slices, unshielded, window_hashes, word_hashes, word_spans
+from planlake.llm.common import as_int64, cut, join_on_counted, mix, settled, shielded, table, text_slices, unshielded, window_hashes, word_hashes, word_spans
 
 WINDOW = 35
 GRAM = 8
-HOT_PIECES = 2000
-SHARD_WORDS = 40_000
+SHARD_WORDS = 20_000
+#: Bytes of automata that are broadcast at once, and how often: what is beyond goes by a shuffle.
+BROADCAST_BYTES, ROUNDS = 1 << 26, 16
 #: Row ids that are broadcast to keep other texts out of a shuffle; beyond that the texts are shuffled.
 BROADCAST_IDS = 2_000_000
 SEEN = 500_000
 
 ROW = ["did", "th"]
 PIECE = ["mhash", "p1", "p2"]
+UNIT = ["core", "q1", "q2"]
 
 
 def sliding_argmin(g: np.ndarray, width: int) -> np.ndarray:
@@ -58,8 +67,8 @@ def sliding_argmin(g: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(w: np.ndarray, first: np.ndarray, window: int, gram: int):
-    """text, first window, windows and anchor hash of each run of windows with one anchor."""
-    empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    """text, first window, windows, anchor hash and place of the anchor in the first window, of each run of windows with one anchor."""
+    empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     if len(w) < window:
         return empty
     g = window_hashes(w, gram)
@@ -73,7 +82,7 @@ def anchors(w: np.ndarray, first: np.ndarray, window: int, gram: int):
     new = np.ones(len(ok), bool)
     new[1:] = (a[1:] != a[:-1]) | (text[ok[1:]] != text[ok[:-1]])
     start = np.flatnonzero(new)
-    return text[ok[start]], ok[start], np.diff(np.append(start, len(ok))), g[a[start]]
+    return text[ok[start]], ok[start], np.diff(np.append(start, len(ok))), g[a[start]], a[start] - ok[start]
 
 
 _Q1, _Q2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95)
@@ -98,7 +107,7 @@ def _anchor_counts(window: int, gram: int):
             did, th = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for a, _, buf, offs in text_slices(batch.column(2)):
                 starts, ends, first = word_spans(buf, offs)
-                text, _, _, h = anchors(word_hashes(buf, starts, ends), first, window, gram)
+                text, _, _, h, _ = anchors(word_hashes(buf, starts, ends), first, window, gram)
                 if not len(h):
                     continue
                 order = np.lexsort((h, text))
@@ -122,7 +131,7 @@ def _pieces(window: int, gram: int):
             for a, b, buf, offs in text_slices(batch.column(2)):
                 starts, ends, first = word_spans(buf, offs)
                 w = word_hashes(buf, starts, ends)
-                text, at, n, h = anchors(w, first, window, gram)
+                text, at, n, h, place = anchors(w, first, window, gram)
                 part = lists.slice(a, b - a)
                 wanted = as_int64(h)
                 bounds = np.searchsorted(text, np.arange(b - a + 1))
@@ -131,7 +140,7 @@ def _pieces(window: int, gram: int):
                     x, y = bounds[i], bounds[i + 1]
                     if y > x:
                         keep[x:y] = np.isin(wanted[x:y], part[i].values.to_numpy())
-                text, at, n, wanted = text[keep], at[keep], n[keep], wanted[keep]
+                text, at, n, wanted, place = text[keep], at[keep], n[keep], wanted[keep], place[keep]
                 if not len(at):
                     continue
                 p1, p2 = (as_int64(x) for x in span_hashes(w, at, at + n + window - 1))
@@ -146,8 +155,8 @@ def _pieces(window: int, gram: int):
                         seen.add((x, y))
                         contents.append(b" ".join(raw[starts[k] : ends[k]] for k in range(s, s + m + window - 1)))
                 rows = a + text
-                cols = [did[rows], th[rows], (at - first[text]).astype(np.int32), n.astype(np.int32), wanted, p1, p2]
-                yield pa.record_batch([*(pa.array(c) for c in cols), pa.array(contents, pa.binary())], names=[*ROW, "i0", "n", *PIECE, "content"])
+                cols = [did[rows], th[rows], (at - first[text]).astype(np.int32), n.astype(np.int32), place.astype(np.int32), wanted, p1, p2]
+                yield pa.record_batch([*(pa.array(c) for c in cols), pa.array(contents, pa.binary())], names=[*ROW, "i0", "n", "place", *PIECE, "content"])
 
     return run
 
@@ -203,74 +212,170 @@ class SuffixAutomaton:
             if self.link[v] > 0:
                 self.count[self.link[v]] += self.count[v]
 
-    def repeated(self, seq: list[int], window: int) -> int:
-        """Bit i: seq[i : i + window] occurs twice or more. seq is one of the sequences added."""
-        nxt, link, ln, count = self.next, self.link, self.len, self.count
+    def arrays(self) -> list[bytes]:
+        """Transitions (state and word as one number, and where they lead), links, lengths, and which states occur twice or more."""
+        width = np.fromiter(map(len, self.next), np.int64, len(self.next))
+        words = np.fromiter(chain.from_iterable(self.next), np.int64, int(width.sum()))
+        to = np.fromiter(chain.from_iterable(d.values() for d in self.next), np.int32, len(words))
+        moves = (np.repeat(np.arange(len(width)), width) << 32) | words
+        twice = np.array(self.count) >= 2
+        return [moves.tobytes(), to.tobytes(), np.array(self.link, np.int32).tobytes(), np.array(self.len, np.int32).tobytes(), twice.tobytes()]
+
+
+class Matcher:
+    """A suffix automaton as it was broadcast."""
+
+    def __init__(self, words: bytes, moves: bytes, to: bytes, link: bytes, length: bytes, twice: bytes):
+        self.ids = {w: i for i, w in enumerate(words.split(b" "))}
+        self.moves = dict(zip(np.frombuffer(moves, np.int64).tolist(), np.frombuffer(to, np.int32).tolist(), strict=True))
+        self.link, self.len = np.frombuffer(link, np.int32).tolist(), np.frombuffer(length, np.int32).tolist()
+        self.twice = np.frombuffer(twice, bool).tolist()
+
+    def repeated(self, text: bytes, window: int) -> int:
+        """Bit i: words i to i + window of the text occur twice or more in the shard."""
+        moves, link, ln, twice = self.moves, self.link, self.len, self.twice
         v = size = out = 0
-        for k, c in enumerate(seq):
-            v = nxt[v][c]
-            size = min(size + 1, window)
+        for k, word in enumerate(text.split(b" ")):
+            c = self.ids.get(word, -1)
+            to = moves.get(v << 32 | c) if c >= 0 else None
+            while to is None and v and c >= 0:
+                v = link[v]
+                size = ln[v]
+                to = moves.get(v << 32 | c)
+            if to is None:
+                v = size = 0
+                continue
+            v, size = to, min(size + 1, window)
             while ln[link[v]] >= size:
                 v = link[v]
-            if size == window and count[v] >= 2:
+            if size == window and twice[v]:
                 out |= 1 << (k - window + 1)
         return out
 
 
-def _shard_masks(window: int):
-    def run(pieces: pa.Table) -> pa.Table:
-        ids: dict[bytes, int] = {}
-        seqs = [[ids.setdefault(x, len(ids)) for x in c.split(b" ")] for c in pieces.column("content").to_pylist()]
-        automaton = SuffixAutomaton()
-        for seq, weight in zip(seqs, pieces.column("weight").to_pylist(), strict=True):
-            automaton.add(seq, weight)
-        automaton.close()
-        masks = [automaton.repeated(seq, window) for seq in seqs]
-        return pa.table([*(pieces.column(c) for c in PIECE), pa.array(masks, pa.int64())], names=[*PIECE, "mask"])
+def _automaton(pieces: pa.Table) -> pa.Table:
+    """The automaton of a shard."""
+    ids: dict[bytes, int] = {}
+    seqs = [[ids.setdefault(x, len(ids)) for x in c.split(b" ")] for c in pieces.column("content").to_pylist()]
+    automaton = SuffixAutomaton()
+    for seq, weight in zip(seqs, pieces.column("weight").to_pylist(), strict=True):
+        automaton.add(seq, weight)
+    automaton.close()
+    parts = [b" ".join(ids), *automaton.arrays()]
+    return pa.table([pieces.column("shard").slice(0, 1), *(pa.array([x], pa.binary()) for x in parts)], names=["shard", *AUTOMATON])
+
+
+AUTOMATON = ["words", "moves", "to", "link", "length", "twice"]
+
+
+def _matched(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                matcher = Matcher(*(batch.column(c)[i].as_py() for c in AUTOMATON))
+                units = batch.column("units")[i].values
+                masks = [matcher.repeated(c.as_py(), window) for c in units.field("content")]
+                yield pa.record_batch([*(units.field(c) for c in UNIT), pa.array(masks, pa.int64())], names=[*UNIT, "mask"])
 
     return run
 
 
-def _hot_windows(window: int):
+def _halves(window: int, most: int):
+    """Units of a core whose windows begin low to high words before the anchor become units of two longer cores."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            contents = batch.column(3).cast(pa.large_binary())
+            contents = batch.column("content").cast(pa.large_binary())
             buf = np.frombuffer(contents.buffers()[2], np.uint8)
             offs = np.frombuffer(contents.buffers()[1], np.int64)[contents.offset : contents.offset + len(contents) + 1]
             buf, offs = buf[offs[0] : offs[-1]], offs - offs[0]
             starts, ends, first = word_spans(buf, offs)
-            n = np.diff(first) - window + 1
-            row = np.repeat(np.arange(len(n)), n)
-            j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            at = first[row] + j
-            h1, h2 = span_hashes(word_hashes(buf, starts, ends), at, at + window)
-            take = pa.array(row)
-            yield pa.record_batch([*(batch.column(c).take(take) for c in (0, 1, 2, 4)), pa.array(j.astype(np.int32)), pa.array(as_int64(h1)), pa.array(as_int64(h2))], names=[*PIECE, "weight", "j", "h1", "h2"])
+            w, raw = word_hashes(buf, starts, ends), buf.tobytes()
+            n, place, low, high = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "place", "low", "high"))
+            middle = (low + high) // 2
+            for a, b in ((low, middle), (middle + 1, high)):
+                # the window j words into the unit begins place - j words before the anchor
+                j0, j1 = np.maximum(place - b, 0), np.minimum(place - a, n - 1)
+                row = np.flatnonzero((j0 <= j1) & (low < high))
+                if not len(row):
+                    continue
+                j0, m, a_, b_ = j0[row], (j1 - j0 + 1)[row], a[row], b[row]
+                at, anchor = first[:-1][row] + j0, first[:-1][row] + place[row]
+                q1, q2 = span_hashes(w, at, at + m + window - 1)
+                core, _ = span_hashes(w, anchor - a_, anchor - b_ + window)
+                core = mix(core + (a_ * most + b_).astype(np.uint64))
+                content = [raw[starts[x] : ends[y]] for x, y in zip(at.tolist(), (at + m + window - 2).tolist(), strict=True)]
+                take = pa.array(row)
+                numbers = {"skip": batch.column("skip").to_numpy()[row] + j0, "n": m, "place": place[row] - j0, "low": a_, "high": b_}
+                cols = [*(batch.column(c).take(take) for c in (*PIECE, "weight")), *(pa.array(as_int64(x)) for x in (core, q1, q2)), *(pa.array(x.astype(np.int32)) for x in numbers.values()), pa.array(content, pa.binary())]
+                yield pa.record_batch(cols, names=[*PIECE, "weight", *UNIT, *numbers, "content"])
 
     return run
 
 
-def piece_masks(occ: DataFrame, window: int, hot_pieces: int, shard_words: int) -> DataFrame:
-    """mhash, p1, p2, mask: which windows of a piece are repeated. Pieces without such a window have no row."""
-    weights = cut(occ.groupBy(*PIECE).agg(F.count(F.lit(1)).alias("weight"), F.first("n").alias("n")))
-    groups = weights.groupBy("mhash").agg(F.count(F.lit(1)).alias("pieces"))
-    known = cut(weights.join(groups, "mhash").where("pieces > 1 or weight > 1"))
-    alone = known.where("pieces = 1").select(*PIECE, F.expr("shiftleft(1L, n) - 1").alias("mask"))
-    mixed = known.where("pieces > 1")
-    contents = occ.where("content is not null").select(*PIECE, "content").join(mixed.select(*PIECE, "weight", "pieces"), PIECE).dropDuplicates(PIECE)
-    contents = cut(contents)
-    words = mixed.where(F.col("pieces") <= hot_pieces).agg(F.sum(F.col("n") + window - 1)).first()[0] or 0
+_KINDS = "mhash bigint, p1 bigint, p2 bigint, weight bigint, core bigint, q1 bigint, q2 bigint, skip int, n int, place int, low int, high int, content binary"
+
+
+def _sized(once: DataFrame, shard_words: int, window: int) -> tuple[DataFrame, DataFrame]:
+    """Units whose core occurs twice or more: those of groups that a shard can hold, and the others. once: a row for each content of a core."""
+    groups = once.groupBy("core").agg(F.count(F.lit(1)).alias("units"), F.sum("weight").alias("times"), F.sum(F.col("n") + window - 1).alias("in_core")).where("times > 1")
+    kept = join_on_counted(once, groups, ["core"], "units", once.count()).where("times > 1")
+    fits = (F.col("in_core") <= shard_words) | (F.col("low") == F.col("high"))
+    return kept.where(fits).select(*UNIT, "weight", "n"), kept.where(~fits).select(*UNIT)
+
+
+def unit_masks(units: DataFrame, contents: DataFrame, window: int, shard_words: int, broadcast_bytes: int, rounds: int) -> DataFrame:
+    """core, q1, q2, mask: which windows of a unit are repeated, of those that have any. units: core, q1, q2, weight, n; contents: core, q1, q2, content."""
+    words = units.agg(F.sum(F.col("n") + window - 1)).first()[0] or 0
     shards = max(1, -(-words // shard_words))
-    small = contents.where(F.col("pieces") <= hot_pieces).select(F.pmod(F.xxhash64("mhash"), F.lit(shards)).alias("shard"), *PIECE, "weight", "content")
-    types = "mhash bigint, p1 bigint, p2 bigint"
-    masks = small.groupBy("shard").applyInArrow(_shard_masks(window), f"{types}, mask bigint")
-    hot = contents.where(F.col("pieces") > hot_pieces).select(*PIECE, "content", "weight").mapInArrow(_hot_windows(window), f"{types}, weight bigint, j int, h1 bigint, h2 bigint")
-    hot = cut(hot)
-    twice = hot.groupBy("h1", "h2").agg(F.sum("weight").alias("w")).where("w > 1").select("h1", "h2")
-    bits = hot.join(twice, ["h1", "h2"]).groupBy(*PIECE).agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
-    return alone.unionByName(masks.where("mask <> 0")).unionByName(bits)
+    ready = contents.dropDuplicates(UNIT).join(units, UNIT).select(F.pmod(F.xxhash64("core"), F.lit(shards)).alias("shard"), *UNIT, "weight", "content")
+    ready = cut(ready)
+    automata = cut(ready.select("shard", "weight", "content").groupBy("shard").applyInArrow(_automaton, "shard bigint, " + ", ".join(f"{c} binary" for c in AUTOMATON)))
+    size = automata.agg(F.sum(sum((F.octet_length(c) for c in AUTOMATON), F.lit(0)))).first()[0] or 0
+    turns = -(-size // broadcast_bytes)
+    stream = ready.groupBy("shard").agg(F.collect_list(F.struct(*UNIT, "content")).alias("units"))  # a shard's words at most
+    kinds = "core bigint, q1 bigint, q2 bigint, mask bigint"
+    if turns > rounds:
+        return cut(stream.join(automata, "shard").mapInArrow(_matched(window), kinds).where("mask <> 0"))
+    stream = cut(stream.withColumn("turn", F.pmod("shard", F.lit(max(turns, 1)))), by="turn")
+    out = None
+    for turn in range(turns):
+        own = F.broadcast(automata.where(F.pmod("shard", F.lit(turns)) == turn))  # broadcast_bytes on average, checked above
+        masks = cut(stream.where(F.col("turn") == turn).join(own, "shard").mapInArrow(_matched(window), kinds).where("mask <> 0"))
+        out = masks if out is None else out.unionByName(masks)
+    return out if out is not None else units.select(*UNIT, F.lit(0).cast("bigint").alias("mask")).limit(0)
+
+
+def piece_masks(occ: DataFrame, window: int, gram: int, shard_words: int, broadcast_bytes: int, rounds: int) -> DataFrame:
+    """mhash, p1, p2, mask, times: which windows of a piece are repeated, and how often the piece occurs. Pieces without such a window have no row."""
+    most = window - gram
+    pieces = cut(occ.groupBy(*PIECE).agg(F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("place").alias("place")))
+    units = pieces.select(F.col("mhash").alias("core"), F.col("p1").alias("q1"), F.col("p2").alias("q2"), "weight", "n", F.lit(0).alias("low"), F.lit(most).alias("high"))
+    contents = occ.where("content is not null").select(F.col("mhash").alias("core"), F.col("p1").alias("q1"), F.col("p2").alias("q2"), "content")
+    small, large = _sized(units, shard_words, window)
+    masks = unit_masks(small, contents, window, shard_words, broadcast_bytes, rounds)
+    masks = masks.select(F.col("core").alias("mhash"), F.col("q1").alias("p1"), F.col("q2").alias("p2"), "mask")
+    large = cut(large.withColumnsRenamed(dict(zip(UNIT, PIECE, strict=True))))
+    if large.take(1):
+        whole = occ.where("content is not null").select(*PIECE, "content").join(large, PIECE).dropDuplicates(PIECE).join(pieces, PIECE)
+        split = whole.select(*PIECE, "weight", F.lit(0).alias("skip"), "n", "place", F.lit(0).alias("low"), F.lit(most).alias("high"), "content")
+        while True:
+            split = cut(split.mapInArrow(_halves(window, most + 1), _KINDS))
+            once = split.groupBy(*UNIT).agg(F.sum("weight").alias("weight"), *(F.first(c).alias(c) for c in ("n", "low", "high")))
+            small, large = _sized(cut(once), shard_words, window)
+            found = unit_masks(small, split.select(*UNIT, "content"), window, shard_words, broadcast_bytes, rounds)
+            times = split.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("times"))
+            found = join_on_counted(split.select(*UNIT, *PIECE, "skip"), found.join(times, UNIT), UNIT, "times", split.count())
+            masks = masks.unionByName(found.select(*PIECE, F.expr("shiftleft(mask, skip)").alias("mask")))
+            large = cut(large)
+            if not large.take(1):
+                break
+            counted = split.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("times")).join(large, UNIT)
+            split = join_on_counted(split, counted, UNIT, "times", split.count()).drop(*UNIT, "times")
+    masks = masks.groupBy(*PIECE).agg(F.bit_or("mask").alias("mask"))
+    return masks.join(pieces.select(*PIECE, F.col("weight").alias("times")), PIECE)
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -315,7 +420,9 @@ def _removal(window: int, with_text: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_pieces: int = HOT_PIECES, shard_words: int = SHARD_WORDS, with_text: bool = True) -> DataFrame:
+def substring_dedup(
+    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, broadcast_bytes: int = BROADCAST_BYTES, rounds: int = ROUNDS, with_text: bool = True
+) -> DataFrame:
     """docs with n_words, n_removed, kept_sha256 and kept: the words that stay, joined by one space; null where none went."""
     text = F.coalesce(F.col("text"), F.lit(""))
     columns = docs.columns
@@ -323,12 +430,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     keyed = docs.withColumns({"did": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "th": F.xxhash64(text)})
     lean = keyed.select(*ROW, "text")
     counted = cut(lean.mapInArrow(_anchor_counts(window, gram), "did bigint, th bigint, mhash bigint, n int"))
-    twice = counted.groupBy("mhash").agg(F.sum("n").alias("n")).where("n > 1").select("mhash")
-    lists = cut(counted.join(twice, "mhash").groupBy(*ROW).agg(F.collect_set("mhash").alias("anchors")))
+    twice = cut(counted.groupBy("mhash").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).where("n > 1").select("mhash", "rows"))
+    lists = cut(join_on_counted(counted, twice, ["mhash"], "rows", counted.count()).groupBy(*ROW).agg(F.collect_set("mhash").alias("anchors")))
     with_anchors = _only(lean, lists)[0]
-    occ = cut(with_anchors.join(lists, ROW).mapInArrow(_pieces(window, gram), "did bigint, th bigint, i0 int, n int, mhash bigint, p1 bigint, p2 bigint, content binary"))
-    masks = cut(piece_masks(occ, window, hot_pieces, shard_words))
-    covers = occ.select(*ROW, "i0", *PIECE).join(masks, PIECE).select(*ROW, "i0", "mask").distinct()
+    occ = cut(with_anchors.join(lists, ROW).mapInArrow(_pieces(window, gram), "did bigint, th bigint, i0 int, n int, place int, mhash bigint, p1 bigint, p2 bigint, content binary"))
+    masks = cut(piece_masks(occ, window, gram, shard_words, broadcast_bytes, rounds))
+    covers = join_on_counted(occ.select(*ROW, "i0", *PIECE), masks, PIECE, "times", occ.count()).select(*ROW, "i0", "mask").distinct()
     covers = cut(covers.groupBy(*ROW).agg(F.collect_list(F.struct("i0", "mask")).alias("c")).select(*ROW, F.col("c.i0").alias("i0s"), F.col("c.mask").alias("masks")))
     hit, other = _only(keyed, covers)
     out = hit.join(covers, ROW, "left")
@@ -341,6 +448,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     return unshielded(out, names, [f.name for f in added], columns)
 
 
+@settled
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")

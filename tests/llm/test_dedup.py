@@ -72,9 +72,10 @@ def test_components(spark):
     assert got == {k: v for k, v in comp.items() if any(k in ab and ab[0] != ab[1] for ab in links)}
 
 
-@pytest.mark.parametrize("hot_pieces, shard_words", [(2000, 40_000), (1, 300)])
-def test_passages(spark, corpus, hot_pieces, shard_words):
-    out = substring_dedup.substring_dedup(frame(spark, corpus), hot_pieces=hot_pieces, shard_words=shard_words)
+@pytest.mark.parametrize("shard_words, broadcast_bytes, rounds", [(20_000, 1 << 26, 16), (100, 20_000, 100), (40, 1, 0)])
+def test_passages(spark, corpus, shard_words, broadcast_bytes, rounds):
+    """All in one shard; groups that are split, in many rounds; all groups split to the end and shuffled instead of broadcast."""
+    out = substring_dedup.substring_dedup(frame(spark, corpus), shard_words=shard_words, broadcast_bytes=broadcast_bytes, rounds=rounds)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out.collect()}
     want = brute.repeats(corpus)
     assert got == {i: x for (i, _), x in zip(corpus, want, strict=True)}
