@@ -12,7 +12,7 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of every contract here: space and U+0009 to U+000D, all single bytes in UTF-8.
@@ -67,16 +67,28 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         removed(spark, made)
 
 
+def sole(spark: SparkSession, build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
+    """The result of build() as a table; what was cut on the way to it is removed."""
+    with scratch(spark):
+        out = build()
+        made = _made.get()
+        _made.set([])
+        try:
+            out = cut(out, by)
+        finally:
+            own = _made.get()
+            _made.set(made)
+    if _made.get() is not None:
+        _made.get().extend(own)
+    return out
+
+
 def settled(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """A query whose result is written to the shared folder, and whose scratch tables are gone when it returns."""
+    """A query whose result is a table in the shared folder, and whose scratch tables are gone when it returns."""
 
     @wraps(build)
     def run(spark: SparkSession, *args) -> DataFrame:
-        with scratch(spark):
-            out = build(spark, *args)
-            path = scratch_dir(spark)
-            out.write.parquet(path)
-        return spark.read.schema(out.schema).parquet(path)
+        return sole(spark, lambda: build(spark, *args))
 
     return run
 
@@ -97,6 +109,17 @@ def join_on_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str,
     return left.join(top, keys, how).unionByName(rest.join(right.where(~hot), keys, how))
 
 
+def numbered(rows: DataFrame, keys: list[str], per_task: int = 1_000_000) -> DataFrame:
+    """rows with `number`, from 0 without a gap. rows is a table whose keys do not repeat."""
+    spark = rows.sparkSession
+    parts = max(1, -(-rows.count() // per_task))
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(*keys), F.lit(parts)))
+    counts = sorted((r["__part"], r["count"]) for r in dealt.groupBy("__part").count().collect())  # a row for per_task rows
+    before = spark.createDataFrame([(p, sum(n for _, n in counts[:i])) for i, (p, _) in enumerate(counts)] or [(0, 0)], "__part bigint, before bigint")
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
+    return dealt.withColumn("nth", nth).join(F.broadcast(before), "__part").select(*rows.columns, (F.col("before") + F.col("nth") - 1).alias("number"))
+
+
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = _BYTE.copy()

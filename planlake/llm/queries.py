@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from planlake.llm import chat_format, exact_dedup, language_id, line_dedup, near_dedup, nearest, packing, quality, sentencepiece_codec, substring_dedup
+from planlake.llm import chat_format, exact_dedup, language_id, line_dedup, near_dedup, nearest, packing, pipeline, quality, sentencepiece_codec, substring_dedup
 
 
 def queries() -> dict:
     return {
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
         "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
         "op2_quality_cotraining": quality.op2_quality_cotraining,
         "op3_substring_dedup": substring_dedup.op3_substring_dedup,

@@ -39,19 +39,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planlake.llm.common import as_int64, cut, join_on_counted, mix, settled, shielded, table, text_slices, unshielded, window_hashes, word_hashes, word_spans
+from planlake.llm.common import as_int64, cut, join_on_counted, mix, settled, shielded, sole, table, text_slices, unshielded, window_hashes, word_hashes, word_spans
 
 WINDOW = 35
 GRAM = 8
 SHARD_WORDS = 20_000
 #: Bytes of automata that are broadcast at once, and how often: what is beyond goes by a shuffle.
-BROADCAST_BYTES, ROUNDS = 1 << 26, 16
+BROADCAST_BYTES, ROUNDS = 1 << 25, 32
+#: Bytes of an automaton for each word it is built from, about.
+WORD_BYTES = 32
 #: Row ids that are broadcast to keep other texts out of a shuffle; beyond that the texts are shuffled.
 BROADCAST_IDS = 2_000_000
 SEEN = 500_000
 
 ROW = ["did", "th"]
-PIECE = ["mhash", "p1", "p2"]
+PIECE = ["p1", "p2"]
 UNIT = ["core", "q1", "q2"]
 
 
@@ -156,7 +158,7 @@ def _pieces(window: int, gram: int):
                         contents.append(b" ".join(raw[starts[k] : ends[k]] for k in range(s, s + m + window - 1)))
                 rows = a + text
                 cols = [did[rows], th[rows], (at - first[text]).astype(np.int32), n.astype(np.int32), place.astype(np.int32), wanted, p1, p2]
-                yield pa.record_batch([*(pa.array(c) for c in cols), pa.array(contents, pa.binary())], names=[*ROW, "i0", "n", "place", *PIECE, "content"])
+                yield pa.record_batch([*(pa.array(c) for c in cols), pa.array(contents, pa.binary())], names=[*ROW, "i0", "n", "place", "mhash", *PIECE, "content"])
 
     return run
 
@@ -253,19 +255,25 @@ class Matcher:
         return out
 
 
-def _automaton(pieces: pa.Table) -> pa.Table:
-    """The automaton of a shard."""
-    ids: dict[bytes, int] = {}
-    seqs = [[ids.setdefault(x, len(ids)) for x in c.split(b" ")] for c in pieces.column("content").to_pylist()]
-    automaton = SuffixAutomaton()
-    for seq, weight in zip(seqs, pieces.column("weight").to_pylist(), strict=True):
-        automaton.add(seq, weight)
-    automaton.close()
-    parts = [b" ".join(ids), *automaton.arrays()]
-    return pa.table([pieces.column("shard").slice(0, 1), *(pa.array([x], pa.binary()) for x in parts)], names=["shard", *AUTOMATON])
-
-
 AUTOMATON = ["words", "moves", "to", "link", "length", "twice"]
+_UNITS = pa.list_(pa.struct([*((c, pa.int64()) for c in UNIT), ("content", pa.binary())]))
+
+
+def _automaton(turns: int):
+    def run(units: pa.Table) -> pa.Table:
+        """The automaton of a shard, and the units that are to be streamed through it."""
+        ids: dict[bytes, int] = {}
+        seqs = [[ids.setdefault(x, len(ids)) for x in c.split(b" ")] for c in units.column("content").to_pylist()]
+        automaton = SuffixAutomaton()
+        for seq, weight in zip(seqs, units.column("weight").to_pylist(), strict=True):
+            automaton.add(seq, weight)
+        automaton.close()
+        shard = units.column("shard")[0].as_py()
+        row = {"shard": shard, "units": units.select([*UNIT, "content"]).to_pylist()} | dict(zip(AUTOMATON, [b" ".join(ids), *automaton.arrays()], strict=True)) | {"turn": shard % turns}
+        schema = pa.schema([("shard", pa.int64()), ("units", _UNITS), *((c, pa.binary()) for c in AUTOMATON), ("turn", pa.int64())])
+        return pa.Table.from_pylist([row], schema)
+
+    return run
 
 
 def _matched(window: int):
@@ -315,7 +323,7 @@ def _halves(window: int, most: int):
     return run
 
 
-_KINDS = "mhash bigint, p1 bigint, p2 bigint, weight bigint, core bigint, q1 bigint, q2 bigint, skip int, n int, place int, low int, high int, content binary"
+_KINDS = "p1 bigint, p2 bigint, weight bigint, core bigint, q1 bigint, q2 bigint, skip int, n int, place int, low int, high int, content binary"
 
 
 def _sized(once: DataFrame, shard_words: int, window: int) -> tuple[DataFrame, DataFrame]:
@@ -330,50 +338,49 @@ def unit_masks(units: DataFrame, contents: DataFrame, window: int, shard_words:
     """core, q1, q2, mask: which windows of a unit are repeated, of those that have any. units: core, q1, q2, weight, n; contents: core, q1, q2, content."""
     words = units.agg(F.sum(F.col("n") + window - 1)).first()[0] or 0
     shards = max(1, -(-words // shard_words))
+    turns = max(1, -(-words * WORD_BYTES // broadcast_bytes))
+    by_broadcast = turns <= rounds
     ready = contents.dropDuplicates(UNIT).join(units, UNIT).select(F.pmod(F.xxhash64("core"), F.lit(shards)).alias("shard"), *UNIT, "weight", "content")
-    ready = cut(ready)
-    automata = cut(ready.select("shard", "weight", "content").groupBy("shard").applyInArrow(_automaton, "shard bigint, " + ", ".join(f"{c} binary" for c in AUTOMATON)))
-    size = automata.agg(F.sum(sum((F.octet_length(c) for c in AUTOMATON), F.lit(0)))).first()[0] or 0
-    turns = -(-size // broadcast_bytes)
-    stream = ready.groupBy("shard").agg(F.collect_list(F.struct(*UNIT, "content")).alias("units"))  # a shard's words at most
-    kinds = "core bigint, q1 bigint, q2 bigint, mask bigint"
-    if turns > rounds:
-        return cut(stream.join(automata, "shard").mapInArrow(_matched(window), kinds).where("mask <> 0"))
-    stream = cut(stream.withColumn("turn", F.pmod("shard", F.lit(max(turns, 1)))), by="turn")
+    kinds = "shard bigint, units array<struct<core bigint, q1 bigint, q2 bigint, content binary>>, " + ", ".join(f"{c} binary" for c in AUTOMATON) + ", turn bigint"
+    made = cut(ready.groupBy("shard").applyInArrow(_automaton(turns if by_broadcast else 1), kinds), by="turn")
+    sizes = dict(made.groupBy("turn").agg(F.sum(sum((F.octet_length(c) for c in AUTOMATON), F.lit(0)))).collect())  # a row for each turn
     out = None
-    for turn in range(turns):
-        own = F.broadcast(automata.where(F.pmod("shard", F.lit(turns)) == turn))  # broadcast_bytes on average, checked above
-        masks = cut(stream.where(F.col("turn") == turn).join(own, "shard").mapInArrow(_matched(window), kinds).where("mask <> 0"))
+    for turn, size in sorted(sizes.items()):
+        own = made.where(F.col("turn") == turn)
+        automata = own.select("shard", *AUTOMATON)
+        if by_broadcast and size <= 2 * broadcast_bytes:
+            automata = F.broadcast(automata)
+        masks = cut(own.select("shard", "units").join(automata, "shard").mapInArrow(_matched(window), "core bigint, q1 bigint, q2 bigint, mask bigint").where("mask <> 0"))
         out = masks if out is None else out.unionByName(masks)
     return out if out is not None else units.select(*UNIT, F.lit(0).cast("bigint").alias("mask")).limit(0)
 
 
 def piece_masks(occ: DataFrame, window: int, gram: int, shard_words: int, broadcast_bytes: int, rounds: int) -> DataFrame:
-    """mhash, p1, p2, mask, times: which windows of a piece are repeated, and how often the piece occurs. Pieces without such a window have no row."""
+    """p1, p2, mask, times: which windows of a piece are repeated, and how often the piece occurs. Pieces without such a window have no row."""
     most = window - gram
-    pieces = cut(occ.groupBy(*PIECE).agg(F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("place").alias("place")))
-    units = pieces.select(F.col("mhash").alias("core"), F.col("p1").alias("q1"), F.col("p2").alias("q2"), "weight", "n", F.lit(0).alias("low"), F.lit(most).alias("high"))
-    contents = occ.where("content is not null").select(F.col("mhash").alias("core"), F.col("p1").alias("q1"), F.col("p2").alias("q2"), "content")
-    small, large = _sized(units, shard_words, window)
-    masks = unit_masks(small, contents, window, shard_words, broadcast_bytes, rounds)
-    masks = masks.select(F.col("core").alias("mhash"), F.col("q1").alias("p1"), F.col("q2").alias("p2"), "mask")
-    large = cut(large.withColumnsRenamed(dict(zip(UNIT, PIECE, strict=True))))
+    pieces = cut(occ.groupBy(*PIECE).agg(F.count(F.lit(1)).alias("weight"), *(F.first(c).alias(c) for c in ("mhash", "n", "place"))))
+    as_unit = {"mhash": "core", "p1": "q1", "p2": "q2"}
+    small, large = _sized(pieces.select("mhash", *PIECE, "weight", "n", F.lit(0).alias("low"), F.lit(most).alias("high")).withColumnsRenamed(as_unit), shard_words, window)
+    contents = occ.where("content is not null").select("mhash", *PIECE, "content")
+    masks = unit_masks(small, contents.withColumnsRenamed(as_unit), window, shard_words, broadcast_bytes, rounds)
+    masks = masks.select(F.col("q1").alias("p1"), F.col("q2").alias("p2"), "mask")
+    large = cut(large.select(F.col("q1").alias("p1"), F.col("q2").alias("p2")))
     if large.take(1):
-        whole = occ.where("content is not null").select(*PIECE, "content").join(large, PIECE).dropDuplicates(PIECE).join(pieces, PIECE)
+        whole = contents.join(large, PIECE).dropDuplicates(PIECE).join(pieces.drop("mhash"), PIECE)
         split = whole.select(*PIECE, "weight", F.lit(0).alias("skip"), "n", "place", F.lit(0).alias("low"), F.lit(most).alias("high"), "content")
         while True:
             split = cut(split.mapInArrow(_halves(window, most + 1), _KINDS))
-            once = split.groupBy(*UNIT).agg(F.sum("weight").alias("weight"), *(F.first(c).alias(c) for c in ("n", "low", "high")))
-            small, large = _sized(cut(once), shard_words, window)
+            once = split.groupBy(*UNIT).agg(F.sum("weight").alias("weight"), *(F.first(c).alias(c) for c in ("n", "low", "high")), F.count(F.lit(1)).alias("times"))
+            once = cut(once)
+            small, large = _sized(once.drop("times"), shard_words, window)
             found = unit_masks(small, split.select(*UNIT, "content"), window, shard_words, broadcast_bytes, rounds)
-            times = split.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("times"))
+            times = once.select(*UNIT, "times")
             found = join_on_counted(split.select(*UNIT, *PIECE, "skip"), found.join(times, UNIT), UNIT, "times", split.count())
             masks = masks.unionByName(found.select(*PIECE, F.expr("shiftleft(mask, skip)").alias("mask")))
             large = cut(large)
             if not large.take(1):
                 break
-            counted = split.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("times")).join(large, UNIT)
-            split = join_on_counted(split, counted, UNIT, "times", split.count()).drop(*UNIT, "times")
+            split = join_on_counted(split, times.join(large, UNIT), UNIT, "times", split.count()).drop(*UNIT, "times")
     masks = masks.groupBy(*PIECE).agg(F.bit_or("mask").alias("mask"))
     return masks.join(pieces.select(*PIECE, F.col("weight").alias("times")), PIECE)
 
@@ -429,14 +436,22 @@ def substring_dedup(
     docs, names = shielded(docs)
     keyed = docs.withColumns({"did": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "th": F.xxhash64(text)})
     lean = keyed.select(*ROW, "text")
-    counted = cut(lean.mapInArrow(_anchor_counts(window, gram), "did bigint, th bigint, mhash bigint, n int"))
-    twice = cut(counted.groupBy("mhash").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).where("n > 1").select("mhash", "rows"))
-    lists = cut(join_on_counted(counted, twice, ["mhash"], "rows", counted.count()).groupBy(*ROW).agg(F.collect_set("mhash").alias("anchors")))
-    with_anchors = _only(lean, lists)[0]
-    occ = cut(with_anchors.join(lists, ROW).mapInArrow(_pieces(window, gram), "did bigint, th bigint, i0 int, n int, place int, mhash bigint, p1 bigint, p2 bigint, content binary"))
-    masks = cut(piece_masks(occ, window, gram, shard_words, broadcast_bytes, rounds))
-    covers = join_on_counted(occ.select(*ROW, "i0", *PIECE), masks, PIECE, "times", occ.count()).select(*ROW, "i0", "mask").distinct()
-    covers = cut(covers.groupBy(*ROW).agg(F.collect_list(F.struct("i0", "mask")).alias("c")).select(*ROW, F.col("c.i0").alias("i0s"), F.col("c.mask").alias("masks")))
+    spark = docs.sparkSession
+
+    def anchor_lists() -> DataFrame:
+        counted = cut(lean.mapInArrow(_anchor_counts(window, gram), "did bigint, th bigint, mhash bigint, n int"))
+        twice = cut(counted.groupBy("mhash").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).where("n > 1").select("mhash", "rows"))
+        return join_on_counted(counted, twice, ["mhash"], "rows", counted.count()).groupBy(*ROW).agg(F.collect_set("mhash").alias("anchors"))
+
+    def covered() -> DataFrame:
+        lists = sole(spark, anchor_lists)
+        with_anchors = _only(lean, lists)[0]
+        occ = cut(with_anchors.join(lists, ROW).mapInArrow(_pieces(window, gram), "did bigint, th bigint, i0 int, n int, place int, mhash bigint, p1 bigint, p2 bigint, content binary"))
+        masks = sole(spark, lambda: piece_masks(occ, window, gram, shard_words, broadcast_bytes, rounds))
+        covers = join_on_counted(occ.select(*ROW, "i0", *PIECE), masks, PIECE, "times", occ.count()).select(*ROW, "i0", "mask").distinct()
+        return covers.groupBy(*ROW).agg(F.collect_list(F.struct("i0", "mask")).alias("c")).select(*ROW, F.col("c.i0").alias("i0s"), F.col("c.mask").alias("masks"))
+
+    covers = sole(spark, covered)
     hit, other = _only(keyed, covers)
     out = hit.join(covers, ROW, "left")
     if other is not None:
