@@ -1,72 +1,5 @@
-"""A training corpus from `documents`, in five stages.
+"""A training corpus from `documents`, in five stages, each (name, function of spark, docs and sf_dir)."""
 
-Every stage reads all rows that its predecessor wrote and returns the columns of `documents`, the last one the packed
-pieces. Null text counts as empty, rows without doc_id stay (near-dedup leaves them alone), and an empty table passes through all stages.
-"""
+from planlake.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from planlake.llm import language_id, line_dedup, near_dedup, packing, substring_dedup
-from planlake.llm.common import cut, shielded, table, unshielded
-
-
-def _with_text(rows: DataFrame, text, changed, columns: list[str]) -> DataFrame:
-    """rows with the new text where it changed, and n_chars to match."""
-    new = rows.withColumn("__text", F.when(changed, text).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        new = new.withColumn("n_chars", F.when(changed, F.char_length("__text").cast("bigint")).otherwise(F.col("n_chars")))
-    return new.drop("text").withColumnRenamed("__text", "text").select(*columns)
-
-
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a language (null, or not one letter) go; a missing lang is filled in."""
-    model = language_id.fit(language_id.training_rows(docs))
-    safe, names = shielded(docs, ("doc_id", "text", "lang"))
-    known = language_id.predict(safe, model, keep=tuple(safe.columns))
-    kept = known.where((F.col("lang_pred") != "und") | F.lit(not model["langs"]) & F.col("text").rlike(r"\p{L}"))
-    return unshielded(kept.withColumn("lang", F.coalesce("lang", F.nullif("lang_pred", F.lit("und")))), names, [], docs.columns)
-
-
-def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(docs)
-    return _with_text(out, F.col("text"), F.col("n_dropped") > 0, docs.columns)
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id, and one row of it."""
-    gone = near_dedup.clusters(docs).where("doc_id is not null and not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    nth = F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy(F.xxhash64("text")))
-    return left.withColumn("__own", own).withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
-
-
-def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = substring_dedup.substring_dedup(docs)
-    return _with_text(out, F.col("kept"), F.col("kept").isNotNull(), docs.columns)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed_documents(docs)
-
-
-STAGES = [
-    ("language_id", identify_language),
-    ("line_dedup", drop_lines),
-    ("minhash_near_dedup", drop_near_copies),
-    ("substring_dedup", drop_passages),
-    ("best_fit_packing", pack),
-]
-
-#: Language models and tokens are beyond SQL; tests hold run() against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
