@@ -39,6 +39,8 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def removed(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes folders, and lets Spark's cleaner drop the shuffles that no plan refers to any more, which it does after a collection."""
+    spark.sparkContext._jvm.System.gc()
     for p in paths:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -146,16 +146,19 @@ def _pieces(window: int, gram: int):
                 if not len(at):
                     continue
                 p1, p2 = (as_int64(x) for x in span_hashes(w, at, at + n + window - 1))
-                raw = buf.tobytes()
+                raw, edges, size = buf.tobytes(), offs.tolist(), ends - starts
+                joined = b" ".join(chain.from_iterable(raw[x:y].split() for x, y in zip(edges, edges[1:], strict=False)))
+                begin = np.cumsum(size + 1) - size - 1
+                last = at + n + window - 2
                 contents: list[bytes | None] = []
-                for x, y, s, m in zip(p1.tolist(), p2.tolist(), at.tolist(), n.tolist(), strict=True):
+                for x, y, s, e in zip(p1.tolist(), p2.tolist(), begin[at].tolist(), (begin[last] + size[last]).tolist(), strict=True):
                     if (x, y) in seen:
                         contents.append(None)
                     else:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add((x, y))
-                        contents.append(b" ".join(raw[starts[k] : ends[k]] for k in range(s, s + m + window - 1)))
+                        contents.append(joined[s:e])
                 rows = a + text
                 cols = [did[rows], th[rows], (at - first[text]).astype(np.int32), n.astype(np.int32), place.astype(np.int32), wanted, p1, p2]
                 yield pa.record_batch([*(pa.array(c) for c in cols), pa.array(contents, pa.binary())], names=[*ROW, "i0", "n", "place", "mhash", *PIECE, "content"])
@@ -256,7 +259,6 @@ class Matcher:
 
 
 AUTOMATON = ["words", "moves", "to", "link", "length", "twice"]
-_UNITS = pa.list_(pa.struct([*((c, pa.int64()) for c in UNIT), ("content", pa.binary())]))
 
 
 def _automaton(turns: int):
@@ -268,10 +270,11 @@ def _automaton(turns: int):
         for seq, weight in zip(seqs, units.column("weight").to_pylist(), strict=True):
             automaton.add(seq, weight)
         automaton.close()
-        shard = units.column("shard")[0].as_py()
-        row = {"shard": shard, "units": units.select([*UNIT, "content"]).to_pylist()} | dict(zip(AUTOMATON, [b" ".join(ids), *automaton.arrays()], strict=True)) | {"turn": shard % turns}
-        schema = pa.schema([("shard", pa.int64()), ("units", _UNITS), *((c, pa.binary()) for c in AUTOMATON), ("turn", pa.int64())])
-        return pa.Table.from_pylist([row], schema)
+        shard, units = units.column("shard")[0].as_py(), units.combine_chunks()
+        rows = pa.StructArray.from_arrays([units.column(c).chunk(0) for c in (*UNIT, "content")], names=[*UNIT, "content"])
+        parts = [b" ".join(ids), *automaton.arrays()]
+        cols = [pa.array([shard]), pa.ListArray.from_arrays([0, len(rows)], rows), *(pa.array([x], pa.binary()) for x in parts), pa.array([shard % turns])]
+        return pa.table(cols, names=["shard", "units", *AUTOMATON, "turn"])
 
     return run
 
@@ -335,7 +338,7 @@ def _sized(once: DataFrame, shard_words: int, window: int) -> tuple[DataFrame, D
 
 
 def unit_masks(units: DataFrame, contents: DataFrame, window: int, shard_words: int, broadcast_bytes: int, rounds: int) -> DataFrame:
-    """core, q1, q2, mask: which windows of a unit are repeated, of those that have any. units: core, q1, q2, weight, n; contents: core, q1, q2, content."""
+    """core, q1, q2, mask (a table): which windows of a unit are repeated, of those that have any. units: core, q1, q2, weight, n; contents: core, q1, q2, content."""
     words = units.agg(F.sum(F.col("n") + window - 1)).first()[0] or 0
     shards = max(1, -(-words // shard_words))
     turns = max(1, -(-words * WORD_BYTES // broadcast_bytes))
@@ -362,7 +365,8 @@ def piece_masks(occ: DataFrame, window: int, gram: int, shard_words: int, broadc
     as_unit = {"mhash": "core", "p1": "q1", "p2": "q2"}
     small, large = _sized(pieces.select("mhash", *PIECE, "weight", "n", F.lit(0).alias("low"), F.lit(most).alias("high")).withColumnsRenamed(as_unit), shard_words, window)
     contents = occ.where("content is not null").select("mhash", *PIECE, "content")
-    masks = unit_masks(small, contents.withColumnsRenamed(as_unit), window, shard_words, broadcast_bytes, rounds)
+    spark = occ.sparkSession
+    masks = sole(spark, lambda: unit_masks(small, contents.withColumnsRenamed(as_unit), window, shard_words, broadcast_bytes, rounds))
     masks = masks.select(F.col("q1").alias("p1"), F.col("q2").alias("p2"), "mask")
     large = cut(large.select(F.col("q1").alias("p1"), F.col("q2").alias("p2")))
     if large.take(1):
@@ -373,7 +377,7 @@ def piece_masks(occ: DataFrame, window: int, gram: int, shard_words: int, broadc
             once = split.groupBy(*UNIT).agg(F.sum("weight").alias("weight"), *(F.first(c).alias(c) for c in ("n", "low", "high")), F.count(F.lit(1)).alias("times"))
             once = cut(once)
             small, large = _sized(once.drop("times"), shard_words, window)
-            found = unit_masks(small, split.select(*UNIT, "content"), window, shard_words, broadcast_bytes, rounds)
+            found = sole(spark, lambda small=small, split=split: unit_masks(small, split.select(*UNIT, "content"), window, shard_words, broadcast_bytes, rounds))
             times = once.select(*UNIT, "times")
             found = join_on_counted(split.select(*UNIT, *PIECE, "skip"), found.join(times, UNIT), UNIT, "times", split.count())
             masks = masks.unionByName(found.select(*PIECE, F.expr("shiftleft(mask, skip)").alias("mask")))
@@ -400,13 +404,12 @@ def _removal(window: int, with_text: bool):
             rest = [i for i, name in enumerate(batch.schema.names) if name not in ("i0s", "masks", "did", "th")]
             n_words, n_removed, kept, sha = [], [], [], []
             for a, b, buf, offs in text_slices(batch.column("text")):
-                starts, ends, first = word_spans(buf, offs)
                 raw = buf.tobytes()
                 for i in range(b - a):
-                    x, y = int(first[i]), int(first[i + 1])
-                    gone = np.zeros(y - x, bool)
+                    words = raw[offs[i] : offs[i + 1]].split()
+                    removed = 0
                     if i0s[a + i].is_valid:
-                        step = np.zeros(y - x + 1, np.int64)
+                        step = np.zeros(len(words) + 1, np.int64)
                         for at, mask in zip(i0s[a + i].as_py(), masks[a + i].as_py(), strict=True):
                             bit = 0
                             while mask >> bit:
@@ -414,11 +417,14 @@ def _removal(window: int, with_text: bool):
                                     step[at + bit] += 1
                                     step[at + bit + window] -= 1
                                 bit += 1
-                        gone = np.cumsum(step[:-1]) > 0
-                    stay = (np.flatnonzero(~gone) + x).tolist()
-                    text = b" ".join([raw[s:e] for s, e in zip(starts[stay].tolist(), ends[stay].tolist(), strict=True)])
-                    n_words.append(y - x)
-                    n_removed.append(int(gone.sum()))
+                        stay = np.cumsum(step[:-1]) == 0
+                        removed = int(len(words) - stay.sum())
+                        n_words.append(len(words))
+                        words = list(compress(words, stay.tolist()))
+                    else:
+                        n_words.append(len(words))
+                    text = b" ".join(words)
+                    n_removed.append(removed)
                     kept.append(text.decode() if with_text and n_removed[-1] else None)
                     sha.append(hashlib.sha256(text).hexdigest())
             cols = [batch.column(i) for i in rest]
@@ -446,7 +452,7 @@ def substring_dedup(
     def covered() -> DataFrame:
         lists = sole(spark, anchor_lists)
         with_anchors = _only(lean, lists)[0]
-        occ = cut(with_anchors.join(lists, ROW).mapInArrow(_pieces(window, gram), "did bigint, th bigint, i0 int, n int, place int, mhash bigint, p1 bigint, p2 bigint, content binary"))
+        occ = sole(spark, lambda: with_anchors.join(lists, ROW).mapInArrow(_pieces(window, gram), "did bigint, th bigint, i0 int, n int, place int, mhash bigint, p1 bigint, p2 bigint, content binary"))
         masks = sole(spark, lambda: piece_masks(occ, window, gram, shard_words, broadcast_bytes, rounds))
         covers = join_on_counted(occ.select(*ROW, "i0", *PIECE), masks, PIECE, "times", occ.count()).select(*ROW, "i0", "mask").distinct()
         return covers.groupBy(*ROW).agg(F.collect_list(F.struct("i0", "mask")).alias("c")).select(*ROW, F.col("c.i0").alias("i0s"), F.col("c.mask").alias("masks"))
