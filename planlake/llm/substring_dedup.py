@@ -35,6 +35,7 @@ from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,7 +48,7 @@ SHARD_WORDS = 20_000
 #: Bytes of automata that are broadcast at once, and how often: what is beyond goes by a shuffle.
 BROADCAST_BYTES, ROUNDS = 1 << 25, 32
 #: Bytes of an automaton for each word it is built from, about.
-WORD_BYTES = 32
+WORD_BYTES = 14
 #: Row ids that are broadcast to keep other texts out of a shuffle; beyond that the texts are shuffled.
 BROADCAST_IDS = 2_000_000
 SEEN = 500_000
@@ -218,23 +219,33 @@ class SuffixAutomaton:
                 self.count[self.link[v]] += self.count[v]
 
     def arrays(self) -> list[bytes]:
-        """Transitions (state and word as one number, and where they lead), links, lengths, and which states occur twice or more."""
-        width = np.fromiter(map(len, self.next), np.int64, len(self.next))
-        words = np.fromiter(chain.from_iterable(self.next), np.int64, int(width.sum()))
+        """Number of moves of each state, their words, how far they lead, links, lengths, and which states occur twice or more."""
+        width = np.fromiter(map(len, self.next), np.int32, len(self.next))
+        words = np.fromiter(chain.from_iterable(self.next), np.int32, int(width.sum()))
         to = np.fromiter(chain.from_iterable(d.values() for d in self.next), np.int32, len(words))
-        moves = (np.repeat(np.arange(len(width)), width) << 32) | words
-        twice = np.array(self.count) >= 2
-        return [moves.tobytes(), to.tobytes(), np.array(self.link, np.int32).tobytes(), np.array(self.len, np.int32).tobytes(), twice.tobytes()]
+        ahead = to - np.repeat(np.arange(len(width), dtype=np.int32), width) - 1
+        twice = (np.array(self.count) >= 2).astype(np.int32)
+        return [_squeezed(x) for x in (width, words, ahead, np.array(self.link, np.int32), np.array(self.len, np.int32), twice)]
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """Numbers of 32 bits byte by byte, compressed: most of their upper bytes are equal."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unsqueezed(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
 
 
 class Matcher:
     """A suffix automaton as it was broadcast."""
 
-    def __init__(self, words: bytes, moves: bytes, to: bytes, link: bytes, length: bytes, twice: bytes):
-        self.ids = {w: i for i, w in enumerate(words.split(b" "))}
-        self.moves = dict(zip(np.frombuffer(moves, np.int64).tolist(), np.frombuffer(to, np.int32).tolist(), strict=True))
-        self.link, self.len = np.frombuffer(link, np.int32).tolist(), np.frombuffer(length, np.int32).tolist()
-        self.twice = np.frombuffer(twice, bool).tolist()
+    def __init__(self, words: bytes, *arrays: bytes):
+        self.ids = {w: i for i, w in enumerate(zstandard.decompress(words).split(b" "))}
+        width, labels, ahead, link, length, twice = map(_unsqueezed, arrays)
+        state = np.repeat(np.arange(len(width)), width)
+        self.moves = dict(zip((state << 32 | labels).tolist(), (state + 1 + ahead).tolist(), strict=True))
+        self.link, self.len, self.twice = link.tolist(), length.tolist(), twice.tolist()
 
     def repeated(self, text: bytes, window: int) -> int:
         """Bit i: words i to i + window of the text occur twice or more in the shard."""
@@ -258,7 +269,7 @@ class Matcher:
         return out
 
 
-AUTOMATON = ["words", "moves", "to", "link", "length", "twice"]
+AUTOMATON = ["words", "width", "labels", "ahead", "link", "length", "twice"]
 
 
 def _automaton(turns: int):
@@ -272,7 +283,7 @@ def _automaton(turns: int):
         automaton.close()
         shard, units = units.column("shard")[0].as_py(), units.combine_chunks()
         rows = pa.StructArray.from_arrays([units.column(c).chunk(0) for c in (*UNIT, "content")], names=[*UNIT, "content"])
-        parts = [b" ".join(ids), *automaton.arrays()]
+        parts = [zstandard.compress(b" ".join(ids), 1), *automaton.arrays()]
         cols = [pa.array([shard]), pa.ListArray.from_arrays([0, len(rows)], rows), *(pa.array([x], pa.binary()) for x in parts), pa.array([shard % turns])]
         return pa.table(cols, names=["shard", "units", *AUTOMATON, "turn"])
 
