@@ -103,12 +103,12 @@ def join_on_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str,
     """left joined with right, which has one row for each key and in n how many rows of left hold it; total rows in all.
 
     Rows of hot keys stay where they are: the right rows of hot keys, HOT_SHARE at most, are sent to all tasks. The others
-    shuffle by key. left is read twice and should be a table.
+    shuffle by key, at every size: a small right side that Spark would broadcast hides how the join grows. left is read twice and should be a table.
     """
     hot = F.col(n) * HOT_SHARE >= total
     top = F.broadcast(right.where(hot))  # at most HOT_SHARE rows
     rest = left.join(F.broadcast(right.where(hot).select(*keys)), keys, "left_anti")
-    return left.join(top, keys, how).unionByName(rest.join(right.where(~hot), keys, how))
+    return left.join(top, keys, how).unionByName(rest.hint("merge").join(right.where(~hot), keys, how))
 
 
 def numbered(rows: DataFrame, keys: list[str], per_task: int = 1_000_000) -> DataFrame:

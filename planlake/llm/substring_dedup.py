@@ -273,23 +273,30 @@ AUTOMATON = ["words", "width", "labels", "ahead", "link", "length", "twice"]
 
 
 def _automaton(turns: int):
-    def run(units: pa.Table) -> pa.Table:
-        """The automaton of a shard, and the units that are to be streamed through it."""
+    def run(units: pa.Table, contents: pa.Table) -> pa.Table:
+        """The automaton of a shard, and the units that are to be streamed through it. Contents of other units are left out."""
+        names = ["shard", "units", *AUTOMATON, "turn"]
+        weight = dict(zip(zip(*(units.column(c).to_pylist() for c in UNIT), strict=True), units.column("weight").to_pylist(), strict=True))
+        own = [weight.get(u) for u in zip(*(contents.column(c).to_pylist() for c in UNIT), strict=True)]
+        contents = contents.filter(pa.array([w is not None for w in own], pa.bool_())).combine_chunks()
+        if not len(contents):
+            return pa.table([pa.array([], t) for t in (pa.int64(), _UNITS, *[pa.binary()] * len(AUTOMATON), pa.int64())], names=names)
         ids: dict[bytes, int] = {}
-        seqs = [[ids.setdefault(x, len(ids)) for x in c.split(b" ")] for c in units.column("content").to_pylist()]
         automaton = SuffixAutomaton()
-        for seq, weight in zip(seqs, units.column("weight").to_pylist(), strict=True):
-            automaton.add(seq, weight)
+        for text, times in zip(contents.column("content").to_pylist(), (w for w in own if w is not None), strict=True):
+            automaton.add([ids.setdefault(x, len(ids)) for x in text.split(b" ")], times)
         automaton.close()
-        shard, units = units.column("shard")[0].as_py(), units.combine_chunks()
-        rows = pa.StructArray.from_arrays([units.column(c).chunk(0) for c in (*UNIT, "content")], names=[*UNIT, "content"])
+        shard = contents.column("shard")[0].as_py()
+        rows = pa.StructArray.from_arrays([contents.column(c).chunk(0) for c in (*UNIT, "content")], names=[*UNIT, "content"])
         parts = [zstandard.compress(b" ".join(ids), 1), *automaton.arrays()]
-        cols = [pa.array([shard]), pa.ListArray.from_arrays([0, len(rows)], rows), *(pa.array([x], pa.binary()) for x in parts), pa.array([shard % turns])]
-        return pa.table(cols, names=["shard", "units", *AUTOMATON, "turn"])
+        return pa.table([pa.array([shard]), pa.ListArray.from_arrays([0, len(rows)], rows), *(pa.array([x], pa.binary()) for x in parts), pa.array([shard % turns])], names=names)
 
     return run
 
 
+_UNITS = pa.list_(pa.struct([*((c, pa.int64()) for c in UNIT), ("content", pa.binary())]))
+
+
 def _matched(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -354,9 +361,12 @@ def unit_masks(units: DataFrame, contents: DataFrame, window: int, shard_words:
     shards = max(1, -(-words // shard_words))
     turns = max(1, -(-words * WORD_BYTES // broadcast_bytes))
     by_broadcast = turns <= rounds
-    ready = contents.dropDuplicates(UNIT).join(units, UNIT).select(F.pmod(F.xxhash64("core"), F.lit(shards)).alias("shard"), *UNIT, "weight", "content")
+    shard = F.pmod(F.xxhash64("core"), F.lit(shards)).alias("shard")
+    # contents move once: what several tasks have sent is dropped where the shard is, before its group is formed
+    sent = contents.select(shard, *UNIT, "content").repartition("shard").dropDuplicates(["shard", *UNIT])
     kinds = "shard bigint, units array<struct<core bigint, q1 bigint, q2 bigint, content binary>>, " + ", ".join(f"{c} binary" for c in AUTOMATON) + ", turn bigint"
-    made = cut(ready.groupBy("shard").applyInArrow(_automaton(turns if by_broadcast else 1), kinds), by="turn")
+    pairs = units.select(shard, *UNIT, "weight").groupBy("shard").cogroup(sent.groupBy("shard"))
+    made = cut(pairs.applyInArrow(_automaton(turns if by_broadcast else 1), kinds), by="turn")
     sizes = dict(made.groupBy("turn").agg(F.sum(sum((F.octet_length(c) for c in AUTOMATON), F.lit(0)))).collect())  # a row for each turn
     out = None
     for turn, size in sorted(sizes.items()):
