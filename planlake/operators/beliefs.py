@@ -142,14 +142,34 @@ def invariants(b: DataFrame, d: DataFrame) -> DataFrame:
 
 
 def capped_suggestions(d: DataFrame, limits: dict[str, int], other: int = 5) -> DataFrame:
-    """At most so many suggestions of an action in a meeting; the best keep their place."""
+    """At most so many suggestions of an action for an initiative in a meeting, best priority first; the rest merges into the first one.
+
+    d: meeting_id, initiative_id (null: unscoped), action, suggestion_id, priority, body, belief_ids, spans. Each merged row brings its
+    beliefs and spans, 0.05 of priority up to 1, and marks a comment's body as ongoing, unless that says that it is of several meetings.
+    """
     from pyspark.sql import Window
 
-    r = F.row_number().over(Window.partitionBy("meeting_id", "action").orderBy(F.desc("confidence_score"), "dimension", "thread"))
+    key = ["meeting_id", "initiative_id", "action"]
+    d = d.withColumn("initiative_id", F.coalesce("initiative_id", F.lit("unscoped")))
     most = F.lit(other)
     for a, n in limits.items():
         most = F.when(F.col("action") == a, n).otherwise(most)
-    return d.withColumns({"rank": r, "over_limit": r > most})
+    r = d.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("priority"), "suggestion_id")))
+    over = r.where(F.col("rank") > most).groupBy(*key).agg(
+        F.count(F.lit(1)).alias("merged"), F.array_sort(F.collect_list(F.struct("rank", "belief_ids", "spans"))).alias("o")
+    )
+    over = over.withColumn("rank", F.lit(1)).select(*key, "rank", "merged", F.flatten("o.belief_ids").alias("more_ids"), F.flatten("o.spans").alias("more_spans"))
+    out = r.where(F.col("rank") <= most).join(over, [*key, "rank"], "left").fillna(0, ["merged"])
+    joined = lambda own, more: F.when(F.col("merged") > 0, F.array_distinct(F.concat(own, more))).otherwise(F.col(own))
+    ongoing = (F.col("action") == "comment") & ~F.contains("body", F.lit("Multiple meetings"))
+    return out.withColumns(
+        {
+            "belief_ids": joined("belief_ids", "more_ids"),
+            "spans": joined("spans", "more_spans"),
+            "priority": F.when(F.col("merged") > 0, F.least(F.lit(1.0), F.col("priority") + F.col("merged") * 0.05)).otherwise(F.col("priority")),
+            "body": F.when(ongoing, F.concat(F.repeat(F.lit("Ongoing: "), F.col("merged").cast("int")), "body")).otherwise(F.col("body")),
+        }
+    ).drop("more_ids", "more_spans")
 
 
 def feedback_stats(fb: DataFrame) -> DataFrame:
@@ -176,9 +196,61 @@ def quick_accepts(fb: DataFrame, seconds: int = 60, least: int = 3) -> DataFrame
     return fb.where((F.col("action") == "accepted") & (F.col("time_to_action_seconds") <= seconds)).agg(F.count(F.lit(1)).alias("quick")).withColumn("signal", F.col("quick") >= least)
 
 
-def recommendations(stats: DataFrame) -> DataFrame:
-    """Threshold changes that the rates ask for: one row of stats in, a row for each rule that fires out."""
-    rule = lambda cond, name, change, conf: F.when(cond, F.struct(F.lit(name).alias("threshold"), F.lit(change).alias("change"), F.lit(conf).alias("confidence")))
-    acc, dis, edit = F.col("accept_rate"), F.col("dismiss_rate"), F.col("edit_rate")
-    rules = [rule(dis > 0.5, "spam_threshold", -0.1, 0.8), rule(acc > 0.8, "min_confidence", -0.05, 0.7), rule(acc < 0.3, "min_confidence", 0.1, 0.7), rule(edit > 0.4, "clarification_threshold", 0.05, 0.6), rule(dis > 0.3, "rate_limit", -1.0, 0.5)]
-    return stats.select(F.explode(F.array_compact(F.array(*rules))).alias("r")).select("r.*")
+#: The reasons that are counted, and the thresholds at the start.
+REASONS = ["wrong_initiative", "not_real_decision", "too_ambiguous", "wrong_value", "spam", "duplicate", "other"]
+THRESHOLDS = {"min_initiative_match_score": 0.7, "min_match_gap": 0.2, "ambiguous_match_threshold": 0.4, "min_belief_confidence": 0.6, "max_comment_suggestions_per_initiative_per_meeting": 3.0}
+
+
+def feedback_breakdown(fb: DataFrame, suggestions: DataFrame, by: list[str]) -> DataFrame:
+    """Rates per suggestion, by action, by status, and reasons of dismissal for each value of `by`. suggestions: suggestion_id, action, status.
+
+    Events are counted by suggestion first, so facts are never joined with facts. Rates without suggestions are 0.
+    """
+    hit = lambda a: F.col("event_action") == a
+    e = fb.withColumnRenamed("action", "event_action").groupBy("suggestion_id").agg(
+        *(F.count_if(hit(a)).alias(a) for a in ("accepted", "dismissed", "edited")), F.sum("time_to_action_seconds").alias("seconds"), F.count("time_to_action_seconds").alias("timed"),
+        *(F.count_if(hit("dismissed") & (F.col("dismiss_reason") == r)).alias(r) for r in REASONS),
+    )
+    s = suggestions.select("suggestion_id", "action", "status", *by).join(e, "suggestion_id", "left").fillna(0)
+    share = lambda part, whole: F.coalesce(part / F.nullif(whole, F.lit(0)), F.lit(0.0))
+    n = F.count(F.lit(1))
+    within = lambda c, v: share(F.sum(F.when(F.col(c) == v, F.col("accepted")).otherwise(0)), F.count_if(F.col(c) == v))
+    return s.groupBy(*by).agg(
+        n.alias("total_suggestions"), *(F.sum(a).alias(f"total_{a}") for a in ("accepted", "dismissed", "edited")),
+        share(F.sum("accepted"), n).alias("acceptance_rate"), share(F.sum("dismissed"), n).alias("dismissal_rate"), share(F.sum("edited"), n).alias("edit_rate"),
+        share(F.sum("seconds"), F.sum("timed")).alias("mean_seconds"),
+        within("action", "comment").alias("comment_acceptance_rate"), within("action", "mutate_release_date").alias("release_date_acceptance_rate"),
+        within("status", "suggested").alias("suggested_acceptance_rate"), within("status", "needs_clarification").alias("needs_clarification_acceptance_rate"),
+        *(F.sum(r).alias(r) for r in REASONS),
+    )
+
+
+def recommendations(stats: DataFrame, thresholds: DataFrame, by: list[str]) -> DataFrame:
+    """A row for each threshold that a rule wants changed: its place in order, current and recommended value, confidence. thresholds: one row."""
+    c = F.col
+    s = stats.crossJoin(F.broadcast(thresholds.limit(1)))
+    many = c("total_suggestions") >= 20
+    of_dismissed = lambda reason, part: c(reason) > c("total_dismissed") * part
+    match = (c("dismissal_rate") > 0.4) & of_dismissed("wrong_initiative", 0.3)
+    parity = (c("needs_clarification_acceptance_rate") > 0) & (F.abs(c("needs_clarification_acceptance_rate") - c("suggested_acceptance_rate")) < 0.1)
+    up = lambda name, step, most: F.least(F.lit(most), c(name) + step)
+    down = lambda name, step, least: F.greatest(F.lit(least), c(name) - step)
+    rules = [
+        (match, "min_initiative_match_score", up("min_initiative_match_score", 0.05, 0.85), 0.8),
+        (match, "min_match_gap", up("min_match_gap", 0.05, 0.3), 0.7),
+        ((c("dismissal_rate") > 0.4) & of_dismissed("too_ambiguous", 0.3), "min_belief_confidence", up("min_belief_confidence", 0.05, 0.75), 0.75),
+        (of_dismissed("spam", 0.2), "max_comment_suggestions_per_initiative_per_meeting", down("max_comment_suggestions_per_initiative_per_meeting", 1.0, 1.0), 0.65),
+        ((c("acceptance_rate") > 0.8) & many, "min_belief_confidence", down("min_belief_confidence", 0.05, 0.5), 0.6),
+        (parity & many, "ambiguous_match_threshold", down("ambiguous_match_threshold", 0.05, 0.3), 0.55),
+    ]
+    rows = [
+        F.when(test, F.struct(F.lit(i).alias("place"), F.lit(name).alias("threshold"), c(name).alias("current_value"), F.round(to, 6).alias("recommended_value"), F.lit(sure).alias("confidence")))
+        for i, (test, name, to, sure) in enumerate(rules, 1)
+    ]
+    return s.select(*by, F.explode(F.array_compact(F.array(*rows))).alias("r")).select(*by, "r.*")
+
+
+def adjusted(recommended: DataFrame, by: list[str], at_least: float = 0.6) -> DataFrame:
+    """The new value of each threshold: of the recommendations that are sure enough the last one counts."""
+    sure = recommended.where(F.col("confidence") >= at_least)
+    return sure.groupBy(*by, "threshold").agg(F.max_by("recommended_value", "place").alias("new_value"))

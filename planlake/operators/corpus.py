@@ -151,6 +151,25 @@ def first_by_key(rows: DataFrame) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
 
 
+def best_by_structure(rows: DataFrame) -> DataFrame:
+    """Of rows with one structure the most confident stays, the first of equal ones.
+
+    A mutation's structure is its target, kind of change and new value; an artifact's is its title, owner (id, else name) and kind.
+    """
+    owner = F.coalesce(F.nullif("owner_id", F.lit("")), F.nullif("owner_name", F.lit("")), F.lit("unknown"))
+    mutation = F.concat_ws(":", F.lit("mutation"), F.coalesce("target_id", F.lit("")), F.coalesce("change_type", F.lit("")), F.coalesce("after", F.lit("")))
+    artifact = F.concat_ws(":", F.lit("artifact"), F.trim(F.lower("title")), owner, F.coalesce("artifact_kind", F.lit("")))
+    keyed = rows.withColumn("structure_key", F.when(F.col("type") == "PLAN_MUTATION", mutation).otherwise(artifact))
+    w = Window.partitionBy("structure_key").orderBy(F.desc("confidence"), "position")
+    return keyed.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
+
+
+def confident(rows: DataFrame, at_least: float, most: int, by: list[str]) -> DataFrame:
+    """Rows of `at_least` confidence, the best `most` of each `by`."""
+    w = Window.partitionBy(*by).orderBy(F.desc("confidence"), "position")
+    return rows.where(F.col("confidence") >= at_least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
 def suggestions_of(notes: DataFrame, most: int = 5) -> DataFrame:
     return capped(first_by_key(candidates(notes).where("drop_reason is null").drop("drop_reason")), most)
 

@@ -244,7 +244,8 @@ def once_shown(events: DataFrame) -> DataFrame:
 def scored(suggestions: DataFrame, scores: DataFrame) -> DataFrame:
     """Suggestions with their rule's score, 0 without one. Scores go to all tasks: one row for each rule and family."""
     s = scores.select(F.col("rule_or_prompt_id").alias("rule_key"), F.col("suggestion_family").alias("family_key"), "quality_score", "apply_rate", "dismiss_rate", "nhi", "clarification_rate")
-    rule, family = js_or_str(F.col("rule_or_prompt_id"), "unknown"), js_or_str(F.col("suggestion_family"), "general")
+    ids = ["rule_or_prompt_id", "model_version"] if "model_version" in suggestions.columns else ["rule_or_prompt_id"]
+    rule, family = F.coalesce(*(F.nullif(c, F.lit("")) for c in ids), F.lit("unknown")), js_or_str(F.col("suggestion_family"), "general")
     out = suggestions.withColumns({"rule_key": rule, "family_key": family}).join(s, ["rule_key", "family_key"], "left")
     return out.fillna(0.0, ["quality_score", "apply_rate", "dismiss_rate", "nhi", "clarification_rate"])
 

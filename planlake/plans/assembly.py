@@ -9,7 +9,7 @@ from planlake.operators import corpus as cp
 from planlake.plans import txt
 from planlake.plans.fixture_sql import over
 from planlake.plans.registry import query
-from planlake.plans.txt import LABEL, SENT, SIGNALS, noted
+from planlake.plans.txt import LABEL, SENT, SIGNALS
 from planlake.sources import fixtures as fx
 
 
@@ -17,20 +17,20 @@ def _sections(spark, d):
     return cp.sections(fx.notes(spark, d))
 
 
-def _signals(spark, d, rows=txt._tail):
-    return txt._signals(spark, d, rows).withColumn("section_id", F.col("note_id"))
+def _signals(spark, d):
+    return txt._signals(spark, d).withColumn("section_id", F.col("note_id"))
 
 
-@noted("u01_u02_coverage", over("notes", f"select note_id, sentence, label, source_order from (select *, row_number() over (partition by note_id, sentence, label = 'risk' order by source_order, label) as nth, max(label = 'project_update') over (partition by note_id, sentence) as upd from (select note_id, sentence, {LABEL} as label, case when confidence >= 0.75 then 0 else 1 end as source_order from g)) where nth = 1 and not (label = 'risk' and upd)", x=SENT, g=SIGNALS))
-def _(spark, d, rows=txt._tail):
-    s = _signals(spark, d, rows).select("note_id", "section_id", "sentence", "label", "confidence")
+@query("u01_u02_coverage", over("notes", f"select note_id, sentence, label, source_order from (select *, row_number() over (partition by note_id, sentence, label = 'risk' order by source_order, label) as nth, max(label = 'project_update') over (partition by note_id, sentence) as upd from (select note_id, sentence, {LABEL} as label, case when confidence >= 0.75 then 0 else 1 end as source_order from g)) where nth = 1 and not (label = 'risk' and upd)", x=SENT, g=SIGNALS))
+def _(spark, d):
+    s = _signals(spark, d).select("note_id", "section_id", "sentence", "label", "confidence")
     c = asm.in_order(s.where("confidence >= 0.75"), s.where("confidence < 0.75"))
     return asm.uncovered(c).select("note_id", "sentence", "label", "source_order")
 
 
-@noted("u03_best_signals", over("notes", f"select note_id, sentence, {LABEL} as label, max(confidence) as confidence from g group by 1, 2, 3", x=SENT, g=SIGNALS))
-def _(spark, d, rows=txt._tail):
-    return cp.best_signals(_signals(spark, d, rows)).select("note_id", "sentence", "label", "confidence")
+@query("u03_best_signals", over("notes", f"select note_id, sentence, {LABEL} as label, max(confidence) as confidence from g group by 1, 2, 3", x=SENT, g=SIGNALS))
+def _(spark, d):
+    return cp.best_signals(_signals(spark, d)).select("note_id", "sentence", "label", "confidence")
 
 
 @query("u08_derivative_sections")
@@ -62,11 +62,11 @@ def _(spark, d):
     return asm.evidence_spans(lines.withColumn("line_type", tc.line_type(F.col("line")))).select("section_id", "start_line", "end_line", "text")
 
 
-@noted("t16_display_titles", over("notes", r"select note_id, case when length(t) <= 30 then t else regexp_replace(substr(t, 1, 29), '\s+\S*$', '') || '…' end as title from (select note_id, upper(substr(c, 1, 1)) || substr(c, 2) as t from (select note_id, regexp_replace(regexp_replace(trim('Idea: ' || s), '(?i)^(new idea|idea|project update|update|risk|bug)\s*:\s*', ''), '[.!?]+$', '') as c from x))", x=SENT))
-def _(spark, d, rows=txt._tail):
-    return rows(spark, d).select("note_id", asm.display_title(F.concat(F.lit("Idea: "), "s"), 30).alias("title"))
+@query("t16_display_titles", over("notes", r"select note_id, case when length(t) <= 30 then t else regexp_replace(substr(t, 1, 29), '\s+\S*$', '') || '…' end as title from (select note_id, upper(substr(c, 1, 1)) || substr(c, 2) as t from (select note_id, regexp_replace(regexp_replace(trim('Idea: ' || s), '(?i)^(new idea|idea|project update|update|risk|bug)\s*:\s*', ''), '[.!?]+$', '') as c from x))", x=SENT))
+def _(spark, d):
+    return txt._lines(spark, d).select("note_id", asm.display_title(F.concat(F.lit("Idea: "), "s"), 30).alias("title"))
 
 
-@noted("k03_capped", over("notes", f"select note_id, least(count(*), 2) as shown, count(*) > 2 as trimmed from g group by 1", x=SENT, g=SIGNALS))
-def _(spark, d, rows=txt._tail):
-    return cp.capped(_signals(spark, d, rows), 2).groupBy("note_id").agg(F.count(F.lit(1)).alias("shown"), F.max("trimmed").alias("trimmed"))
+@query("k03_capped", over("notes", f"select note_id, least(count(*), 2) as shown, count(*) > 2 as trimmed from g group by 1", x=SENT, g=SIGNALS))
+def _(spark, d):
+    return cp.capped(_signals(spark, d), 2).groupBy("note_id").agg(F.count(F.lit(1)).alias("shown"), F.max("trimmed").alias("trimmed"))

@@ -69,9 +69,27 @@ def _(spark, d):
     return bl.invariants(b, bl.decisions(b))
 
 
-@query("w06_rate_caps")
+CAPPED = """select *, row_number() over (partition by meeting_id, initiative_id, action order by priority desc, suggestion_id) as rank, case action when 'comment' then 3 when 'mutate_release_date' then 1 else 5 end as most from (
+ select 'm' || (u % 20) as meeting_id, case when k = 6 then 'unscoped' else 'i' || (u % 3) end as initiative_id, (['comment', 'mutate_release_date', 'flag'])[k % 3 + 1] as action, suggestion_id, ((u * 7 + k * 3) % 20) / 20 as priority,
+  case when u % 5 = 0 then 'Multiple meetings' else 'Body ' || suggestion_id end as body, ['b' || (u % 4), suggestion_id] as ids, u % 5 as start_char from (select suggestion_id, substr(note_id, 2)::bigint as u, split_part(suggestion_id, '_', 2)::bigint as k from suggestions))"""
+W06 = """select r.meeting_id, r.initiative_id, r.action, r.suggestion_id, r.rank::int as rank, round(case when o.n > 0 then least(1.0, r.priority + 0.05 * o.n) else r.priority end, 6)::double as priority,
+ case when r.action = 'comment' and not contains(r.body, 'Multiple meetings') then repeat('Ongoing: ', coalesce(o.n, 0)::bigint) else '' end || r.body as body,
+ array_to_string(list_sort(case when o.n > 0 then list_distinct(list_concat(r.ids, o.ids)) else r.ids end), ',') as belief_ids, case when o.n > 0 then len(list_distinct(list_concat([r.start_char], o.starts))) else 1 end::int as n_spans
+ from r left join (select meeting_id, initiative_id, action, count(*) as n, flatten(list(ids)) as ids, list(start_char) as starts from r where rank > most group by 1, 2, 3) o on r.rank = 1 and r.meeting_id = o.meeting_id and r.initiative_id = o.initiative_id and r.action = o.action where r.rank <= r.most"""
+
+
+@query("w06_rate_caps", over("suggestions", W06, r=CAPPED))
 def _(spark, d):
-    return bl.capped_suggestions(bl.decisions(_beliefs(spark, d)), {"comment": 3, "change_date": 1})
+    u, k = F.substring("note_id", 2, 20).cast("bigint"), F.element_at(F.split("suggestion_id", "_"), 2).cast("bigint")
+    c = F.col("u") % 5
+    s = fx.suggestions(spark, d).select("suggestion_id", u.alias("u"), k.alias("k")).select(
+        F.concat(F.lit("m"), (F.col("u") % 20).cast("string")).alias("meeting_id"), F.when(F.col("k") != 6, F.concat(F.lit("i"), (F.col("u") % 3).cast("string"))).alias("initiative_id"),
+        F.element_at(F.array(*map(F.lit, ("comment", "mutate_release_date", "flag"))), (F.col("k") % 3 + 1).cast("int")).alias("action"), "suggestion_id",
+        ((F.col("u") * 7 + F.col("k") * 3) % 20 / 20).alias("priority"), F.when(c == 0, "Multiple meetings").otherwise(F.concat(F.lit("Body "), "suggestion_id")).alias("body"),
+        F.array(F.concat(F.lit("b"), (F.col("u") % 4).cast("string")), F.col("suggestion_id")).alias("belief_ids"), F.array(F.struct(c.alias("start_char"))).alias("spans"),
+    )
+    out = bl.capped_suggestions(s, {"comment": 3, "mutate_release_date": 1})
+    return out.select("meeting_id", "initiative_id", "action", "suggestion_id", "rank", F.round("priority", 6).alias("priority"), "body", F.array_join(F.array_sort("belief_ids"), ",").alias("belief_ids"), F.size("spans").alias("n_spans"))
 
 
 @query("j12_initiative_mapping", "select vec_id, case when a >= 0.7 and a - b >= 0.2 then 'x' when b >= 0.7 and b - a >= 0.2 then 'y' end as initiative_id from (select vec_id, (vec_id % 10) / 10 as a, (vec_id % 7) / 10 as b from embeddings)")
@@ -110,6 +128,60 @@ def _(spark, d):
     return bl.quick_accepts(fx.feedback_events(spark, d))
 
 
-@query("m25_recommendations")
+#: Feedback and suggestions with the columns of the feedback jobs: half of the dismissals of a rule share one reason.
+FB = """select suggestion_id, action as event_action, time_to_action_seconds as t, case when action = 'dismissed' then case when event_id % 2 = 0 then (['wrong_initiative', 'too_ambiguous', 'spam', 'other'])[split_part(suggestion_id, '_', 2)::int % 4 + 1] else 'duplicate' end end as reason from feedback_events"""
+SG = """select suggestion_id, coalesce(rule_or_prompt_id, 'unknown') as rule, split_part(suggestion_id, '_', 2) as part, case suggestion_family when 'project_update' then 'mutate_release_date' else 'comment' end as action,
+ case clarification_state when 'none' then 'suggested' when 'answered' then 'answered' else 'needs_clarification' end as status from suggestions"""
+STATS = "select rule, part, count(*) as total_suggestions, " + ", ".join(f"sum({a})::bigint as total_{a}" for a in ("accepted", "dismissed", "edited")) + """, sum(accepted) / count(*) as acceptance_rate, sum(dismissed) / count(*) as dismissal_rate, sum(edited) / count(*) as edit_rate, coalesce(sum(seconds) / nullif(sum(timed), 0), 0) as mean_seconds,
+ """ + ", ".join(f"coalesce(sum(accepted) filter (where {c} = '{v}') / nullif(count(*) filter (where {c} = '{v}'), 0), 0) as {n}_acceptance_rate" for c, v, n in (("action", "comment", "comment"), ("action", "mutate_release_date", "release_date"), ("status", "suggested", "suggested"), ("status", "needs_clarification", "needs_clarification"))) + ", " + ", ".join(f"sum({r})::bigint as {r}" for r in bl.REASONS) + """
+ from (select sg.*, """ + ", ".join(f"coalesce({c}, 0) as {c}" for c in ("accepted", "dismissed", "edited", "seconds", "timed", *bl.REASONS)) + " from sg left join (select suggestion_id, " + ", ".join(f"count(*) filter (where event_action = '{a}') as {a}" for a in ("accepted", "dismissed", "edited")) + ", sum(t) as seconds, count(t) as timed, " + ", ".join(f"count(*) filter (where reason = '{r}') as {r}" for r in bl.REASONS) + " from fb group by 1) e using (suggestion_id)) group by 1, 2"
+_T = {k: f"{v}::double" for k, v in bl.THRESHOLDS.items()}
+_COMMENTS = "max_comment_suggestions_per_initiative_per_meeting"
+_RULES = [
+    ("dismissal_rate > 0.4 and wrong_initiative > total_dismissed * 0.3", "min_initiative_match_score", "least(0.85, {0} + 0.05)", 0.8),
+    ("dismissal_rate > 0.4 and wrong_initiative > total_dismissed * 0.3", "min_match_gap", "least(0.3, {0} + 0.05)", 0.7),
+    ("dismissal_rate > 0.4 and too_ambiguous > total_dismissed * 0.3", "min_belief_confidence", "least(0.75, {0} + 0.05)", 0.75),
+    ("spam > total_dismissed * 0.2", _COMMENTS, "greatest(1, {0} - 1)", 0.65),
+    ("acceptance_rate > 0.8 and total_suggestions >= 20", "min_belief_confidence", "greatest(0.5, {0} - 0.05)", 0.6),
+    ("needs_clarification_acceptance_rate > 0 and abs(needs_clarification_acceptance_rate - suggested_acceptance_rate) < 0.1 and total_suggestions >= 20", "ambiguous_match_threshold", "greatest(0.3, {0} - 0.05)", 0.55),
+]
+RECOMMENDED = " union all ".join(f"select {{by}}, {i} as place, '{n}' as threshold, {_T[n]} as current_value, round({to.format(_T[n])}, 6)::double as recommended_value, {sure}::double as confidence from st where {test}" for i, (test, n, to, sure) in enumerate(_RULES, 1))
+
+
+def _feedback(spark, d, by):
+    part = F.element_at(F.split("suggestion_id", "_"), 2)
+    reasons = F.array(*map(F.lit, ("wrong_initiative", "too_ambiguous", "spam", "other")))
+    reason = F.when(F.col("event_id") % 2 == 0, F.element_at(reasons, part.cast("int") % 4 + 1)).otherwise("duplicate")
+    fb = fx.feedback_events(spark, d).withColumn("dismiss_reason", F.when(F.col("action") == "dismissed", reason))
+    state = F.col("clarification_state")
+    s = fx.suggestions(spark, d).select(
+        "suggestion_id", F.coalesce("rule_or_prompt_id", F.lit("unknown")).alias("rule"), part.alias("part"), F.when(F.col("suggestion_family") == "project_update", "mutate_release_date").otherwise("comment").alias("action"),
+        F.when(state == "none", "suggested").when(state == "answered", "answered").otherwise("needs_clarification").alias("status"),
+    )
+    return bl.feedback_breakdown(fb, s, by)
+
+
+def _thresholds(spark):
+    return spark.createDataFrame([tuple(bl.THRESHOLDS.values())], list(bl.THRESHOLDS))
+
+
+_RATES = ["acceptance_rate", "dismissal_rate", "edit_rate", "mean_seconds", "comment_acceptance_rate", "release_date_acceptance_rate", "suggested_acceptance_rate", "needs_clarification_acceptance_rate"]
+_COUNTS = ["total_suggestions", "total_accepted", "total_dismissed", "total_edited", *bl.REASONS]
+
+
+@query("m14_feedback_breakdown", over("feedback_events suggestions", "select rule, part, " + ", ".join(_COUNTS) + ", " + ", ".join(f"round({c}, 6)::double as {c}" for c in _RATES) + " from st", fb=FB, sg=SG, st=STATS))
+def _(spark, d):
+    return _feedback(spark, d, ["rule", "part"]).select("rule", "part", *_COUNTS, *(F.round(c, 6).alias(c) for c in _RATES))
+
+
+_PART = STATS.replace("select rule, part, count", "select part, count").replace("group by 1, 2", "group by 1")
+
+
+@query("m25_recommendations", over("feedback_events suggestions", RECOMMENDED.format(by="part"), fb=FB, sg=SG, st=_PART))
+def _(spark, d):
+    return bl.recommendations(_feedback(spark, d, ["part"]), _thresholds(spark), ["part"])
+
+
+@query("m25_adjusted_thresholds", over("feedback_events suggestions", "select part, threshold, arg_max(recommended_value, place) as new_value from r where confidence >= 0.6 group by 1, 2", fb=FB, sg=SG, st=_PART, r=RECOMMENDED.format(by="part")))
 def _(spark, d):
-    return bl.recommendations(bl.feedback_stats(fx.feedback_events(spark, d)))
+    return bl.adjusted(bl.recommendations(_feedback(spark, d, ["part"]), _thresholds(spark), ["part"]), ["part"])

@@ -121,6 +121,13 @@ def _(spark, d):
     return m.scored(fx.suggestions(spark, d), _scores(spark, d)).select("suggestion_id", "quality_score", "apply_rate", "nhi")
 
 
+@query("j02_model_fallback", over("suggestions", JOINED.replace("coalesce(nullif(x.rule_or_prompt_id, ''), 'unknown')", "coalesce(nullif(x.rule_or_prompt_id, ''), 'rule' || (substr(x.note_id, 2)::bigint % 20))"), scores=SCORES))
+def _(spark, d):
+    """Suggestions without a rule take the scores of the model version that made them."""
+    s = fx.suggestions(spark, d).withColumn("model_version", F.concat(F.lit("rule"), (F.substring("note_id", 2, 20).cast("bigint") % 20).cast("string")))
+    return m.scored(s, _scores(spark, d)).select("suggestion_id", "quality_score", "apply_rate", "nhi")
+
+
 @query(
     "j06_first_shown_latency",
     over(

@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from planlake.functions import lexicon as lx
+from planlake.functions import textcols as tc
 from planlake.operators import corpus as cp
 from planlake.operators import intent as it
 from planlake.plans import txt
 from planlake.plans.fixture_sql import over
 from planlake.plans.registry import query
-from planlake.plans.txt import SENT, any_of, has, noted
+from planlake.plans.txt import HASH, SENT, any_of, has
 from planlake.sources import fixtures as fx
 from planlake.sources import tables
 from planlake.streaming import jobs
@@ -42,10 +43,10 @@ PLAIN = "greatest(" + ", ".join([V(f"{_holds('l', lx.REQUEST_STEMS)} and {VERB}"
 SCORE = f"select note_id, s, case when {_holds('l', lx.NEGATIONS)} and {VERB} then 0.0 else least(1.0, h + case when h >= 0.6 and {_holds('l', lx.PRODUCT_NOUNS)} then 0.2 else 0.0 end) end::double as score, (case when {_marked('l', lx.CALENDAR)} or {_marked('l', lx.COMMUNICATION)} then 0.6 when {_marked('l', lx.MICRO_TASKS)} then 0.4 else 0.0 end)::double as oos from (select *, greatest({PLAIN}, {V(_holds('l', lx.HEDGED), 0.9)}) as h from (select note_id, s, lower(s) as l from x))"
 
 
-@noted("c04_sentence_scores", over("notes", SCORE, x=SENT))
-def _(spark, d, rows=txt._tail):
+@query("c04_sentence_scores", over("notes", SCORE, x=SENT))
+def _(spark, d):
     line = it.plain_line(F.col("s"))
-    return rows(spark, d).select("note_id", "s", it.sentence_scores(line)["score"].alias("score"), it.out_of_scope(line)["oos"].alias("oos"))
+    return txt._lines(spark, d).select("note_id", "s", it.sentence_scores(line)["score"].alias("score"), it.out_of_scope(line)["oos"].alias("oos"))
 
 
 def _sections(spark, d):
@@ -74,10 +75,10 @@ def _count(words):
 CON = "(" + " + ".join(f"contains(lower(s), '{w}')::int" for w in lx.CONSTRUCTS) + ")"
 
 
-@noted("c10_idea_tokens", over("notes", f"select note_id, a + b + c * 2 as total, a + b + c * 2 >= 2 and (a > 0 or c > 0) and (b > 0 or c > 0) as passes from (select note_id, {_count(lx.STRATEGY)} as a, {_count(lx.MECHANISMS)} as b, {CON} as c from x)", x=SENT))
-def _(spark, d, rows=txt._tail):
+@query("c10_idea_tokens", over("notes", f"select note_id, a + b + c * 2 as total, a + b + c * 2 >= 2 and (a > 0 or c > 0) and (b > 0 or c > 0) as passes from (select note_id, {_count(lx.STRATEGY)} as a, {_count(lx.MECHANISMS)} as b, {CON} as c from x)", x=SENT))
+def _(spark, d):
     c = it.idea_tokens(F.col("s"))
-    return rows(spark, d).select("note_id", c["total"].alias("total"), c["passes"].alias("passes"))
+    return txt._lines(spark, d).select("note_id", c["total"].alias("total"), c["passes"].alias("passes"))
 
 
 @query("c10_semantic_ideas")
@@ -93,14 +94,14 @@ def _(spark, d):
     return it.structural_ideas(s, s.where(F.substring("section_id", 2, 20).cast("bigint") % 3 == 0))
 
 
-@noted("t17_modality", over("notes", "select note_id, round(greatest(-1.0, least(1.0, 0.4 * (" + " + ".join(f"{has('s', p)}::int" for p in lx.ASSERTIVE) + ") - 0.5 * (" + " + ".join(f"{has('s', p)}::int" for p in lx.SPECULATIVE) + "))), 6)::double as modality from x", x=SENT))
-def _(spark, d, rows=txt._tail):
-    return rows(spark, d).select("note_id", it.modality(F.col("s")).alias("modality"))
+@query("t17_modality", over("notes", "select note_id, round(greatest(-1.0, least(1.0, 0.4 * (" + " + ".join(f"{has('s', p)}::int" for p in lx.ASSERTIVE) + ") - 0.5 * (" + " + ".join(f"{has('s', p)}::int" for p in lx.SPECULATIVE) + "))), 6)::double as modality from x", x=SENT))
+def _(spark, d):
+    return txt._lines(spark, d).select("note_id", it.modality(F.col("s")).alias("modality"))
 
 
-@noted("w05_ranking_delta", over("notes", f"select note_id, round({V(has('s', lx.ARTIFACTS), 0.15)} + {V(has('s', lx.BUILD_VERBS), 0.1)} - {V(has('s', lx.MARKETING), 0.15)}, 6)::double as delta from x", x=SENT))
-def _(spark, d, rows=txt._tail):
-    return rows(spark, d).select("note_id", it.ranking_delta(F.col("s")).alias("delta"))
+@query("w05_ranking_delta", over("notes", f"select note_id, round({V(has('s', lx.ARTIFACTS), 0.15)} + {V(has('s', lx.BUILD_VERBS), 0.1)} - {V(has('s', lx.MARKETING), 0.15)}, 6)::double as delta from x", x=SENT))
+def _(spark, d):
+    return txt._lines(spark, d).select("note_id", it.ranking_delta(F.col("s")).alias("delta"))
 
 
 @query("t24_blended_scores", over("notes", "select note_id as section_id, round(case when c < 0.3 then r else 0.9 * least(0.8, c) + r * (1 - least(0.8, c)) end, 6)::double as plan_change from (select note_id, (doc_id % 10) / 10 as c, (doc_id % 7) / 10 as r from notes)"))
@@ -150,39 +151,39 @@ KIND = f"case when dim <> 'timeline' then 'pure_commentary' when k < 0.4 then 't
 BEL = f"select note_id as belief_id, s, doc_id, {KIND} as kind from (select *, case when doc_id % 5 = 0 then 'scope' else 'timeline' end as dim, {LIKE} as k, doc_id % 2 = 1 as pos, doc_id % 6 = 0 as dated from x)"
 
 
-def _beliefs(spark, d, rows=txt._tail):
+def _beliefs(spark, d):
     i = F.col("doc_id")
     like = F.when(i % 4 == 1, 0.2).when(i % 4 == 2, 0.5).when(i % 4 == 3, 0.9)
     kind = it.implication(F.col("s"), F.when(i % 5 == 0, "scope").otherwise("timeline"), like, i % 2 == 1, i % 6 == 0)
-    return rows(spark, d).select(F.col("note_id").alias("belief_id"), "s", "doc_id", kind.alias("kind"))
+    return txt._lines(spark, d).select(F.col("note_id").alias("belief_id"), "s", "doc_id", kind.alias("kind"))
 
 
-@noted("b06_implications", over("notes", "select belief_id, s, kind from b", x=SENT, b=BEL))
-def _(spark, d, rows=txt._tail):
-    return _beliefs(spark, d, rows).select("belief_id", "s", "kind")
+@query("b06_implications", over("notes", "select belief_id, s, kind from b", x=SENT, b=BEL))
+def _(spark, d):
+    return _beliefs(spark, d).select("belief_id", "s", "kind")
 
 
-@noted("b07_fan_out", over("notes", "select belief_id, 'comment' as action, null::int as delta_days, false as needs_clarification from b union all select belief_id, 'change_date', case when doc_id % 3 = 0 then null else (doc_id % 200)::int end, coalesce(case when doc_id % 3 = 0 then null else doc_id % 200 end > 90, true) from b where kind in ('timeline_risk', 'timeline_pull_in') and doc_id % 7 <> 0", x=SENT, b=BEL))
-def _(spark, d, rows=txt._tail):
+@query("b07_fan_out", over("notes", "select belief_id, 'comment' as action, null::int as delta_days, false as needs_clarification from b union all select belief_id, 'change_date', case when doc_id % 3 = 0 then null else (doc_id % 200)::int end, coalesce(case when doc_id % 3 = 0 then null else doc_id % 200 end > 90, true) from b where kind in ('timeline_risk', 'timeline_pull_in') and doc_id % 7 <> 0", x=SENT, b=BEL))
+def _(spark, d):
     i = F.col("doc_id")
-    b = _beliefs(spark, d, rows).withColumns({"refers_to_date": i % 7 != 0, "delta_days": F.when(i % 3 != 0, i % 200)})
+    b = _beliefs(spark, d).withColumns({"refers_to_date": i % 7 != 0, "delta_days": F.when(i % 3 != 0, i % 200)})
     return it.fan_out(b)
 
 
-@noted("b08_scores", over("notes", "select belief_id, s, round(least(1.0, case when c < 0.6 then 0.3 else 0 end + case when imp = 'low' then 0.2 else 0 end + case when length(s) < 20 then 0.2 else 0 end + case when kind = 'timeline_uncertain' then 0.15 else 0 end), 6)::double as spam, round(least(1.0, (case imp when 'low' then 0.2 when 'high' then 0.8 when 'critical' then 1.0 else 0.5 end + c * 0.5 + 0.2) / 1.7), 6)::double as priority from (select *, (doc_id % 10) / 10 as c, (['low', 'medium', 'high', 'critical'])[doc_id % 4 + 1] as imp from b)", x=SENT, b=BEL))
-def _(spark, d, rows=txt._tail):
+@query("b08_scores", over("notes", "select belief_id, s, round(least(1.0, case when c < 0.6 then 0.3 else 0 end + case when imp = 'low' then 0.2 else 0 end + case when length(s) < 20 then 0.2 else 0 end + case when kind = 'timeline_uncertain' then 0.15 else 0 end), 6)::double as spam, round(least(1.0, (case imp when 'low' then 0.2 when 'high' then 0.8 when 'critical' then 1.0 else 0.5 end + c * 0.5 + 0.2) / 1.7), 6)::double as priority from (select *, (doc_id % 10) / 10 as c, (['low', 'medium', 'high', 'critical'])[doc_id % 4 + 1] as imp from b)", x=SENT, b=BEL))
+def _(spark, d):
     c, imp = F.col("doc_id") % 10 / 10, fx.pick(["low", "medium", "high", "critical"], F.col("doc_id") % 4)
-    return _beliefs(spark, d, rows).select("belief_id", "s", it.spam_score(c, imp, F.col("s"), F.col("kind")).alias("spam"), it.priority_score(c, imp).alias("priority"))
+    return _beliefs(spark, d).select("belief_id", "s", it.spam_score(c, imp, F.col("s"), F.col("kind")).alias("spam"), it.priority_score(c, imp).alias("priority"))
 
 
-@query("w07_priority_order", over("notes", "select belief_id, s, row_number() over (order by (doc_id % 10) desc, doc_id % 3, doc_id, s) as place from b where doc_id % 50 = 0", x=SENT, b=BEL))
+@query("w07_priority_order", over("notes", "select belief_id, s, row_number() over (partition by initiative order by p desc, spam, s, belief_id) as place from (select *, doc_id // 20 as initiative, (doc_id % 10) as p, doc_id % 3 as spam from b)", x=SENT, b=BEL))
 def _(spark, d):
-    """A short list in display order: the best priority first, less spam first among equals."""
+    """The beliefs of each initiative in display order: the best priority first, less spam first among equals."""
     from pyspark.sql import Window
 
-    b = _beliefs(spark, d).where("doc_id % 50 = 0")
-    order = Window.orderBy(F.desc(F.col("doc_id") % 10), F.col("doc_id") % 3, "doc_id", "s")
-    return b.select("belief_id", "s", F.row_number().over(order).alias("place"))
+    i = F.col("doc_id")
+    order = Window.partitionBy(F.floor(i / 20)).orderBy(F.desc(i % 10), i % 3, "s", "belief_id")
+    return _beliefs(spark, d).select("belief_id", "s", F.row_number().over(order).alias("place"))
 
 
 @query("m15_version_counts", over("suggestions", "select v as version, count(distinct note_id) as notes, count(*) as suggestions, round(count(*) / count(distinct note_id), 6) as per_note, round(count(*) filter (where status = 'applied') / count(*), 6) as acceptance_rate, count(*) filter (where clarification_state in ('suggested', 'requested')) as needs_clarification from (select *, 'v' || (note_version_at_creation % 2 + 1) as v from suggestions) group by 1"))
@@ -192,9 +193,38 @@ def _(spark, d):
     return s.groupBy("version").agg(notes.alias("notes"), n.alias("suggestions"), F.round(n / notes, 6).alias("per_note"), F.round(F.count_if(F.col("status") == "applied") / n, 6).alias("acceptance_rate"), F.count_if(F.col("clarification_state").isin("suggested", "requested")).alias("needs_clarification"))
 
 
-@noted("u06_fingerprint_duplicates", over("notes", "select h, n from (select s as h, count(*) as n from x group by 1) where n > 1", x=SENT))
-def _(spark, d, rows=txt._tail):
-    return rows(spark, d).groupBy(F.col("s").alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+FINGER = HASH.format(r"substr(trim(regexp_replace(regexp_replace(lower('idea::' || s || '::'), '\s+', ' ', 'g'), '[^A-Za-z0-9_ :]', '', 'g')), 1, 200)", 31, 0)
+
+
+@query("u06_fingerprint_duplicates", over("notes", f"select h, count(*) as n from (select case when v >= 2147483648 then v - 4294967296 else v end as h from (select {FINGER} as v from x)) group by 1 having count(*) > 1", x=SENT))
+def _(spark, d):
+    """Fingerprints of several lines, as numbers: DuckDB has no base-36 text of negative ones."""
+    f = tc.fingerprint(F.lit("idea"), F.col("s"), F.lit(""))
+    number = F.conv(F.replace(f, F.lit("-"), F.lit("")), 36, 10).cast("bigint")
+    h = F.when(F.startswith(f, F.lit("-")), -number).otherwise(number)
+    return txt._lines(spark, d).groupBy(h.alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+_STRUCTURE = "select suggestion_id, note_id, case when k % 2 = 0 then 'mutation:' || coalesce(initiative_id, '') || ':' || coalesce(suggestion_family, '') || ':' || status else 'artifact:' || lower(trim(' Title ' || (u % 9) || ' ')) || ':' || coalesce(nullif(rule_or_prompt_id, ''), 'unknown') || ':' || coalesce(suggestion_family, '') end as structure_key, coalesce(model_confidence_score, 0.5)::double as confidence from (select *, substr(note_id, 2)::bigint as u, split_part(suggestion_id, '_', 2)::bigint as k from suggestions)"
+
+
+def _structured(spark, d):
+    u, k = F.substring("note_id", 2, 20).cast("bigint"), F.element_at(F.split("suggestion_id", "_"), 2).cast("bigint")
+    return fx.suggestions(spark, d).select(
+        "suggestion_id", "note_id", F.when(k % 2 == 0, "PLAN_MUTATION").otherwise("EXECUTION_ARTIFACT").alias("type"), F.col("initiative_id").alias("target_id"), F.col("suggestion_family").alias("change_type"), F.col("status").alias("after"),
+        F.concat(F.lit(" Title "), (u % 9).cast("string"), F.lit(" ")).alias("title"), F.lit("").alias("owner_id"), F.col("rule_or_prompt_id").alias("owner_name"), F.col("suggestion_family").alias("artifact_kind"),
+        F.coalesce("model_confidence_score", F.lit(0.5)).alias("confidence"), F.col("suggestion_id").alias("position"),
+    )
+
+
+@query("u05_best_by_structure", over("suggestions", "select structure_key, suggestion_id, confidence from (select *, row_number() over (partition by structure_key order by confidence desc, suggestion_id) as r from x) where r = 1", x=_STRUCTURE))
+def _(spark, d):
+    return cp.best_by_structure(_structured(spark, d)).select("structure_key", "suggestion_id", "confidence")
+
+
+@query("k05_confident_capped", over("suggestions", "select note_id, suggestion_id, confidence, rank::int as rank from (select *, row_number() over (partition by note_id order by confidence desc, suggestion_id) as rank from x where confidence >= 0.5) where rank <= 3", x=_STRUCTURE))
+def _(spark, d):
+    return cp.confident(_structured(spark, d), 0.5, 3, ["note_id"]).select("note_id", "suggestion_id", "confidence", "rank")
 
 
 @query("s01_typed_load", over("suggestion_events", "select event_id, event_type in ('generated', 'shown', 'applied', 'dismissed', 'clarification_requested', 'clarification_answered') and coalesce(dismiss_reason <> 'too_generic', true) as good from suggestion_events"))

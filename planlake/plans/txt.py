@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from planlake.functions import lexicon as lx
@@ -29,15 +27,8 @@ def any_of(c: str, patterns: list[str]) -> str:
 
 TITLE = r"substr(trim(regexp_replace(regexp_replace(trim(lower({0})), '[^A-Za-z0-9_\s]', '', 'g'), '\s+', ' ', 'g')), 1, 120)"
 HASH = "list_reduce(list_transform(string_split({0}, ''), lambda c: ascii(c)::bigint), lambda h, c: (h * {1} + c) & 4294967295, {2}::bigint)"
-LAST = r"string_split(body, chr(10))[-1]"
-#: The last lines of a note hold its fixed sentences: heading, sentence and two list items.
-TAIL = "unnest(list_transform(list_filter(string_split(body, chr(10))[-3:], lambda x: x <> ''), lambda x: regexp_replace(x, '^- ', '')))"
-
-
-def _tail(spark, d):
-    """note_id and each of the three last lines, without list marks."""
-    lines = F.filter(F.slice(F.split("body", "\n"), -3, 3), lambda x: x != "")
-    return fx.notes(spark, d).select("note_id", "doc_id", F.explode(F.transform(lines, lambda x: F.regexp_replace(x, "^- ", ""))).alias("s"))
+#: Each line of the whole body that is not empty, without list marks.
+LINES = "unnest(list_transform(list_filter(string_split(body, chr(10)), lambda x: x <> ''), lambda x: regexp_replace(x, '^- ', '')))"
 
 
 def _lines(spark, d):
@@ -46,19 +37,7 @@ def _lines(spark, d):
     return fx.notes(spark, d).select("note_id", "doc_id", F.explode(F.transform(lines, lambda x: F.regexp_replace(x, "^- ", ""))).alias("s"))
 
 
-SENT = f"select note_id, doc_id, {TAIL} as s from notes"
-WHOLE = SENT.replace("[-3:]", "")
-
-
-def noted(name, sql):
-    """Registers a query over the last lines of each note, and as NAME_whole over all lines of its body."""
-
-    def keep(f):
-        query(name, sql)(f)
-        query(f"{name}_whole", sql.replace(SENT, WHOLE))(partial(f, rows=_lines))
-        return f
-
-    return keep
+SENT = f"select note_id, doc_id, {LINES} as s from notes"
 
 
 @query("t01_newlines", over("notes", r"select note_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '^(?:[ \t]*\n)+', ''), '\s+$', '')) as h from notes"))
@@ -66,30 +45,30 @@ def _(spark, d):
     return fx.notes(spark, d).select("note_id", F.md5(tc.normalised_newlines(F.col("body"))).alias("h"))
 
 
-@noted("t02_comparison_form", over("notes", r"select note_id, trim(regexp_replace(regexp_replace(lower(s), '\s+', ' ', 'g'), '[^A-Za-z0-9_ ]', '', 'g')) as form from x", x=SENT))
-def _(spark, d, rows=_tail):
-    return rows(spark, d).select("note_id", tc.comparison_form(F.col("s")).alias("form"))
+@query("t02_comparison_form", over("notes", r"select note_id, trim(regexp_replace(regexp_replace(lower(s), '\s+', ' ', 'g'), '[^A-Za-z0-9_ ]', '', 'g')) as form from x", x=SENT))
+def _(spark, d):
+    return _lines(spark, d).select("note_id", tc.comparison_form(F.col("s")).alias("form"))
 
 
-@noted("t03_suggestion_key", over("notes", f"select note_id, {TITLE.format('s')} as title_form, sha1(note_id || '|sec|idea|' || {TITLE.format('s')}) as suggestion_key from x", x=SENT))
-def _(spark, d, rows=_tail):
-    return rows(spark, d).select("note_id", tc.title_form(F.col("s")).alias("title_form"), tc.suggestion_key(F.col("note_id"), F.lit("sec"), F.lit("idea"), F.col("s")).alias("suggestion_key"))
+@query("t03_suggestion_key", over("notes", f"select note_id, {TITLE.format('s')} as title_form, sha1(note_id || '|sec|idea|' || {TITLE.format('s')}) as suggestion_key from x", x=SENT))
+def _(spark, d):
+    return _lines(spark, d).select("note_id", tc.title_form(F.col("s")).alias("title_form"), tc.suggestion_key(F.col("note_id"), F.lit("sec"), F.lit("idea"), F.col("s")).alias("suggestion_key"))
 
 
 NORM = r"substr(trim(regexp_replace(regexp_replace(lower('idea::' || s || '::' || note_id), '\s+', ' ', 'g'), '[^A-Za-z0-9_ :]', '', 'g')), 1, 200)"
 
 
-@noted("t04_fingerprint", over("notes", "select note_id, h from (select note_id, case when v >= 2147483648 then v - 4294967296 else v end as h from (select note_id, " + HASH.format(NORM, 31, 0) + " as v from x))", x=SENT))
-def _(spark, d, rows=_tail):
+@query("t04_fingerprint", over("notes", "select note_id, h from (select note_id, case when v >= 2147483648 then v - 4294967296 else v end as h from (select note_id, " + HASH.format(NORM, 31, 0) + " as v from x))", x=SENT))
+def _(spark, d):
     """Held against SQL in base 10; DuckDB has no base-36 text of negative numbers."""
     f = tc.fingerprint(F.lit("idea"), F.col("s"), F.col("note_id"))
     number = F.conv(F.replace(f, F.lit("-"), F.lit("")), 36, 10).cast("bigint")
-    return rows(spark, d).select("note_id", F.when(F.startswith(f, F.lit("-")), -number).otherwise(number).alias("h"))
+    return _lines(spark, d).select("note_id", F.when(F.startswith(f, F.lit("-")), -number).otherwise(number).alias("h"))
 
 
-@noted("t05_djb2", over("notes", f"select note_id, lpad(lower(to_hex({HASH.format('s', 33, 5381)})), 8, '0') as h from x", x=SENT))
-def _(spark, d, rows=_tail):
-    return rows(spark, d).select("note_id", djb2(F.col("s")).alias("h"))
+@query("t05_djb2", over("notes", f"select note_id, lpad(lower(to_hex({HASH.format('s', 33, 5381)})), 8, '0') as h from x", x=SENT))
+def _(spark, d):
+    return _lines(spark, d).select("note_id", djb2(F.col("s")).alias("h"))
 
 
 RED = "s"
@@ -97,9 +76,9 @@ for _p, _l in lx.REDACTION:
     RED = f"regexp_replace({RED}, '{_p}', '{_l}', 'g')"
 
 
-@noted("t06_redaction", over("notes", f"select note_id, {RED} as redacted, case when length({RED}) <= 20 then {RED} else substr({RED}, 1, 20) || '…' end as preview from x", x=SENT))
-def _(spark, d, rows=_tail):
-    return rows(spark, d).select("note_id", tc.redacted(F.col("s")).alias("redacted"), tc.preview(F.col("s"), 20).alias("preview"))
+@query("t06_redaction", over("notes", f"select note_id, {RED} as redacted, case when length({RED}) <= 20 then {RED} else substr({RED}, 1, 20) || '…' end as preview from x", x=SENT))
+def _(spark, d):
+    return _lines(spark, d).select("note_id", tc.redacted(F.col("s")).alias("redacted"), tc.preview(F.col("s"), 20).alias("preview"))
 
 
 @query("t07_sentences", r"select doc_id, count(*) as n from (select doc_id, trim(unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))) as x from documents) where x <> '' and not regexp_matches(x, '^[a-z]') group by 1")
@@ -121,10 +100,10 @@ def _(spark, d):
     return lines.groupBy(tc.line_type(F.col("line")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@noted("t11_structure", over("notes", f"select note_id, {has('b', lx.DATES)} as has_dates, {has('b', lx.METRICS)} as has_metrics, {has('b', lx.QUARTERS)} as has_quarter_refs, {has('b', lx.VERSIONS)} as has_version_refs, {has('b', lx.LAUNCH_WORDS)} as has_launch_keywords from (select note_id, lower(s) as b from x)", x=SENT))
-def _(spark, d, rows=_tail):
+@query("t11_structure", over("notes", f"select note_id, {has('b', lx.DATES)} as has_dates, {has('b', lx.METRICS)} as has_metrics, {has('b', lx.QUARTERS)} as has_quarter_refs, {has('b', lx.VERSIONS)} as has_version_refs, {has('b', lx.LAUNCH_WORDS)} as has_launch_keywords from (select note_id, lower(s) as b from x)", x=SENT))
+def _(spark, d):
     c = tc.structure(F.col("s"))
-    return rows(spark, d).select("note_id", *(c[k].alias(k) for k in ("has_dates", "has_metrics", "has_quarter_refs", "has_version_refs", "has_launch_keywords")))
+    return _lines(spark, d).select("note_id", *(c[k].alias(k) for k in ("has_dates", "has_metrics", "has_quarter_refs", "has_version_refs", "has_launch_keywords")))
 
 
 def _words(ws):
@@ -134,36 +113,36 @@ def _words(ws):
 TOK = r"list_filter(string_split_regex(regexp_replace(lower(s), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda w: length(w) > {0})"
 
 
-@noted("t12_generic", over("notes", f"select note_id, case when len(t) = 0 then 0 else len(list_filter(t, lambda w: list_contains({_words(lx.GENERIC)}, w))) / len(t) end as generic_ratio, len(list_distinct(list_filter(u, lambda w: not list_contains({_words([*lx.GENERIC, *lx.COMMON])}, w)))) as n_domain_nouns from (select note_id, {TOK.format(2)} as t, {TOK.format(3)} as u from x)", x=SENT))
-def _(spark, d, rows=_tail):
-    return rows(spark, d).select("note_id", tc.generic_ratio(F.col("s")).alias("generic_ratio"), F.size(tc.domain_nouns(F.col("s"))).alias("n_domain_nouns"))
+@query("t12_generic", over("notes", f"select note_id, case when len(t) = 0 then 0 else len(list_filter(t, lambda w: list_contains({_words(lx.GENERIC)}, w))) / len(t) end as generic_ratio, len(list_distinct(list_filter(u, lambda w: not list_contains({_words([*lx.GENERIC, *lx.COMMON])}, w)))) as n_domain_nouns from (select note_id, {TOK.format(2)} as t, {TOK.format(3)} as u from x)", x=SENT))
+def _(spark, d):
+    return _lines(spark, d).select("note_id", tc.generic_ratio(F.col("s")).alias("generic_ratio"), F.size(tc.domain_nouns(F.col("s"))).alias("n_domain_nouns"))
 
 
 SPEC = f"({has('h', lx.SPEC_HEADING)} or ({' + '.join(has('s', p) + '::int' for p in lx.SPEC_TOKENS)}) >= 2) and not {has('b', lx.SPEC_EXCLUSIONS)} and not {has('b', lx.CONCRETE_DELTA)} and not {has('b', lx.SCHEDULE_EVENT)}"
 
 
-@noted("t13_section_predicates", over("notes", f"select note_id, {has('s', lx.CONCRETE_DELTA)} as delta, {has('s', lx.SCHEDULE_EVENT)} as schedule, {SPEC} as spec from (select *, 'Scoring Framework' as h, 'Scoring Framework ' || s as b from x)", x=SENT))
-def _(spark, d, rows=_tail):
+@query("t13_section_predicates", over("notes", f"select note_id, {has('s', lx.CONCRETE_DELTA)} as delta, {has('s', lx.SCHEDULE_EVENT)} as schedule, {SPEC} as spec from (select *, 'Scoring Framework' as h, 'Scoring Framework ' || s as b from x)", x=SENT))
+def _(spark, d):
     s = F.col("s")
-    return rows(spark, d).select("note_id", tc.concrete_delta(s).alias("delta"), tc.schedule_event(s).alias("schedule"), tc.spec_section(s, F.lit("Scoring Framework")).alias("spec"))
+    return _lines(spark, d).select("note_id", tc.concrete_delta(s).alias("delta"), tc.schedule_event(s).alias("schedule"), tc.spec_section(s, F.lit("Scoring Framework")).alias("spec"))
 
 
 NOISE = f"({any_of('s', lx.NOISE)} and not {any_of('s', lx.OWNERSHIP)})"
 
 
-@noted("t14_process_noise", over("notes", f"select note_id, {NOISE} as noise from x", x=SENT))
-def _(spark, d, rows=_tail):
-    return rows(spark, d).select("note_id", tc.process_noise(F.col("s")).alias("noise"))
+@query("t14_process_noise", over("notes", f"select note_id, {NOISE} as noise from x", x=SENT))
+def _(spark, d):
+    return _lines(spark, d).select("note_id", tc.process_noise(F.col("s")).alias("noise"))
 
 
-@noted("t18_durations", over("notes", r"select note_id, try_cast(regexp_extract(s, '(?i)\b(\d+)[\s-]*(day|week|month|quarter)s?\b', 1) as bigint) * case lower(regexp_extract(s, '(?i)\b(\d+)[\s-]*(day|week|month|quarter)s?\b', 2)) when 'day' then 1 when 'week' then 7 when 'month' then 30 when 'quarter' then 90 end as days from x", x=SENT))
-def _(spark, d, rows=_tail):
-    return rows(spark, d).select("note_id", tc.duration_days(F.col("s")).alias("days"))
+@query("t18_durations", over("notes", r"select note_id, try_cast(regexp_extract(s, '(?i)\b(\d+)[\s-]*(day|week|month|quarter)s?\b', 1) as bigint) * case lower(regexp_extract(s, '(?i)\b(\d+)[\s-]*(day|week|month|quarter)s?\b', 2)) when 'day' then 1 when 'week' then 7 when 'month' then 30 when 'quarter' then 90 end as days from x", x=SENT))
+def _(spark, d):
+    return _lines(spark, d).select("note_id", tc.duration_days(F.col("s")).alias("days"))
 
 
-@noted("t19_jaccard", over("notes", f"select note_id, len(list_intersect(t, u)) / len(list_distinct(list_concat(t, u))) as similarity from (select note_id, {TOK.format(2)} as t, {TOK.format(3)} as u from x) where len(t) > 0", x=SENT))
-def _(spark, d, rows=_tail):
-    return rows(spark, d).where(F.size(tc.tokens(F.col("s"), 2)) > 0).select("note_id", tc.jaccard(tc.tokens(F.col("s"), 2), tc.tokens(F.col("s"), 3)).alias("similarity"))
+@query("t19_jaccard", over("notes", f"select note_id, len(list_intersect(t, u)) / len(list_distinct(list_concat(t, u))) as similarity from (select note_id, {TOK.format(2)} as t, {TOK.format(3)} as u from x) where len(t) > 0", x=SENT))
+def _(spark, d):
+    return _lines(spark, d).where(F.size(tc.tokens(F.col("s"), 2)) > 0).select("note_id", tc.jaccard(tc.tokens(F.col("s"), 2), tc.tokens(F.col("s"), 3)).alias("similarity"))
 
 
 @query("t20_cosine", "select vec_id, round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)), 6) as similarity from embeddings")
@@ -185,9 +164,9 @@ SIGNALS = f"""select note_id, s as sentence, 'FEATURE_DEMAND' as signal, case wh
  union all select note_id, s, 'BUG', 0.7 from x where {BUG}"""
 
 
-@noted("c03_signals", over("notes", SIGNALS, x=SENT))
-def _(spark, d, rows=_tail):
-    return rows(spark, d).select("note_id", F.col("s").alias("sentence"), F.explode(tc.signals(F.col("s"))).alias("x")).select("note_id", "sentence", "x.signal", "x.confidence")
+@query("c03_signals", over("notes", SIGNALS, x=SENT))
+def _(spark, d):
+    return _lines(spark, d).select("note_id", F.col("s").alias("sentence"), F.explode(tc.signals(F.col("s"))).alias("x")).select("note_id", "sentence", "x.signal", "x.confidence")
 
 
 SECTION = r"""select note_id, heading_text, num_lines, num_list_items from (select note_id, regexp_replace(string_split(part, chr(10))[1], '^## ', '') as heading_text, len(string_split(part, chr(10))) - 1 as num_lines,
@@ -227,29 +206,29 @@ def _(spark, d):
 LABEL = "case signal when 'FEATURE_DEMAND' then 'idea' when 'PLAN_CHANGE' then 'project_update' when 'SCOPE_RISK' then 'risk' else 'bug' end"
 
 
-def _signals(spark, d, rows=_tail):
-    s = rows(spark, d).select("note_id", F.col("s").alias("sentence"), F.explode(tc.signals(F.col("s"))).alias("x"))
+def _signals(spark, d):
+    s = _lines(spark, d).select("note_id", F.col("s").alias("sentence"), F.explode(tc.signals(F.col("s"))).alias("x"))
     return s.select("note_id", "sentence", "x.signal", "x.label", "x.confidence", F.col("note_id").alias("section_id"), F.hash("sentence").alias("sentence_index"))
 
 
-@noted("m21_threshold_sweep", over("notes", "select threshold, n, case when p > 0 then round((p - n) * 100.0 / p, 6) else 0.0 end as drop_pct from (select threshold, n, lag(n) over (order by threshold) as p from (select t as threshold, count(*) filter (where confidence >= t) as n from g, (select unnest([0.5, 0.7, 0.72, 0.8]::double[]) as t) group by 1))", x=SENT, g=SIGNALS))
-def _(spark, d, rows=_tail):
-    return cp.threshold_sweep(_signals(spark, d, rows), [0.5, 0.7, 0.72, 0.8])
+@query("m21_threshold_sweep", over("notes", "select threshold, n, case when p > 0 then round((p - n) * 100.0 / p, 6) else 0.0 end as drop_pct from (select threshold, n, lag(n) over (order by threshold) as p from (select t as threshold, count(*) filter (where confidence >= t) as n from g, (select unnest([0.5, 0.7, 0.72, 0.8]::double[]) as t) group by 1))", x=SENT, g=SIGNALS))
+def _(spark, d):
+    return cp.threshold_sweep(_signals(spark, d), [0.5, 0.7, 0.72, 0.8])
 
 
-@noted("m22_label_counts", over("notes", f"select {LABEL} as label, 'emitted' as stage, count(*) as n from g group by 1", x=SENT, g=SIGNALS))
-def _(spark, d, rows=_tail):
-    return cp.drop_report(_signals(spark, d, rows).withColumn("drop_reason", F.lit(None).cast("string")))
+@query("m22_label_counts", over("notes", f"select {LABEL} as label, 'emitted' as stage, count(*) as n from g group by 1", x=SENT, g=SIGNALS))
+def _(spark, d):
+    return cp.drop_report(_signals(spark, d).withColumn("drop_reason", F.lit(None).cast("string")))
 
 
-@noted("m20_evaluation", over("notes", "select count(*) as notes, sum(n)::bigint as suggestions, round(avg(n), 6) as mean_per_note, round(count(*) filter (where n = 0) * 100.0 / count(*), 6) as zero_pct, round(sum(c) / sum(n), 6) as mean_confidence from (select note_id, coalesce(n, 0) as n, c from notes left join (select note_id, count(*) as n, sum(confidence)::double as c from g group by 1) using (note_id))", x=SENT, g=SIGNALS))
-def _(spark, d, rows=_tail):
-    return cp.evaluation(fx.notes(spark, d), _signals(spark, d, rows))
+@query("m20_evaluation", over("notes", "select count(*) as notes, sum(n)::bigint as suggestions, round(avg(n), 6) as mean_per_note, round(count(*) filter (where n = 0) * 100.0 / count(*), 6) as zero_pct, round(sum(c) / sum(n), 6) as mean_confidence from (select note_id, coalesce(n, 0) as n, c from notes left join (select note_id, count(*) as n, sum(confidence)::double as c from g group by 1) using (note_id))", x=SENT, g=SIGNALS))
+def _(spark, d):
+    return cp.evaluation(fx.notes(spark, d), _signals(spark, d))
 
 
-@noted("w04_buckets", over("notes", f"select note_id, {LABEL} as bucket, least(count(*), 2) as shown, greatest(count(*) - 2, 0) as hidden from g group by 1, 2", x=SENT, g=SIGNALS))
-def _(spark, d, rows=_tail):
-    b = cp.buckets(_signals(spark, d, rows), 2)
+@query("w04_buckets", over("notes", f"select note_id, {LABEL} as bucket, least(count(*), 2) as shown, greatest(count(*) - 2, 0) as hidden from g group by 1, 2", x=SENT, g=SIGNALS))
+def _(spark, d):
+    b = cp.buckets(_signals(spark, d), 2)
     return b.groupBy("note_id", "bucket").agg(F.count(F.lit(1)).alias("shown"), F.max("hidden").alias("hidden"))
 
 

@@ -220,6 +220,6 @@ def test_whole_bodies_are_read(spark, tmp_path):
     text = "Intro\nThe sync job is failing with a crash error.\n- Write to bo@example.org\nEnd"
     spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
-    assert ("The sync job is failing with a crash error.", "BUG") in {(r["sentence"], r["signal"]) for r in run("c03_signals_whole")}
-    assert len(run("t06_redaction_whole")) == 8 and len(run("t06_redaction")) == 3
-    assert not any("bo@example.org" in r["redacted"] for r in run("t06_redaction_whole"))
+    assert ("The sync job is failing with a crash error.", "BUG") in {(r["sentence"], r["signal"]) for r in run("c03_signals")}
+    assert len(run("t06_redaction")) == 8
+    assert not any("bo@example.org" in r["redacted"] for r in run("t06_redaction"))
