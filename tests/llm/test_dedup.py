@@ -149,3 +149,70 @@ def test_near_copies_from_80_percent_on(spark):
     assert {r["doc_id"] for r in got if r["kept"]} == {i for i, _ in rows if i % 4 != 1}
     with pytest.raises(ValueError):
         near_dedup.clusters(frame(spark, rows), percent=80, errors=29)
+
+
+def test_a_common_passage_in_ever_new_surroundings(spark):
+    """One group of pieces far too large for a shard is split by longer cores until each window is decided."""
+    rng = random.Random(21)
+    passage = [f"p{i}" for i in range(45)]
+    rows = [(i, " ".join([f"a{i}_{k}" for k in range(rng.randint(0, 30))] + passage[rng.randint(0, 3) :] + [f"b{i}_{k}" for k in range(rng.randint(0, 30))])) for i in range(120)]
+    out = substring_dedup.substring_dedup(frame(spark, rows), shard_words=400)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out.collect()}
+    assert got == {i: x for (i, _), x in zip(rows, brute.repeats(rows), strict=True)}
+
+
+def test_automata_decide(spark, corpus, monkeypatch):
+    """Without what the automata say nothing is removed."""
+    import pyarrow as pa
+
+    def silent(window):
+        def run(batches):
+            for batch in batches:
+                for units in batch.column("units"):
+                    units = units.values
+                    yield pa.record_batch([*(units.field(c) for c in ("core", "q1", "q2")), pa.array([0] * len(units), pa.int64())], names=["core", "q1", "q2", "mask"])
+
+        return run
+
+    monkeypatch.setattr(substring_dedup, "_matched", silent)
+    assert {r["n_removed"] for r in substring_dedup.substring_dedup(frame(spark, corpus)).collect()} == {0}
+
+
+def test_the_anti_join_decides_the_holder(spark):
+    """With batches that do not meet the runs, a later batch would take over the lines of an earlier one."""
+
+    class Careless(line_dedup.LineRuns):
+        def add(self, batch):
+            held, self.levels = self.levels, []
+            super().add(batch)
+            self.levels = [[*(t for level in held for t in level), *self.levels[0]]]
+
+    got = {}
+    for kind in (line_dedup.LineRuns, Careless):
+        runs = kind(spark, buckets=2, fanout=9)
+        for k in range(3):
+            runs.add(spark.createDataFrame([(100 - k, 1, 1)], "doc_id long, h1 long, h2 long"))
+        got[kind] = [tuple(r) for r in runs.counts().select("n_docs", "holder").collect()]
+        runs.close()
+    assert got[line_dedup.LineRuns] == [(3, 100)] and got[Careless] == [(3, 98)]
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long_line = "x" * 200_000
+    rows = [(i, f"{long_line}\nown {i}") for i in range(6)]
+    clash = {c: F.lit("c") for c in ("th", "pos", "h1", "holder", "digest", "keep_id", "n_shingles", "rep", "comp", "n_docs")}
+    df = frame(spark, rows).withColumns(clash)
+    assert sorted((r["doc_id"], r["n_dropped"], r["text"]) for r in line_dedup.line_dedup(df).collect()) == [(i, 1, f"own {i}") for i in range(5)] + [(5, 0, rows[5][1])]
+    assert {r["keep_id"] for r in exact_dedup.exact_dedup(df.withColumn("text", F.lit(long_line))).collect()} == {0}
+    assert {r["component_id"] for r in near_dedup.clusters(df.withColumn("text", F.lit("a b c d e f"))).collect()} == {0}
+
+
+def test_one_id_with_two_texts(spark):
+    """An id is one document: each of its texts links it."""
+    a, b = "a b c d e f g", "k l m n o p q"
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, "z z z z z z")]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.clusters(frame(spark, rows)).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
+    top = 2**63 - 1
+    out = exact_dedup.exact_dedup(frame(spark, [(top, "same"), (None, "same"), (None, "other")])).collect()
+    assert sorted(((r["doc_id"], r["keep_id"], r["kept"]) for r in out), key=str) == sorted([(top, top, True), (None, top, False), (None, None, True)], key=str)

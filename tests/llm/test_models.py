@@ -105,3 +105,78 @@ def test_pseudo_labels_follow_bounds():
     to_0, to_1 = quality.pseudo_labels(views, h, [([one, none], [(low, (quality.BINS, 0.0)), ((0, 0.0), (0, 0.0))])])
     assert (to_0 == -1).all() and set(np.flatnonzero(to_1 == 1)) == set(np.flatnonzero(s > 1))
     assert abs((to_1 == 0).sum() - 50) <= 4 and (to_1[:40] == 0).all() and (to_1[60:] != 0).all()
+
+
+def test_languages_against_a_dense_kernel_ridge(spark, texts):
+    """All training rows as landmarks: the Nystrom features then span the whole kernel, which plain sets and one solve give too."""
+    model = language_id.fit(language_id.training_rows(texts), per_lang=1000, landmarks=10_000)
+    rows = [tuple(r) for r in language_id.training_rows(texts).collect()]
+    grams = lambda t: {b[i : i + n] for b in [t.lower().encode()] for n in (1, 2, 3, 4) for i in range(len(b) - n + 1)}
+    kernel = lambda x, z: np.array([[len(a & b) / np.sqrt(max(len(a), 1) * max(len(b), 1)) for b in z] for a in x])
+    sets, y = [grams(t) for _, t, _ in rows], np.array([lang for _, _, lang in rows])
+    langs = sorted(set(y))
+    target = np.where(y[:, None] == np.array(langs), 1.0, -1.0)
+    w = np.array([1 / (y == v).sum() for v in y])[:, None]
+    k = kernel(sets, sets)
+    ones = np.ones((len(k), 1))
+    left = np.block([[k @ (w * k) + language_id.RIDGE * k, k @ (w * ones)], [(w * ones).T @ k, (w * ones).T @ ones]])
+    coef = np.linalg.lstsq(left, np.vstack([k @ (w * target), (w * ones).T @ target]), rcond=1e-10)[0]
+    asked = [(r["doc_id"], r["text"]) for r in texts.collect()]
+    out = kernel([grams(t) for _, t in asked], sets) @ coef[:-1] + coef[-1]
+    share = np.clip((out + 1) / 2, 1e-6, 1)
+    want = {i: (langs[k], s) for (i, _), k, s in zip(asked, out.argmax(1), share.max(1) / share.sum(1), strict=True)}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(texts, model).collect()}
+    assert np.mean([got[i][0] == want[i][0] for i in want]) > 0.98
+    assert np.mean([abs(got[i][1] - want[i][1]) for i in want]) < 0.03  # grams share places of the hashed table
+
+
+def test_the_fit_takes_a_bounded_number_of_rows(spark):
+    rows = [(7, f"kalo {i}", "aa") for i in range(400)] + [(i, "schung", "bb") for i in range(30)] + [(8, "kalo 1", "aa")] * 50
+    train = language_id.training_rows(spark.createDataFrame([*rows, (None, "kalo", "aa")], "doc_id long, text string, lang string"))
+    got = [r["lang"] for r in language_id._chosen(train, "doc_id", 20).collect()]
+    n = train.where("lang = 'bb'").count()
+    assert (got.count("aa"), got.count("bb")) == (20, min(20, n))
+
+
+def test_only_letters_make_a_language(spark, texts):
+    model = language_id.fit(language_id.training_rows(texts), per_lang=40, landmarks=24)
+    odd = spark.createDataFrame([(1, "\u00bd \u00b2\u00b3"), (2, "\u2163 \u2460"), (3, "\u00aa"), (4, "kalo " * 50_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(odd, model).collect()}
+    assert got[1] == got[2] == "und" and got[3] != "und" and got[4] == "aa"
+    assert language_id.training_rows(odd.selectExpr("doc_id + 2 as doc_id", "text", "'aa' as lang")).where("doc_id < 5").count() == 0
+
+
+def test_the_exchange_teaches_the_content_view(spark):
+    """Words that no labelled text has are learnt from the metadata view's pseudo-labels, and judge texts of a source without labels."""
+    rng = random.Random(12)
+    words = {"labelled": (["plan", "result"], ["spam", "cash"]), "new": (["useful", "idea"], ["click", "win"])}
+    rows, tags = [], []
+    for i in range(3000):
+        good = i % 2 == 1
+        kind = "labelled" if i < 300 else "new"
+        text = " ".join(rng.choice(words[kind][0 if good else 1]) for _ in range(10))
+        rows.append((i, text, "s3" if i >= 2600 else "s1" if good else "s2"))
+        if i < 300:
+            tags.append((i, int(good), 0))
+    tags = spark.createDataFrame(tags, "doc_id long, quality int, toxic int")
+    docs = _pages(spark, rows)
+    right = {}
+    for rounds in (0, 3):
+        out = quality.score(docs.where("doc_id >= 2600"), quality.cotrain(docs, tags, rounds=rounds)).collect()
+        right[rounds] = np.mean([(r["p_content"] > 0.5) == (r["doc_id"] % 2 == 1) for r in out])
+    assert right[0] < 0.8 and right[3] > 0.95, right
+
+
+def test_summed_newton_steps_are_those_of_all_rows():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 6))
+    y = (x[:, 0] + rng.normal(size=200) > 0).astype(float)
+    whole, parts = (quality._scaled(x.mean(0), x.std(0)) for _ in range(2))
+    for _ in range(8):
+        whole.step(*whole.sums(x, y))
+        sums = [parts.sums(x[a : a + 30], y[a : a + 30]) for a in range(0, 200, 30)]
+        parts.step(sum(h for h, _ in sums), sum(g for _, g in sums))
+    assert np.allclose(whole.w, parts.w)
+    p = 1 / (1 + np.exp(-whole.logit(x)))
+    z = np.hstack([(x - x.mean(0)) / x.std(0), np.ones((200, 1))])
+    assert np.abs(z.T @ (p - y) + whole.reg * whole.w).max() < 1e-4  # the gradient of the penalised loss is 0

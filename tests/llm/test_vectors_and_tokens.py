@@ -150,3 +150,37 @@ def test_preferences(spark):
             runs = [x.split(":") for x in r[f"{side}_mask"].split(",") if x]
             assert sum(int(n) for _, n in runs) == len(r[side])
     assert _pair(spark, []) == {}
+
+
+def test_repeated_query_ids_and_clashing_columns(spark):
+    """Of several vectors of one query id the smallest is searched for."""
+    df = vectors(spark, [(0, [2.0, 0.0]), (0, [1.0, 5.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]).selectExpr("*", "'c' as v", "'c' as dim", "'c' as block", "'c' as score")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in nearest.nearest(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(1, 2, 5.0), (2, 1, 1.0)]
+
+
+def test_pairs_of_large_ids(spark, tmp_path):
+    ids = [2**53 + k for k in range(4)]
+    spark.createDataFrame([(i, 0, "user", f"text {i}") for i in ids], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["pair_id"]: r["complete"] for r in chat_format.op6_chat_format(spark, str(tmp_path)).collect()}
+    assert got == {2**52: True, 2**52 + 1: True}
+
+
+def test_ranks_of_one_length_are_dealt_out(spark):
+    rows = [(i, 0, 0, 7, i) for i in range(500)] + [(1, 0, 0, 7, 1)] * 3
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = sorted(r["rank"] for r in packing.ranked(pieces, {7: 503}, per_task=40).collect())
+    assert got == list(range(503))
+
+
+def test_long_words_are_not_remembered(spark):
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.default_model())
+    codec.encode(["short " + "x" * 5000])
+    assert max(map(len, codec.known)) <= sentencepiece_codec.LONGEST
+    encoder = packing.UnitEncoder(packing.default_tokenizer())
+    encoder.encode(["short " + "x" * 5000])
+    assert max(len(w) for kind in encoder.caches.values() for part in kind for w in part) <= packing.LONGEST
+    rows = [(0, "chosen", 0, "user", "y" * 300_000), (0, "chosen", 0, "user", "y" * 300_000), (0, "rejected", 0, "user", "n")]
+    df = spark.createDataFrame(rows, "pair_id long, side string, turn int, role string, text string").selectExpr("*", "'c' as t", "'c' as n", "'c' as prompt")
+    one = chat_format.preference_pairs(df).collect()
+    assert len(one) == 1 and len(one[0]["chosen"]) == 2 * (300_000 + len("<|user|>\n<|end|>\n"))
