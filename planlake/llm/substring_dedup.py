@@ -51,7 +51,6 @@ BROADCAST_BYTES, ROUNDS = 1 << 25, 32
 WORD_BYTES = 14
 #: Row ids that are broadcast to keep other texts out of a shuffle; beyond that the texts are shuffled.
 BROADCAST_IDS = 2_000_000
-SEEN = 500_000
 
 ROW = ["did", "th"]
 PIECE = ["p1", "p2"]
@@ -127,7 +126,6 @@ def _anchor_counts(window: int, gram: int):
 
 def _pieces(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
         for batch in batches:
             did, th = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             lists = batch.column(3)
@@ -147,22 +145,23 @@ def _pieces(window: int, gram: int):
                 if not len(at):
                     continue
                 p1, p2 = (as_int64(x) for x in span_hashes(w, at, at + n + window - 1))
-                raw, edges, size = buf.tobytes(), offs.tolist(), ends - starts
-                joined = b" ".join(chain.from_iterable(raw[x:y].split() for x, y in zip(edges, edges[1:], strict=False)))
-                begin = np.cumsum(size + 1) - size - 1
-                last = at + n + window - 2
-                contents: list[bytes | None] = []
-                for x, y, s, e in zip(p1.tolist(), p2.tolist(), begin[at].tolist(), (begin[last] + size[last]).tolist(), strict=True):
-                    if (x, y) in seen:
-                        contents.append(None)
-                    else:
-                        if len(seen) >= SEEN:
-                            seen.clear()
-                        seen.add((x, y))
-                        contents.append(joined[s:e])
                 rows = a + text
                 cols = [did[rows], th[rows], (at - first[text]).astype(np.int32), n.astype(np.int32), place.astype(np.int32), wanted, p1, p2]
-                yield pa.record_batch([*(pa.array(c) for c in cols), pa.array(contents, pa.binary())], names=[*ROW, "i0", "n", "place", "mhash", *PIECE, "content"])
+                yield pa.record_batch([pa.array(c) for c in cols], names=[*ROW, "i0", "n", "place", "mhash", *PIECE])
+
+    return run
+
+
+def _contents(window: int):
+    """The words of chosen pieces. Rows have did, th, text and own: a list of (i0, n, core, q1, q2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, own in zip(batch.column("text"), batch.column("own"), strict=True):
+                words, own = (text.as_py() or "").encode().split(), own.values
+                at, n = own.field("i0").to_pylist(), own.field("n").to_pylist()
+                content = [b" ".join(words[i : i + k + window - 1]) for i, k in zip(at, n, strict=True)]
+                yield pa.record_batch([*(own.field(c) for c in UNIT), pa.array(content, pa.binary())], names=[*UNIT, "content"])
 
     return run
 
@@ -352,7 +351,7 @@ def _sized(once: DataFrame, shard_words: int, window: int) -> tuple[DataFrame, D
     groups = once.groupBy("core").agg(F.count(F.lit(1)).alias("units"), F.sum("weight").alias("times"), F.sum(F.col("n") + window - 1).alias("in_core")).where("times > 1")
     kept = join_on_counted(once, groups, ["core"], "units", once.count()).where("times > 1")
     fits = (F.col("in_core") <= shard_words) | (F.col("low") == F.col("high"))
-    return kept.where(fits).select(*UNIT, "weight", "n"), kept.where(~fits).select(*UNIT)
+    return kept.where(fits), kept.where(~fits)
 
 
 def unit_masks(units: DataFrame, contents: DataFrame, window: int, shard_words: int, broadcast_bytes: int, rounds: int) -> DataFrame:
@@ -362,7 +361,7 @@ def unit_masks(units: DataFrame, contents: DataFrame, window: int, shard_words:
     turns = max(1, -(-words * WORD_BYTES // broadcast_bytes))
     by_broadcast = turns <= rounds
     shard = F.pmod(F.xxhash64("core"), F.lit(shards)).alias("shard")
-    # contents move once: what several tasks have sent is dropped where the shard is, before its group is formed
+    # equal contents are dropped where the shard is, before its group is formed
     sent = contents.select(shard, *UNIT, "content").repartition("shard").dropDuplicates(["shard", *UNIT])
     kinds = "shard bigint, units array<struct<core bigint, q1 bigint, q2 bigint, content binary>>, " + ", ".join(f"{c} binary" for c in AUTOMATON) + ", turn bigint"
     pairs = units.select(shard, *UNIT, "weight").groupBy("shard").cogroup(sent.groupBy("shard"))
@@ -379,20 +378,27 @@ def unit_masks(units: DataFrame, contents: DataFrame, window: int, shard_words:
     return out if out is not None else units.select(*UNIT, F.lit(0).cast("bigint").alias("mask")).limit(0)
 
 
-def piece_masks(occ: DataFrame, window: int, gram: int, shard_words: int, broadcast_bytes: int, rounds: int) -> DataFrame:
+def piece_masks(lean: DataFrame, occ: DataFrame, window: int, gram: int, shard_words: int, broadcast_bytes: int, rounds: int) -> DataFrame:
     """p1, p2, mask, times: which windows of a piece are repeated, and how often the piece occurs. Pieces without such a window have no row."""
-    most = window - gram
-    pieces = cut(occ.groupBy(*PIECE).agg(F.count(F.lit(1)).alias("weight"), *(F.first(c).alias(c) for c in ("mhash", "n", "place"))))
+    spark, most = occ.sparkSession, window - gram
+    carrier = F.min(F.struct(*ROW, "i0")).alias("carrier")  # one place where the piece's words are read
+    pieces = cut(occ.groupBy(*PIECE).agg(F.count(F.lit(1)).alias("weight"), *(F.first(c).alias(c) for c in ("mhash", "n", "place")), carrier))
     as_unit = {"mhash": "core", "p1": "q1", "p2": "q2"}
-    small, large = _sized(pieces.select("mhash", *PIECE, "weight", "n", F.lit(0).alias("low"), F.lit(most).alias("high")).withColumnsRenamed(as_unit), shard_words, window)
-    contents = occ.where("content is not null").select("mhash", *PIECE, "content")
-    spark = occ.sparkSession
-    masks = sole(spark, lambda: unit_masks(small, contents.withColumnsRenamed(as_unit), window, shard_words, broadcast_bytes, rounds))
+    small, large = _sized(pieces.withColumns({"low": F.lit(0), "high": F.lit(most)}).withColumnsRenamed(as_unit), shard_words, window)
+
+    def read() -> DataFrame:
+        chosen = small.unionByName(large).select("carrier.did", "carrier.th", F.struct("carrier.i0", "n", *UNIT).alias("x"))
+        own = cut(chosen.groupBy(*ROW).agg(F.collect_list("x").alias("own")))
+        texts = _only(lean, own)[0].join(own, ROW).select(*ROW, "text", "own")
+        return texts.mapInArrow(_contents(window), "core bigint, q1 bigint, q2 bigint, content binary")
+
+    contents = sole(spark, read)
+    masks = sole(spark, lambda: unit_masks(small, contents, window, shard_words, broadcast_bytes, rounds))
     masks = masks.select(F.col("q1").alias("p1"), F.col("q2").alias("p2"), "mask")
-    large = cut(large.select(F.col("q1").alias("p1"), F.col("q2").alias("p2")))
+    large = cut(large.select(*UNIT, "weight", "n", "place", "low", "high"))
     if large.take(1):
-        whole = contents.join(large, PIECE).dropDuplicates(PIECE).join(pieces.drop("mhash"), PIECE)
-        split = whole.select(*PIECE, "weight", F.lit(0).alias("skip"), "n", "place", F.lit(0).alias("low"), F.lit(most).alias("high"), "content")
+        whole = contents.join(large, UNIT).dropDuplicates(UNIT).withColumns({"p1": F.col("q1"), "p2": F.col("q2"), "skip": F.lit(0)})
+        split = whole.select(*PIECE, "weight", "skip", "n", "place", "low", "high", "content")
         while True:
             split = cut(split.mapInArrow(_halves(window, most + 1), _KINDS))
             once = split.groupBy(*UNIT).agg(F.sum("weight").alias("weight"), *(F.first(c).alias(c) for c in ("n", "low", "high")), F.count(F.lit(1)).alias("times"))
@@ -402,7 +408,7 @@ def piece_masks(occ: DataFrame, window: int, gram: int, shard_words: int, broadc
             times = once.select(*UNIT, "times")
             found = join_on_counted(split.select(*UNIT, *PIECE, "skip"), found.join(times, UNIT), UNIT, "times", split.count())
             masks = masks.unionByName(found.select(*PIECE, F.expr("shiftleft(mask, skip)").alias("mask")))
-            large = cut(large)
+            large = cut(large.select(*UNIT))
             if not large.take(1):
                 break
             split = join_on_counted(split, times.join(large, UNIT), UNIT, "times", split.count()).drop(*UNIT, "times")
@@ -473,8 +479,8 @@ def substring_dedup(
     def covered() -> DataFrame:
         lists = sole(spark, anchor_lists)
         with_anchors = _only(lean, lists)[0]
-        occ = sole(spark, lambda: with_anchors.join(lists, ROW).mapInArrow(_pieces(window, gram), "did bigint, th bigint, i0 int, n int, place int, mhash bigint, p1 bigint, p2 bigint, content binary"))
-        masks = sole(spark, lambda: piece_masks(occ, window, gram, shard_words, broadcast_bytes, rounds))
+        occ = sole(spark, lambda: with_anchors.join(lists, ROW).mapInArrow(_pieces(window, gram), "did bigint, th bigint, i0 int, n int, place int, mhash bigint, p1 bigint, p2 bigint"))
+        masks = sole(spark, lambda: piece_masks(lean, occ, window, gram, shard_words, broadcast_bytes, rounds))
         covers = join_on_counted(occ.select(*ROW, "i0", *PIECE), masks, PIECE, "times", occ.count()).select(*ROW, "i0", "mask").distinct()
         return covers.groupBy(*ROW).agg(F.collect_list(F.struct("i0", "mask")).alias("c")).select(*ROW, F.col("c.i0").alias("i0s"), F.col("c.mask").alias("masks"))
 
