@@ -11,6 +11,7 @@ from planlake.functions import textcols as tc
 from planlake.operators import corpus as cp
 from planlake.operators import intent as it
 from planlake.plans import txt
+from planlake.plans.evt import SHOWN, fold_sql
 from planlake.plans.fixture_sql import over
 from planlake.plans.registry import query
 from planlake.plans.txt import HASH, SENT, any_of, has
@@ -240,14 +241,13 @@ def _(spark, d):
     return tables.note_corpus(fx.notes(spark, d)).select("note_id", F.md5("raw_markdown").alias("h"), "authored_at", "title")
 
 
-@query("r04_state_view", None)
+@query("r04_state_view", over("initiative_events", fold_sql("initiative_id in (select 'i' || o_custkey from orders)")))
 def _(spark, d):
     """The order table as a stream of changed initiatives; the view keeps their folded state."""
     from planlake.plans.streams import _Stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/planlake-checkpoints"
-    path = f"{base.rstrip('/')}/view-{uuid.uuid4().hex}"
+    path = jobs.shared_folder(spark, f"view-{uuid.uuid4().hex}")
     changed = fx.table(_Stream(spark), d, "orders").select(F.concat(F.lit("i"), F.col("o_custkey").cast("string")).alias("initiative_id"))
     q = changed.writeStream.foreachBatch(jobs.state_view(fx.initiative_events(spark, d), path)).trigger(availableNow=True).option("checkpointLocation", path + "-log").start()
     q.awaitTermination()
-    return jobs.current_view(spark, path)
+    return jobs.current_view(spark, path).select("initiative_id", *SHOWN, "currentVersion")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,13 +39,26 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 day") -
     return g.agg(F.count(F.lit(1)).alias("n_events")).select("note_id", F.col("w.start").alias("session_start"), "n_events")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder that driver and executors share. A local one only where the session has no setting and no cluster (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "planlake-checkpoints")
+    return f"{base.rstrip('/')}/{name}"
+
+
 def state_view(log: DataFrame, path: str):
-    """A foreachBatch function that keeps the state table at `path`: it folds only initiatives with new events."""
+    """A foreachBatch function that keeps the state table at `path`: it folds only initiatives with new events.
+
+    Each batch has a folder of its own, so one that is run again after a failure replaces its rows.
+    """
 
     def merge(batch: DataFrame, epoch: int) -> None:
         changed = batch.select("initiative_id").distinct()
         fresh = ev.fold(log.join(changed, "initiative_id", "left_semi"))
-        fresh.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
+        fresh.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return merge
 
@@ -82,8 +97,7 @@ def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
     Each batch has a folder of its own: in append mode all of them make up the result, in complete mode the last one is it.
     """
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/planlake-checkpoints"
-    path, done = f"{base.rstrip('/')}/{name}", []
+    path, done = shared_folder(spark, name), []
 
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch-{epoch}")
