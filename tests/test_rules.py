@@ -223,3 +223,17 @@ def test_whole_bodies_are_read(spark, tmp_path):
     assert ("The sync job is failing with a crash error.", "BUG") in {(r["sentence"], r["signal"]) for r in run("c03_signals")}
     assert len(run("t06_redaction")) == 8
     assert not any("bo@example.org" in r["redacted"] for r in run("t06_redaction"))
+
+
+def test_replayed_batch_replaces_its_rows(spark):
+    from planlake.sources import fixtures as fx
+    from tests.conftest import SF
+
+    log = fx.initiative_events(spark, SF)
+    changed = log.select("initiative_id").distinct().limit(5)
+    path = jobs.shared_folder(spark, "replayed-view")
+    merge = jobs.state_view(log, path)
+    merge(changed, 0)
+    merge(changed, 0)
+    assert spark.read.parquet(path).count() == 5
+    assert jobs.current_view(spark, path).count() == 5
