@@ -32,7 +32,7 @@ PER_LANG = 300
 MAX_ROWS = 6000
 RIDGE = 1e-3
 ROWS_AT_ONCE = 64
-SLICE_BITS = 10
+SLICE_BITS = 20
 
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
@@ -74,17 +74,20 @@ def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([langs.slice(a, b - a), pa.array([r.tobytes() for r in rows], pa.binary())], names=["lang", "grams"])
 
 
-def _chosen(train: DataFrame, id_col: str, each: int) -> DataFrame:
+def _chosen(train: DataFrame, id_col: str, each: int, n_langs: int | None = None) -> DataFrame:
     """lang, text of the `each` rows of a language whose id and text have the smallest hashes.
 
     A histogram of the hashes gives each language a bound that at least `each` rows stay below, so that the window sorts little
-    more than these and no language is gathered in a task.
+    more than these and no language is gathered in a task. Bounds, one row for each of `n_langs` languages, are sent to all tasks, so
+    that texts beyond them never move; with more than MAX_ROWS languages, or an unknown number, the same join shuffles.
     """
     h = F.xxhash64(id_col, "text")
     rows = train.where(F.col(id_col).isNotNull()).select("lang", "text", h.alias("h"), F.shiftrightunsigned(h, 64 - SLICE_BITS).alias("slice"))
     before = Window.partitionBy("lang").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # of 2**SLICE_BITS counts at most
     bounds = rows.groupBy("lang", "slice").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     bounds = bounds.where(F.col("before") < each).groupBy("lang").agg(F.max("slice").alias("last")).select(F.col("lang").alias("of"), "last")
+    if n_langs is not None and n_langs <= MAX_ROWS:
+        bounds = F.broadcast(bounds)
     few = rows.join(bounds, (F.col("lang") == F.col("of")) & (F.col("slice") <= F.col("last")))
     w = Window.partitionBy("lang").orderBy("h", "text")
     return few.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= each).select("lang", "text")
@@ -96,7 +99,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", per_lang: int = PER_LANG, max_
     if not n_langs:
         return {"langs": []}
     each = max(1, min(per_lang, max_rows // n_langs))
-    got = _chosen(train, id_col, each).mapInArrow(_grams_of, "lang string, grams binary").collect()
+    got = _chosen(train, id_col, each, n_langs).mapInArrow(_grams_of, "lang string, grams binary").collect()
     got = sorted(got, key=lambda r: (r["lang"], bytes(r["grams"])))
     langs = sorted({r["lang"] for r in got})
     if not langs:

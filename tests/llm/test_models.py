@@ -136,6 +136,8 @@ def test_the_fit_takes_a_bounded_number_of_rows(spark):
     got = [r["lang"] for r in language_id._chosen(train, "doc_id", 20).collect()]
     n = train.where("lang = 'bb'").count()
     assert (got.count("aa"), got.count("bb")) == (20, min(20, n))
+    sent = language_id._chosen(train, "doc_id", 20, 2)
+    assert sorted(r["lang"] for r in sent.collect()) == sorted(got)
 
 
 def test_only_letters_make_a_language(spark, texts):
