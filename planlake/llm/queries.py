@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from planlake.llm import chat_format, exact_dedup, language_id, line_dedup, near_dedup, nearest, packing, pipeline, quality, sentencepiece_codec, substring_dedup
+from planlake.llm import chat_format, exact_dedup, language_id, line_dedup, merkle, near_dedup, nearest, packing, pipeline, quality, sentencepiece_codec, substring_dedup
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_nearest_neighbours": nearest.op8_nearest_neighbours,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "op11_merkle_manifest": merkle.op11_merkle_manifest,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_format": chat_format.ORACLE,
         "op8_nearest_neighbours": nearest.ORACLE,
         "op10_line_dedup": line_dedup.ORACLE,
+        "op11_merkle_manifest": merkle.ORACLE,
     }
