@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from planlake.llm import chat_format, exact_dedup, language_id, line_dedup, merkle, near_dedup, nearest, packing, pipeline, quality, sentencepiece_codec, substring_dedup
+from planlake.llm import chat_format, exact_dedup, hard_negatives, language_id, line_dedup, merkle, near_dedup, nearest, packing, pipeline, quality, sentencepiece_codec, substring_dedup
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_line_dedup": line_dedup.op10_line_dedup,
         "op11_merkle_manifest": merkle.op11_merkle_manifest,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_nearest_neighbours": nearest.ORACLE,
         "op10_line_dedup": line_dedup.ORACLE,
         "op11_merkle_manifest": merkle.ORACLE,
+        "op12_hard_negatives": hard_negatives.ORACLE,
     }
