@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ def leaf_digest(values: dict[str, Column]) -> Column:
     return F.unhex(F.sha2(F.concat(*(field(values[f]) for f in FIELDS)), 256))
 
 
-def _hex(digest: str) -> Column:
+def _hex(digest: str | Column) -> Column:
     return F.lower(F.hex(digest))
 
 
@@ -83,18 +84,17 @@ def leaves(docs: DataFrame, after: dict[str, Column]) -> DataFrame:
     )
 
 
-def build(nodes: DataFrame, below_top: bool) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Builds trees from their lowest nodes: tree, pos, digest, n (nodes of the tree). Gives the parent-linked rows of all
-    levels, and the roots as tree and digest."""
+def build(nodes: DataFrame, below_top: bool, carried: tuple[str, ...] = ()) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Builds trees from their lowest nodes: tree, pos, digest, n (nodes of the tree), and columns that the lowest nodes carry.
+
+    Gives the parent-linked rows of each level, and the roots of trees as tree and digest.
+    """
     links, roots = [], []
     level = 0
     while True:
         roots.append(nodes.where("n = 1").select("tree", "digest"))
-        open_ = nodes.where("n > 1")
-        runs = (
-            open_.groupBy("tree", F.expr(f"pos div {RUN}").alias("pos"))
-            .agg(F.sort_array(F.collect_list(F.struct(F.col("pos"), F.col("digest").alias("d")))).alias("run"), F.max("n").alias("n"))  # RUN at most
-        )
+        node = F.struct(F.col("pos"), F.col("digest").alias("d"), *carried)
+        runs = nodes.where("n > 1").groupBy("tree", F.expr(f"pos div {RUN}").alias("pos")).agg(F.sort_array(F.collect_list(node)).alias("run"), F.max("n").alias("n"))  # RUN at most
         runs = cut(runs.withColumn("digest", F.unhex(F.sha2(F.concat_ws("", F.transform("run", lambda x: F.lower(F.hex(x["d"])))), 256))))
         if not runs.take(1):
             return links, roots
@@ -110,12 +110,22 @@ def build(nodes: DataFrame, below_top: bool) -> tuple[list[DataFrame], list[Data
             F.when(last, F.col("tree")).otherwise(above + F.col("pos")).alias("parent_at"),
             F.expr("aggregate(slice(run, 1, i), unhex(''), (a, x) -> concat(a, x.d))").alias("before"),
             F.expr(f"aggregate(slice(run, i + 2, {RUN}), unhex(''), (a, x) -> concat(a, x.d))").alias("after"),
+            *(F.col(f"node.{c}") for c in carried),
         )
         links.append(one)
-        nodes = runs.select("tree", "pos", "digest", parents.alias("n"))
+        nodes, carried = runs.select("tree", "pos", "digest", parents.alias("n")), ()
         level += 1
 
 
+def fold(before: str, digest: str, after: str) -> Column:
+    """The digest of a run, from one of its nodes and what lies before and after it."""
+    return F.unhex(F.sha2(F.concat(_hex(before), _hex(digest), _hex(after)), 256))
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 @contextmanager
 def _all_rows(spark: SparkSession) -> Iterator[None]:
     """Recursion over any number of rows; Spark stops at a million otherwise."""
@@ -133,7 +143,7 @@ def _all_rows(spark: SparkSession) -> Iterator[None]:
 
 CLIMB = """
 with recursive climb (row, step, tree, at, siblings, folded) as (
-    select row, 0, tree, at, unhex(''), now from {starts}
+    select row, step, tree, at, siblings, folded from {starts}
     union all
     select c.row, c.step + 1, n.parent_tree, n.parent_at, concat(n.before, n.after),
            unhex(sha2(concat(lower(hex(n.before)), lower(hex(c.folded)), lower(hex(n.after))), 256))
@@ -159,31 +169,26 @@ def manifest(docs: DataFrame, after: dict[str, Column]) -> DataFrame:
     trees = cut(ordered(sizes, ["source_key"], n_sources).withColumnRenamed("number", "tree"))
     placed = cut(join_on_counted(placed, trees, ["source_key"], "n", total).withColumn("pos", F.col("row") - F.col("first")).drop("first"))
 
-    links, roots = build(placed.select("tree", "pos", F.col("leaf").alias("digest"), "n"), below_top=True)
-    subroots = roots[0]
-    for more in roots[1:]:
-        subroots = subroots.unionByName(more)
-    subroots = cut(subroots)
+    alone = placed.where("n = 1")
+    links, roots = build(placed.select("tree", "pos", F.col("leaf").alias("digest"), "n", "row", "now"), below_top=True, carried=("row", "now"))
+    subroots = cut(union(roots))
     top = subroots.select(F.lit(TOP).cast("bigint").alias("tree"), F.col("tree").alias("pos"), "digest", F.lit(n_sources).cast("bigint").alias("n"))
     top_links, top_roots = build(top, below_top=False)
-    root = next(r["digest"] for part in top_roots for r in part.select(_hex("digest").alias("digest")).collect())  # one row
-    built = (links + top_links)[:1]
-    for more in (links + top_links)[1:]:
-        built = [built[0].unionByName(more)]
-
-    # the one leaf of a source is its subroot and starts in the tree of subroots
-    alone = F.col("n") == 1
-    starts = placed.select("row", F.when(alone, F.lit(TOP)).otherwise(F.col("tree")).cast("bigint").alias("tree"), F.when(alone, F.col("tree")).otherwise(F.col("pos")).alias("at"), "now")
+    root = union(top_roots).select(_hex("digest").alias("digest")).first()["digest"]
+
+    # a leaf knows its own run and starts at its parent; the one leaf of a source is its subroot and starts in the tree of subroots
+    starts = alone.select("row", F.lit(0).alias("step"), F.lit(TOP).cast("bigint").alias("tree"), F.col("tree").alias("at"), F.unhex(F.lit("")).alias("siblings"), F.col("now").alias("folded"))
+    for lowest in links[:1]:
+        up = lowest.select("row", F.lit(1).alias("step"), F.col("parent_tree").alias("tree"), F.col("parent_at").alias("at"), F.concat("before", "after").alias("siblings"), fold("before", "now", "after").alias("folded"))
+        starts = starts.unionByName(up)
+    inner = links[1:] + top_links
     spark = docs.sparkSession
-    if built:
-        with _all_rows(spark):
-            steps = cut(spark.sql(CLIMB, starts=starts, nodes=cut(built[0])))
-    else:
-        steps = starts.select("row", F.lit(0).alias("step"), F.unhex(F.lit("")).alias("siblings"), F.col("now").alias("folded"))
-    proofs = steps.groupBy("row").agg(  # a row for each level
-        F.sha2(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("step", "siblings"))), lambda x: F.lower(F.hex(x["siblings"])))), 256).alias("proof_sha256"),
-        F.lower(F.hex(F.max(F.struct("step", "folded"))["folded"])).alias("folded_root"),
-    )
+    with _all_rows(spark):
+        steps = spark.sql(CLIMB, starts=starts, nodes=cut(union(inner))) if inner else starts
+        proofs = cut(steps.groupBy("row").agg(  # a row for each level
+            F.sha2(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("step", "siblings"))), lambda x: F.lower(F.hex(x["siblings"])))), 256).alias("proof_sha256"),
+            _hex(F.max(F.struct("step", "folded"))["folded"]).alias("folded_root"),
+        ))
     by_tree = trees.select("tree", "n").join(subroots, "tree").select("tree", "n", _hex("digest").alias("subroot"))
     out = join_on_counted(placed.drop("n"), cut(by_tree), ["tree"], "n", total)
     return (
