@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from planlake.llm import chat_format, exact_dedup, hard_negatives, language_id, line_dedup, merkle, near_dedup, nearest, packing, pipeline, quality, sentencepiece_codec, substring_dedup
+from planlake.llm import chat_format, exact_dedup, hard_negatives, html_extract, language_id, line_dedup, merkle, near_dedup, nearest, packing, pipeline, quality, sentencepiece_codec, substring_dedup
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op10_line_dedup": line_dedup.op10_line_dedup,
         "op11_merkle_manifest": merkle.op11_merkle_manifest,
         "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+        "op13_html_extraction": html_extract.op13_html_extraction,
     }
 
 
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_line_dedup": line_dedup.ORACLE,
         "op11_merkle_manifest": merkle.ORACLE,
         "op12_hard_negatives": hard_negatives.ORACLE,
+        "op13_html_extraction": html_extract.ORACLE,
     }
