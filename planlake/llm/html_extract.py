@@ -9,7 +9,7 @@ with fewer they are nearly good, without bad. Blocks too short for the counts ar
 tag or role), text that is not bad by its place or its links is good or ambiguous: names and tables have no stop words.
 
 The second pass lets every ambiguous block inherit the label of the nearest decided block in page order: in an article
-among its own blocks and its ends, which count as good, and elsewhere among all blocks. At equal distance a heading takes
+among its own blocks (without those bad by their place) and its ends, which count as good, and elsewhere among all blocks. At equal distance a heading takes
 what follows, any other block what goes before. Nearly good blocks count as decided for others.
 
 A null or empty page, or one without main text, gives an empty text. Every page gives one row, repeated and null ids too.
@@ -149,7 +149,7 @@ def blocks_of(page: str) -> list[Block]:
             words = "".join(text).split()
             if words:
                 _, bad, article, _ = open_[-1] if open_ else _OUTSIDE
-                out.append(Block(bad, bool(heading), article, " ".join(words), linked))
+                out.append(Block(bad, bool(heading), 0 if bad else article, " ".join(words), linked))
             text.clear()
         linked = breaks = 0
 
