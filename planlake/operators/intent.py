@@ -68,8 +68,8 @@ def section_intent(sections: DataFrame) -> DataFrame:
     sent = lines.select("section_id", F.explode(F.split("line", r"(?<=[.!?])\s+")).alias("s")).where(F.char_length("s") >= 5)
     b = sent.select("section_id", *(c.alias(k) for k, c in sentence_scores(F.col("s")).items())).groupBy("section_id").agg(*(F.max(k).alias(k) for k in ("score", "plain", "change", "task", "role", "decision")))
     low = F.lower("raw_text")
-    verbs = sum((tc.has(low, rf"\b{v}\s+\w").cast("int") for v in lx.ACTIONABILITY_VERBS), F.lit(0))
-    s = sections.select("section_id", "num_lines", (verbs >= 2).alias("many_verbs")).join(a, "section_id", "left").join(b, "section_id", "left")
+    verbs = F.array_distinct(F.regexp_extract_all(low, F.lit(tc.java(rf"\b({'|'.join(lx.ACTIONABILITY_VERBS)})(?=\s+[A-Za-z0-9_])")), F.lit(1)))
+    s = sections.select("section_id", "num_lines", (F.size(verbs) >= 2).alias("many_verbs")).join(a, "section_id", "left").join(b, "section_id", "left")
     s = s.fillna(0.0, ["oos", "score", "plain"]).fillna(False, ["calendar", "communication", "micro", "change", "task", "role", "decision"])
     lift = F.col("many_verbs") & (F.col("oos") < 0.4)
     s = s.withColumns({"score": F.when(lift, F.greatest("score", F.lit(0.8))).otherwise(F.col("score")), "plain": F.when(lift, F.greatest("plain", F.lit(0.8))).otherwise(F.col("plain"))})
@@ -117,7 +117,7 @@ def ranking_delta(c: Column) -> Column:
 
 def idea_tokens(c: Column) -> dict[str, Column]:
     low = F.lower(c)
-    n = lambda ws: sum((tc.has(low, rf"\b{w}\b").cast("int") for w in ws), F.lit(0))
+    n = lambda ws: F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(tc.java(rf"\b({'|'.join(ws)})\b")), F.lit(1))))
     strategy, mechanism = n(lx.STRATEGY), n(lx.MECHANISMS)
     construct = sum((F.contains(low, F.lit(x)).cast("int") for x in lx.CONSTRUCTS), F.lit(0))
     total = strategy + mechanism + construct * 2

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from planlake.sources.fixtures import BELIEF_SENTENCES, DISMISS_REASONS, HEADINGS, SENTENCES, STATUSES
+from planlake.sources.fixtures import BELIEF_SENTENCES, CUT_TO, DISMISS_REASONS, HEADINGS, PLANTED, SENTENCES, STATUSES
 
 
 def _list(values: list[str]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
+_PLACE = f"(doc_id * 7 + (i - 1) * 13 + length(x)) % {len(PLANTED)}"
 VIEWS = {
+    "minutes": f"""
+select 'd' || doc_id as note_id, doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i:
+  ({_list([a for a, _ in PLANTED])})[{_PLACE} + 1] || case when {_PLACE} < 8 then substr(x, 1, {CUT_TO}) else x end || ({_list([b for _, b in PLANTED])})[{_PLACE} + 1]), chr(10)) as body
+from documents""",
     "suggestion_events": f"""
 select event_id, 'n' || user_id as note_id, 's' || user_id || '_' || (k % 7) as suggestion_id, kind as event_type, ts as created_at,
   case when user_id % 5 <> 0 then 't' || (user_id % 5) end as team_id,

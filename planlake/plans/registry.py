@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("met", "evt", "txt", "bel", "more", "assembly", "streams")
+MODULES = ("met", "evt", "txt", "bel", "more", "assembly", "segments", "streams")
 _queries: dict = {}
 _sql: dict[str, str] = {}
 

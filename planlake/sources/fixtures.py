@@ -26,6 +26,16 @@ SENTENCES = [
     "Contact ana@example.com or 555-123-4567.",
     "Status is on track and work is in progress.",
 ]
+#: What lines of `minutes` are put between, by a hash of the line; of the first few lines only the beginning is taken.
+CUT_TO = 24
+PLANTED = [
+    ("# ", ""), ("## ", ":"), ("1. ", ""), ("", ""), ("## General\n", ""), ("Timeline: ", ""), ("Phase 2 ", ""), ("#### Goals\n\n", ""),
+    ("- ", "\n- and another one"), ("```\n", "\n```"), ("~~~\n", "\n~~~"), ("> ", ""), ("\n\n", "\n"), ("* ", "\n\n  2. deeper\n3. third"), ("  1. ", ""), ("• ", ""),
+    *((f"{x} ", "") for x in SENTENCES),
+    ("", " Can you add a cache for the schema? Owner: ana"), ("Users struggle with ", ""), ("We should build an integration, due: 12, for ", ""), ("", " was moved to Q3 and version 2.1."), ("Send the email about ", " next week."),
+    ("", " We will launch the dashboard."), ("Maybe we could explore ", ""), ("Introduce a scoring system to automate ", "."), ("", " The release is delayed by 2 weeks, lead: bo."), ("Fix typo in ", ""), ("- [ ] update ", ""), ("PM to verify ", "."),
+    ("", ""), ("", ""), ("", ""), ("", ""),
+]
 BELIEF_SENTENCES = [
     "The mobile release deadline was March.",
     "The mobile release deadline will be moving to May.",
@@ -135,6 +145,18 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes whose running text holds headings, lists, fences and the phrases of rules, between and within its own lines."""
+
+    def line(x, i):
+        h = ((F.col("doc_id") * 7 + i * 13 + F.char_length(x)) % len(PLANTED)).cast("int")
+        part = F.when(h < 8, F.substring(x, 1, CUT_TO)).otherwise(x)
+        return F.concat(pick([a for a, _ in PLANTED], h), part, pick([b for _, b in PLANTED], h))
+
+    body = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("note_id"), body.alias("body"), "doc_id")
+
+
 def initiatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One for each fiftieth note."""
     n = notes(spark, sf_dir).where("doc_id % 50 = 0")
