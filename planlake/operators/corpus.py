@@ -203,27 +203,6 @@ def threshold_sweep(scored: DataFrame, values: list[float]) -> DataFrame:
     return rows.withColumn("drop_pct", F.when(before > 0, F.round((before - F.col("n")) * 100.0 / before, 6)).otherwise(0.0))
 
 
-def token_counts(df: DataFrame, id_col: str, text: Column) -> DataFrame:
-    return df.select(id_col, F.explode(tc.tokens(text, 3)).alias("token")).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def route(items: DataFrame, initiatives: DataFrame, attach_at: float = 0.8) -> DataFrame:
-    """The initiative with the largest term-frequency cosine for each item (item_id, text), attached at attach_at or more.
-
-    An inverted-index join on tokens: every token counts, so scores are exact. Ties go to the smallest initiative id.
-    """
-    a = token_counts(items, "item_id", F.col("text"))
-    b = token_counts(initiatives, "initiative_id", F.concat_ws(" ", "title", "description")).withColumnRenamed("tf", "tf_b")
-    norm = lambda d, k, c: d.groupBy(k).agg(F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"norm_{k}"))
-    dots = a.join(b, "token").groupBy("item_id", "initiative_id").agg(F.sum(F.col("tf") * F.col("tf_b")).alias("dot"))
-    s = dots.join(norm(a, "item_id", "tf"), "item_id").join(norm(b, "initiative_id", "tf_b"), "initiative_id")
-    s = s.withColumn("similarity", F.round(F.col("dot") / (F.col("norm_item_id") * F.col("norm_initiative_id")), 6))
-    best = s.groupBy("item_id").agg(F.max("similarity").alias("similarity"), F.min(F.struct(-F.col("similarity"), "initiative_id"))["initiative_id"].alias("initiative_id"))
-    out = items.select("item_id").join(best, "item_id", "left")
-    hit = F.coalesce(F.col("similarity") >= attach_at, F.lit(False))
-    return out.select("item_id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.when(hit, "attach").otherwise("create_new").alias("route"), F.when(hit, F.col("initiative_id")).alias("initiative_id"))
-
-
 def route_stats(routed: DataFrame) -> DataFrame:
     return routed.agg(F.count_if(F.col("route") == "attach").alias("attached"), F.count_if(F.col("route") == "create_new").alias("create_new"), F.round(F.avg("similarity"), 6).alias("mean_similarity"))
 

@@ -8,6 +8,7 @@ from planlake.functions import lexicon as lx
 from planlake.functions import textcols as tc
 from planlake.functions.compat import djb2
 from planlake.operators import corpus as cp
+from planlake.operators import routing
 from planlake.plans.fixture_sql import over
 from planlake.plans.registry import query
 from planlake.sources import fixtures as fx
@@ -240,7 +241,7 @@ _ROUTE = dict(a=TF.format("item_id", "text", "(select note_id as item_id, body a
 
 def _routed(spark, d):
     items = fx.notes(spark, d).select(F.col("note_id").alias("item_id"), F.col("body").alias("text"))
-    return cp.route(items, fx.initiatives(spark, d))
+    return routing.route(items, fx.initiatives(spark, d))
 
 
 @query("j10_token_routing", over("initiatives", ROUTE, **_ROUTE))
