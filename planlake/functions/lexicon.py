@@ -103,3 +103,105 @@ TOPIC_ANCHORS = ["new feature", "feature request", "project timeline", "internal
 TIMELINE_RISK = [r"\b(won't|can't|cannot|unlikely|impossible)\s+(make|hit|meet)\b", r"\b(will\s+)?(slip|delay|push|postpone)\b", r"\b(not\s+going\s+to|won't\s+be\s+ready)\b", r"\b(at\s+risk|in\s+jeopardy|behind\s+schedule)\b", r"\b(probably|likely)\s+\d+\s*(weeks?|months?|days?)\s+(late|behind)"]
 TIMELINE_PULL_IN = [r"\b(ahead\s+of\s+schedule|early|sooner)\b", r"\b(can\s+ship|ready\s+to\s+ship)\s+(earlier|sooner|before)", r"\b(pull\s+in|move\s+up|accelerate)\b"]
 TIMELINE_UNCERTAIN = [r"\b(might|may|could|possibly)\s+(slip|delay)\b", r"\b(not\s+sure|unclear|uncertain)\s+(about|if|whether).*\b(date|timeline|schedule)\b", r"\b(depends\s+on|contingent\s+on)\b"]
+
+# What is no work on initiatives, and what makes it work after all.
+OFF_TOPIC = {
+    "communication": [
+        r"\b(send|email|share|notify|announce|communicate|forward|cc|bcc)\b.*\b(summary|notes|update|team|everyone)\b",
+        r"\b(send|share)\s+(the|this|a)?\s*(summary|notes|recap)",
+        r"\bemail\s+(the|this|a)?\s*(team|group|everyone)",
+        r"\bnotify\s+(the|this|a)?\s*(stakeholder|team|manager)",
+    ],
+    "research": [
+        r"\b(interview|survey|experiment|a\/b test|user research)\b",
+        r"\bdo\s+(some|more)?\s*(research|interviews|testing)",
+        r"\bvalidate\s+(this|the|our)\s*(assumption|hypothesis)",
+        r"\btest\s+(this|the)\s*(idea|concept|approach)",
+    ],
+    "calendar": [
+        r"\b(schedule|book|set up|find time|calendar)\s+(a|the)?\s*(meeting|call|sync|chat|room)",
+        r"\bbook\s+(a|the)?\s*(room|space|venue)",
+        r"\bput\s+(it|this)\s+(on|in)\s+(the|my|our)?\s*calendar",
+        r"\bblock\s+(off|out)?\s*(time|calendar)",
+        r"\brecurring\s+(meeting|sync|standup)",
+    ],
+    "hygiene": [
+        r"\b(remember to|keep in mind|don't forget|note to self)\b",
+        r"\b(follow up|touch base|check in)\b(?!\s+(on|about|regarding)\s+\w+\s+(initiative|project|work))",
+        r"\bstay\s+(on top of|aligned|in sync)",
+        r"\bmake sure\s+(to|we)\s*(remember|don't forget)",
+    ],
+}
+CONCRETE = r"\b(owner|lead|responsible|by|due|deadline|scope|deliver|goal|outcome)\b"
+
+# Cues of changes and of new work, with what they add to the confidence.
+CHANGE_CUES = [
+    ("mutation_timeline", 0.2, [
+        r"\b(push|delay|postpone|move|shift|slip|extend)\s+.{0,30}(to|by|until)\s+(q[1-4]|next|end of|january|february|march|april|may|june|july|august|september|october|november|december)",
+        r"\b(push|delay|postpone|move|shift|slip|extend)\s+(to|by|until|back)",
+        r"\b(pull in|move up|bring forward|accelerate)\s+.{0,20}(to|by)",
+        r"\b(new|updated|revised)\s+(deadline|due date|target date|timeline|eta)",
+        r"\b(deadline|due date|release|timeline)\s+(is|changed to|moved to|now|pushed to|delayed to)\s+",
+        r"\b(end of|by)\s+(q[1-4]|january|february|march|april|may|june|july|august|september|october|november|december)",
+        r"\bto\s+(q[1-4])\s+(\d{4})?\b",
+    ]),
+    ("mutation_scope", 0.15, [
+        r"\b(expand|extend|add|include|grow)\s+(the)?\s*(scope|work|feature)",
+        r"\b(cut|remove|drop|descope|reduce)\s+(the)?\s*(scope|feature|requirement)",
+        r"\b(scope|feature)\s+(creep|change|expansion)",
+        r"\b(add|include|remove)\s+.{3,30}\s+(from|to)\s+(the)?\s*(scope|initiative|project)",
+        r"\b(no longer|not going to)\s+(include|do|deliver|build)",
+    ]),
+    ("mutation_priority", 0.2, [
+        r"\b(now|is|becomes?)\s+(top|highest|high|critical|p0|p1)\s*priority",
+        r"\b(deprioritize|lower priority|de-prioritize|back burner)",
+        r"\b(priority|prioritize)\s+(is|changed|moved|shifted)",
+        r"\b(raise|increase|bump up|elevate)\s+(the)?\s*priority",
+        r"\b(more|less)\s+(urgent|important|critical)\s+(than|now)",
+        r"\bafter\s+.{3,30}\s+(is done|ships|launches)",
+    ]),
+    ("mutation_ownership", 0.2, [
+        r"\b(will|going to|should)\s+(own|lead|drive|take over|take on)",
+        r"\b(hand off|handoff|transfer|pass)\s+(to|ownership)",
+        r"\b(new|changed)\s*(owner|lead|driver|responsible|point person)",
+        r"\b(take|taking)\s+(over|on|ownership)",
+        r"\b(assign|assigned|reassign|reassigned)\s+(to|from)",
+    ]),
+    ("mutation_status", 0.15, [
+        r"\b(pause|pausing|paused|halt|halted|stop|stopped)\s+(the|this)?\s*(initiative|project|work)",
+        r"\b(resume|resuming|restart|restarting|unpause)\s+(the|this)?\s*(initiative|project|work)",
+        r"\b(done|complete|completed|finished|shipped|launched)",
+        r"\b(cancel|cancelled|kill|killed|abandon|abandoned)",
+        r"\b(activate|activated|start|started|kick off|kicked off)",
+    ]),
+]
+NEW_CUES = [
+    ("new_initiative", 0.3, [
+        r"\b(we should spin up|need to spin up|let's spin up)\b",
+        r"\b(this deserves its own initiative)\b",
+        r"\b(let's track this as a project)\b",
+        r"\b(we need a proper initiative for)\b",
+        r"\b(we will (create|start|launch|kick off))\s+(a\s+new|an?\s*|new\s*)?(initiative|project|workstream)",
+        r"\b(let's (create|start|launch|kick off))\s+(a\s+new|an?\s*|new\s*)?(initiative|project|workstream)",
+        r"\b(agreed to (create|start|launch|spin up))\s+(a\s+new|an?\s*|new\s*)?(initiative|project)",
+    ]),
+    ("new_initiative", 0.25, [
+        r"\b(we will track|let's track|tracking)\s+(this|as|a|an)\s*(initiative|project|item)",
+        r"\b(make|turn)\s+(this|it)\s+(into)?\s*(a|an)?\s*(project|initiative)",
+        r"\b(add|adding)\s+(this\s+)?to\s+(the)?\s*(backlog|roadmap)\b",
+        r"\bnew\s+(initiative|project|workstream|effort)\s*:\s*",
+    ]),
+    ("decision", 0.2, [
+        r"\b(we|team)\s+(decided|agreed)\s+(to|that)\s+(create|build|launch|ship|start)",
+        r"\bdecision\s*:\s*(create|build|launch|ship|start)",
+        r"\b(final decision|agreed)\s*:\s*(we (will|are going to))",
+    ]),
+    ("backlog_item", 0.15, [
+        r"\b(add|create|file)\s+(a|an)?\s*(ticket|issue|task)\s*(for|to track)\b",
+        r"\b(needs to be|should be)\s+(tracked|on the board|in the backlog)",
+    ]),
+    ("checklist", 0.1, [
+        r"\b(checklist|action items)\s*(:|for)",
+        r"\b(steps|tasks)\s+(to|before)\s+(launch|release|ship)",
+    ]),
+]

@@ -162,29 +162,6 @@ def topic_parts(sections: DataFrame) -> DataFrame:
     return lines.groupBy("section_id", "part").agg(F.array_join(F.array_sort(F.collect_list(F.struct("i", "line")))["line"], "\n").alias("text")).where(F.trim("text") != "")
 
 
-def title_matches(segments: DataFrame, initiatives: DataFrame) -> DataFrame:
-    """(segment_id, initiative_id): the title is in the text, or shares two words of three letters or 60 % of its words.
-
-    An equi-join on words counts shared ones; a title that is contained shares its words, so the containment test needs no other join
-    unless the title has no such word.
-    """
-    form = lambda c: tc.comparison_form(c)
-    words = lambda c: F.array_distinct(F.filter(F.split(form(c), " "), lambda w: F.char_length(w) >= 3))
-    s = segments.select("segment_id", F.explode(words(F.col("text"))).alias("w"))
-    t = initiatives.select("initiative_id", F.size(words(F.col("title"))).alias("n"), F.explode(words(F.col("title"))).alias("w"))
-    shared = s.join(t, "w").groupBy("segment_id", "initiative_id", "n").agg(F.count(F.lit(1)).alias("k"))
-    return shared.where((F.col("k") >= 2) | (F.col("k") / F.col("n") >= 0.6)).select("segment_id", "initiative_id")
-
-
-ID = r"\b([A-Z]{2,10}-\d+)\b"
-
-
-def id_matches(segments: DataFrame, initiatives: DataFrame) -> DataFrame:
-    """(segment_id, initiative_id) by ids such as ABC-12 in the text."""
-    ids = segments.select("segment_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(tc.java(ID, False)), F.lit(1)))).alias("initiative_id"))
-    return ids.join(initiatives.select("initiative_id"), "initiative_id", "left_semi").select("segment_id", "initiative_id")
-
-
 def guarded(fresh: DataFrame, existing: DataFrame) -> DataFrame:
     """Fresh suggestions without those whose fingerprint was dismissed, unless the note has changed since."""
     changed = (F.coalesce("note_version_at_creation", F.lit(0)) != 0) & (F.col("note_version_at_creation") != F.col("note_updated_at"))

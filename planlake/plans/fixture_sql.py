@@ -47,6 +47,7 @@ select 'd' || doc_id as note_id, case when doc_id % 2 <> 0 then substr(text, 1,
   || chr(10) || '- ' || ({_list(SENTENCES)})[(doc_id + 9) % 16 + 1] as body,
   timestamp '2024-01-01' + to_days((doc_id % 30)::int) as created_at, case when doc_id % 29 = 0 then true end as is_deleted, doc_id
 from documents""",
+    "minute_initiatives": "select 'INI-' || (doc_id // 50 + 1) as initiative_id, substr(text, 1, (1 + doc_id // 50 * 7 % 40)::int) as title from documents where doc_id % 50 = 0",
     "initiatives": """
 select 'i' || (doc_id // 50 + 1) as initiative_id, substr(body, 1, 40) as title, body as description, (['draft', 'active', 'done'])[doc_id % 3 + 1] as status, created_at
 from notes where doc_id % 50 = 0""",

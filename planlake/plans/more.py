@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from planlake.functions import lexicon as lx
 from planlake.functions import textcols as tc
 from planlake.operators import corpus as cp
+from planlake.operators import cues
 from planlake.operators import intent as it
+from planlake.operators.cuts import cut
 from planlake.plans import txt
 from planlake.plans.evt import SHOWN, fold_sql
 from planlake.plans.fixture_sql import over
@@ -113,22 +115,51 @@ def _(spark, d):
     return it.blended(model, rules, ["plan_change"])
 
 
-FORM = r"trim(regexp_replace(regexp_replace(lower({0}), '\s+', ' ', 'g'), '[^A-Za-z0-9_ ]', '', 'g'))"
-W3 = "list_distinct(list_filter(string_split({0}, ' '), lambda w: length(w) >= 3))"
+#: Items and sentences of notes, and what they name.
+_ITEM_SQL = "list_transform(list_filter(ls, lambda x: regexp_matches(x, '{0}')), lambda x: trim(regexp_extract(x, '{0}', 1)))"
+SEG0 = r"select note_id, doc_id, string_split(coalesce(body, ''), chr(10)) as ls, list_filter(list_transform(string_split(regexp_replace(coalesce(body, ''), '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: length(x) > 10) as ss from minutes"
+SEG1 = "select note_id, 0 as kind, unnest(range(0, len(i))) as pos, unnest(i) as text from (select note_id, list_concat(" + ", ".join(_ITEM_SQL.format(p) for p in cues._BULLETS) + ") as i from seg0) union all select note_id, 1, unnest(range(0, len(ss))), unnest(ss) from seg0"
+SEG2 = "select * from (select *, row_number() over (partition by note_id, lower(text) order by kind, pos) as nth from seg1 where text <> '') where kind = 0 or nth = 1"
+SEG3 = "select note_id, i as index, note_id || '#' || i as segment_id, text from (select *, row_number() over (partition by note_id order by kind, pos) - 1 as i from seg2)"
+_SEG = dict(seg0=SEG0, seg1=SEG1, seg2=SEG2, seg=SEG3)
+_W3 = r"list_filter(string_split_regex({0}, '\s+'), lambda w: length(w) >= 3)"
+TITLED = f"""select segment_id, initiative_id from (select segment_id, initiative_id, x, y, len(list_filter(b, lambda w: list_contains(a, w))) as k, len(b) as n from
+  (select segment_id, trim(lower(text)) as x, {_W3.format('trim(lower(text))')} as a from seg), (select initiative_id, trim(lower(title)) as y, {_W3.format('trim(lower(title))')} as b from minute_initiatives))
+  where (y <> '' and contains(x, y)) or k >= 2 or (n > 0 and k / n >= 0.6)"""
 
 
-@query("j08_title_matches", over("notes initiatives", f"select segment_id, initiative_id from (select segment_id, initiative_id, len(list_intersect(a, b)) as k, len(b) as n from (select note_id as segment_id, {W3.format(FORM.format('substr(body, 1, 200)'))} as a from notes), (select initiative_id, {W3.format(FORM.format('title'))} as b from initiatives)) where k > 0 and (k >= 2 or k / n >= 0.6)"))
+def _extracted(p, any_case):
+    return f"regexp_extract_all(text, '{txt._q(p)}', 1{', ' + chr(39) + 'i' + chr(39) if any_case else ''})"
+
+
+NAMED = f"select distinct segment_id, name from (select segment_id, trim(unnest(list_concat({', '.join(_extracted(p, c) for p, c in cues.NAMES)}))) as name from seg) where name <> ''"
+NAME_MATCHES = "select distinct segment_id, initiative_id from named join (select name, min(initiative_id) as initiative_id from (select distinct name from named) join minute_initiatives on initiative_id = name or contains(title, name) group by name) using (name)"
+_OFF = " or ".join(any_of("trim(lower(text))", [p for p in ps if "(?!" not in p]) for ps in lx.OFF_TOPIC.values())
+_ASIDE = r"regexp_matches(regexp_replace(trim(lower(text)), '\b(follow up|touch base|check in)\s+(on|about|regarding)\s+\w+\s+(initiative|project|work)', '', 'g'), '\b(follow up|touch base|check in)\b')"
+_MODALITY = "(0.4 * (" + " + ".join(f"{has('text', p)}::int" for p in lx.ASSERTIVE) + ") - 0.5 * (" + " + ".join(f"{has('text', p)}::int" for p in lx.SPECULATIVE) + "))"
+MENTIONED = "select segment_id, list(distinct initiative_id order by initiative_id) as ids from (select * from titled union all select * from name_matches) group by 1"
+SEEN = f"select segment_id, text, coalesce(ids, []) as ids, {_MODALITY} >= 0 as sure from seg left join mentioned using (segment_id) where not (({_OFF} or {_ASIDE}) and not {has('trim(lower(text))', lx.CONCRETE)})"
+CUES = " union all ".join(
+    [f"select segment_id, ids, '{n}' as cue_type, {b}::double as boost from seen where len(ids) = 1 and {any_of('text', ps)}" for n, b, ps in lx.CHANGE_CUES]
+    + [f"select segment_id, ids, '{n}', {b}::double from seen where {any_of('text', ps)}" + (" and sure" if n in ("new_initiative", "decision") else "") for n, b, ps in lx.NEW_CUES]
+)
+
+
+@query("j08_title_matches", over("minutes minute_initiatives", TITLED, **_SEG))
+def _(spark, d):
+    return cues.title_matches(cues.segments(fx.minutes(spark, d)), fx.minute_initiatives(spark, d))
+
+
+@query("j09_id_matches", over("minutes minute_initiatives", NAME_MATCHES, **_SEG, named=NAMED))
 def _(spark, d):
-    seg = fx.notes(spark, d).select(F.col("note_id").alias("segment_id"), F.substring("body", 1, 200).alias("text"))
-    return it.title_matches(seg, fx.initiatives(spark, d))
+    return cues.name_matches(cues.segments(fx.minutes(spark, d)), fx.minute_initiatives(spark, d))
 
 
-@query("j09_id_matches", "select distinct doc_id as segment_id, 'INI-' || (doc_id % 50) as initiative_id from documents where doc_id % 50 in (select doc_id // 50 from documents where doc_id % 50 = 0)")
+@query("c16_cue_signals", over("minutes minute_initiatives", f"select segment_id, array_to_string(ids, ',') as initiative_ids, cue_type, max(boost) as boost from ({CUES}) group by all", **_SEG, titled=TITLED, named=NAMED, name_matches=NAME_MATCHES, mentioned=MENTIONED, seen=SEEN))
 def _(spark, d):
-    doc = fx.table(spark, d, "documents")
-    seg = doc.select(F.col("doc_id").alias("segment_id"), F.concat(F.lit("See INI-"), (F.col("doc_id") % 50).cast("string"), F.lit(", and pre-INI-9x.")).alias("text"))
-    ini = doc.where("doc_id % 50 = 0").select(F.concat(F.lit("INI-"), F.floor(F.col("doc_id") / 50).cast("string")).alias("initiative_id"))
-    return it.id_matches(seg, ini)
+    segs, inis = cut(cues.segments(fx.minutes(spark, d))), fx.minute_initiatives(spark, d)
+    s = cues.cue_signals(segs, cues.mentions(segs, inis))
+    return s.withColumn("initiative_ids", F.array_join("initiative_ids", ","))
 
 
 OLD = "select note_id, suggestion_id, status, note_version_at_creation, note_updated_at, coalesce(suggestion_family, 'none') as fingerprint from suggestions"

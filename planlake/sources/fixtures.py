@@ -34,7 +34,8 @@ PLANTED = [
     *((f"{x} ", "") for x in SENTENCES),
     ("", " Can you add a cache for the schema? Owner: ana"), ("Users struggle with ", ""), ("We should build an integration, due: 12, for ", ""), ("", " was moved to Q3 and version 2.1."), ("Send the email about ", " next week."),
     ("", " We will launch the dashboard."), ("Maybe we could explore ", ""), ("Introduce a scoring system to automate ", "."), ("", " The release is delayed by 2 weeks, lead: bo."), ("Fix typo in ", ""), ("- [ ] update ", ""), ("PM to verify ", "."),
-    ("", ""), ("", ""), ("", ""), ("", ""),
+    ("We agreed to create a new initiative for ", ", see INI-1"), ("", " as INI-2 and INI-3 say; Ana will own it"), ("INI-2 is now top priority: ", ""), ("Maybe we will start a project for ", " INI-4"),
+    ("INI-1: cut the scope of ", ", the checklist for launch is done"), ("Team decided to build ", ""), ("File a ticket to track ", " by end of Q3, INI-5"), ("Initiative: ", " "), ("", ""), ("", ""), ("", ""), ("", ""),
 ]
 BELIEF_SENTENCES = [
     "The mobile release deadline was March.",
@@ -157,6 +158,13 @@ def minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("note_id"), body.alias("body"), "doc_id")
 
 
+def minute_initiatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One for each fiftieth document, with the beginning of its text as title, of one to forty characters."""
+    i = F.col("doc_id")
+    title = F.expr("substring(text, 1, cast(1 + doc_id div 50 * 7 % 40 as int))")
+    return table(spark, sf_dir, "documents").where(i % 50 == 0).select(F.concat(F.lit("INI-"), F.expr("doc_id div 50 + 1").cast("string")).alias("initiative_id"), title.alias("title"))
+
+
 def initiatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One for each fiftieth note."""
     n = notes(spark, sf_dir).where("doc_id % 50 = 0")
