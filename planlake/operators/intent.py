@@ -61,16 +61,22 @@ def out_of_scope(line: Column) -> dict[str, Column]:
 
 
 def section_intent(sections: DataFrame) -> DataFrame:
-    """section_id, six scores and the flags behind them. Implicit ideas without any marker are not scored."""
-    lines = sections.select("section_id", F.posexplode(F.transform(F.split("raw_text", "\n"), plain_line)).alias("i", "line")).where(F.char_length("line") >= 5)
-    per_line = lines.select("section_id", *(c.alias(k) for k, c in out_of_scope(F.col("line")).items()))
-    a = per_line.groupBy("section_id").agg(F.max("oos").alias("oos"), *(F.max(k).alias(k) for k in ("calendar", "communication", "micro")))
-    sent = lines.select("section_id", F.explode(F.split("line", r"(?<=[.!?])\s+")).alias("s")).where(F.char_length("s") >= 5)
-    b = sent.select("section_id", *(c.alias(k) for k, c in sentence_scores(F.col("s")).items())).groupBy("section_id").agg(*(F.max(k).alias(k) for k in ("score", "plain", "change", "task", "role", "decision")))
-    low = F.lower("raw_text")
-    verbs = F.array_distinct(F.regexp_extract_all(low, F.lit(tc.java(rf"\b({'|'.join(lx.ACTIONABILITY_VERBS)})(?=\s+[A-Za-z0-9_])")), F.lit(1)))
-    s = sections.select("section_id", "num_lines", (F.size(verbs) >= 2).alias("many_verbs")).join(a, "section_id", "left").join(b, "section_id", "left")
-    s = s.fillna(0.0, ["oos", "score", "plain"]).fillna(False, ["calendar", "communication", "micro", "change", "task", "role", "decision"])
+    """section_id, six scores and the flags behind them, from arrays of each section's lines and sentences, without a shuffle.
+
+    Implicit ideas without any marker are not scored.
+    """
+    lines = F.filter(F.transform(F.split("raw_text", "\n"), plain_line), lambda x: F.char_length(x) >= 5)
+    s = sections.select("section_id", "num_lines", "raw_text", lines.alias("lines"))
+    sents = F.filter(F.flatten(F.transform("lines", lambda x: F.split(x, r"(?<=[.!?])\s+"))), lambda x: F.char_length(x) >= 5)
+    fields = lambda kinds: F.struct(*(c.alias(k) for k, c in kinds.items()))
+    s = s.withColumns({"of_lines": F.transform("lines", lambda x: fields(out_of_scope(x))), "of_sents": F.transform(sents, lambda x: fields(sentence_scores(x)))})
+    most = lambda a, k: F.coalesce(F.array_max(F.transform(a, lambda x: x[k])), F.lit(0.0)).alias(k)
+    some = lambda a, k: F.exists(a, lambda x: x[k]).alias(k)
+    verbs = F.array_distinct(F.regexp_extract_all(F.lower("raw_text"), F.lit(tc.java(rf"\b({'|'.join(lx.ACTIONABILITY_VERBS)})(?=\s+[A-Za-z0-9_])")), F.lit(1)))
+    s = s.select(
+        "section_id", "num_lines", (F.size(verbs) >= 2).alias("many_verbs"), most("of_lines", "oos"), *(some("of_lines", k) for k in ("calendar", "communication", "micro")),
+        *(most("of_sents", k) for k in ("score", "plain")), *(some("of_sents", k) for k in ("change", "task", "role", "decision")),
+    )
     lift = F.col("many_verbs") & (F.col("oos") < 0.4)
     s = s.withColumns({"score": F.when(lift, F.greatest("score", F.lit(0.8))).otherwise(F.col("score")), "plain": F.when(lift, F.greatest("plain", F.lit(0.8))).otherwise(F.col("plain"))})
     calm = F.col("change") | F.col("many_verbs") | ((F.col("plain") >= 0.8) & (F.col("num_lines") >= 5))
