@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planlake.functions import textcols as tc
+from planlake.operators.cuts import cut
 
 SECTION_SCHEMA = "note_id string, ordinal int, heading_text string, heading_level int, start_line int, end_line int, raw_text string, num_lines int, num_list_items int"
 
@@ -226,6 +227,48 @@ def near_duplicates(new: DataFrame, open_: DataFrame, at_least: float = 0.8) ->
     return full.withColumn("similarity", F.round(tc.jaccard(F.col("x"), F.col("y")), 6)).where(F.col("similarity") >= at_least).select("new_id", "open_id", "similarity")
 
 
+def word_set(text: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")))
+
+
+def merged_duplicates(new: DataFrame, open_: DataFrame, at_least: float = 0.8) -> DataFrame:
+    """id, duplicate_of, similarity: for each new suggestion the first open one (by position, id) of its action and initiative that is as similar as at_least.
+
+    Both have id, action, initiative_id (null equals null), text and position. Rows of one block with the same words become one
+    word set first, so copies meet as one row; two sets can only be similar if neither is much larger and if they share one of
+    their rarest words, down to where the rest could not suffice. Sets that pass are compared whole, and members take the result
+    of their set. Texts without words resemble nothing.
+    """
+    block = F.sha2(F.concat_ws("\x1f", F.coalesce(F.concat(F.lit("="), "action"), F.lit("")), F.coalesce(F.concat(F.lit("="), "initiative_id"), F.lit(""))), 256)
+    keyed = lambda d: d.select("id", "position", block.alias("block"), word_set(F.col("text")).alias("words")).withColumns({"n": F.size("words"), "set": F.sha2(F.array_join("words", " "), 256)}).where("n > 0")
+    a, b = cut(keyed(new)), cut(keyed(open_))
+    sets = lambda d, key: d.groupBy("block", "set").agg(F.first("words").alias("words"), F.first("n").alias("n"), F.min(F.struct("position", "id")).alias("first")).select("block", F.col("set").alias(key), "words", "n", "first")
+    x, y = cut(sets(a, "new_set")), cut(sets(b, "open_set"))
+    freq = x.select("words").unionByName(y.select("words")).select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+
+    def rarest(d: DataFrame, key: str) -> DataFrame:
+        w = d.select("block", key, "n", F.explode("words").alias("w")).join(freq, "w")
+        nth = F.row_number().over(Window.partitionBy("block", key).orderBy("df", "w"))
+        return w.withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * F.lit(at_least)) + 1).select("block", "w", key, F.col("n").alias(f"n_{key}"), F.col("nth").alias(f"nth_{key}"))
+
+    met = rarest(x, "new_set").join(rarest(y, "open_set"), ["block", "w"])
+    small, large = F.least("n_new_set", "n_open_set"), F.greatest("n_new_set", "n_open_set")
+    # of the words after this one, no more can be shared than the smaller rest holds
+    rest = F.least(F.col("n_new_set") - F.col("nth_new_set"), F.col("n_open_set") - F.col("nth_open_set")) + 1
+    first_shared = met.where(small >= large * at_least).groupBy("block", "new_set", "open_set").agg(F.max(rest).alias("rest"), F.max(small + large).alias("total"))
+    able = first_shared.where(F.col("rest") * (1 + at_least) >= F.col("total") * at_least - 1e-9).select("block", "new_set", "open_set")
+    full = able.join(x.select("block", "new_set", F.col("words").alias("p")), ["block", "new_set"]).join(y.select("block", "open_set", F.col("words").alias("q"), "first"), ["block", "open_set"])
+    alike = full.withColumn("similarity", tc.jaccard(F.col("p"), F.col("q"))).where(F.col("similarity") >= at_least)
+    best = alike.groupBy("block", "new_set").agg(F.min(F.struct("first", "similarity")).alias("b")).select("block", F.col("new_set").alias("set"), F.col("b.first.id").alias("duplicate_of"), F.round("b.similarity", 6).alias("similarity"))
+    return new.select("id").join(a.select("id", "block", "set").join(best, ["block", "set"]).select("id", "duplicate_of", "similarity"), "id", "left")
+
+
+def merged_evidence(found: DataFrame, new: DataFrame, open_: DataFrame) -> DataFrame:
+    """id and evidence of open suggestions, their own and that of their duplicates, each text once: a row for each."""
+    gained = found.where("duplicate_of is not null").join(new.select("id", "evidence"), "id").select(F.col("duplicate_of").alias("id"), "evidence")
+    return open_.select("id", "evidence").unionByName(gained).where("evidence is not null").distinct()
+
+
 def centroids(vectors: DataFrame, by: str, vec: str) -> DataFrame:
     """Mean vector of each cluster, component by component."""
     x = vectors.select(by, F.posexplode(vec).alias("pos", "v")).groupBy(by, "pos").agg(F.avg(F.col("v").cast("double")).alias("m"))

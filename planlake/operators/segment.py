@@ -84,6 +84,31 @@ def blocks(notes: DataFrame) -> DataFrame:
     ).select("note_id", F.col("index").cast("int").alias("index"), "type", F.nullif("title", F.lit("")).alias("title"), "level", "start_char", (F.col("start_char") + F.col("n")).alias("end_char"), "content")
 
 
+# Abbreviations whose stop ends no sentence.
+ABBREVIATIONS = ["mr", "mrs", "ms", "dr", "prof", "sr", "jr", "vs", "e.g", "i.e", "etc"]
+_ABBREVIATED = r"\b(?:" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\."
+
+
+def utterances(found: DataFrame) -> DataFrame:
+    """Utterances of blocks: note_id, block, index, text, start_char, end_char; substring(body, start_char + 1, end_char - start_char) is the text.
+
+    List items, and sentences of other text; headings and code have none. Text is cut before white space that follows . ! ? of no
+    abbreviation, so the pieces of a block keep all of its characters and their lengths add up to offsets. The text stays as written.
+    """
+    x = found.where("type in ('list', 'body')")
+    sentence = rf"(?i)(?<=[.!?])(?<!{_ABBREVIATED})(?=\s)"
+    pieces = F.when(F.col("type") == "list", F.split("content", r"(?=\n)")).otherwise(F.split("content", sentence))
+    x = x.select("note_id", F.col("index").alias("block"), "type", "start_char", F.posexplode(pieces).alias("i", "piece"))
+    before = Window.partitionBy("note_id", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    lead = F.when(F.col("type") == "list", F.regexp_extract("piece", _ITEM + r"(?=\S)", 0)).otherwise(F.regexp_extract("piece", r"^\s*", 0))
+    x = x.withColumns({"at": F.col("start_char") + F.coalesce(F.sum(F.char_length("piece")).over(before), F.lit(0)), "lead": F.char_length(lead)})
+    text = F.regexp_replace(F.expr("substring(piece, lead + 1)"), r"\s+\z", "")
+    x = x.withColumn("text", text).where((F.char_length("text") > 0) & ((F.col("type") != "list") | (F.col("lead") > 0)))
+    index = F.row_number().over(Window.partitionBy("note_id", "block").orderBy("i")) - 1
+    start = F.col("at") + F.col("lead")
+    return x.select("note_id", "block", index.alias("index"), "text", start.alias("start_char"), (start + F.char_length("text")).alias("end_char"))
+
+
 def fence_marks(lines: Column) -> Column:
     """The numbers of the lines that open or close code: a fence of backticks ends at backticks, one of tildes at tildes."""
     kind = lambda t: F.when(F.startswith(t, F.lit("```")), "`").when(F.startswith(t, F.lit("~~~")), "~")

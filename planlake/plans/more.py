@@ -162,6 +162,34 @@ def _(spark, d):
     return s.withColumn("initiative_ids", F.array_join("initiative_ids", ","))
 
 
+#: Cues are suggestions: those of notes with even numbers are open, the others new.
+SUGGESTED = f"select segment_id || '/' || cue_type as id, cue_type as action, case when len(ids) = 1 then ids[1] end as initiative_id, text as t, doc_id % 2 = 0 as is_open, doc_id from (select distinct segment_id, ids, cue_type from ({CUES})) join seg using (segment_id) join (select note_id, doc_id from minutes) using (note_id)"
+SETS = r"select *, list_distinct(list_filter(string_split_regex(lower(t), '\s+'), lambda w: w <> '')) as w from suggested"
+ALIKE = """select a.id, b.id as other, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) as s, row_number() over (partition by a.id order by b.doc_id, b.id) as nth
+  from sets a join sets b on not a.is_open and b.is_open and a.action = b.action and a.initiative_id is not distinct from b.initiative_id and len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.8"""
+_DUP = dict(**_SEG, titled=TITLED, named=NAMED, name_matches=NAME_MATCHES, mentioned=MENTIONED, seen=SEEN, suggested=SUGGESTED, sets=SETS, alike=ALIKE)
+
+
+def _suggested(spark, d):
+    segs, inis = cut(cues.segments(fx.minutes(spark, d))), fx.minute_initiatives(spark, d)
+    s = cues.cue_signals(segs, cues.mentions(segs, inis)).join(segs.select("segment_id", "note_id", "text"), "segment_id")
+    doc = F.substring("note_id", 2, 20).cast("bigint")
+    one = F.when(F.size("initiative_ids") == 1, F.col("initiative_ids")[0])
+    s = s.select(F.concat("segment_id", F.lit("/"), "cue_type").alias("id"), F.col("cue_type").alias("action"), one.alias("initiative_id"), "text", doc.alias("position"), F.col("text").alias("evidence"))
+    return s.where("position % 2 = 1"), s.where("position % 2 = 0")
+
+
+@query("u07_merged_duplicates", over("minutes minute_initiatives", "select s.id, other as duplicate_of, round(s, 6) as similarity from (select id from suggested where not is_open) s left join (select * from alike where nth = 1) using (id)", **_DUP))
+def _(spark, d):
+    return cp.merged_duplicates(*_suggested(spark, d))
+
+
+@query("u07_merged_evidence", over("minutes minute_initiatives", "select distinct id, evidence from (select id, t as evidence from suggested where is_open union all select other, t from alike join suggested using (id) where nth = 1)", **_DUP))
+def _(spark, d):
+    new, old = map(cut, _suggested(spark, d))
+    return cp.merged_evidence(cp.merged_duplicates(new, old), new, old)
+
+
 OLD = "select note_id, suggestion_id, status, note_version_at_creation, note_updated_at, coalesce(suggestion_family, 'none') as fingerprint from suggestions"
 
 

@@ -45,6 +45,22 @@ def _(spark, d):
     return b.withColumns({c: F.col(c).cast("bigint") for c in ("start_char", "end_char")})
 
 
+_BLOCKS = dict(l0=L0, l1=L1, l2=L2, l3=L3, l4=L4, l5=L5, l6=L6, l7=L7, l8=L8)
+_STOPS = "regexp_replace(content, '\\b(" + "|".join(a.replace(".", "\\.") for a in sg.ABBREVIATIONS) + ")\\.', '\\1' || chr(2), 'gi')"
+U1 = rf"""select note_id, index as block, type, start_char, unnest(range(0, len(p))) as i, replace(unnest(p), chr(2), '.') as piece from (select *, case when type = 'list' then string_split(replace(content, chr(10), chr(1) || chr(10)), chr(1))
+  else string_split(regexp_replace({_STOPS}, '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), chr(1)) end as p from blocks where type in ('list', 'body'))"""
+U2 = rf"""select *, start_char + coalesce(sum(length(piece)) over (partition by note_id, block order by i rows between unbounded preceding and 1 preceding), 0) as pos,
+  length(case when type = 'list' then regexp_extract(piece, '({ITEM})\S', 1) else regexp_extract(piece, '^\s*') end) as lead from u1"""
+U3 = r"select *, regexp_replace(substr(piece, lead + 1), '\s+$', '') as text from u2"
+UTTERANCES = """select note_id, block, (row_number() over (partition by note_id, block order by i) - 1)::int as index, text, (pos + lead)::bigint as start_char, (pos + lead + length(text))::bigint as end_char from u3 where text <> '' and (type <> 'list' or lead > 0)"""
+
+
+@query("t09_utterance_offsets", over("minutes", UTTERANCES, **_BLOCKS, blocks=BLOCKS, u1=U1, u2=U2, u3=U3))
+def _(spark, d):
+    u = sg.utterances(sg.blocks(fx.minutes(spark, d)))
+    return u.withColumns({c: F.col(c).cast("bigint") for c in ("start_char", "end_char")})
+
+
 #: A fence of one kind is closed in these notes before one of the other kind opens, so all marks toggle.
 S1 = f"select *, starts_with({STRIP.format('s')}, '```') or starts_with({STRIP.format('s')}, '~~~') as mark, {STRIP.format('s')} as t from l0"
 S2 = rf"""select *, case when mark or sum(mark::int) over {W} % 2 = 1 then 'code' when t = '' then 'blank' when regexp_matches(t, '^#{{1,6}}\s') then 'heading' when regexp_matches(t, '^>\s') then 'quote'
