@@ -205,3 +205,32 @@ NEW_CUES = [
         r"\b(steps|tasks)\s+(to|before)\s+(launch|release|ship)",
     ]),
 ]
+
+# Explicit asks, their order, and sentences that only look like them.
+WORK_VERBS = ["add", "implement", "build", "create", "support", "enable", "integrate", "remove", "deprecate", "fix", "improve", "explore", "update", "change", "refactor"]
+WE_COULD_VERBS = r"\b(?:add|cache|implement|build|create|enable|convert|force|support|integrate|improve|expose|generate)\b"
+WANTED_ARTIFACTS = r"\b(?:command|button|integration|cache|rollback|docs?|documentation|template|dashboard|report|export|workflow|api|endpoint|flag|option|feature|tool|view|page|screen|modal|tab)\b"
+EXPLICIT_REQUESTS = [
+    r"\basksfor\b",
+    r"\basks?\s+for\b",
+    r"\brequest(?:s|ed)?\s+(?:to|for|that|a|an)\b",
+    r"\bwould\s+like\b",
+    r"\b(?:we|users?|teams?)\s+needs?\s+to\b",
+    r"\b(?:we|users?|teams?)\s+needs?\s+(?:a|an|the|better|improved?|faster|more)\b",
+    r"\b(?:we|they|users?|teams?)\s+wants?\s+to\b",
+    r"\b(?:we|they|users?|teams?)\s+wants?\s+(?:a|an|the|better|improved?|faster|more)\b",
+    r"\bwe\s+should\b",
+    r"\bmaybe\s+we\s+could\b",
+    r"\brequires\s+us\s+to\b",
+    r"\bthis\s+will\s+require\b",
+    r"\bsuggestion:",
+    r"\brequirement(?:s)?(?:\s+to|\s*:)?\s+implement\b",
+]
+PRIORITY_STATUS = [r"\bis\s+(?:now\s+)?(?:a\s+)?high-priority(?:\s+item)?(?:\s+for)?\b", r"\bis\s+(?:a\s+)?(?:high|top|low)\s+priority\b", r"\bfor\s+the\s+(?:h\d|q\d)\s+roadmap\b", r"\bfor\s+the\s+roadmap\b", r"\btop\s+priority\s+for\b", r"\bpriority\s+item\b"]
+CONCERNS = [r"\bconcern\s+that\b", r"\brisk\s+that\b", r"\bworried\s+that\b", r"\bmight\s+churn\b", r"\bcould\s+churn\b", r"\bmight\s+impact\b", r"\bcould\s+cause\b"]
+ASK_MARKERS = [r"\brequirement(?:s)?\s+to\b", r"\brequest(?:s|ed)?\s+to\b", r"\b(?:we|users?|teams?)\s+needs?\b", r"\basks?\s+for\b"]
+REMOVAL_VERBS = r"\b(pull|remove|de-scope|descope|delay|postpone|exclude)\b"
+MARKET_ARTIFACTS = r"\b(marketing blast|launch|announcement|press|campaign|release)\b"
+META_VERBS = ["prioritize", "review", "discuss", "align", "evaluate", "assess", "revisit", "brainstorm", "sync", "follow up", "consider", "coordinate", "validate", "confirm"]
+CONCRETE_VERBS = ["add", "implement", "build", "create", "enable", "support", "integrate", "remove", "deprecate", "fix", "improve", "migrate", "launch", "ship"]
+CONCRETE_NOUNS = ["feature", "integration", "ui", "api", "role", "permission", "dashboard", "report", "export", "onboarding", "workflow", "portal", "gating", "schema", "mapper", "endpoint", "component", "service", "migration", "webhook"]

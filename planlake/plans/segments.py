@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from planlake.functions import lexicon as lx
 from planlake.functions import textcols as tc
+from planlake.operators import asks
 from planlake.operators import intent as it
 from planlake.operators import scoring
 from planlake.operators import segment as sg
@@ -14,7 +15,7 @@ from planlake.operators.cuts import cut
 from planlake.plans import more
 from planlake.plans.fixture_sql import over
 from planlake.plans.registry import query
-from planlake.plans.txt import has
+from planlake.plans.txt import NOISE, any_of, has
 from planlake.sources import fixtures as fx
 
 STRIP = r"regexp_replace(regexp_replace({0}, '^[ \t\n\x0b\f\r]+', ''), '[ \t\n\x0b\f\r]+$', '')"
@@ -162,3 +163,21 @@ def _(spark, d):
     typed = candidates_of(secs).join(intents.select("section_id", "type"), "section_id")
     s = scoring.scored(typed, secs.join(intents, "section_id").withColumn("research", F.lit(0.0)))
     return s.select("section_id", "position", "section_actionability", "type_choice_confidence", "synthesis_confidence", "overall", "threshold_reason", "is_high_confidence", "needs_clarification", F.array_join("clarification_reasons", ",").alias("clarification_reasons"), "ranking_score")
+
+
+#: Sentences of sections that ask, with their rank; two of each section.
+_ALL_WORDS = lambda ws: has("s", rf"\b(?:{'|'.join(ws)})\b")
+ASKED = rf"""select section_id, i, s from (select section_id, unnest(range(0, len(ss))) as i, unnest(ss) as s from (select section_id, list_filter(list_transform(string_split_regex(raw_text, '[.!?]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > {asks.SHORTEST}) as ss from sec))
+  where ({any_of('s', lx.EXPLICIT_REQUESTS)} or ({has('s', chr(92) + 'bwe' + chr(92) + 's+could' + chr(92) + 'b')} and {has('s', lx.WE_COULD_VERBS)}) or (regexp_matches(s, '(?i)\busers?\s+wants?\s+') and {has('s', lx.WANTED_ARTIFACTS)}))
+  and not ({_ALL_WORDS(lx.META_VERBS)} and not {_ALL_WORDS(lx.CONCRETE_VERBS)} and not {_ALL_WORDS(lx.CONCRETE_NOUNS)}) and not ({any_of('s', lx.PRIORITY_STATUS)} and not {_ALL_WORDS(lx.WORK_VERBS)})
+  and not ({any_of('s', lx.CONCERNS)} and not {any_of('s', lx.ASK_MARKERS)} and not {_ALL_WORDS(lx.WORK_VERBS)}) and not {NOISE}"""
+_LADDER = " ".join(f"when {' and '.join(has('s', p) for p in ps)} then {n}" for n, ps in asks.LADDER)
+RANKED = rf"""select section_id, i, case when regexp_matches(trim(lower(s)), '^if\b') and ({has('s', lx.REMOVAL_VERBS)} or {has('s', lx.MARKET_ARTIFACTS)}) then 9 {_LADDER} else 8 end as rank,
+  regexp_replace(regexp_replace(regexp_replace(s, '^[-*+•]\s+', ''), '^\d+[.)]\s+', ''), '\s+', ' ', 'g') as sentence from asked"""
+FIRST_ASKS = "select section_id, rank::int as rank, sentence, (row_number() over (partition by section_id order by rank, i) - 1)::int as place from (select *, row_number() over (partition by section_id, sentence order by rank, i) as again from ranked) where again = 1 qualify place < 2"
+
+
+@query("k04_ranked_asks", over("minutes", FIRST_ASKS, **_SECTIONS, sec=SEC, asked=ASKED, ranked=RANKED))
+def _(spark, d):
+    a = _sections(spark, d).select("section_id", F.posexplode(asks.ranked_asks(F.col("raw_text"))).alias("place", "ask"))
+    return a.select("section_id", "ask.rank", "ask.sentence", "place")

@@ -34,8 +34,8 @@ PLANTED = [
     *((f"{x} ", "") for x in SENTENCES),
     ("", " Can you add a cache for the schema? Owner: ana"), ("Users struggle with ", ""), ("We should build an integration, due: 12, for ", ""), ("", " was moved to Q3 and version 2.1."), ("Send the email about ", " next week."),
     ("", " We will launch the dashboard."), ("Maybe we could explore ", ""), ("Introduce a scoring system to automate ", "."), ("", " The release is delayed by 2 weeks, lead: bo."), ("Fix typo in ", ""), ("- [ ] update ", ""), ("PM to verify ", "."),
-    ("We agreed to create a new initiative for ", ", see INI-1"), ("", " as INI-2 and INI-3 say; Ana will own it"), ("INI-2 is now top priority: ", ""), ("Maybe we will start a project for ", " INI-4"),
-    ("INI-1: cut the scope of ", ", the checklist for launch is done"), ("Team decided to build ", ""), ("File a ticket to track ", " by end of Q3, INI-5"), ("Initiative: ", " "), ("", ""), ("", ""), ("", ""), ("", ""),
+    ("We agreed to create an initiative for ", ", see INI-1"), ("", " as INI-2 and INI-3 say; Ana will own it"), ("INI-2 is now top priority, and bo will lead ", ""), ("Maybe we will start a project for ", " INI-4"),
+    ("INI-1: cut the scope of ", ", the checklist for launch is done"), ("Team decided to build ", ""), ("File a ticket to track ", " by end of Q3, INI-5"), ("Initiative: ", " "), ("Requirement to implement ", " by spring"), ("Request to add ", ". Risk that we need the rest"), ("The team asks for ", ". We should discuss it with all"), ("This will require ", ". If we delay it, we should remove the rest"), ("", ""), ("", ""),
 ]
 BELIEF_SENTENCES = [
     "The mobile release deadline was March.",
