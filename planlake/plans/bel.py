@@ -8,9 +8,10 @@ from planlake.functions import lexicon as lx
 from planlake.operators import beliefs as bl
 from planlake.plans.fixture_sql import over
 from planlake.plans.registry import query
+from planlake.plans.txt import SPLIT
 from planlake.sources import fixtures as fx
 
-UTT = r"select meeting_id, trim(unnest(string_split(regexp_replace(line, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))) as text from (select meeting_id, unnest(string_split(raw_markdown, chr(10))) as line from meetings)"
+UTT = f"select meeting_id, trim(unnest({SPLIT.format('line')})) as text from (select meeting_id, unnest(string_split(raw_markdown, chr(10))) as line from meetings)"
 
 
 def _has(words: str) -> str:
@@ -21,16 +22,16 @@ DIM = "case " + " ".join(f"when {_has(w)} then '{n}'" for n, w, _, _, _ in lx.DI
 LAB = "case " + " ".join(f"when {_has(w)} then '{lab}'" for _, w, _, lab, _ in lx.DIMENSIONS[::-1]) + f" when {_has(lx.OTHER_CHANGE)} then 'plan_change' else 'noise' end"
 CONF = "case " + " ".join(f"when {_has(w)} then {c}" for _, w, _, _, c in lx.DIMENSIONS[::-1]) + f" when {_has(lx.OTHER_CHANGE)} then 0.5 else 0.3 end"
 ROLE = f"case when label = 'plan_change' and dimension <> 'other' and {_has(lx.BEFORE)} then 'before' when label = 'plan_change' and dimension <> 'other' and {_has(lx.AFTER)} then 'after' else 'none' end"
-CLASS = f"select meeting_id, text, t, label, dimension, {ROLE} as change_role, c from (select *, lower(text) as t, {DIM.replace('(t,', '(lower(text),')} as dimension, {LAB.replace('(t,', '(lower(text),')} as label, ({CONF.replace('(t,', '(lower(text),')})::double as c from u where not regexp_matches(text, '^[a-z]') and text <> '')"
+CLASS = f"select meeting_id, text, t, label, dimension, {ROLE} as change_role, c from (select *, lower(text) as t, {DIM.replace('(t,', '(lower(text),')} as dimension, {LAB.replace('(t,', '(lower(text),')} as label, ({CONF.replace('(t,', '(lower(text),')})::double as c from u where text <> '')"
 
 
 def _classes(spark, d):
     return bl.classified(bl.utterances(fx.meetings(spark, d)))
 
 
-@query("b01_utterance_classes", over("meetings", f"select label, dimension, change_role, round(least(c + case when change_role <> 'none' then 0.1 else 0 end, 1.0), 6) as local_confidence, count(*) as n from ({CLASS}) where not regexp_matches(text, '[.!?]\\s+[a-z]') group by all", u=UTT))
+@query("b01_utterance_classes", over("meetings", f"select label, dimension, change_role, round(least(c + case when change_role <> 'none' then 0.1 else 0 end, 1.0), 6) as local_confidence, count(*) as n from ({CLASS}) group by all", u=UTT))
 def _(spark, d):
-    c = _classes(spark, d).where(~F.col("text").rlike("^[a-z]") & ~F.col("text").rlike(r"[.!?]\s+[a-z]"))
+    c = _classes(spark, d)
     return c.groupBy("label", "dimension", "change_role", "local_confidence").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -91,13 +91,13 @@ def _(spark, d):
     return ev.fold_from(snap, e, SHOWN)
 
 
-PATCH = f"""select 'p' || initiative_id as suggestion_id, initiative_id, c, priority, status, timestamp '2024-03-01' as created_at from (select *, substr(initiative_id, 2)::bigint as c from ({fold_sql(fields=['priority', 'status'])})) where c % 4 = 0"""
+PATCH = f"""select 'p' || initiative_id as suggestion_id, initiative_id, c, priority, status, timestamp '2024-03-01' as created_at from (select *, substr(initiative_id, 2)::bigint as c from ({fold_sql(fields=['priority', 'status'])}))"""
 STALE = "(c % 8 = 0 and 'stale' is distinct from priority)"
 BAD = "(c % 12 = 0 and not (status = 'draft'))"
 
 
 def _patches(spark, d):
-    s = ev.fold(_log(spark, d), fields=["priority", "status"]).withColumn("c", F.substring("initiative_id", 2, 20).cast("bigint")).where("c % 4 = 0")
+    s = ev.fold(_log(spark, d), fields=["priority", "status"]).withColumn("c", F.substring("initiative_id", 2, 20).cast("bigint"))
     op = lambda o, p, f, v: F.struct(F.lit(o).alias("op"), F.lit(p).alias("path"), f.alias("from"), F.lit(v).alias("value"))
     expected = F.when(F.col("c") % 8 == 0, "stale").otherwise(F.col("priority"))
     two = F.array(op("replace", "/priority", expected, "p1"), op("add", "/goal", F.lit(None).cast("string"), "g"))

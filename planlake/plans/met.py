@@ -308,8 +308,10 @@ def _(spark, d):
     over("decisions", "select note_id, suggestion_key, status, updated_at, case when status = 'applied' then initiative_id end as initiative_id, case when status <> 'applied' then dismiss_reason end as dismiss_reason from (select *, row_number() over (partition by note_id, suggestion_key order by updated_at desc, status desc) as r from decisions) where r = 1"),
 )
 def _(spark, d):
-    changes = fx.decisions(spark, d)
-    return mg.latest_decisions(changes.limit(0), changes)
+    """Decisions up to the middle of January are the table, and later ones are merged into it."""
+    all_ = fx.decisions(spark, d)
+    old = mg.latest_decisions(all_.limit(0), all_.where("updated_at < timestamp'2024-01-15 00:00:00'"))
+    return mg.latest_decisions(old, all_.where("updated_at >= timestamp'2024-01-15 00:00:00'"))
 
 
 @query("s07_payload_gate", over("suggestion_events", "select event_id from suggestion_events where event_id >= 0"))

@@ -82,11 +82,15 @@ def _(spark, d):
     return _lines(spark, d).select("note_id", tc.redacted(F.col("s")).alias("redacted"), tc.preview(F.col("s"), 20).alias("preview"))
 
 
-@query("t07_sentences", r"select doc_id, count(*) as n from (select doc_id, trim(unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))) as x from documents) where x <> '' and not regexp_matches(x, '^[a-z]') group by 1")
+#: Sentences of a text: cut after . ! ? and white space, but where one character of it and a lower-case letter follow.
+SPLIT = r"string_split(regexp_replace(regexp_replace({0}, '([.!?])(\s+)', '\1' || chr(1) || '\2', 'g'), chr(1) || '(\s[a-z])', '\1', 'g'), chr(1))"
+
+
+@query("t07_sentences", f"select doc_id, count(*) as n, sum(length(x))::bigint as chars from (select doc_id, trim(regexp_replace(regexp_replace(unnest({SPLIT.format('text')}), '^\\s+', ''), '\\s+$', '')) as x from documents) where x <> '' group by 1")
 def _(spark, d):
-    """Sentences that start with anything but a lower-case letter: the others are parts of the one before."""
-    s = fx.table(spark, d, "documents").select("doc_id", F.explode(tc.sentences(F.col("text"))).alias("x")).where(~F.col("x").rlike("^[a-z]"))
-    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    s = fx.table(spark, d, "documents").select("doc_id", F.explode(tc.sentences(F.col("text"))).alias("x"))
+    s = s.withColumn("x", F.regexp_replace("x", r"^\s+|\s+$", ""))
+    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("x")).alias("chars"))
 
 
 @query("t08_bullet_sentences", r"select doc_id, count(*) as n, sum(length(x))::bigint as chars from (select doc_id, trim(unnest(string_split(y, chr(10)))) as x from (select doc_id, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) as y from documents)) where x <> '' group by 1")
