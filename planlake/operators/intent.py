@@ -18,7 +18,8 @@ def holds(c: Column, phrases: list[str]) -> Column:
 
 
 def word(c: Column, words: list[str]) -> Column:
-    return tc.has(c, rf"\b({'|'.join(words)})\b")
+    """Any of the words, all of which begin and end with a letter, in a text in lower case."""
+    return c.rlike(rf"(?<![A-Za-z0-9_])(?:{'|'.join(words)})(?![A-Za-z0-9_])")
 
 
 def marked(c: Column, markers: list[str]) -> Column:
@@ -35,24 +36,28 @@ def plain_line(line: Column) -> Column:
     return F.regexp_replace(c, r"\s+", " ")
 
 
-def sentence_scores(s: Column) -> dict[str, Column]:
-    verb = word(s, lx.ACTION_VERBS)
+def sentence_flags(s: Column) -> dict[str, Column]:
     after = lambda p: F.substring_index(s, p, -1)
-    asks = [F.contains(s, F.lit("request to")) & word(after("request to"), lx.ACTION_VERBS)]
-    asks += [F.contains(s, F.lit(p)) & (word(after(p), lx.ACTION_VERBS) | word(after(p), lx.PRODUCT_NOUNS)) for p in ("requests a ", "requests an ", "requests for ", "requests that ")]
-    pm = holds(s, lx.PM_REQUESTS)
-    for a in asks:
-        pm = pm | a
-    role, decision, change, task = holds(s, lx.ROLES), holds(s, lx.DECISIONS), holds(s, lx.CHANGE_OPERATORS), holds(s, lx.TASK_MARKERS)
+    pm = holds(s, lx.PM_REQUESTS) | (F.contains(s, F.lit("request to")) & word(after("request to"), lx.ACTION_VERBS))
+    for p in ("requests a ", "requests an ", "requests for ", "requests that "):
+        pm = pm | (F.contains(s, F.lit(p)) & (word(after(p), lx.ACTION_VERBS) | word(after(p), lx.PRODUCT_NOUNS)))
+    return {
+        "verb": word(s, lx.ACTION_VERBS), "first_verb": tc.has(s, rf"^({'|'.join(lx.ACTION_VERBS)})\b"), "request": holds(s, lx.REQUEST_STEMS), "change": holds(s, lx.CHANGE_OPERATORS), "status": holds(s, lx.STATUS_MARKERS),
+        "task": holds(s, lx.TASK_MARKERS), "role": holds(s, lx.ROLES), "decision": holds(s, lx.DECISIONS), "pm": pm, "hedge": holds(s, lx.HEDGED), "noun": holds(s, lx.PRODUCT_NOUNS), "negated": holds(s, lx.NEGATIONS),
+    }
+
+
+def scores_of(f) -> dict[str, Column]:
+    """Scores of a sentence from its flags (a dict or a struct), each of which is found once."""
     v = lambda cond, x: F.when(cond, x).otherwise(0.0)
-    plain = F.greatest(
-        v(holds(s, lx.REQUEST_STEMS) & verb, 1.0), v(tc.has(s, rf"^({'|'.join(lx.ACTION_VERBS)})\b"), 0.9), v(change, 0.8), v(holds(s, lx.STATUS_MARKERS), 0.7),
-        v(task, 0.8), v(role, 0.85), v(decision, 0.7), v(pm, 0.76),
-    )
-    hedged = F.greatest(plain, v(holds(s, lx.HEDGED), 0.9))
-    bonus = v((hedged >= 0.6) & holds(s, lx.PRODUCT_NOUNS), 0.2)
-    score = F.when(holds(s, lx.NEGATIONS) & verb, 0.0).otherwise(F.least(F.lit(1.0), hedged + bonus))
-    return {"score": score, "plain": plain, "change": change, "task": task, "role": role, "decision": decision}
+    plain = F.greatest(v(f["request"] & f["verb"], 1.0), v(f["first_verb"], 0.9), v(f["change"], 0.8), v(f["status"], 0.7), v(f["task"], 0.8), v(f["role"], 0.85), v(f["decision"], 0.7), v(f["pm"], 0.76))
+    hedged = F.greatest(plain, v(f["hedge"], 0.9))
+    score = F.when(f["negated"] & f["verb"], 0.0).otherwise(F.least(F.lit(1.0), hedged + v((hedged >= 0.6) & f["noun"], 0.2)))
+    return {"score": score, "plain": plain, "change": f["change"], "task": f["task"], "role": f["role"], "decision": f["decision"]}
+
+
+def sentence_scores(s: Column) -> dict[str, Column]:
+    return scores_of(sentence_flags(s))
 
 
 def out_of_scope(line: Column) -> dict[str, Column]:
@@ -69,7 +74,7 @@ def section_intent(sections: DataFrame) -> DataFrame:
     s = sections.select("section_id", "num_lines", "raw_text", lines.alias("lines"))
     sents = F.filter(F.flatten(F.transform("lines", lambda x: F.split(x, r"(?<=[.!?])\s+"))), lambda x: F.char_length(x) >= 5)
     fields = lambda kinds: F.struct(*(c.alias(k) for k, c in kinds.items()))
-    s = s.withColumns({"of_lines": F.transform("lines", lambda x: fields(out_of_scope(x))), "of_sents": F.transform(sents, lambda x: fields(sentence_scores(x)))})
+    s = s.withColumns({"of_lines": F.transform("lines", lambda x: fields(out_of_scope(x))), "of_sents": F.transform(F.transform(sents, lambda x: fields(sentence_flags(x))), lambda f: fields(scores_of(f)))})
     most = lambda a, k: F.coalesce(F.array_max(F.transform(a, lambda x: x[k])), F.lit(0.0)).alias(k)
     some = lambda a, k: F.exists(a, lambda x: x[k]).alias(k)
     verbs = F.array_distinct(F.regexp_extract_all(F.lower("raw_text"), F.lit(tc.java(rf"\b({'|'.join(lx.ACTIONABILITY_VERBS)})(?=\s+[A-Za-z0-9_])")), F.lit(1)))
