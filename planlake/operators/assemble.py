@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planlake.functions import textcols as tc
+from planlake.operators.cues import contained
+from planlake.operators.cuts import cut
 
 
 def in_order(*sources: DataFrame) -> DataFrame:
@@ -39,11 +41,17 @@ def derivative(sections: DataFrame, evidence: DataFrame, share: float = 0.7) ->
 
 
 def same_decisions(lines: DataFrame) -> DataFrame:
-    """(note_id, first, second): decision lines of a note that are equal in comparison form, or of which one of at least 15 letters is within the other."""
-    f = lines.withColumn("form", tc.comparison_form(F.col("line"))).where("form <> ''")
-    a, b = f.select("note_id", F.col("line_no").alias("first"), F.col("form").alias("x")), f.select("note_id", F.col("line_no").alias("second"), F.col("form").alias("y"))
-    inside = ((F.char_length("x") >= 15) & F.contains("y", "x")) | ((F.char_length("y") >= 15) & F.contains("x", "y"))
-    return a.join(b, "note_id").where((F.col("first") < F.col("second")) & ((F.col("x") == F.col("y")) | inside)).select("note_id", "first", "second")
+    """(note_id, first, second): lines of a note that are equal in comparison form, or of which one of at least 15 letters is within the other.
+
+    Equal lines meet by their form. Of the others, each form is searched for once in a note, where its rarest piece is.
+    """
+    f = cut(lines.withColumn("form", tc.comparison_form(F.col("line"))).where("form <> ''").select("note_id", "line_no", "form"))
+    forms = f.select("note_id", "form").distinct()
+    inner = contained(forms.select("note_id", F.col("form").alias("text_id"), F.col("form").alias("text")), forms.where(F.char_length("form") >= 15).select("note_id", F.col("form").alias("pattern_id"), F.col("form").alias("pattern")), ("note_id",))
+    alike = inner.where("text_id <> pattern_id").select("note_id", F.col("text_id").alias("x"), F.col("pattern_id").alias("y")).unionByName(forms.select("note_id", F.col("form").alias("x"), F.col("form").alias("y")))
+    a, b = f.select("note_id", F.col("form").alias("x"), F.col("line_no").alias("p")), f.select("note_id", F.col("form").alias("y"), F.col("line_no").alias("q"))
+    pairs = alike.join(a, ["note_id", "x"]).join(b, ["note_id", "y"]).where((F.col("p") < F.col("q")) | ((F.col("x") != F.col("y")) & (F.col("p") != F.col("q"))))
+    return pairs.select("note_id", F.least("p", "q").alias("first"), F.greatest("p", "q").alias("second"))
 
 
 def consolidated(candidates: DataFrame, sections: DataFrame, spans: int = 5, letters: int = 320) -> DataFrame:
