@@ -2,103 +2,16 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planlake.functions import textcols as tc
+from planlake.operators import segment
 from planlake.operators.cuts import cut
 
-SECTION_SCHEMA = "note_id string, ordinal int, heading_text string, heading_level int, start_line int, end_line int, raw_text string, num_lines int, num_list_items int"
-
-# Pseudo-headings of notes without headings.
-PSEUDO = re.compile(r"(?:Plan|Roadmap|Execution|Next Steps|Decisions|Goals|Scope|Timeline|Strategy):|Q[1-4]\s+\d{4}|H[12]\s+\d{4}|Phase\s+\d+|Sprint\s+\d+", re.I)
-_ITEM = re.compile(r"[-*+•]\s|\d+[.)]\s")
-
-
-def line_kinds(lines: list[str]) -> list[str]:
-    """The type of each line; code fences need the lines before."""
-    out, fence = [], ""
-    for line in lines:
-        t = line.strip()
-        mark = t[:3] if t[:3] in ("```", "~~~") else ""
-        if mark and (not fence or mark[0] == fence[0]):
-            fence = "" if fence else mark
-            out.append("code")
-        elif fence:
-            out.append("code")
-        elif not t:
-            out.append("blank")
-        elif re.match(r"#{1,6}\s", t):
-            out.append("heading")
-        elif re.match(r">\s", t):
-            out.append("quote")
-        else:
-            out.append("list_item" if _ITEM.match(t) else "paragraph")
-    return out
-
-
-def sections_of(body: str) -> list[tuple]:
-    """(heading, level, start line, end line, text, lines, list items) of a note.
-
-    Markdown headings; before the first of them also short plain lines without a closing stop, and while there is no heading at all
-    the pseudo-headings. A heading without body passes its name on to the next section.
-    """
-    lines = body.split("\n")
-    kinds = line_kinds(lines)
-    found: list[tuple[str, int, int, list[int]]] = []
-    open_: tuple[str, int, int, list[int]] | None = None
-    markdown = headed = False
-    for i, (line, kind) in enumerate(zip(lines, kinds, strict=True)):
-        t, head = line.strip(), None
-        if kind == "heading":
-            marks = len(t) - len(t.lstrip("#"))
-            head, markdown = (t[marks:].strip(), marks), True
-        elif kind == "paragraph" and (not markdown or (open_ and open_[0] == "General")) and len(t) <= 40 and t[-1] not in ".?!" and (i + 1 == len(lines) or kinds[i + 1] in ("blank", "paragraph", "list_item")):
-            head = (t.removesuffix(":"), 2)
-        elif not headed and PSEUDO.match(t):
-            head = (line.removesuffix(":").strip(), 2)
-        if head:
-            headed = True
-            if open_ and open_[3]:
-                found.append(open_)
-            open_ = (*head, i, [])
-        elif open_:
-            open_[3].append(i)
-        elif not headed:
-            open_ = ("General", 1, i, [i])
-    if open_ and open_[3]:
-        found.append(open_)
-    out, waiting = [], []
-    for head, level, start, own in found:
-        text = "\n".join(lines[i] for i in own)
-        if not text.strip():
-            if head and head != "General":
-                waiting.append(head)
-            continue
-        name = " > ".join([*waiting, *([head] if head else [])])
-        out.append((name, level, start, own[-1], text, len(own), sum(kinds[i] == "list_item" for i in own)))
-        waiting = []
-    return out
-
-
 def sections(notes: DataFrame) -> DataFrame:
-    """One row for each section of each note (note_id, body). Sequential within a note, so no shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in SECTION_SCHEMA.split(", ")]
-        for batch in batches:
-            rows = []
-            for note, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(note, k, *s) for k, s in enumerate(sections_of(body or ""))]
-            cols = list(zip(*rows, strict=True)) or [()] * len(names)
-            kinds = [pa.string(), pa.int32(), pa.string(), *[pa.int32()] * 3, pa.string(), *[pa.int32()] * 2]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-    s = notes.select("note_id", "body").mapInArrow(run, SECTION_SCHEMA)
+    """One row for each section of each note (note_id, body), with a key and what its text has."""
+    s = segment.sections(notes)
     return s.withColumn("section_id", F.concat_ws("#", "note_id", "ordinal")).withColumns(tc.structure(F.col("raw_text")))
 
 
@@ -126,7 +39,7 @@ def suppressed_heading(heading: Column) -> Column:
 
 def candidates(notes: DataFrame) -> DataFrame:
     """Notes to scored candidates: signals of sections, one per (section, sentence, label), with a key and a drop reason."""
-    secs = sections(notes)
+    secs = cut(segment.sections(notes).withColumn("section_id", F.concat_ws("#", "note_id", "ordinal")).select("note_id", "section_id", "ordinal", "heading_text", "raw_text"))
     sig = best_signals(signal_rows(sentence_rows(secs)))
     s = secs.select("section_id", "heading_text", "raw_text")
     c = sig.join(s, "section_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from planlake.functions import lexicon as lx
 from planlake.functions import textcols as tc
 from planlake.operators import asks
+from planlake.operators import corpus as cp
 from planlake.operators import intent as it
 from planlake.operators import scoring
 from planlake.operators import segment as sg
@@ -88,6 +89,24 @@ def _(spark, d):
     return sg.sections(fx.minutes(spark, d))
 
 
+#: The same over notes, and what the text of a section has.
+_OF_NOTES = _SECTIONS | {"l0": L0.replace("from minutes", "from notes")}
+_FLAT = "lower(replace(raw_text, chr(10), ' '))"
+STRUCTURE = f"""select *, note_id || '#' || ordinal as section_id, {", ".join(f"{has(_FLAT, p)} as {c}" for c, p in (("has_dates", lx.DATES), ("has_metrics", lx.METRICS), ("has_quarter_refs", lx.QUARTERS), ("has_version_refs", lx.VERSIONS), ("has_launch_keywords", lx.LAUNCH_WORDS)))},
+  least(1.0, len(regexp_extract_all({_FLAT}, '{lx.INITIATIVE_PHRASES.replace(chr(39), chr(39) * 2)}', 0, 'i')) / (len(string_split_regex({_FLAT}, '\\s+')) / 10))::double as initiative_phrase_density from ({SECTIONS})"""
+
+
+@query("c01_sections", over("notes", STRUCTURE, **_OF_NOTES))
+def _(spark, d):
+    return cp.sections(fx.notes(spark, d))
+
+
+@query("m27_section_counts", over("notes", rf"select note_id, count(*) as sections, count(*) filter (not regexp_matches(lower(trim(string_split(heading_text, '>')[-1])), '^(next steps|summary|recap|tl;dr)\b')) as actionable from ({SECTIONS}) group by 1", **_OF_NOTES))
+def _(spark, d):
+    s = cp.sections(fx.notes(spark, d))
+    return s.groupBy("note_id").agg(F.count(F.lit(1)).alias("sections"), F.count_if(~cp.suppressed_heading(F.col("heading_text"))).alias("actionable"))
+
+
 #: Sections with a key, their lines without marks, and the sentences of these.
 SEC = f"select *, note_id || '#' || ordinal as section_id from ({SECTIONS})"
 LINE = r"""regexp_replace(regexp_replace(regexp_replace(trim(lower(translate(x, '‘’“”', '''''""'))), '^\s*[-*+•]\s+', ''), '^\s*\d+[.)]\s+', ''), '\s+', ' ', 'g')""".replace("\\'", "'")

@@ -187,17 +187,6 @@ def _(spark, d):
     return last.select("note_id", leaf.alias("heading_text"), "s.num_lines", "s.num_list_items")
 
 
-@query("c01_sections")
-def _(spark, d):
-    return cp.sections(fx.notes(spark, d))
-
-
-@query("m27_section_counts")
-def _(spark, d):
-    s = cp.sections(fx.notes(spark, d))
-    return s.groupBy("note_id").agg(F.count(F.lit(1)).alias("sections"), F.count_if(~cp.suppressed_heading(F.col("heading_text"))).alias("actionable"))
-
-
 @query("c08_candidates")
 def _(spark, d):
     return cp.candidates(fx.notes(spark, d))

@@ -40,7 +40,7 @@ def test_blocks(notes, bodies):
 def test_sections(notes, bodies):
     got = by_note(segment.sections(notes))
     for i, b in enumerate(bodies):
-        assert got.get(f"n{i}", []) == [(k, *s) for k, s in enumerate(corpus.sections_of(b or ""))], b
+        assert got.get(f"n{i}", []) == [(k, *s) for k, s in enumerate(plain.sections_of(b or ""))], b
 
 
 def test_utterances(spark):

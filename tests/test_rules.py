@@ -10,6 +10,7 @@ from planlake.operators import corpus as cp
 from planlake.operators import eventlog as ev
 from planlake.operators import merge as mg
 from planlake.operators import metrics as m
+from planlake.operators import segment
 from planlake.plans import registry
 from planlake.streaming import jobs
 
@@ -76,16 +77,20 @@ def test_process_noise(spark):
     assert not one(spark, tc.process_noise(F.col("v")), v="Owner: Ana, final QA")
 
 
-def test_sections():
+def test_sections(spark):
+    def sections_of(body):
+        df = spark.createDataFrame([("n", body)], "note_id string, body string")
+        return [(r["heading_text"], r["heading_level"], r["start_line"], r["end_line"], r["raw_text"], r["num_lines"], r["num_list_items"]) for r in segment.sections(df).orderBy("ordinal").collect()]
+
     body = "intro line here that is long enough to be no heading at all.\n\n# Plan\n## Steps\n- a\n- b\n```\n# no heading\n```\n## Empty\n\n## Last\n1. x"
-    got = [(h, level, text) for h, level, _, _, text, _, _ in cp.sections_of(body)]
+    got = [(h, level, text) for h, level, _, _, text, _, _ in sections_of(body)]
     assert got == [
         ("General", 1, "intro line here that is long enough to be no heading at all.\n"),
         ("Steps", 2, "- a\n- b\n```\n# no heading\n```"),
         ("Empty > Last", 2, "1. x"),
     ]
-    assert cp.sections_of("") == [] and cp.sections_of("\n\n") == []
-    assert [s[0] for s in cp.sections_of("Goals:\nship it.\nthen rest.")] == ["Goals"]
+    assert sections_of("") == [] and sections_of("\n\n") == []
+    assert [s[0] for s in sections_of("Goals:\nship it.\nthen rest.")] == ["Goals"]
 
 
 def _log(spark, rows):
