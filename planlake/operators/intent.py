@@ -19,7 +19,12 @@ def holds(c: Column, phrases: list[str]) -> Column:
 
 def word(c: Column, words: list[str]) -> Column:
     """Any of the words, all of which begin and end with a letter, in a text in lower case."""
-    return c.rlike(rf"(?<![A-Za-z0-9_])(?:{'|'.join(words)})(?![A-Za-z0-9_])")
+    return c.rlike(f"{starts(words)}(?:{'|'.join(words)})(?![A-Za-z0-9_])")
+
+
+def starts(words: list[str]) -> str:
+    """A pattern of places where one of the words can begin; most places fail at the first letter."""
+    return f"(?=[{''.join(sorted({w[0] for w in words}))}])(?<![A-Za-z0-9_])"
 
 
 def marked(c: Column, markers: list[str]) -> Column:
@@ -42,7 +47,7 @@ def sentence_flags(s: Column) -> dict[str, Column]:
     for p in ("requests a ", "requests an ", "requests for ", "requests that "):
         pm = pm | (F.contains(s, F.lit(p)) & (word(after(p), lx.ACTION_VERBS) | word(after(p), lx.PRODUCT_NOUNS)))
     return {
-        "verb": word(s, lx.ACTION_VERBS), "first_verb": tc.has(s, rf"^({'|'.join(lx.ACTION_VERBS)})\b"), "request": holds(s, lx.REQUEST_STEMS), "change": holds(s, lx.CHANGE_OPERATORS), "status": holds(s, lx.STATUS_MARKERS),
+        "verb": word(s, lx.ACTION_VERBS), "first_verb": s.rlike(f"^(?:{'|'.join(lx.ACTION_VERBS)})(?![A-Za-z0-9_])"), "request": holds(s, lx.REQUEST_STEMS), "change": holds(s, lx.CHANGE_OPERATORS), "status": holds(s, lx.STATUS_MARKERS),
         "task": holds(s, lx.TASK_MARKERS), "role": holds(s, lx.ROLES), "decision": holds(s, lx.DECISIONS), "pm": pm, "hedge": holds(s, lx.HEDGED), "noun": holds(s, lx.PRODUCT_NOUNS), "negated": holds(s, lx.NEGATIONS),
     }
 
@@ -77,7 +82,7 @@ def section_intent(sections: DataFrame) -> DataFrame:
     s = s.withColumns({"of_lines": F.transform("lines", lambda x: fields(out_of_scope(x))), "of_sents": F.transform(F.transform(sents, lambda x: fields(sentence_flags(x))), lambda f: fields(scores_of(f)))})
     most = lambda a, k: F.coalesce(F.array_max(F.transform(a, lambda x: x[k])), F.lit(0.0)).alias(k)
     some = lambda a, k: F.exists(a, lambda x: x[k]).alias(k)
-    verbs = F.array_distinct(F.regexp_extract_all(F.lower("raw_text"), F.lit(tc.java(rf"\b({'|'.join(lx.ACTIONABILITY_VERBS)})(?=\s+[A-Za-z0-9_])")), F.lit(1)))
+    verbs = F.array_distinct(F.regexp_extract_all(F.lower("raw_text"), F.lit(rf"{starts(lx.ACTIONABILITY_VERBS)}({'|'.join(lx.ACTIONABILITY_VERBS)})(?=\s+[A-Za-z0-9_])"), F.lit(1)))
     s = s.select(
         "section_id", "num_lines", (F.size(verbs) >= 2).alias("many_verbs"), most("of_lines", "oos"), *(some("of_lines", k) for k in ("calendar", "communication", "micro")),
         *(most("of_sents", k) for k in ("score", "plain")), *(some("of_sents", k) for k in ("change", "task", "role", "decision")),
@@ -128,7 +133,7 @@ def ranking_delta(c: Column) -> Column:
 
 def idea_tokens(c: Column) -> dict[str, Column]:
     low = F.lower(c)
-    n = lambda ws: F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(tc.java(rf"\b({'|'.join(ws)})\b")), F.lit(1))))
+    n = lambda ws: F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(f"{starts(ws)}({'|'.join(ws)})(?![A-Za-z0-9_])"), F.lit(1))))
     strategy, mechanism = n(lx.STRATEGY), n(lx.MECHANISMS)
     construct = sum((F.contains(low, F.lit(x)).cast("int") for x in lx.CONSTRUCTS), F.lit(0))
     total = strategy + mechanism + construct * 2
