@@ -57,21 +57,11 @@ def _sections(spark, d):
     return cp.sections(fx.notes(spark, d))
 
 
-@query("c04_c05_c06_section_intent")
-def _(spark, d):
-    return it.actionability(it.section_intent(_sections(spark, d)))
-
-
 @query("c07_topic_parts")
 def _(spark, d):
     return it.topic_parts(_sections(spark, d))
 
 
-@query("c09_dense_paragraphs")
-def _(spark, d):
-    return it.dense_paragraphs(_sections(spark, d)).select("section_id", "heading_text", "num_lines")
-
-
 def _count(words):
     return "(" + " + ".join(f"{has('lower(s)', chr(92) + 'b' + w + chr(92) + 'b')}::int" for w in words) + ")"
 
@@ -85,11 +75,6 @@ def _(spark, d):
     return txt._lines(spark, d).select("note_id", c["total"].alias("total"), c["passes"].alias("passes"))
 
 
-@query("c10_semantic_ideas")
-def _(spark, d):
-    return it.semantic_ideas(_sections(spark, d))
-
-
 @query("c11_structural_ideas")
 def _(spark, d):
     """All sections of a note as one, so that bullets add up; covered are those of every third note."""
@@ -177,6 +162,7 @@ def _suggested(spark, d):
     doc = F.substring("note_id", 2, 20).cast("bigint")
     one = F.when(F.size("initiative_ids") == 1, F.col("initiative_ids")[0])
     s = s.select(F.concat("segment_id", F.lit("/"), "cue_type").alias("id"), F.col("cue_type").alias("action"), one.alias("initiative_id"), "text", doc.alias("position"), F.col("text").alias("evidence"))
+    s = cut(s)
     return s.where("position % 2 = 1"), s.where("position % 2 = 0")
 
 
@@ -187,7 +173,7 @@ def _(spark, d):
 
 @query("u07_merged_evidence", over("minutes minute_initiatives", "select distinct id, evidence from (select id, t as evidence from suggested where is_open union all select other, t from alike join suggested using (id) where nth = 1)", **_DUP))
 def _(spark, d):
-    new, old = map(cut, _suggested(spark, d))
+    new, old = _suggested(spark, d)
     return cp.merged_evidence(cp.merged_duplicates(new, old), new, old)
 
 

@@ -141,6 +141,40 @@ def _(spark, d):
     return it.actionability(it.section_intent(_sections(spark, d)))
 
 
+_ANCHORED = " or ".join(f"starts_with(x, '{a}')" for a in lx.TOPIC_ANCHORS)
+DENSE = f"""select section_id, heading_text, num_lines from sec where num_list_items = 0 and (num_lines <= 1 or length(raw_text) >= 250)
+  and len(list_filter(list_transform(string_split(raw_text, chr(10)), lambda x: lower(trim(x))), lambda x: {_ANCHORED})) = 0"""
+
+
+def _idea_counts(of: str) -> str:
+    at = lambda q: q.replace("(s,", f"({of},").replace("(s)", f"({of})")
+    return f"{at(more._count(lx.STRATEGY))} as ia, {at(more._count(lx.MECHANISMS))} as ib, {at(more.CON)} as ic"
+
+
+IDEAL = f"select section_id, raw_text from (select *, {_idea_counts('raw_text')} from sec) where ia + ib + ic * 2 >= 2 and (ia > 0 or ic > 0) and (ib > 0 or ic > 0)"
+IDEA_SENTENCES = r"select section_id, unnest(range(0, len(p))) as i, unnest(p) as t from (select section_id, string_split(replace(regexp_replace(raw_text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)) as p from ideal)"
+SEMANTIC = f"select section_id, trim(t) as sentence from (select *, row_number() over (partition by section_id order by ia + ib + ic * 2 desc, i) as nth from (select *, {_idea_counts('t')} from idea_sentences where length(trim(t)) >= 10)) where nth = 1"
+
+
+def _note_sections(spark, d):
+    return cp.sections(fx.notes(spark, d))
+
+
+@query("c04_c05_c06_section_intent", over("notes", INTENT, **_OF_NOTES, **_INTENT))
+def _(spark, d):
+    return it.actionability(it.section_intent(_note_sections(spark, d)))
+
+
+@query("c09_dense_paragraphs", over("notes", DENSE, **_OF_NOTES, sec=SEC))
+def _(spark, d):
+    return it.dense_paragraphs(_note_sections(spark, d)).select("section_id", "heading_text", "num_lines")
+
+
+@query("c10_semantic_ideas", over("minutes", SEMANTIC, **_SECTIONS, sec=SEC, ideal=IDEAL, idea_sentences=IDEA_SENTENCES))
+def _(spark, d):
+    return it.semantic_ideas(_sections(spark, d))
+
+
 #: Each line of a section that is not empty is a candidate: the heading its title, the next line of the note its description.
 CAND = f"""select *, row_number() over (partition by section_id order by p) - 1 as position, coalesce(lead(evidence) over (partition by note_id order by ordinal, p), '') as description from (
   select note_id, section_id, ordinal, x as evidence, p from (select note_id, section_id, ordinal, unnest(string_split(raw_text, chr(10))) as x, unnest(range(0, len(string_split(raw_text, chr(10))))) as p from sec) where {STRIP.format('x')} <> '')"""
