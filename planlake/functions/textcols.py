@@ -11,9 +11,66 @@ from planlake.functions.compat import poly_hash, signed_base36
 _BOUND = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
+def _alternatives(pattern: str, open_at: int) -> tuple[list[str], int]:
+    """The alternatives of the group that opens at a place, and where it closes."""
+    depth, start, out, i, in_class = 0, open_at + 1, [], open_at, False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 2
+            continue
+        if in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+        elif c == "(":
+            depth += 1
+        elif c == "|" and depth == 1:
+            out.append(pattern[start:i])
+            start = i + 1
+        elif c == ")":
+            depth -= 1
+            if not depth:
+                out.append(pattern[start:i])
+                return [x.removeprefix("?:") for x in out], i
+        i += 1
+    return [], len(pattern)
+
+
+def _letter(c: str) -> bool:
+    return c.isascii() and c.isalnum()
+
+
+def _begins(pattern: str, at: int) -> str | None:
+    """The letters with which what stands at a place of the pattern can begin, if it always begins with one."""
+    parts, end = [pattern[at:]], len(pattern)
+    if pattern[at : at + 1] == "(" and (pattern[at + 1 : at + 2] != "?" or pattern[at + 1 : at + 3] == "?:"):
+        parts, end = _alternatives(pattern, at)
+    sure = parts and all(x and _letter(x[0]) and x[1:2] not in ("?", "*", "{") for x in parts) and pattern[end + 1 : end + 2] not in ("?", "*", "{")
+    return "".join(sorted({x[0].lower() for x in parts})) if sure else None
+
+
 def java(pattern: str, ignore_case: bool = True) -> str:
-    """The pattern with ASCII word boundaries, which Java's own are not."""
-    return ("(?i)" if ignore_case else "") + pattern.replace(r"\b", _BOUND)
+    """The pattern with ASCII word boundaries, which Java's own are not.
+
+    A boundary before words of known first letters is tried at these letters only, and one after a letter looks ahead only.
+    """
+    out, i = [], 0
+    while i < len(pattern):
+        if pattern[i] != "\\":
+            out.append(pattern[i])
+            i += 1
+            continue
+        if pattern[i : i + 2] != r"\b":
+            out.append(pattern[i : i + 2])
+            i += 2
+            continue
+        after_letter = i > 0 and _letter(pattern[i - 1]) and pattern[i - 2 : i - 1] != "\\"
+        first = None if after_letter else _begins(pattern, i + 2)
+        letters = first and (first if not ignore_case else first + first.upper())
+        out.append("(?![A-Za-z0-9_])" if after_letter else f"(?=[{letters}])(?<![A-Za-z0-9_])" if letters and ignore_case else "(?<![A-Za-z0-9_])" if first else _BOUND)
+        i += 2
+    return ("(?i)" if ignore_case else "") + "".join(out)
 
 
 def has(c: Column, pattern: str) -> Column:
