@@ -43,8 +43,7 @@ def _(spark, d):
 @query("u09_same_decisions", over("notes", r"select a.note_id, a.i as first, b.i as second from f a join f b on a.note_id = b.note_id and a.i < b.i where a.form <> '' and b.form <> '' and (a.form = b.form or (length(a.form) >= 15 and contains(b.form, a.form)) or (length(b.form) >= 15 and contains(a.form, b.form)))",
     f=r"select note_id, i, trim(regexp_replace(regexp_replace(lower(line), '\s+', ' ', 'g'), '[^A-Za-z0-9_ ]', '', 'g')) as form from (select note_id, unnest(string_split(body, chr(10))) as line, unnest(range(0, len(string_split(body, chr(10))))) as i from notes)"))
 def _(spark, d):
-    lines = fx.notes(spark, d).select("note_id", F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
-    return asm.same_decisions(lines)
+    return asm.same_decisions(fx.notes(spark, d))
 
 
 @query("u10_consolidated")

@@ -166,3 +166,21 @@ def test_scores(spark):
     assert got["q", 2]["overall"] == 0.7 and got["q", 2]["threshold_reason"] is None
     d = got["i", 0]
     assert d["section_actionability"] == 0.61 and d["overall"] == round(0.61 * 0.5 + d["type_choice_confidence"] * 0.25 + d["synthesis_confidence"] * 0.25, 6)
+
+
+def test_same_decisions(spark):
+    """Pairs of lines against all pairs, with few lines and with more than are searched for one by one; nothing is stored on the way."""
+    from itertools import combinations
+
+    from planlake.operators import assemble as asm
+
+    long = ["we will move the launch to may", "So: we will MOVE the launch to May!", "the launch to m", "launch to may", "", "  ", "the launch to m"]
+    many = [f"decision number {i % 1500} of the steering group" for i in range(1600)] + ["number 1499 of the s", "decision number 15 of the steering group, again"]
+    notes = spark.createDataFrame([("a", "\n".join(long)), ("b", "\n".join(many)), ("c", None), ("d", "one line")], "note_id string, body string")
+    df = asm.same_decisions(notes)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    got = sorted(tuple(r) for r in df.collect())
+    form = lambda x: "".join(c for c in " ".join(x.lower().split()) if c.isalnum() or c in "_ ").strip()
+    like = lambda x, y: x and y and (x == y or (len(x) >= 15 and x in y) or (len(y) >= 15 and y in x))
+    want = sorted((n, i, j) for n, ls in (("a", long), ("b", many)) for (i, x), (j, y) in combinations(enumerate(map(form, ls)), 2) if like(x, y))
+    assert got == want and len(want) > 100
