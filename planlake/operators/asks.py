@@ -12,23 +12,23 @@ SHORTEST = 10
 
 
 def _word(s: Column, words: list[str]) -> Column:
-    return tc.has(s, rf"\b(?:{'|'.join(words)})\b")
+    return tc.matches(s, rf"\b(?:{'|'.join(words)})\b")
 
 
 def explicit_request(s: Column) -> Column:
-    return tc.any_of(s, lx.EXPLICIT_REQUESTS) | (tc.has(s, r"\bwe\s+could\b") & tc.has(s, lx.WE_COULD_VERBS)) | (tc.has(s, r"\busers?\s+wants?\s+") & tc.has(s, lx.WANTED_ARTIFACTS))
+    return tc.any_of(s, lx.EXPLICIT_REQUESTS, tc.matches) | (tc.matches(s, r"\bwe\s+could\b") & tc.matches(s, lx.WE_COULD_VERBS)) | (tc.matches(s, r"\busers?\s+wants?\s+") & tc.matches(s, lx.WANTED_ARTIFACTS))
 
 
 def only_talk(s: Column) -> Column:
     """To review or discuss without any work; a priority or a worry without an action; process noise."""
     meta = _word(s, lx.META_VERBS) & ~_word(s, lx.CONCRETE_VERBS) & ~_word(s, lx.CONCRETE_NOUNS)
     acts = _word(s, lx.WORK_VERBS)
-    return meta | (tc.any_of(s, lx.PRIORITY_STATUS) & ~acts) | (tc.any_of(s, lx.CONCERNS) & ~tc.any_of(s, lx.ASK_MARKERS) & ~acts) | tc.process_noise(s)
+    return meta | (tc.any_of(s, lx.PRIORITY_STATUS, tc.matches) & ~acts) | (tc.any_of(s, lx.CONCERNS, tc.matches) & ~tc.any_of(s, lx.ASK_MARKERS, tc.matches) & ~acts) | tc.process_noise(s, tc.matches)
 
 
 def plan_change(s: Column) -> Column:
     t = F.trim(F.lower(s))
-    return tc.has(t, r"^if\b") & (tc.has(t, lx.REMOVAL_VERBS) | tc.has(t, lx.MARKET_ARTIFACTS))
+    return tc.matches(t, r"^if\b") & (tc.matches(t, lx.REMOVAL_VERBS) | tc.matches(t, lx.MARKET_ARTIFACTS))
 
 
 #: In order: the first that holds gives the rank of an ask.
@@ -43,7 +43,7 @@ def rank(s: Column) -> Column:
     for n, patterns in reversed(LADDER):
         holds = F.lit(True)
         for p in patterns:
-            holds = holds & tc.has(s, p)
+            holds = holds & tc.matches(s, p)
         out = F.when(holds, n).otherwise(out)
     return F.when(plan_change(s), 9).otherwise(out)
 

@@ -255,3 +255,9 @@ def test_display_title_as_sql(spark, duck, text, title):
     sql = r"""select case when length(t) <= 30 then t else regexp_replace(substr(t, 1, 29), '\s+\S*$', '') || '…' end from (select upper(substr(c, 1, 1)) || substr(c, 2) as t
       from (select regexp_replace(regexp_replace(trim(?), '(?i)^(new idea|idea|project update|update|risk|bug)\s*:\s*', ''), '[.!?]+$', '') as c))"""
     assert one(spark, asm.display_title(F.col("v"), 30), v=text) == title == duck.execute(sql, [text]).fetchall()[0][0]
+
+
+@pytest.mark.parametrize("text", ["who\x0bowns it", "who owns it", "WHO  OWN it", "éwho owns", "_who owns", "", "who\nowns"])
+def test_patterns_as_sql(spark, duck, text):
+    """White space and word boundaries of patterns are those of SQL, where Java's white space holds one more."""
+    assert one(spark, tc.has(F.col("v"), r"\bwho\s+owns?\b"), v=text) == duck.execute(r"select regexp_matches(?, '\bwho\s+owns?\b', 'i')", [text]).fetchall()[0][0]
