@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from planlake.functions import lexicon as lx
 from planlake.functions.compat import poly_hash, signed_base36
@@ -102,6 +103,11 @@ def _search(pattern: str):
     return search
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value made once: a lambda makes what it reads from outside again for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def any_of(c: Column, patterns: list[str], has=has) -> Column:
     parts = ["|".join(f"(?:{p})" for p in patterns if _looks(p) == looks) for looks in (False, True)]
     return reduce(Column.__or__, (has(c, p) for p in parts if p))
@@ -132,10 +138,10 @@ def fingerprint(kind: Column, title: Column, body: Column) -> Column:
     return signed_base36(poly_hash(F.substring(c, 1, 200), 0, 31))
 
 
-def redacted(c: Column) -> Column:
-    for pattern, label in lx.REDACTION:
-        c = F.regexp_replace(c, java(pattern, False), label)
-    return c
+@F.arrow_udf(StringType())
+def redacted(c: pa.Array) -> pa.Array:
+    """Mail addresses and numbers replaced by their labels, in whole Arrow batches."""
+    return reduce(lambda x, rule: pc.replace_substring_regex(x, *rule), lx.REDACTION, c)
 
 
 def preview(c: Column, most: int = 160) -> Column:
@@ -174,7 +180,8 @@ def structure(text: Column) -> dict[str, Column]:
 
 
 def tokens(c: Column, longer_than: int) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(c), r"[^a-z0-9\s]", " "), r"\s+"), lambda w: F.char_length(w) > longer_than)
+    """Words of a-z and 0-9, in lower case."""
+    return F.regexp_extract_all(F.lower(c), F.lit(f"[a-z0-9]{{{longer_than + 1},}}"), F.lit(0))
 
 
 def _lits(values: list[str]) -> Column:
@@ -182,12 +189,12 @@ def _lits(values: list[str]) -> Column:
 
 
 def generic_ratio(c: Column) -> Column:
-    t = tokens(c, 2)
-    return F.when(F.size(t) == 0, 0.0).otherwise(F.size(F.filter(t, lambda w: F.array_contains(_lits(lx.GENERIC), w))) / F.size(t))
+    """The share of generic words among those of three letters."""
+    return let(tokens(c, 2), lambda t: F.when(F.size(t) == 0, 0.0).otherwise(F.size(F.filter(t, lambda w: w.isin(lx.GENERIC))) / F.size(t)))
 
 
 def domain_nouns(c: Column) -> Column:
-    return F.array_distinct(F.filter(tokens(c, 3), lambda w: ~F.array_contains(_lits([*lx.GENERIC, *lx.COMMON]), w)))
+    return F.array_except(tokens(c, 3), _lits([*lx.GENERIC, *lx.COMMON]))
 
 
 def concrete_delta(c: Column) -> Column:
@@ -230,8 +237,8 @@ def signals(sentence: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two word arrays as sets; 0 if both are empty."""
-    n = F.size(F.array_union(a, b))
-    return F.when(n > 0, F.size(F.array_intersect(a, b)) / n).otherwise(F.lit(0.0))
+    share = lambda p: F.when(F.size(p["u"]) > 0, F.size(F.array_intersect(p["a"], p["b"])) / F.size(p["u"])).otherwise(F.lit(0.0))
+    return let(let(F.struct(a.alias("a"), b.alias("b")), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.array_union(p["a"], p["b"]).alias("u"))), share)
 
 
 def cosine(a: Column, b: Column) -> Column:
