@@ -2,91 +2,142 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from planlake.functions import lexicon as lx
 from planlake.functions import textcols as tc
 
 
-def holds(c: Column, phrases: list[str]) -> Column:
-    """Any phrase as a substring."""
-    out = F.lit(False)
-    for p in phrases:
-        out = out | F.contains(c, F.lit(p))
-    return out
+def starts(words: list[str]) -> str:
+    """A pattern of places where one of the words can begin; most places fail at the first letter."""
+    return f"(?=[{''.join(sorted({w[0] for w in words}))}])(?<![A-Za-z0-9_])"
 
 
-def word(c: Column, words: list[str]) -> Column:
-    """Any of the words, all of which begin and end with a letter, in a text in lower case."""
-    return c.rlike(f"{starts(words)}(?:{'|'.join(words)})(?![A-Za-z0-9_])")
+def _phrases(phrases: list[str]) -> str:
+    """Any phrase as a substring."""
+    return "|".join(re.sub(r"([.^$*+?{}\[\]\\|()])", r"\\\1", p) for p in phrases)
 
 
-def starts(words: list[str]) -> str:
-    """A pattern of places where one of the words can begin; most places fail at the first letter."""
-    return f"(?=[{''.join(sorted({w[0] for w in words}))}])(?<![A-Za-z0-9_])"
+def _words(words: list[str]) -> str:
+    """Any of the words, all of which begin and end with a letter."""
+    return rf"\b(?:{'|'.join(words)})\b"
 
 
-def marked(c: Column, markers: list[str]) -> Column:
+def _markers(markers: list[str]) -> str:
     """Markers of several words as substrings, single ones as words."""
     many, one = [m for m in markers if " " in m], [m for m in markers if " " not in m]
-    out = holds(c, many) if many else F.lit(False)
-    return out | word(c, one) if one else out
+    return "|".join([_phrases(many)] * bool(many) + [_words(one)] * bool(one))
 
 
-def plain_line(line: Column) -> Column:
-    """Lower case, without list mark, single spaces, straight quotes."""
-    c = F.trim(F.lower(F.translate(line, "‘’“”", "''\"\"")))
-    c = F.regexp_replace(F.regexp_replace(c, r"^\s*[-*+•]\s+", ""), r"^\s*\d+[.)]\s+", "")
-    return F.regexp_replace(c, r"\s+", " ")
+# Found in Arrow arrays of plain lines or sentences, which are in lower case.
+_SPACE = r"[ \t\n\x0b\f\r]"
+_REQUESTS = [("request to", _words(lx.ACTION_VERBS))] + [(p, f"{_words(lx.ACTION_VERBS)}|{_words(lx.PRODUCT_NOUNS)}") for p in ("requests a ", "requests an ", "requests for ", "requests that ")]
+_OF_LINE = {"calendar": _markers(lx.CALENDAR), "communication": _markers(lx.COMMUNICATION), "micro": _markers(lx.MICRO_TASKS)}
+_OF_SENTENCE = {
+    "verb": _words(lx.ACTION_VERBS), "first_verb": rf"^(?:{'|'.join(lx.ACTION_VERBS)})\b", "request": _phrases(lx.REQUEST_STEMS), "change": _phrases(lx.CHANGE_OPERATORS), "status": _phrases(lx.STATUS_MARKERS),
+    "task": _phrases(lx.TASK_MARKERS), "role": _phrases(lx.ROLES), "decision": _phrases(lx.DECISIONS), "pm": _phrases(lx.PM_REQUESTS), "hedge": _phrases(lx.HEDGED), "noun": _phrases(lx.PRODUCT_NOUNS), "negated": _phrases(lx.NEGATIONS),
+}
 
 
-def sentence_flags(s: Column) -> dict[str, Column]:
-    after = lambda p: F.substring_index(s, p, -1)
-    pm = holds(s, lx.PM_REQUESTS) | (F.contains(s, F.lit("request to")) & word(after("request to"), lx.ACTION_VERBS))
-    for p in ("requests a ", "requests an ", "requests for ", "requests that "):
-        pm = pm | (F.contains(s, F.lit(p)) & (word(after(p), lx.ACTION_VERBS) | word(after(p), lx.PRODUCT_NOUNS)))
-    return {
-        "verb": word(s, lx.ACTION_VERBS), "first_verb": s.rlike(f"^(?:{'|'.join(lx.ACTION_VERBS)})(?![A-Za-z0-9_])"), "request": holds(s, lx.REQUEST_STEMS), "change": holds(s, lx.CHANGE_OPERATORS), "status": holds(s, lx.STATUS_MARKERS),
-        "task": holds(s, lx.TASK_MARKERS), "role": holds(s, lx.ROLES), "decision": holds(s, lx.DECISIONS), "pm": pm, "hedge": holds(s, lx.HEDGED), "noun": holds(s, lx.PRODUCT_NOUNS), "negated": holds(s, lx.NEGATIONS),
-    }
+def _plain(lines: pa.Array) -> pa.Array:
+    """Lines in lower case: without list mark, single spaces, straight quotes."""
+    for curly, straight in zip("‘’“”", "''\"\"", strict=True):
+        lines = pc.replace_substring(lines, curly, straight)
+    lines = pc.utf8_trim(lines, " ")
+    for pattern, by in ((f"^{_SPACE}*[-*+•]{_SPACE}+", ""), (rf"^{_SPACE}*\d+[.)]{_SPACE}+", ""), (f"{_SPACE}+", " ")):
+        lines = pc.replace_substring_regex(lines, pattern, by)
+    return lines
 
 
-def scores_of(f) -> dict[str, Column]:
-    """Scores of a sentence from its flags (a dict or a struct), each of which is found once."""
-    v = lambda cond, x: F.when(cond, x).otherwise(0.0)
-    plain = F.greatest(v(f["request"] & f["verb"], 1.0), v(f["first_verb"], 0.9), v(f["change"], 0.8), v(f["status"], 0.7), v(f["task"], 0.8), v(f["role"], 0.85), v(f["decision"], 0.7), v(f["pm"], 0.76))
-    hedged = F.greatest(plain, v(f["hedge"], 0.9))
-    score = F.when(f["negated"] & f["verb"], 0.0).otherwise(F.least(F.lit(1.0), hedged + v((hedged >= 0.6) & f["noun"], 0.2)))
-    return {"score": score, "plain": plain, "change": f["change"], "task": f["task"], "role": f["role"], "decision": f["decision"]}
+def _found(x: pa.Array, patterns: dict[str, str]) -> dict[str, np.ndarray]:
+    return {k: np.asarray(pc.fill_null(pc.match_substring_regex(x, p), False)) for k, p in patterns.items()}
+
+
+def _scored_lines(x: pa.Array) -> dict[str, np.ndarray]:
+    f = _found(x, _OF_LINE)
+    return f | {"oos": np.where(f["calendar"] | f["communication"], 0.6, np.where(f["micro"], 0.4, 0.0))}
 
 
-def sentence_scores(s: Column) -> dict[str, Column]:
-    return scores_of(sentence_flags(s))
+def _scored_sentences(x: pa.Array) -> dict[str, np.ndarray]:
+    f = _found(x, _OF_SENTENCE)
+    for p, after in _REQUESTS:
+        at = np.flatnonzero(pc.fill_null(pc.match_substring(x, p), False))
+        if len(at):
+            rest = pc.replace_substring_regex(x.take(pa.array(at)), f"(?s)^.*{p}", "")
+            f["pm"] = f["pm"].copy()
+            f["pm"][at] |= np.asarray(pc.match_substring_regex(rest, after))
+    kinds = ((f["request"] & f["verb"], 1.0), (f["first_verb"], 0.9), (f["change"], 0.8), (f["status"], 0.7), (f["task"], 0.8), (f["role"], 0.85), (f["decision"], 0.7), (f["pm"], 0.76))
+    plain = reduce(np.maximum, (np.where(c, v, 0.0) for c, v in kinds))
+    hedged = np.maximum(plain, np.where(f["hedge"], 0.9, 0.0))
+    score = np.where(f["negated"] & f["verb"], 0.0, np.minimum(1.0, hedged + np.where((hedged >= 0.6) & f["noun"], 0.2, 0.0)))
+    return {"score": score, "plain": plain} | {k: f[k] for k in ("change", "task", "role", "decision")}
 
 
-def out_of_scope(line: Column) -> dict[str, Column]:
-    cal, com, mic = marked(line, lx.CALENDAR), marked(line, lx.COMMUNICATION), marked(line, lx.MICRO_TASKS)
-    return {"oos": F.when(cal | com, 0.6).when(mic, 0.4).otherwise(0.0), "calendar": cal, "communication": com, "micro": mic}
+def _pieces(texts: pa.Array, row: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of texts between line ends that have five letters, and their rows."""
+    lists = pc.split_pattern(texts, "\n")
+    row, x = row[np.asarray(pc.list_parent_indices(lists))], pc.list_flatten(lists)
+    return x, row
 
 
-def section_intent(sections: DataFrame) -> DataFrame:
-    """section_id, six scores and the flags behind them, from arrays of each section's lines and sentences, without a shuffle.
+def _long(x: pa.Array, row: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    keep = pc.greater_equal(pc.utf8_length(x), 5)
+    return x.filter(keep), row[np.asarray(keep)]
+
+
+def _most(found: dict[str, np.ndarray], row: np.ndarray, n: int) -> dict[str, np.ndarray]:
+    """The greatest value of each row; 0 or false without any."""
+    out = {k: np.zeros(n, v.dtype) for k, v in found.items()}
+    for k, v in found.items():
+        np.maximum.at(out[k], row, v)
+    return out
+
+
+_LINE = {"score": "double", "oos": "double"}
+_SECTION = {"oos": "double", "calendar": "boolean", "communication": "boolean", "micro": "boolean", "score": "double", "plain": "double", "change": "boolean", "task": "boolean", "role": "boolean", "decision": "boolean"}
+_type = lambda fields: StructType([StructField(k, DoubleType() if t == "double" else BooleanType()) for k, t in fields.items()])
+_struct = lambda found, fields: pa.StructArray.from_arrays([pa.array(found[k]) for k in fields], list(fields))
+
+
+@F.arrow_udf(_type(_LINE))
+def _line_scores(lines: pa.Array) -> pa.Array:
+    x = _plain(lines)
+    return _struct(_scored_sentences(x) | _scored_lines(x), _LINE)
+
+
+@F.arrow_udf(_type(_SECTION))
+def _section_scores(texts: pa.Array) -> pa.Array:
+    n = len(texts)
+    x, row = _pieces(pc.fill_null(texts, ""), np.arange(n))
+    lines, row = _long(_plain(x), row)
+    # white space is single spaces here, so a sentence ends where one follows a stop
+    sents, of = _long(*_pieces(pc.replace_substring_regex(lines, "([.!?]) ", "\\1\n"), row))
+    return _struct(_most(_scored_lines(lines), row, n) | _most(_scored_sentences(sents), of, n), _SECTION)
+
+
+def line_scores(line: Column) -> Column:
+    """score and oos (out of scope) of a line taken as one sentence."""
+    return _line_scores(F.lower(line))
+
+
+def section_intent(sections: DataFrame, *keep: str) -> DataFrame:
+    """section_id, six scores and the flags behind them, from each section's lines and sentences in whole Arrow batches, without a shuffle;
+    and the columns to keep.
 
     Implicit ideas without any marker are not scored.
     """
-    lines = F.filter(F.transform(F.split("raw_text", "\n"), plain_line), lambda x: F.char_length(x) >= 5)
-    s = sections.select("section_id", "num_lines", "raw_text", lines.alias("lines"))
-    sents = F.filter(F.flatten(F.transform("lines", lambda x: F.split(x, r"(?<=[.!?])\s+"))), lambda x: F.char_length(x) >= 5)
-    fields = lambda kinds: F.struct(*(c.alias(k) for k, c in kinds.items()))
-    s = s.withColumns({"of_lines": F.transform("lines", lambda x: fields(out_of_scope(x))), "of_sents": F.transform(F.transform(sents, lambda x: fields(sentence_flags(x))), lambda f: fields(scores_of(f)))})
-    most = lambda a, k: F.coalesce(F.array_max(F.transform(a, lambda x: x[k])), F.lit(0.0)).alias(k)
-    some = lambda a, k: F.exists(a, lambda x: x[k]).alias(k)
-    verbs = F.array_distinct(F.regexp_extract_all(F.lower("raw_text"), F.lit(rf"{starts(lx.ACTIONABILITY_VERBS)}({'|'.join(lx.ACTIONABILITY_VERBS)})(?=\s+[A-Za-z0-9_])"), F.lit(1)))
-    s = s.select(
-        "section_id", "num_lines", (F.size(verbs) >= 2).alias("many_verbs"), most("of_lines", "oos"), *(some("of_lines", k) for k in ("calendar", "communication", "micro")),
-        *(most("of_sents", k) for k in ("score", "plain")), *(some("of_sents", k) for k in ("change", "task", "role", "decision")),
-    )
+    low = sections.withColumn("low", F.lower("raw_text"))
+    verbs = F.array_distinct(F.regexp_extract_all("low", F.lit(rf"{starts(lx.ACTIONABILITY_VERBS)}({'|'.join(lx.ACTIONABILITY_VERBS)})(?=\s+[A-Za-z0-9_])"), F.lit(1)))
+    s = low.select("section_id", "num_lines", *(c for c in keep if c not in ("section_id", "num_lines")), (F.size(verbs) >= 2).alias("many_verbs"), _section_scores("low").alias("x"))
+    s = s.select(*(c for c in s.columns if c != "x"), *(F.col("x")[k].alias(k) for k in _SECTION))
     lift = F.col("many_verbs") & (F.col("oos") < 0.4)
     s = s.withColumns({"score": F.when(lift, F.greatest("score", F.lit(0.8))).otherwise(F.col("score")), "plain": F.when(lift, F.greatest("plain", F.lit(0.8))).otherwise(F.col("plain"))})
     calm = F.col("change") | F.col("many_verbs") | ((F.col("plain") >= 0.8) & (F.col("num_lines") >= 5))
@@ -95,7 +146,7 @@ def section_intent(sections: DataFrame) -> DataFrame:
     zero = lambda flag: F.when(flag, F.col("oos")).otherwise(0.0)
     r = lambda c: F.round(c, 6)
     return s.select(
-        "section_id", r(F.when(planned, F.col("score")).otherwise(F.col("score") * 0.4)).alias("plan_change"), r(F.when(planned, F.col("score") * 0.4).otherwise(F.col("score"))).alias("new_workstream"),
+        "section_id", *(c for c in keep if c != "section_id"), r(F.when(planned, F.col("score")).otherwise(F.col("score") * 0.4)).alias("plan_change"), r(F.when(planned, F.col("score") * 0.4).otherwise(F.col("score"))).alias("new_workstream"),
         r(F.greatest(F.lit(0.0), F.lit(0.5) - F.col("score") + F.col("oos") * 0.3)).alias("status_informational"), zero(F.col("calendar")).alias("calendar"), zero(F.col("communication")).alias("communication"), zero(F.col("micro")).alias("micro_tasks"),
         F.col("role").alias("force_role"), F.col("decision").alias("force_decision"),
     )
@@ -131,13 +182,13 @@ def ranking_delta(c: Column) -> Column:
     return F.round(v(lx.ARTIFACTS, 0.15) + v(lx.BUILD_VERBS, 0.1) - v(lx.MARKETING, 0.15), 6)
 
 
-def idea_tokens(c: Column) -> dict[str, Column]:
-    low = F.lower(c)
-    n = lambda ws: F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(f"{starts(ws)}({'|'.join(ws)})(?![A-Za-z0-9_])"), F.lit(1))))
-    strategy, mechanism = n(lx.STRATEGY), n(lx.MECHANISMS)
-    construct = sum((F.contains(low, F.lit(x)).cast("int") for x in lx.CONSTRUCTS), F.lit(0))
-    total = strategy + mechanism + construct * 2
-    return {"total": total, "passes": (total >= 2) & ((strategy > 0) | (construct > 0)) & ((mechanism > 0) | (construct > 0))}
+def idea_tokens(c: Column) -> Column:
+    """total and passes."""
+    n = lambda low, ws: F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(f"{starts(ws)}({'|'.join(ws)})(?![A-Za-z0-9_])"), F.lit(1))))
+    named = lambda low: F.struct(n(low, lx.STRATEGY).alias("s"), n(low, lx.MECHANISMS).alias("m"), sum((F.contains(low, F.lit(x)).cast("int") for x in lx.CONSTRUCTS), F.lit(0)).alias("c"))
+    total = lambda t: t["s"] + t["m"] + t["c"] * 2
+    passes = lambda t: (total(t) >= 2) & ((t["s"] > 0) | (t["c"] > 0)) & ((t["m"] > 0) | (t["c"] > 0))
+    return tc.let(tc.let(F.lower(c), named), lambda t: F.struct(total(t).alias("total"), passes(t).alias("passes")))
 
 
 def semantic_ideas(sections: DataFrame) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from planlake.functions import lexicon as lx
 from planlake.functions import textcols as tc
@@ -52,10 +56,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: F.char_length(w) > 3)
 
 
+@F.arrow_udf(IntegerType())
+def held(own: pa.Array, source: pa.Array) -> pa.Array:
+    """How many of the words in the array `own` (each as often as it stands there) the array `source` holds."""
+    both = pa.concat_arrays([pc.list_flatten(own), pc.list_flatten(source)]).dictionary_encode()
+    row = np.concatenate([np.asarray(pc.list_parent_indices(own)), np.asarray(pc.list_parent_indices(source))]).astype(np.int64)
+    key = row * (len(both.dictionary) + 1) + np.asarray(both.indices)
+    n = len(key) - int(np.sum(np.asarray(pc.fill_null(pc.list_value_length(source), 0))))
+    return pa.array(np.bincount(row[:n][np.isin(key[:n], key[n:])], minlength=len(own)).astype(np.int32))
+
+
 def coverage(own: Column, source: Column) -> Column:
     """The share of the words in the array `own` (each counted as often as it stands there) that the array `source` holds."""
-    both = F.array_intersect(own, source)
-    return F.when(F.size(own) > 0, F.size(F.filter(own, lambda w: F.array_contains(both, w))) / F.size(own)).otherwise(0.0)
+    return F.when(F.size(own) > 0, held(own, source) / F.size(own)).otherwise(0.0)
 
 
 def section_coverage(candidates: DataFrame, sections: DataFrame, key: list[str]) -> DataFrame:
@@ -78,9 +91,9 @@ def said_words() -> Column:
 
 def synthesis() -> Column:
     """How far title and description rest on the section and the evidence."""
-    in_evidence = coverage(said_words(), words(F.coalesce("evidence", F.lit(""))))
+    in_evidence = coverage(F.col("own"), words(F.coalesce("evidence", F.lit(""))))
     overlap = F.when(F.col("in_section") > 0.5, 0.15).when(F.col("in_section") < 0.2, -0.2).otherwise(0.0)
-    made_up = lambda p, there: tc.has(said(), p) & ~F.col(there)
+    made_up = lambda p, there: tc.has(F.col("said"), p) & ~F.col(there)
     return _unit(F.lit(0.7) + overlap - _add(made_up(_OWNER, "names_owner"), 0.1) - _add(made_up(_DATE, "names_date"), 0.1) - _add(in_evidence < 0.2, 0.15))
 
 
@@ -88,29 +101,40 @@ def overall(a: Column, t: Column, s: Column) -> Column:
     return F.when(F.abs(a - IMPLICIT) < 0.001, a * 0.5 + t * 0.25 + s * 0.25).otherwise(F.least(a, t, s))
 
 
+def section_flags(sections: DataFrame) -> DataFrame:
+    """Adds what a section's text says, found once a section."""
+    x = sections.withColumn("low", F.lower("raw_text")).withColumn("flat", F.replace("low", F.lit("\n"), F.lit(" ")))
+    of_flat = (("has_quarter_refs", lx.QUARTERS), ("has_version_refs", lx.VERSIONS), ("has_launch_keywords", lx.LAUNCH_WORDS))
+    return x.withColumns({c: tc.has(F.col(t), p) for t, pairs in (("flat", of_flat), ("low", (("names_owner", _OWNER), ("names_date", _DATE)))) for c, p in pairs}).drop("low", "flat")
+
+
 def scored(candidates: DataFrame, sections: DataFrame) -> DataFrame:
     """Adds the scores, whether a candidate goes on, and why not.
 
     A candidate has section_id, position, type, source, title, description, evidence, v3_failed, drop_reason and own_score; a
-    section the six intents with research, num_lines, raw_text and is_actionable. What a section's text says is found once a section.
-    Only ideas of sections that are not actionable can be dropped. A badge asks for clarification where a candidate goes on
-    though its evidence failed or a reason to drop it is known.
+    section the six intents with research, num_lines, raw_text and is_actionable.
     """
-    low, flat = F.lower("raw_text"), F.lower(F.replace("raw_text", F.lit("\n"), F.lit(" ")))
-    of_section = sections.select(
+    of_section = section_flags(sections).select(
         "section_id", "plan_change", "new_workstream", "communication", "research", "calendar", "micro_tasks", "num_lines", "is_actionable",
-        *(tc.has(flat, p).alias(c) for c, p in (("has_quarter_refs", lx.QUARTERS), ("has_version_refs", lx.VERSIONS), ("has_launch_keywords", lx.LAUNCH_WORDS))),
-        *(tc.has(low, p).alias(c) for c, p in (("names_owner", _OWNER), ("names_date", _DATE))),
+        "has_quarter_refs", "has_version_refs", "has_launch_keywords", "names_owner", "names_date",
     )
     key = ["section_id", "position"]
-    candidates = candidates.join(of_section, "section_id").join(section_coverage(candidates, sections, key), key, "left").fillna(0.0, ["in_section"])
+    return scored_rows(candidates.join(of_section, "section_id").join(section_coverage(candidates, sections, key), key, "left").fillna(0.0, ["in_section"]))
+
+
+def scored_rows(candidates: DataFrame) -> DataFrame:
+    """The scores of candidates that have the columns of their section, its flags and in_section beside their own; no shuffle.
+
+    Only ideas of sections that are not actionable can be dropped. A badge asks for clarification where a candidate goes on
+    though its evidence failed or a reason to drop it is known.
+    """
     own = ~F.col("is_actionable") & F.col("source").isin(*OWN_SCORES)
     r = lambda c: F.round(c, 6)
-    c = candidates.withColumns({
+    c = candidates.withColumn("said", said()).withColumn("own", words(F.col("said"))).withColumns({
         "section_actionability": r(F.when(own, F.col("own_score")).otherwise(actionability())),
         "type_choice_confidence": r(F.when(own, F.col("own_score")).otherwise(type_confidence())),
         "synthesis_confidence": r(F.when(own, F.col("own_score")).otherwise(synthesis())),
-    })
+    }).drop("said", "own")
     c = c.withColumn("overall", r(F.when(own, F.col("own_score")).otherwise(overall(F.col("section_actionability"), F.col("type_choice_confidence"), F.col("synthesis_confidence")))))
     safe = F.col("is_actionable") | F.col("type").isin(*KEPT_TYPES)
     low_overall, low_section = F.col("overall") < OVERALL_MIN, F.col("section_actionability") < SECTION_MIN

@@ -48,9 +48,8 @@ SCORE = f"select note_id, s, case when {_holds('l', lx.NEGATIONS)} and {VERB} th
 
 @query("c04_sentence_scores", over("notes", SCORE, x=SENT))
 def _(spark, d):
-    line = F.col("line")
-    x = txt._lines(spark, d).select("note_id", "s", it.plain_line(F.col("s")).alias("line"))
-    return x.select("note_id", "s", it.sentence_scores(line)["score"].alias("score"), it.out_of_scope(line)["oos"].alias("oos"))
+    x = txt._lines(spark, d).select("note_id", "s", it.line_scores(F.col("s")).alias("x"))
+    return x.select("note_id", "s", "x.score", "x.oos")
 
 
 def _sections(spark, d):
