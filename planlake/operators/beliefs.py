@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from planlake.functions import lexicon as lx
 from planlake.functions import textcols as tc
@@ -47,28 +47,41 @@ def classified(utts: DataFrame) -> DataFrame:
     )
 
 
-THREADS = "meeting_id string, dimension string, utterance_index int, change_role string, subject_handle string, local_confidence double, text string, thread int"
+def _leaders(texts: list[str | None], at_least: float) -> list[int]:
+    """Greedy groups in order: a text joins the first group whose first text is alike by its words."""
+    heads: list[set[str]] = []
+    own = []
+    for text in texts:
+        words = set((text or "").split())
+        at = next((i for i, h in enumerate(heads) if (h or words) and len(h & words) / len(h | words) >= at_least), None)
+        if at is None:
+            at = len(heads)
+            heads.append(words)
+        own.append(at)
+    return own
 
 
-def threads(classes: DataFrame, at_least: float = 0.5) -> DataFrame:
-    """Greedy threads of a (meeting, dimension): an utterance joins the first thread whose first handle is alike."""
+@F.arrow_udf(ArrayType(IntegerType()))
+def _groups(texts: pa.Array, at_least: pa.Array) -> pa.Array:
+    return pa.array([_leaders(x, k) for x, k in zip(texts.to_pylist(), at_least.to_pylist(), strict=True)], pa.list_(pa.int32()))
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def _lower_groups(texts: pa.Array, at_least: pa.Array) -> pa.Array:
+    return pa.array([_leaders([t.lower() for t in x], k) for x, k in zip(texts.to_pylist(), at_least.to_pylist(), strict=True)], pa.list_(pa.int32()))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("utterance_index")
-        heads: list[set[str]] = []
-        own = []
-        for handle in pdf["subject_handle"]:
-            words = set((handle or "").split())
-            at = next((i for i, h in enumerate(heads) if (h or words) and len(h & words) / len(h | words) >= at_least), None)
-            if at is None:
-                at = len(heads)
-                heads.append(words)
-            own.append(at)
-        pdf["thread"] = np.array(own, "int32")
-        return pdf[[c.split()[0] for c in THREADS.split(", ")]]
 
-    rows = classes.where("label = 'plan_change'").select(*[c.split()[0] for c in THREADS.split(", ")][:-1])
-    return rows.groupBy("meeting_id", "dimension").applyInPandas(run, THREADS)
+def _grouped(rows: DataFrame, order: list[Column], text: str, groups, at_least: float, name: str) -> DataFrame:
+    """Rows with the group of their text within their (meeting, dimension), which is one row on the way, so that many small ones share a batch."""
+    g = rows.groupBy("meeting_id", "dimension").agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*(c for c in rows.columns if c not in ("meeting_id", "dimension"))).alias("x"))))["x"].alias("x"))
+    g = g.withColumn("own", groups(F.col("x")[text], F.lit(at_least)))
+    return g.select("meeting_id", "dimension", F.explode(F.arrays_zip("x", "own")).alias("z")).select("meeting_id", "dimension", "z.x.*", F.col("z.own").alias(name))
+
+
+def threads(classes: DataFrame, at_least: float = 0.5) -> DataFrame:
+    """Greedy threads of a (meeting, dimension): an utterance joins the first thread whose first handle is alike."""
+    rows = classes.where("label = 'plan_change'").select("meeting_id", "dimension", "utterance_index", "change_role", "subject_handle", "local_confidence", "text")
+    return _grouped(rows, [F.col("utterance_index")], "subject_handle", _groups, at_least, "thread")
 
 
 def beliefs(threaded: DataFrame) -> DataFrame:
@@ -108,22 +121,8 @@ def mapped_initiative(scores: Column, at_least: float = 0.7, gap: float = 0.2) -
 
 def clusters(b: DataFrame, at_least: float = 0.7) -> DataFrame:
     """Greedy leader clusters of a (meeting, dimension) by word-Jaccard of the new states; the highest score leads."""
-    schema = "meeting_id string, dimension string, thread int, cluster int"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["confidence_score", "thread"], ascending=[False, True])
-        leaders: list[set[str]] = []
-        own = []
-        for text in pdf["after_state"]:
-            words = set(text.lower().split())
-            at = next((i for i, h in enumerate(leaders) if (h | words) and len(h & words) / len(h | words) >= at_least), None)
-            if at is None:
-                at = len(leaders)
-                leaders.append(words)
-            own.append(at)
-        return pdf[["meeting_id", "dimension", "thread"]].assign(cluster=np.array(own, "int32"))
-
-    return b.select("meeting_id", "dimension", "thread", "after_state", "confidence_score").groupBy("meeting_id", "dimension").applyInPandas(run, schema)
+    rows = b.select("meeting_id", "dimension", "thread", "after_state", "confidence_score")
+    return _grouped(rows, [-F.col("confidence_score"), F.col("thread")], "after_state", _lower_groups, at_least, "cluster").select("meeting_id", "dimension", "thread", "cluster")
 
 
 def decisions(b: DataFrame) -> DataFrame:

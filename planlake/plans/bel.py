@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from planlake.functions import lexicon as lx
 from planlake.operators import beliefs as bl
+from planlake.operators.cuts import cut
 from planlake.plans.fixture_sql import over
 from planlake.plans.registry import query
 from planlake.plans.txt import SPLIT
@@ -66,7 +67,7 @@ def _(spark, d):
 
 @query("b11_invariants")
 def _(spark, d):
-    b = _beliefs(spark, d)
+    b = cut(_beliefs(spark, d))
     return bl.invariants(b, bl.decisions(b))
 
 
