@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planlake.llm.common import cut
+from planlake.llm.common import cut, sole
 
 
 def _large_star(e: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked with the node's smallest neighbour."""
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def _small_star(e: DataFrame) -> DataFrame:
@@ -22,18 +22,20 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _unsettled(e: DataFrame) -> int:
+    """Nodes with several smaller neighbours, or with smaller and larger ones. Without any, each link leads to the smallest node."""
+    ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").count()
+
+
 def components(links: DataFrame) -> DataFrame:
     """links: a, b. Returns node and component, its smallest reachable node; nodes without links have no row.
 
-    Links and nodes stay in tables; the driver sees one count and checksum for each step.
+    Links and nodes stay in tables; the driver sees one count for each step, and drops what a step left behind.
     """
+    spark = links.sparkSession
     e = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    seen = None
-    while True:
-        e = cut(_small_star(_large_star(e)))
-        sign = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if tuple(sign) == seen:
-            break
-        seen = tuple(sign)
+    while _unsettled(e):
+        e = sole(spark, lambda e=e: _small_star(cut(_large_star(e))))
     nodes = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planlake.llm.common import as_int64, cut, mix, settled, table, text_slices, window_hashes, word_hashes, word_spans
+from planlake.llm.common import as_int64, cut, mix, settled, sole, table, text_slices, window_hashes, word_hashes, word_spans
 from planlake.llm.components import components
 
 SHINGLE = 5
@@ -304,6 +304,7 @@ def clusters(docs: DataFrame, percent: int = PERCENT, errors: int = ERRORS, chun
     """
     if errors >= 2 * chunks:
         raise ValueError(f"{chunks} chunks do not cover {errors} errors")
+    spark = docs.sparkSession
     signed = cut(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_signatures, "doc_id bigint, n_shingles bigint, digest binary, sig binary"))
     full = signed.where("n_shingles > 0 and doc_id is not null")
     # equal sets: every row is linked with the smallest doc_id of its digest; only that one goes on
@@ -318,11 +319,11 @@ def clusters(docs: DataFrame, percent: int = PERCENT, errors: int = ERRORS, chun
     near = members.join(centre, "key").where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
     star = near.unionByName(buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))).distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text")
-    links = cut(confirmed(_distance_ok(star, reps, errors), texts, percent))
+    links = sole(spark, lambda: confirmed(_distance_ok(star, reps, errors), texts, percent))
     comps = cut(components(links))
-    forests = cut(_candidates(members.select("key", "rep", "sig"), comps, errors))
+    forests = sole(spark, lambda: _candidates(members.select("key", "rep", "sig"), comps, errors))
     if forests.take(1):
-        links = cut(links.unionByName(_within_families(links, forests, comps, texts, percent)))
+        links = sole(spark, lambda links=links: links.unionByName(_within_families(links, forests, comps, texts, percent)))
     comps = components(links)
     final = _labelled(heads.select("n_shingles", "digest", "rep"), comps).select("n_shingles", "digest", "comp")
     out = signed.select("doc_id", "n_shingles", "digest").join(final, ["n_shingles", "digest"], "left")

@@ -72,6 +72,16 @@ def test_components(spark):
     assert got == {k: v for k, v in comp.items() if any(k in ab and ab[0] != ab[1] for ab in links)}
 
 
+def test_settled_links_take_no_step(spark, monkeypatch):
+    made = []
+    cut = components.cut
+    monkeypatch.setattr(components, "cut", lambda df: made.append(1) or cut(df))
+    links = [(i, 0) for i in range(1, 6)] + [(8, 7), (7, 8)]
+    got = components.components(spark.createDataFrame(links, "a long, b long"))
+    assert dict(map(tuple, got.collect())) == {**dict.fromkeys(range(6), 0), 7: 7, 8: 7}
+    assert len(made) == 1  # the links themselves
+
+
 @pytest.mark.parametrize("shard_words, broadcast_bytes, rounds", [(20_000, 1 << 26, 16), (100, 20_000, 100), (40, 1, 0)])
 def test_passages(spark, corpus, shard_words, broadcast_bytes, rounds):
     """All in one shard; groups that are split, in many rounds; all groups split to the end and shuffled instead of broadcast."""
