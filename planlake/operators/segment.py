@@ -17,6 +17,19 @@ SPACE = " \t\n\x0b\x0c\r"
 _ITEM = r"^\s*(?:[-*+]|\d+\.)\s+"
 
 
+#: Bytes of bodies that a task takes: its sorts hold their lines several times over.
+TASK_BYTES = 1 << 23
+
+
+def dealt(notes: DataFrame) -> DataFrame:
+    """note_id, body by note_id in as many partitions as their bytes ask for, so what a task holds doesn't grow with the table.
+
+    Windows and groups of a note's lines find them here: the bodies are shuffled, once, and not the lines.
+    """
+    size = notes.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    return notes.select("note_id", "body").repartition(1 + size // TASK_BYTES, "note_id")
+
+
 def _order() -> WindowSpec:
     return Window.partitionBy("note_id").orderBy("line")
 
@@ -125,7 +138,7 @@ def fence_marks(lines: Column) -> Column:
 def section_lines(notes: DataFrame) -> DataFrame:
     """The lines of notes with what they are for sections: kind, head (it starts a section), name, level, section (headings up to here)."""
     lines = F.split(F.coalesce("body", F.lit("")), "\n")
-    x = notes.select("note_id", lines.alias("lines")).withColumn("fences", fence_marks(F.col("lines"))).select("note_id", "fences", F.posexplode("lines").alias("line", "s"))
+    x = dealt(notes).select("note_id", lines.alias("lines")).withColumn("fences", fence_marks(F.col("lines"))).select("note_id", "fences", F.posexplode("lines").alias("line", "s"))
     t = strip(F.col("s"))
     mark = F.array_contains("fences", F.col("line"))
     x = x.select("note_id", "line", "s", t.alias("t"), mark.alias("mark"))

@@ -43,6 +43,15 @@ def test_sections(notes, bodies):
         assert got.get(f"n{i}", []) == [(k, *s) for k, s in enumerate(plain.sections_of(b or ""))], b
 
 
+@pytest.mark.parametrize("job", [segment.sections])
+def test_tasks_hold_a_share_of_bounded_bytes(spark, monkeypatch, job):
+    monkeypatch.setattr(segment, "TASK_BYTES", 500)
+    notes = spark.createDataFrame([(f"n{i}", "# Head\n- an item\nA sentence that ends.\n" * 3) for i in range(100)], "note_id string, body string")
+    rows = job(notes).withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.countDistinct("note_id").alias("n")).collect()
+    assert len(rows) > 8
+    assert sum(r["n"] for r in rows) == 100
+
+
 def test_utterances(spark):
     body = "Dr. No came. Yes!  Really?! e.g. this one, etc. and more\nnext line. End\n\n- first item. two\n  1. second \n- \n\n# Head. line\n```\ncode. here\n```\nété. Ça va? oui"
     notes = spark.createDataFrame([("n", body)], "note_id string, body string")
