@@ -48,7 +48,7 @@ def strip(c: Column) -> Column:
 
 def lines_of(notes: DataFrame) -> DataFrame:
     """note_id, line (from 0), s, start (offset in the body), last (whether it is the last line)."""
-    x = notes.select("note_id", F.posexplode(F.split(F.coalesce("body", F.lit("")), "\n")).alias("line", "s"))
+    x = dealt(notes).select("note_id", F.posexplode(F.split(F.coalesce("body", F.lit("")), "\n")).alias("line", "s"))
     before = F.coalesce(F.sum(F.char_length("s") + 1).over(_before()), F.lit(0))
     return x.withColumns({"start": before, "last": F.lead("line").over(_order()).isNull()})
 

@@ -43,7 +43,7 @@ def test_sections(notes, bodies):
         assert got.get(f"n{i}", []) == [(k, *s) for k, s in enumerate(plain.sections_of(b or ""))], b
 
 
-@pytest.mark.parametrize("job", [segment.sections])
+@pytest.mark.parametrize("job", [segment.sections, lambda n: segment.utterances(segment.blocks(n))])
 def test_tasks_hold_a_share_of_bounded_bytes(spark, monkeypatch, job):
     monkeypatch.setattr(segment, "TASK_BYTES", 500)
     notes = spark.createDataFrame([(f"n{i}", "# Head\n- an item\nA sentence that ends.\n" * 3) for i in range(100)], "note_id string, body string")
