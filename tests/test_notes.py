@@ -4,6 +4,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +130,21 @@ def test_route(spark, monkeypatch):
     assert {r["route"] for r in routing.route(spark.createDataFrame(items, "item_id long, text string"), empty).collect()} == {"create_new"}
 
 
+def test_only_near_bests_are_rounded(monkeypatch):
+    rng = random.Random(5)
+    block = lambda n: routing.Block(routing._packed([f"x{rng.random()}" for _ in range(n)], [pa.array([[f"word{rng.randrange(40)}" for _ in range(20)] for _ in range(n)])]))
+    a, b, seen, rounded = block(60), block(50), [], routing._rounded
+    monkeypatch.setattr(routing, "_rounded", lambda x: seen.append(x.size) or rounded(x))
+    row, best, score = routing.best_of(a, b)
+    assert sum(seen) < 60 * 50 / 10
+    full = [np.zeros((len(x.ids), 40)) for x in (a, b)]
+    for m, x in zip(full, (a, b), strict=True):
+        m[x.row, [int(w.as_py()[4:]) for w in x.words.take(pa.array(x.word))]] = x.tf
+    cosines = np.round(full[0] @ full[1].T / np.outer(a.norm, b.norm), 6)
+    assert [(b.ids[j], round(s / 1e6, 6)) for j, s in zip(best, score, strict=True)] == [min(((k, c) for k, c in zip(b.ids, r, strict=True)), key=lambda x: (-x[1], x[0])) for r in cosines.tolist()]
+    assert row.tolist() == list(range(60))
+
+
 def test_merged_duplicates(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(12)]
