@@ -46,7 +46,7 @@ WINDOW = 35
 GRAM = 8
 SHARD_WORDS = 20_000
 #: Bytes of automata that are broadcast at once, and how often: what is beyond goes by a shuffle.
-BROADCAST_BYTES, ROUNDS = 1 << 25, 32
+BROADCAST_BYTES, ROUNDS = 1 << 23, 128
 #: Bytes of an automaton for each word it is built from, about.
 WORD_BYTES = 14
 #: Row ids that are broadcast to keep other texts out of a shuffle; beyond that the texts are shuffled.
@@ -349,7 +349,7 @@ _KINDS = "p1 bigint, p2 bigint, weight bigint, core bigint, q1 bigint, q2 bigint
 def _sized(once: DataFrame, shard_words: int, window: int) -> tuple[DataFrame, DataFrame]:
     """Units whose core occurs twice or more: those of groups that a shard can hold, and the others. once: a row for each content of a core."""
     groups = once.groupBy("core").agg(F.count(F.lit(1)).alias("units"), F.sum("weight").alias("times"), F.sum(F.col("n") + window - 1).alias("in_core")).where("times > 1")
-    kept = join_on_counted(once, groups, ["core"], "units", once.count()).where("times > 1")
+    kept = cut(join_on_counted(once, groups, ["core"], "units", once.count()).where("times > 1"))  # read five times
     fits = (F.col("in_core") <= shard_words) | (F.col("low") == F.col("high"))
     return kept.where(fits), kept.where(~fits)
 

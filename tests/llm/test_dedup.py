@@ -82,6 +82,32 @@ def test_settled_links_take_no_step(spark, monkeypatch):
     assert len(made) == 1  # the links themselves
 
 
+def test_links_of_a_task_take_no_step(spark, monkeypatch):
+    """A path lies in one task, which merges its links before any step."""
+    made = []
+    cut = components.cut
+    monkeypatch.setattr(components, "cut", lambda df: made.append(1) or cut(df))
+    links = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long").coalesce(1)
+    assert dict(map(tuple, components.components(links).collect())) == dict.fromkeys(range(201), 0)
+    assert len(made) == 1
+
+
+def test_components_of_links_merged_in_small_parts(spark, monkeypatch):
+    monkeypatch.setattr(components, "MERGED", 3)
+    nodes = [random.Random(5).sample(range(60 * i, 60 * i + 60), 60) for i in range(2)]
+    links = [x for n in nodes for x in zip(n, n[1:], strict=False)]
+    got = components.components(spark.createDataFrame(links, "a long, b long").repartition(12)).collect()
+    assert sorted(map(tuple, got)) == [(i, i // 60 * 60) for i in range(120)]
+
+
+def test_units_are_joined_with_their_groups_once(spark):
+    """What several jobs read is a table, not a join that each of them makes again."""
+    once = spark.createDataFrame([(1, 1, 1, 2, 3, 0, 27), (2, 1, 1, 1, 3, 0, 27), (3, 1, 1, 9, 9, 0, 27)], "core long, q1 long, q2 long, weight long, n int, low int, high int")
+    small, large = substring_dedup._sized(once, 40, 35)
+    assert [[r["core"] for r in x.collect()] for x in (small, large)] == [[1], [3]]
+    assert "Join" not in small._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("shard_words, broadcast_bytes, rounds", [(20_000, 1 << 26, 16), (100, 20_000, 100), (40, 1, 0)])
 def test_passages(spark, corpus, shard_words, broadcast_bytes, rounds):
     """All in one shard; groups that are split, in many rounds; all groups split to the end and shuffled instead of broadcast."""
