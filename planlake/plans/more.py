@@ -140,16 +140,15 @@ def _(spark, d):
     return cues.name_matches(cues.segments(fx.minutes(spark, d)), fx.minute_initiatives(spark, d))
 
 
-def _cued(spark, d):
-    """Segments that can have a cue; only what these mention is looked for."""
-    return cut(cues.segments(fx.minutes(spark, d)).where(cues.any_cue(F.col("text"))))
+def _cued(spark, d, most=None, keep=()):
+    """Cues of the segments that can have one; only what these mention is looked for, where they lie."""
+    segs = cues.segments(fx.minutes(spark, d)).where(cues.any_cue(F.col("text")))
+    return cues.cue_signals(segs, lambda x: cues.with_mentions(x, fx.minute_initiatives(spark, d), most), keep)
 
 
 @query("c16_cue_signals", over("minutes minute_initiatives", f"select segment_id, array_to_string(ids, ',') as initiative_ids, cue_type, max(boost) as boost from ({CUES}) group by all", **_SEG, titled=TITLED, named=NAMED, name_matches=NAME_MATCHES, mentioned=MENTIONED, seen=SEEN))
 def _(spark, d):
-    segs, inis = _cued(spark, d), fx.minute_initiatives(spark, d)
-    s = cues.cue_signals(segs, cues.mentions(segs, inis))
-    return s.withColumn("initiative_ids", F.array_join("initiative_ids", ","))
+    return _cued(spark, d).withColumn("initiative_ids", F.array_join("initiative_ids", ","))
 
 
 #: Cues are suggestions: those of notes with even numbers are open, the others new.
@@ -161,8 +160,7 @@ _DUP = dict(**_SEG, titled=TITLED, named=NAMED, name_matches=NAME_MATCHES, menti
 
 
 def _suggested(spark, d):
-    segs, inis = _cued(spark, d), fx.minute_initiatives(spark, d)
-    s = cues.cue_signals(segs, cues.mentions(segs, inis, most=2)).join(segs.select("segment_id", "note_id", "text"), "segment_id")
+    s = _cued(spark, d, 2, ("note_id", "text"))
     doc = F.substring("note_id", 2, 20).cast("bigint")
     one = F.when(F.size("initiative_ids") == 1, F.col("initiative_ids")[0])
     s = s.select(F.concat("segment_id", F.lit("/"), "cue_type").alias("id"), F.col("cue_type").alias("action"), one.alias("initiative_id"), "text", doc.alias("position"), F.col("text").alias("evidence"))
