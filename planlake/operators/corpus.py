@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from planlake.functions import textcols as tc
 from planlake.operators import segment
 from planlake.operators.cuts import cut
 
+#: Words that come last in the order of words, and of these the ones whose sets are dealt out, in so many shares.
+FREQUENT_WORDS = 4096
+CROWDED_WORDS = 64
+SHARES = 16
+
+
 def sections(notes: DataFrame) -> DataFrame:
     """One row for each section of each note (note_id, body), with a key and what its text has."""
     s = segment.sections(notes)
@@ -144,36 +154,57 @@ def word_set(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")))
 
 
+def _often(values: list[str]):
+    """For each word of an array its place in the list, -1 for others."""
+
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def place(words: pa.Array) -> pa.Array:
+        found = pc.fill_null(pc.index_in(words.flatten(), pa.array(values, pa.string())), -1)
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(words), 0)))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), found)
+
+    return place
+
+
 def merged_duplicates(new: DataFrame, open_: DataFrame, at_least: float = 0.8) -> DataFrame:
     """id, duplicate_of, similarity: for each new suggestion the first open one (by position, id) of its action and initiative that is as similar as at_least.
 
-    Both have id, action, initiative_id (null equals null), text and position. Rows of one block with the same words become one
-    word set first, so copies meet as one row; two sets can only be similar if neither is much larger and if they share one of
-    their rarest words, down to where the rest could not suffice. Sets that pass are compared whole, and members take the result
-    of their set. Texts without words resemble nothing.
+    Both have id, action, initiative_id (null equals null), text and position, and are read several times. Rows of one block with
+    the same words become one word set first, so copies meet as one row; two sets can only be similar if neither is much larger
+    and if they share one of their rarest words, down to where the rest could not suffice. Sets that meet in such a word are
+    compared whole there and then, and a set keeps only the first one alike: pairs are never stored, however many have common words
+    only. Frequent words come last in the order of words; any order gives the same result. Members take the result of
+    their set. Texts without words resemble nothing.
     """
-    block = F.sha2(F.concat_ws("\x1f", F.coalesce(F.concat(F.lit("="), "action"), F.lit("")), F.coalesce(F.concat(F.lit("="), "initiative_id"), F.lit(""))), 256)
-    keyed = lambda d: d.select("id", "position", block.alias("block"), word_set(F.col("text")).alias("words")).withColumns({"n": F.size("words"), "set": F.sha2(F.array_join("words", " "), 256)}).where("n > 0")
-    a, b = cut(keyed(new)), cut(keyed(open_))
-    sets = lambda d, key: d.groupBy("block", "set").agg(F.first("words").alias("words"), F.first("n").alias("n"), F.min(F.struct("position", "id")).alias("first")).select("block", F.col("set").alias(key), "words", "n", "first")
-    x, y = cut(sets(a, "new_set")), cut(sets(b, "open_set"))
-    freq = x.select("words").unionByName(y.select("words")).select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-
-    def rarest(d: DataFrame, key: str) -> DataFrame:
-        w = d.select("block", key, "n", F.explode("words").alias("w")).join(freq, "w")
-        nth = F.row_number().over(Window.partitionBy("block", key).orderBy("df", "w"))
-        return w.withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * F.lit(at_least)) + 1).select("block", "w", key, F.col("n").alias(f"n_{key}"), F.col("nth").alias(f"nth_{key}"))
-
-    met = rarest(x, "new_set").join(rarest(y, "open_set"), ["block", "w"])
-    small, large = F.least("n_new_set", "n_open_set"), F.greatest("n_new_set", "n_open_set")
+    block = F.concat_ws("\x1f", F.coalesce(F.concat(F.lit("="), "action"), F.lit("")), F.coalesce(F.concat(F.lit("="), "initiative_id"), F.lit("")))
+    keyed = lambda d: d.select("id", "position", block.alias("block"), word_set(F.col("text")).alias("words")).withColumn("set", F.unhex(F.sha2(F.concat_ws("\x1f", "block", F.array_join("words", " ")), 256)))
+    a, b = keyed(new), keyed(open_)
+    sets = lambda d: d.where(F.size("words") > 0).groupBy("set").agg(F.first("block").alias("block"), F.first("words").alias("words"), F.min(F.struct("position", "id")).alias("first"))
+    count = F.count(F.lit(1))
+    freq = a.select("words").unionByName(b.select("words")).select(F.explode("words").alias("w")).groupBy("w").agg(count.alias("df"))
+    often = [r["w"] for r in freq.orderBy(F.desc("df"), "w").limit(FREQUENT_WORDS).collect()][::-1]
+    place, crowded = _often(often), max(0, len(often) - CROWDED_WORDS)
+
+    def rarest(d: DataFrame, shares: Column) -> DataFrame:
+        """A row for each of the rarest words of a set and each share of its key."""
+        n = F.size("words")
+        x = sets(d).withColumn("place", place(F.col("words")))
+        order = F.slice(F.array_sort(F.arrays_zip(F.col("place"), F.col("words").alias("w"))), F.lit(1), (n - F.ceil(n * F.lit(at_least)) + 1).cast("int"))
+        x = x.select("block", "set", "words", n.alias("n"), "first", F.posexplode(order).alias("nth", "p"))
+        return x.select("block", F.col("p.w").alias("w"), F.explode(F.when(F.col("p.place") >= crowded, shares).otherwise(F.array(F.lit(0)))).alias("share"), "set", "words", "n", (F.col("nth") + 1).alias("nth"), "first")
+
+    # words of many sets are dealt out: a new set has one share, open ones all
+    x = rarest(a, F.array(F.pmod(F.hash("set"), F.lit(SHARES)))).drop("first").withColumnsRenamed({"set": "new_set", "words": "p", "n": "n_p", "nth": "nth_p"})
+    y = rarest(b, F.array(*map(F.lit, range(SHARES)))).withColumnsRenamed({"set": "open_set", "words": "q", "n": "n_q", "nth": "nth_q"})
+    total = F.col("n_p") + F.col("n_q")
     # of the words after this one, no more can be shared than the smaller rest holds
-    rest = F.least(F.col("n_new_set") - F.col("nth_new_set"), F.col("n_open_set") - F.col("nth_open_set")) + 1
-    first_shared = met.where(small >= large * at_least).groupBy("block", "new_set", "open_set").agg(F.max(rest).alias("rest"), F.max(small + large).alias("total"))
-    able = first_shared.where(F.col("rest") * (1 + at_least) >= F.col("total") * at_least - 1e-9).select("block", "new_set", "open_set")
-    full = able.join(x.select("block", "new_set", F.col("words").alias("p")), ["block", "new_set"]).join(y.select("block", "open_set", F.col("words").alias("q"), "first"), ["block", "open_set"])
-    alike = full.withColumn("similarity", tc.jaccard(F.col("p"), F.col("q"))).where(F.col("similarity") >= at_least)
-    best = alike.groupBy("block", "new_set").agg(F.min(F.struct("first", "similarity")).alias("b")).select("block", F.col("new_set").alias("set"), F.col("b.first.id").alias("duplicate_of"), F.round("b.similarity", 6).alias("similarity"))
-    return new.select("id").join(a.select("id", "block", "set").join(best, ["block", "set"]).select("id", "duplicate_of", "similarity"), "id", "left")
+    rest = F.least(F.col("n_p") - F.col("nth_p"), F.col("n_q") - F.col("nth_q")) + 1
+    shared = F.size(F.array_intersect("p", "q"))
+    same = (x["block"] == y["block"]) & (x["w"] == y["w"]) & (x["share"] == y["share"])
+    able = (F.least("n_p", "n_q") >= F.greatest("n_p", "n_q") * at_least) & (rest * (1 + at_least) >= total * at_least - 1e-9)
+    alike = x.join(y, same & able & (shared / (total - shared) >= at_least)).select("new_set", "first", (shared / (total - shared)).alias("similarity"))
+    best = alike.groupBy(F.col("new_set").alias("set")).agg(F.min(F.struct("first", "similarity")).alias("b")).select("set", F.col("b.first.id").alias("duplicate_of"), F.round("b.similarity", 6).alias("similarity"))
+    return a.select("id", "set").join(best, "set", "left").select("id", "duplicate_of", "similarity")
 
 
 def merged_evidence(found: DataFrame, new: DataFrame, open_: DataFrame) -> DataFrame:
