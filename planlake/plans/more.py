@@ -163,8 +163,8 @@ def _suggested(spark, d):
     s = _cued(spark, d, 2, ("note_id", "text"))
     doc = F.substring("note_id", 2, 20).cast("bigint")
     one = F.when(F.size("initiative_ids") == 1, F.col("initiative_ids")[0])
-    s = s.select(F.concat("segment_id", F.lit("/"), "cue_type").alias("id"), F.col("cue_type").alias("action"), one.alias("initiative_id"), "text", doc.alias("position"), F.col("text").alias("evidence"))
-    s = cut(s)
+    s = s.select(F.concat("segment_id", F.lit("/"), "cue_type").alias("id"), F.col("cue_type").alias("action"), one.alias("initiative_id"), "text", doc.alias("position"))
+    s = cut(s).withColumn("evidence", F.col("text"))
     return s.where("position % 2 = 1"), s.where("position % 2 = 0")
 
 
